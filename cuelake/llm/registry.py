@@ -7,7 +7,9 @@ import importlib
 #: Query: module, SQL constant (None where SQL can't express it; tests hold those against brute force).
 _QUERIES = {
     "op1_quality_rules": ("quality", "OP1_SQL"),
+    "op3_simhash_bktree": ("simhash", None),
     "op5_shard_ring": ("sharding", None),
+    "op6_license_scan": ("licenses", None),
     "op8_mix_sources": ("mixing", "OP8_SQL"),
 }
 
