@@ -11,6 +11,7 @@ _QUERIES = {
     "op5_shard_ring": ("sharding", None),
     "op6_license_scan": ("licenses", None),
     "op8_mix_sources": ("mixing", "OP8_SQL"),
+    "op10_decontaminate": ("decontaminate", "OP10_SQL"),
 }
 
 
