@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_simhash_bktree": ("simhash", None),
     "op5_shard_ring": ("sharding", None),
     "op6_license_scan": ("licenses", None),
+    "op7_repeated_strings": ("repeats", None),
     "op8_mix_sources": ("mixing", "OP8_SQL"),
     "op10_decontaminate": ("decontaminate", "OP10_SQL"),
 }
