@@ -8,6 +8,7 @@ import importlib
 _QUERIES = {
     "op1_quality_rules": ("quality", "OP1_SQL"),
     "op3_simhash_bktree": ("simhash", None),
+    "op4_huffman_token_ids": ("token_ids", None),
     "op5_shard_ring": ("sharding", None),
     "op6_license_scan": ("licenses", None),
     "op7_repeated_strings": ("repeats", None),
