@@ -27,13 +27,24 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the table read back: this cuts the lineage and
-    keeps costly columns from being computed again, and a lost executor loses none of it."""
+def materialize_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As :func:`materialize`, with the table's path, for :func:`discard`."""
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return the table read back: this cuts the lineage and
+    keeps costly columns from being computed again, and a lost executor loses none of it."""
+    return materialize_at(df, label)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that this library wrote to the shared folder and no query reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def let(value: Column, body) -> Column:

@@ -13,6 +13,7 @@ _QUERIES = {
     "op6_license_scan": ("licenses", None),
     "op7_repeated_strings": ("repeats", None),
     "op8_mix_sources": ("mixing", "OP8_SQL"),
+    "op9_pitman_yor": ("pitman_yor", None),
     "op10_decontaminate": ("decontaminate", "OP10_SQL"),
 }
 
