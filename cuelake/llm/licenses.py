@@ -143,8 +143,9 @@ def scan_licenses(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
     """The columns ``keep`` of every document with n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``score`` is the weight of the best detection that stays, 0.5 for a base phrase alone, else 0. Null and empty
-    texts have no words and no labels; equal rows get equal results; an empty table gives an empty table; other
-    columns don't matter."""
+    texts have no words and no labels; equal rows get equal results; an empty table gives an empty table. Columns
+    that aren't asked for don't matter; of those that are, one with the name of a new column is replaced."""
+    keep = [c for c in keep if c not in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")]
     rows = docs.select(*keep, normalised(F.col(text)).alias("__norm")).withColumn("n_words", F.greatest(spaces(F.col("__norm")) - 1, F.lit(0)))
     gated = F.lit(False)
     for g in GATES:

@@ -21,6 +21,8 @@ from .common import documents, let, materialize, text_words
 MIN_DOCS = 100
 #: Signal, least spread, whether low values are rejected too. In thousandths.
 SIGNALS = (("mean_word_length", 500, True), ("symbol_share", 20, False), ("dup_line_share", 120, False), ("repeat_share", 100, False))
+#: The table of fences is broadcast if it has no more groups than this.
+BROADCAST_GROUPS = 20_000
 #: Fences stand this many spreads from the median.
 SPREADS = 3
 WINDOW = 8
@@ -55,6 +57,10 @@ def base_signals(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
     ).select(*keep, "n_words", "word_chars", "n_symbols", F.col("__l.n").alias("n_lines"), F.col("__l.dup").alias("n_dup_lines"), "n_repeat_words")
 
 
+#: Columns that score_quality adds.
+OWN = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", *(n for n, _, _ in SIGNALS), "base_failed", "kept")
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
@@ -101,10 +107,12 @@ def score_quality(docs: DataFrame, keep: list[str], lang: str = "lang", source:
 
     ``kept`` is false for documents that fail the base rule or lie outside a fence of their group. Null texts and
     texts of white space have no words and fail; null languages and sources are groups of their own; equal rows get
-    equal verdicts; an empty table gives an empty table; columns that aren't asked for don't matter."""
+    equal verdicts; an empty table gives an empty table. Columns that aren't asked for don't matter; of those that
+    are, one with the name of a new column is replaced."""
+    keep = [c for c in keep if c not in OWN]
     given = docs.select(*[F.col(c) for c in keep], F.struct(F.col(lang).alias("lang"), F.col(source).alias("source")).alias("__g"), F.col("text").alias("__text"))
     rows = base_signals(given, [*keep, "__g"], "__text").withColumns(signal_values())
-    rows = materialize(rows, "quality-signals")  # numbers only; read twice below
+    rows = materialize(rows, "quality-signals")  # read twice below
     sketches = sketch(rows, ["__g"])
     by_group = fences(sketches, ["__g"])
     by_lang = fences(sketches.withColumn("__lang", F.struct("__g.lang")), ["__lang"])
@@ -113,13 +121,15 @@ def score_quality(docs: DataFrame, keep: list[str], lang: str = "lang", source:
     merged = by_group.withColumns({"__lang": F.struct("__g.lang"), "__one": F.lit(1)})
     merged = merged.join(by_lang.select("__lang", *[F.col(c).alias(f"l_{c}") for c in ["docs", *names]]), "__lang").join(every.select("__one", *[F.col(c).alias(f"a_{c}") for c in names]), "__one")
     pick = lambda c: F.when(F.col("docs") >= MIN_DOCS, F.col(c)).when(F.col("l_docs") >= MIN_DOCS, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    merged = merged.select("__g", *[pick(c).alias(c) for c in names])
+    merged = materialize(merged.select("__g", *[pick(c).alias(f"__{c}") for c in names]), "quality-fences")
+    if merged.count() <= BROADCAST_GROUPS:
+        merged = F.broadcast(merged)
     inside = F.lit(True)
     for name, _, both in SIGNALS:
-        inside &= F.col(name) <= F.col(f"{name}_max")
+        inside &= F.col(name) <= F.col(f"__{name}_max")
         if both:
-            inside &= F.col(name) >= F.col(f"{name}_min")
-    return rows.join(merged, "__g").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).drop("__g")
+            inside &= F.col(name) >= F.col(f"__{name}_min")
+    return rows.join(merged, "__g").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).drop("__g", *[f"__{c}" for c in names])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import importlib
 #: Query: module, SQL constant (None where SQL can't express it; tests hold those against brute force).
 _QUERIES = {
     "op1_quality_rules": ("quality", "OP1_SQL"),
+    "op2_warc_salvage": ("warc", "OP2_SQL"),
     "op3_simhash_bktree": ("simhash", None),
     "op4_huffman_token_ids": ("token_ids", None),
     "op5_shard_ring": ("sharding", None),
