@@ -36,6 +36,11 @@ ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "St.", "vs.", "e.g.", "i.e.")
 ALNUM = r"\p{IsAlphabetic}\p{N}"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once for each row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _class(chars: str) -> str:
     return "[" + "".join(rf"\x{{{ord(c):X}}}" for c in chars) + "]"
 

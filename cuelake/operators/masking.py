@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ALNUM, clean, entry_problem, fold, separators, tokens
+from ..functions.text import ALNUM, clean, entry_problem, fold, let, separators, tokens
 
 STYLES = ("asterisks", "first_letter", "bleep", "drop")
 
@@ -25,27 +25,22 @@ def rejected_entries(lists: DataFrame) -> DataFrame:
 def list_match(words: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """``key, lang, list, i, len`` of entries that stand at word i (from 0) of ``words(key, lang, words)``.
 
-    Distinct folded words are matched once against the first word of each entry: exact ones by an equi join, those
-    with * by their fixed first letter or, without one, by regex on the distinct words. Phrases are verified after."""
-    spots = words.select(key, "lang", "words", F.posexplode("words").alias("i", "word"))
-    first = entries.withColumn("first", F.col("pattern")[0])
-    exact = first.filter(~F.contains("first", F.lit("*")))
-    globs = first.filter(F.contains("first", F.lit("*")))
+    Exact first words of entries are met by an equi join, those with * by regex on the distinct words of a lane's
+    language, never on all positions. Phrases are verified on the words that follow."""
+    longest = entries.agg(F.max(F.size("pattern"))).first()[0] or 1
+    here = F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("word"), F.slice("words", i + 1, longest).alias("next")))
+    spots = words.select(key, "lang", F.explode(here).alias("x")).select(key, "lang", "x.*")
+    first = entries.withColumn("word", F.col("pattern")[0])
+    globs = first.filter(F.contains("word", F.lit("*"))).withColumnRenamed("word", "glob")
     vocabulary = spots.select("lang", "word").distinct()
-    # lists are small; only the globs go against distinct words, never against all positions
-    by_glob = vocabulary.join(F.broadcast(globs), "lang").filter(F.regexp_like("word", F.concat(F.lit("^(?:"), F.col("first"), F.lit(")$"))))
-    found = spots.join(F.broadcast(exact).withColumnRenamed("first", "word"), ["lang", "word"]).unionByName(spots.join(by_glob.drop("first"), ["lang", "word"]))
-    at = F.slice("words", F.col("i") + 1, F.size("pattern"))
+    by_glob = vocabulary.join(globs, "lang").filter(F.regexp_like("word", F.concat(F.lit("^(?:"), F.col("glob"), F.lit(")$"))))
+    starts = first.filter(~F.contains("word", F.lit("*"))).select("lang", "word", "list", "pattern").unionByName(by_glob.select("lang", "word", "list", "pattern"))
+    at = F.slice("next", 1, F.size("pattern"))
     whole = (F.size(at) == F.size("pattern")) & F.forall(F.arrays_zip(at.alias("w"), F.col("pattern").alias("p")), lambda x: F.regexp_like(x["w"], F.concat(F.lit("^(?:"), x["p"], F.lit(")$"))))
+    found = spots.join(starts, ["lang", "word"])
     return found.filter((F.size("pattern") == 1) | whole).select(key, "lang", "list", "i", F.size("pattern").alias("len"))
 
 
-def _masked(word: Column, style: str) -> Column:
-    if style == "asterisks":
-        return F.regexp_replace(word, f"[{ALNUM}]", "*")
-    return F.lit("[bleep]" if style == "bleep" else "")
-
-
 def tidy(c: Column) -> Column:
     """Spaces that dropped words leave behind."""
     return F.rtrim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "^ +", ""), " {2,}", " "), " ([,.!?;:])", "$1"))
@@ -68,22 +63,25 @@ def mask_words(texts: DataFrame, lists: DataFrame, style: str = "asterisks", key
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<i:int,len:int>>").alias("spots"))
     take = lambda s, x: F.when(x["i"] >= s["next"], F.struct((x["i"] + x["len"]).alias("next"), F.concat(s["spots"], F.array(x)).alias("spots"))).otherwise(s)
     out = rows.join(spots, key, "left").withColumn("__m", F.coalesce(F.aggregate("__hits", start, take, lambda s: s["spots"]), F.array().cast("array<struct<i:int,len:int>>")))
-    inside = lambda i: F.filter(F.col("__m"), lambda m: (m["i"] <= i) & (i < m["i"] + m["len"]))[0]
-
-    def piece(t: Column, i: Column) -> Column:
-        """The separator before word i, and the word; what is masked as one keeps its inner separators."""
-        m, before = inside(i), F.element_at("__s", i + 1)
-        within = m.isNotNull() & (i > m["i"])
-        if style in ("bleep", "drop"):
-            return F.when(within, "").when(m.isNotNull(), F.concat(before, _masked(t, style))).otherwise(F.concat(before, t))
-        if style == "first_letter":
-            stars = F.regexp_replace(t, f"[{ALNUM}]", "*")
-            masked = F.when(within, stars).otherwise(F.concat(F.substring(t, 1, 1), F.substr(stars, F.lit(2))))
-        else:
-            masked = _masked(t, style)
-        return F.concat(before, F.when(m.isNotNull(), masked).otherwise(t))
-
-    body = F.concat(F.array_join(F.transform("__t", piece), ""), F.element_at("__s", -1))
+    stars = lambda t: F.regexp_replace(t, f"[{ALNUM}]", "*")
+
+    def rebuilt(plain: Column, starred: Column) -> Column:
+        """The text from its words with the separators before them, as they are and starred."""
+        m, s, n = F.col("__m"), F.col("__s"), F.size("__t")
+        end = lambda k: F.coalesce(F.get(m, k)["i"] + F.get(m, k)["len"], F.lit(0))
+        run = lambda words, a, z: F.array_join(F.slice(words, a + 1, z - a), "")
+
+        def hidden(x: Column) -> Column:
+            if style in ("bleep", "drop"):
+                return F.lit("[bleep]" if style == "bleep" else "")
+            span = F.substr(run(starred, x["i"], x["i"] + x["len"]), F.length(F.get(s, x["i"])) + 1)
+            return span if style == "asterisks" else F.concat(F.substring(F.get(F.col("__t"), x["i"]), 1, 1), F.substr(span, F.lit(2)))
+
+        parts = F.transform(m, lambda x, k: F.concat(run(plain, end(k - 1), x["i"]), F.get(s, x["i"]), hidden(x)))
+        return F.concat(F.array_join(parts, ""), run(plain, end(F.size(m) - 1), n), F.get(s, n))
+
+    joined = lambda f: F.zip_with(F.slice("__s", 1, F.size("__t")), F.col("__t"), lambda s, t: F.concat(s, f(t)))
+    body = let(F.struct(joined(lambda t: t).alias("a"), joined(stars).alias("b")), lambda x: rebuilt(x["a"], x["b"]))
     body = F.when(F.size("__m") == 0, F.col("text")).otherwise(tidy(body) if style == "drop" else body)
     return out.withColumns({"text": body, "n_masked": F.size("__m").cast("long")}).drop("__t", "__s", "__m", "__hits")
 

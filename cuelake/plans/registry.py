@@ -1,9 +1,13 @@
 """All queries of the timed-text operators and their SQL."""
 
+from . import segmenting
+
+_MODULES = (segmenting,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.SQL.items()}
