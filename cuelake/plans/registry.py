@@ -1,8 +1,8 @@
 """All queries of the timed-text operators and their SQL."""
 
-from . import segmenting
+from . import segmenting, telemetry
 
-_MODULES = (segmenting,)
+_MODULES = (segmenting, telemetry)
 
 
 def queries() -> dict:
