@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -226,8 +227,6 @@ def lang_note(code: Column) -> Column:
 
 def with_normal_form(df: DataFrame, column: str, form: str = "NFKC") -> DataFrame:
     """``column`` in a Unicode normal form. Spark has no built-in for it: batches go through Arrow."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
         return s.str.normalize(form)

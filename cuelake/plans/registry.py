@@ -1,8 +1,8 @@
 """All queries of the timed-text operators and their SQL."""
 
-from . import segmenting, telemetry
+from . import captions, segmenting, streams, telemetry
 
-_MODULES = (segmenting, telemetry)
+_MODULES = (segmenting, telemetry, captions, streams)
 
 
 def queries() -> dict:
