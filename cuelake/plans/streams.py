@@ -28,8 +28,8 @@ def run_available(stream, path: str):
 
 def event_counters(spark, sf_dir):
     """Events by type and hour. Windows that the watermark hasn't passed at the end stay open."""
-    source = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(source)
+    # a stream reads a folder: the table's file is picked by its name
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return run_available(stream_counters(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 hour"), _shared(spark, "event-counters"))
 
 
