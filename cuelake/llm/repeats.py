@@ -8,10 +8,10 @@ sorts and joins that spill to disk:
 
 1. An anchor gram that stands once in the corpus: no window of its blocks is repeated. Most blocks end here.
 2. A block whose bytes stand twice: all its windows are repeated. Copies of whole passages end here.
-3. Blocks with a shared gram but different bytes (the ends of a passage, places where near copies differ): each
-   window of one representative of each different block is hashed and counted.
+3. Blocks with a shared gram but different bytes (the ends of a passage, places where near copies differ): the
+   windows of one representative of each different block are compared, by gram.
 
-Blocks are told apart by 128 bits of hash (gram and bytes), windows by the gram's 64 and 64 of BLAKE2b.
+Blocks are told apart by 128 bits of hash (gram and bytes), windows by 128 bits, too.
 
 Sorting all suffixes by external induced sorting holds at least a suffix tuple for each byte on disk; see the
 README for why that doesn't fit the disk budget.
@@ -22,25 +22,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import discard, documents, materialize, materialize_at
 
 LENGTH = 200
 GRAM = 32
+#: A gram that stands more often is counted by aggregates over many tasks, all others each in one task.
+HOT = 100_000
 #: Window starts looked at at once.
 PIECE = 1 << 20
 _PLACE = (1 << 24) - 1
 
 
-def _powers(n: int):
+def _powers(n: int, seed: int = 7):
+    """Powers of an odd base modulo 2**64 and of its inverse, and a number for each byte."""
     import numpy as np
 
-    base = 0x9E3779B97F4A7C15
+    base = int(np.random.default_rng(seed + 100).integers(1 << 62, 1 << 63)) | 1
     up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
-    table = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    table = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     return np.multiply.accumulate(up), np.multiply.accumulate(down), table
 
 
@@ -100,34 +103,105 @@ def _blocks_of(length: int, gram: int):
     return run
 
 
-def _windows_of(length: int):
-    """Rows (row, packed text, [(place, gram, same, times)]) to a row for each window."""
+def _contexts_of(length: int):
+    """Rows (packed text, [(row, place, gram, same, times)]) to a row for each block, with its bytes."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        out = [[], [], [], [], []]
-
-        def ready():
-            made = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["gram", "window", "same", "i", "times"])
-            for x in out:
-                x.clear()
-            return made
-
+        schema = pa.schema([("row", pa.int64()), ("place", pa.int64()), ("gram", pa.int64()), ("same", pa.int64()), ("times", pa.int64()), ("body", pa.binary())])
         for batch in batches:
+            out, size = [], 0
             for packed, wanted in zip(batch.column(0), batch.column(1)):
                 text = unpack.decompress(packed.as_py())
                 for b in wanted.as_py():
-                    at, n, offset = b["place"] >> 24, b["place"] >> 12 & 0xFFF, b["place"] & 0xFFF
-                    for i in range(n):
-                        for x, v in zip(out, (b["gram"], _number(text[at + i : at + i + length] + (offset - i).to_bytes(2, "little")), b["same"], i, b["times"])):
-                            x.append(v)
-                    if len(out[0]) >= 1 << 16:
-                        yield ready()
-        if out[0]:
-            yield ready()
+                    at, n = b["place"] >> 24, b["place"] >> 12 & 0xFFF
+                    out.append({**b, "body": text[at : at + n + length - 1]})
+                    size += n + length
+                if size > 8 << 20:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return run
+
+
+def shared_windows(texts: list[bytes], grams, offsets, times, length: int, powers) -> list[list[int]]:
+    """For each block the numbers of its windows that stand in another block of the same gram, at the same offset of
+    the anchor, or in a block that stands ``times`` > 1. Compared by 128 bits."""
+    import numpy as np
+
+    size = np.array([len(t) for t in texts], np.int64)
+    body = np.frombuffer(b"".join(texts), np.uint8)
+    count = size - length + 1
+    block = np.repeat(np.arange(len(texts)), count)
+    i = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(np.cumsum(size) - size, count) + i
+    keys = []
+    for up, down, table in powers:
+        run = np.zeros(len(body) + 1, np.uint64)
+        np.cumsum(table[body] * up[: len(body)], out=run[1:])
+        h = (run[at + length] - run[at]) * down[at]
+        h ^= grams[block].view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (offsets[block] - i).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        keys.append(h)
+    order = np.lexsort((keys[1], keys[0]))
+    a, b = keys[0][order], keys[1][order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    sums = np.add.reduceat(times[block][order], first)
+    found = np.zeros(len(block), bool)
+    found[order] = np.repeat(sums > 1, np.diff(np.append(first, len(block))))
+    edges = np.concatenate(([0], np.cumsum(count)))
+    return [i[x:y][found[x:y]].tolist() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+
+def _shared_windows(length: int, flush: int = 2 << 20):
+    """Blocks sorted by gram to (row, place, windows)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        powers, most = [], 0
+
+        def done(rows):
+            nonlocal powers, most
+            size = sum(len(r["body"]) for r in rows)
+            if size > most:
+                most = max(size, 2 * flush)
+                powers = [_powers(most, seed) for seed in (11, 12)]
+            number = lambda c: np.array([r[c] for r in rows], np.int64)
+            found = shared_windows([r["body"] for r in rows], number("gram"), number("place") & 0xFFF, number("times"), length, powers)
+            out = [{"row": r["row"], "place": r["place"], "windows": w} for r, w in zip(rows, found) if w and r["times"] == 1]
+            return pa.RecordBatch.from_pylist(out, schema=pa.schema([("row", pa.int64()), ("place", pa.int64()), ("windows", pa.list_(pa.int32()))]))
+
+        rows, size = [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                if size >= flush and r["gram"] != rows[-1]["gram"]:
+                    yield done(rows)
+                    rows, size = [], 0
+                rows.append(r)
+                size += len(r["body"])
+        if rows:
+            yield done(rows)
+
+    return run
+
+
+def _window_rows(length: int):
+    """Blocks to a row for each window."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                n, offset = r["place"] >> 12 & 0xFFF, r["place"] & 0xFFF
+                windows = [_number(r["body"][i : i + length] + (offset - i).to_bytes(2, "little")) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([r["gram"]] * n, pa.int64()), pa.array(windows, pa.int64()), pa.array([r["same"]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([r["times"]] * n, pa.int64())], names=["gram", "window", "same", "i", "times"])
 
     return run
 
@@ -178,23 +252,53 @@ def _cut(length: int, texts: bool):
     return run
 
 
-def repeated_blocks(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``row, place, windows`` of the blocks of ``rows(row, body)`` with repeated windows; ``windows`` are the
-    numbers of those that are, null for all."""
-    every = materialize(rows.filter(F.octet_length("body") >= length).mapInArrow(_blocks_of(length, gram), "row long, place long, gram long, same long"), "blocks")
-    shared = every.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1").select("gram")
-    common = materialize(every.join(shared, "gram"), "shared-blocks")
-    kinds = materialize(common.groupBy("gram", "same").agg(F.count("*").alias("times"), F.min(F.struct("row", "place")).alias("one")), "block-kinds")
+def _packed_texts(rows: DataFrame, length: int) -> DataFrame:
+    return rows.filter(F.octet_length("body") >= length).select("row", F.col("body").alias("__body")).mapInArrow(_packed, "row long, __body binary")
+
+
+def _contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The blocks ``wanted(row, place, gram, same, times)`` with their bytes."""
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("row", "place", "gram", "same", "times")).alias("wanted"))
+    return _packed_texts(rows, length).join(lists, "row").select("__body", "wanted").mapInArrow(_contexts_of(length), "row long, place long, gram long, same long, times long, body binary")
+
+
+def _hot_blocks(rows: DataFrame, blocks_: DataFrame, length: int) -> DataFrame:
+    """As :func:`repeated_blocks`, for grams that stand too often for one task: everything is counted by aggregates
+    that combine before the shuffle, and each window is a row of its own."""
+    kinds = materialize(blocks_.groupBy("gram", "same").agg(F.count("*").alias("times"), F.min(F.struct("row", "place")).alias("one")), "hot-kinds")
     several = kinds.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    wanted = kinds.join(several, "gram", "left_semi").groupBy("one.row").agg(F.collect_list(F.struct("one.place", "gram", "same", "times")).alias("wanted"))
-    texts = rows.filter(F.octet_length("body") >= length).select("row", F.col("body").alias("__body")).mapInArrow(_packed, "row long, __body binary")
-    texts = texts.join(wanted, "row").select("__body", "wanted")  # a repeated row gives its windows again; distinct() below
-    windows = materialize(texts.mapInArrow(_windows_of(length), "gram long, window long, same long, i long, times long").distinct(), "windows")
+    wanted = kinds.join(several, "gram", "left_semi").select("one.row", "one.place", "gram", "same", "times")
+    windows = materialize(_contexts(rows, wanted, length).mapInArrow(_window_rows(length), "gram long, window long, same long, i long, times long").distinct(), "hot-windows")
     twice = windows.groupBy("gram", "window").agg(F.sum("times").alias("n")).filter("n > 1").select("gram", "window")
     partly = windows.join(twice, ["gram", "window"]).groupBy("gram", "same").agg(F.collect_list(F.col("i").cast("int")).alias("windows"))
     verdict = kinds.select("gram", "same", "times").join(partly, ["gram", "same"], "left").filter("times > 1 or windows is not null")
     verdict = verdict.select("gram", "same", F.when(F.col("times") == 1, F.col("windows")).alias("windows"))
-    return common.join(verdict, ["gram", "same"]).select("row", "place", "windows")
+    return blocks_.join(verdict, ["gram", "same"]).select("row", "place", "windows")
+
+
+def repeated_blocks(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """``row, place, windows`` of the blocks of ``rows(row, body)`` with repeated windows; ``windows`` are the
+    numbers of those that are, null for all."""
+    spark = rows.sparkSession
+    every, at = materialize_at(rows.filter(F.octet_length("body") >= length).mapInArrow(_blocks_of(length, gram), "row long, place long, gram long, same long"), "blocks")
+    shared = materialize(every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "shared-grams")
+    of_gram, of_kind = Window.partitionBy("gram"), Window.partitionBy("gram", "same")
+    # the windows use the partitions that the join has made
+    common = every.join(shared.filter(F.col("n") <= hot).select("gram"), "gram").select(
+        "row", "place", "gram", "same",
+        F.count("*").over(of_kind).alias("times"),
+        F.row_number().over(of_kind.orderBy("row", "place")).alias("nth"),
+        (F.min("same").over(of_gram) != F.max("same").over(of_gram)).alias("mixed"),
+    )
+    common = materialize(common.filter("times > 1 or mixed"), "shared-blocks")
+    often = shared.filter(F.col("n") > hot).select("gram")
+    hot_ones = None if often.isEmpty() else materialize(every.join(often, "gram"), "hot-blocks")
+    discard(spark, at)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    contexts = _contexts(rows, common.filter("mixed and nth = 1").select("row", "place", "gram", "same", "times"), length)
+    partly = contexts.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_shared_windows(length), "row long, place long, windows array<int>")
+    found = common.filter("times > 1").select("row", "place", F.lit(None).cast("array<int>").alias("windows")).unionByName(partly)
+    return found if hot_ones is None else found.unionByName(_hot_blocks(rows, hot_ones, length))
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", length: int = LENGTH, gram: int = GRAM, texts: bool = True) -> DataFrame:
