@@ -26,6 +26,8 @@ from .common import documents, materialize, scratch
 LEAST = 100
 #: Records below this size share an archive, so many of them at most.
 SMALL, TOGETHER = 64 << 10, 400
+#: Digests of repeated payloads that are broadcast at most (about 100 bytes each).
+BROADCAST_PAYLOADS = 200_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
@@ -38,7 +40,10 @@ def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html") -> D
     empty. A row without a key is a response only if no row with a key has its payload."""
     p = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.withColumns({"payload_bytes": F.octet_length(p).cast("long"), "payload_digest": F.sha2(p.cast("binary"), 256)})
-    first = rows.filter(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min(key).alias("__first"))
+    first = rows.filter(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min(key).alias("__first"), F.count("*").alias("n"))
+    first = materialize(first.filter("n > 1").drop("n"), "repeated-payloads")
+    if first.count() <= BROADCAST_PAYLOADS:  # then the payloads themselves aren't shuffled
+        first = F.broadcast(first)
     rows = rows.join(first, "payload_digest", "left")
     again = F.col("__first").isNotNull() & ~F.col("__first").eqNullSafe(F.col(key))
     return rows.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("__first"))}).drop("__first")
@@ -68,7 +73,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     payloads are empty; repeated rows give repeated records; an empty table gives no archives; other columns
     don't matter."""
     text = revisits(pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(payload).alias("p")), "k", "p").select(record(F.col("k"), F.col("u"), F.col("p")).alias("value"))
-    rows = materialize(text.withColumn("small", F.octet_length("value") < SMALL), "records")
+    rows = text.withColumn("small", F.octet_length("value") < SMALL)
     for small, together in ((True, TOGETHER), (False, 1)):
         # the sink ends each row with the line separator: the record's last line break
         rows.filter(F.col("small") == small).select("value").write.option("lineSep", "\r\n").option("maxRecordsPerFile", together).mode("append").text(path)
