@@ -93,7 +93,10 @@ def _headers(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
         name, colon, value = line.partition(b":")
         if not colon or not re.fullmatch(rb"[!#-'*+.0-9A-Z^-z|~-]+", name):
             return None
-        fields[name.decode().lower()] = value.strip().decode("utf-8", "replace")
+        key = name.decode().lower()
+        if key in fields and key != "warc-concurrent-to":  # the header of a cut record runs into the next one
+            return None
+        fields[key] = value.strip().decode("utf-8", "replace")
     return fields, end + 4
 
 
@@ -139,7 +142,8 @@ def salvage(data: bytes) -> Iterator[tuple]:
         if lost is None:
             lost, reason = at, step
         line, member = _VERSION.search(data, at + 1), data.find(_MEMBER, at + 1)
-        at = min([line.start()] * bool(line) + [member] * (member >= 0), default=len(data))
+        places = [line.start() if line else -1, member]
+        at = min((p for p in places if p >= 0), default=len(data))
     if lost is not None:
         yield "gap", lost, len(data), reason, None
 
