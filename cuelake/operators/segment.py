@@ -7,7 +7,8 @@ is repaired afterwards by windows.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,45 +71,64 @@ def mark_words(words: DataFrame) -> DataFrame:
 _MARKED = "stream_id {id}, island long, seq long, part int, closed string, closed_ms long, flush boolean"
 
 
-def _island(max_wait_ms: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """For each word its clause in the island (``part``). Rows of a clause's last word have how and when it closed;
-        ``open`` is left for the repair. ``flush``: a source chunk ends after the word."""
-        pdf = pdf.sort_values("seq")
-        rows = pdf.to_dict("records")
-        state, part, out, open_rows = Clauses(max_wait_ms), 0, [], []
-
-        def closed(event):
-            nonlocal part, open_rows
-            if event:
-                n, reason, at = event
-                for r in open_rows[:n]:
-                    r["part"] = part
-                open_rows[n - 1].update(closed=reason, closed_ms=at)
-                open_rows, part = open_rows[n:], part + 1
-
-        for k, w in enumerate(rows):
-            now = w["arrival_ms"]
-            row = {"stream_id": w["stream_id"], "island": w["island"], "seq": w["seq"], "part": -1, "closed": None, "closed_ms": None, "flush": False}
-            out.append(row)
-            if k and now != rows[k - 1]["arrival_ms"]:
-                closed(state.idle(now))
-            if not w["blank"]:
-                event = state.before(w, now)
-                if event and k:
-                    out[k - 1]["flush"] = True
-                closed(event)
-                open_rows.append(row)
-                event = state.add(w, now)
-                closed(event)
-                row["flush"] = bool(event)
-            if state.open:
-                state.last = now
-        if open_rows:
-            for r in open_rows:
+def _island(words: list[dict], max_wait_ms: int) -> list[dict]:
+    """For each word of an island its clause (``part``). Rows of a clause's last word have how and when it closed;
+    ``open`` is left for the repair. ``flush``: a source chunk ends after the word."""
+    state, part, out, waiting, before = Clauses(max_wait_ms), 0, [], [], None
+
+    def closed(event):
+        nonlocal part, waiting
+        if event:
+            n, reason, at = event
+            for r in waiting[:n]:
                 r["part"] = part
-            open_rows[-1].update(closed="open", closed_ms=state.last + state.limit())
-        return pd.DataFrame(out)
+            waiting[n - 1].update(closed=reason, closed_ms=at)
+            waiting, part = waiting[n:], part + 1
+
+    for w in words:
+        now = w["arrival_ms"]
+        row = {"stream_id": w["stream_id"], "island": w["island"], "seq": w["seq"], "part": -1, "closed": None, "closed_ms": None, "flush": False}
+        if before is not None and now != before:
+            closed(state.idle(now))
+        if not w["blank"]:
+            event = state.before(w, now)
+            if event and out:
+                out[-1]["flush"] = True
+            closed(event)
+            waiting.append(row)
+            event = state.add(w, now)
+            closed(event)
+            row["flush"] = bool(event)
+        if state.open:
+            state.last = now
+        out.append(row)
+        before = now
+    if waiting:
+        for r in waiting:
+            r["part"] = part
+        waiting[-1].update(closed="open", closed_ms=state.last + state.limit())
+    return out
+
+
+def _islands(max_wait_ms: int):
+    def run(batches: Iterator) -> Iterator:
+        """Rows sorted by stream, island and seq."""
+        import pyarrow as pa
+
+        words, schema = [], None
+        for batch in batches:
+            kind = batch.schema.field("stream_id").type
+            schema = pa.schema([("stream_id", kind), ("island", pa.int64()), ("seq", pa.int64()), ("part", pa.int32()), ("closed", pa.string()), ("closed_ms", pa.int64()), ("flush", pa.bool_())])
+            out = []
+            for w in batch.to_pylist():
+                if words and (w["stream_id"], w["island"]) != (words[-1]["stream_id"], words[-1]["island"]):
+                    out += _island(words, max_wait_ms)
+                    words = []
+                words.append(w)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if words:
+            yield pa.RecordBatch.from_pylist(_island(words, max_wait_ms), schema=schema)
 
     return run
 
@@ -119,7 +139,9 @@ def mark_clauses(words: DataFrame, max_wait_ms: int = MAX_WAIT_MS) -> DataFrame:
     marked = mark_words(words)
     kind = dict(words.dtypes)["stream_id"]
     keys = marked.select("stream_id", "island", "seq", "arrival_ms", "gap_ms", "blank", "punct", "ends", "comma")
-    parts = keys.groupBy("stream_id", "island").applyInPandas(_island(max_wait_ms), _MARKED.format(id=kind))
+    # sorted partitions instead of groups: islands are small, and a group costs some ms
+    ordered = keys.repartition("stream_id", "island").sortWithinPartitions("stream_id", "island", "seq")
+    parts = ordered.mapInArrow(_islands(max_wait_ms), _MARKED.format(id=kind))
     rows = marked.join(parts, ["stream_id", "island", "seq"])
     order = Window.partitionBy("stream_id").orderBy("seq")
     first = F.lag("island").over(order)

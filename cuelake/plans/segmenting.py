@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import guard, masking, segment
 from ..functions import text as T
-from .tables import WORDS_SQL, table, word_lists, words
+from .tables import WORDS_SQL, staged, table, word_lists, words
 
 
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clause_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses of each stream by reason, with the words that masking hides."""
-    found = clauses(spark, sf_dir)
+    found = staged(clauses(spark, sf_dir), "clauses")
     texts = found.select(F.struct("stream_id", "id").alias("key"), F.lit("en").alias("lang"), F.lit("fr").alias("source_lang"), "text")
     masked = masking.text_for_lane(texts, word_lists(spark), key="key").groupBy(F.col("key.stream_id").alias("stream_id")).agg(F.sum("n_masked").alias("masked"))
     return segment.clause_stats(found).join(masked, "stream_id", "left").withColumn("masked", F.coalesce("masked", F.lit(0)))

@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..streaming.machines import stream_counters
-from .tables import table
-
-
-def _shared(spark, label: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="cuelake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from .tables import shared_path, table
 
 
 def run_available(stream, path: str):
@@ -30,7 +19,7 @@ def event_counters(spark, sf_dir):
     """Events by type and hour. Windows that the watermark hasn't passed at the end stay open."""
     # a stream reads a folder: the table's file is picked by its name
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return run_available(stream_counters(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 hour"), _shared(spark, "event-counters"))
+    return run_available(stream_counters(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 hour"), shared_path(spark, "event-counters"))
 
 
 COUNTERS_SQL = """
