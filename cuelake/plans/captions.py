@@ -611,6 +611,45 @@ def retimed_turns(spark, sf_dir):
 
 RETIMED_SQL = 'SELECT conv_id, turn, s AS start, coalesce(lead(s) OVER (PARTITION BY conv_id ORDER BY turn), s) AS "end" FROM (SELECT conv_id, turn, turn * 2 + length(text) % 2 AS s FROM conversations)'
 
+DELTAS_SQL = """
+WITH e AS (SELECT conv_id, turn, lane, turn * 1000000000 + lane * (700000000 + length(text) * 100000) AS wall, CAST(length(text) % 30 AS DOUBLE) AS wait
+           FROM conversations, (VALUES (0), (1), (2)) l(lane) WHERE NOT (lane > 0 AND turn % 11 = 3)),
+j AS (SELECT l.lane, s.turn, e.wait, (e.wall - s.wall) / 1e9 AS d FROM (SELECT * FROM e WHERE lane = 0) s CROSS JOIN (VALUES (1), (2)) l(lane)
+      LEFT JOIN e ON e.conv_id = s.conv_id AND e.turn = s.turn AND e.lane = l.lane),
+r AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY d NULLS LAST) - 1 AS i, count(d) OVER (PARTITION BY lane) AS n FROM j)
+SELECT lane, count(*) AS clauses, count(*) FILTER (WHERE d IS NULL) AS missing, round(avg(wait), 6) AS mean_wait_ms,
+       round(max(d) FILTER (WHERE i = CAST(floor(0.5 * (n - 1) + 0.5) AS BIGINT)), 6) AS p50, round(max(d) FILTER (WHERE i = CAST(floor(0.95 * (n - 1) + 0.5) AS BIGINT)), 6) AS p95 FROM r GROUP BY 1"""
+
+HEARTBEATS_SQL = """
+WITH e AS (SELECT user_id AS worker, epoch_us(ts) // 1000 AS at_ms FROM events),
+g AS (SELECT *, sum(CASE WHEN gap > 18000000 THEN 1 ELSE 0 END) OVER (PARTITION BY worker ORDER BY at_ms) AS spell FROM (SELECT *, at_ms - lag(at_ms) OVER (PARTITION BY worker ORDER BY at_ms) AS gap FROM e)),
+s AS (SELECT worker, spell, min(at_ms) AS a, max(at_ms) AS z FROM g GROUP BY 1, 2),
+l AS (SELECT *, sum(CASE WHEN pz - pa >= 60000000 THEN 1 ELSE 0 END) OVER (PARTITION BY worker ORDER BY spell) AS grp FROM (SELECT *, lag(a) OVER w AS pa, lag(z) OVER w AS pz FROM s WINDOW w AS (PARTITION BY worker ORDER BY spell))),
+k AS (SELECT *, row_number() OVER (PARTITION BY worker, grp ORDER BY spell) - 1 AS restarts FROM l)
+SELECT worker, CAST(spell AS BIGINT) AS spell, a AS start_ms, z AS end_ms, restarts, CASE WHEN spell = 0 THEN 0.0 ELSE least(0.5 * pow(2.0, restarts), 10.0) END AS wait_s FROM k"""
+
+NEAREST_SQL = f"""
+WITH {WORDS_SQL},
+w AS (SELECT stream_id, seq, start_ms / 1000.0 AS t, lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}'']+', '', 'g')) AS k FROM words),
+d AS (SELECT a.stream_id, a.seq, arg_min(a.t - (b.t + 0.1), abs(a.t - (b.t + 0.1))) AS d FROM w a JOIN w b ON a.stream_id = b.stream_id AND a.k = b.k AND abs(a.t - (b.t + 0.1)) <= 3.0 WHERE a.k <> '' GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY stream_id) AS n FROM d)
+SELECT stream_id, count(*) AS n, round(max(d) FILTER (WHERE i = CAST(floor(0.05 * (n - 1)) AS BIGINT)), 6) AS p5, round(max(d) FILTER (WHERE i = CAST(floor(0.5 * (n - 1)) AS BIGINT)), 6) AS p50,
+       round(max(d) FILTER (WHERE i = CAST(floor(0.95 * (n - 1)) AS BIGINT)), 6) AS p95 FROM r GROUP BY 1"""
+
+REVISIONS_SQL = r"""
+WITH c AS (SELECT conv_id || '-' || turn AS stream_id, list_slice(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), 1, 60) AS w FROM conversations),
+p AS (SELECT stream_id, w, len(w) AS m, unnest(generate_series(1, CAST(ceil(len(w) / 6.0) AS BIGINT))) AS k FROM c WHERE len(w) > 0)
+SELECT stream_id, count(*) AS passes, CAST(sum(least(k * 6, m)) AS BIGINT) AS shown, count(*) - 1 AS revised, round((count(*) - 1) / sum(least(k * 6, m)), 6) AS rate FROM p GROUP BY 1"""
+
+VTT_SQL = f"""
+WITH {CUES_SQL}, {SEGMENTS_SQL},
+o AS (SELECT stream_id, seq, greatest(s, start) - s AS a, least(e, end_) - s AS z, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM segs JOIN cues USING (stream_id)
+      WHERE end_ > s AND start < e AND least(e, end_) - greatest(s, start) >= 90),
+b AS (SELECT stream_id, seq, string_agg(printf('%02d:%02d:%02d.%03d --> %02d:%02d:%02d.%03d', a // 324000000, (a // 5400000) % 60, (a // 90000) % 60, (a // 90) % 1000, z // 324000000, (z // 5400000) % 60, (z // 90000) % 60, (z // 90) % 1000)
+        || chr(10) || t || chr(10), chr(10) ORDER BY a, t) AS body FROM o GROUP BY 1, 2),
+v AS (SELECT g.stream_id, g.seq, 'WEBVTT' || chr(10) || 'X-TIMESTAMP-MAP=MPEGTS:' || (g.s % 8589934592) || ',LOCAL:00:00:00.000' || chr(10) || chr(10) || coalesce(b.body, '') AS body FROM segs g LEFT JOIN b USING (stream_id, seq))
+SELECT stream_id, 'en' AS lang, seq, md5(body) AS body_md5, length(body) AS n_chars FROM v"""
+
 QUERIES = {
     "cue_overlap": cue_overlap, "vtt_bodies": vtt_bodies, "playlists": playlists, "master_playlists": master_playlists, "cue_tracks": cue_tracks, "simple_cues": simple_cues, "srt_round_trip": srt_round_trip,
     "playlist_round_trip": playlist_round_trip, "emission_tails": emission_tails, "segment_ends": segment_ends, "clip_lags": clip_lags, "caption_lag": caption_lag, "utterance_lags": utterance_lags,
@@ -622,6 +661,7 @@ QUERIES = {
     "event_feed": event_feed, "parsed_messages": parsed_messages, "turn_context": turn_context, "retimed_turns": retimed_turns,
 }
 SQL = {
+    "translation_deltas": DELTAS_SQL, "heartbeats": HEARTBEATS_SQL, "nearest_words": NEAREST_SQL, "revisions": REVISIONS_SQL, "vtt_bodies": VTT_SQL,
     "cue_overlap": OVERLAP_SQL, "simple_cues": SIMPLE_SQL, "srt_round_trip": SRT_SQL, "playlist_round_trip": PLAYLIST_SQL, "emission_tails": EMISSION_SQL, "segment_ends": SEGMENT_ENDS_SQL, "clip_lags": CLIP_SQL,
     "caption_lag": LAG_NOW_SQL, "first_lines": FIRST_LINES_SQL, "missing_turns": MISSING_SQL, "fanout": FANOUT_SQL, "stale_drops": STALE_SQL, "lane_lags": LANE_LAG_SQL, "backlog": BACKLOG_SQL, "levels": LEVELS_SQL,
     "audio_frames": AUDIO_FRAMES_SQL, "mono": MONO_SQL, "outages": OUTAGES_SQL, "recoveries": RECOVERY_SQL, "token_words": TOKENS_SQL, "late_suffixes": LATE_SQL, "text_functions": TEXT_SQL, "folded_words": FOLD_SQL,
