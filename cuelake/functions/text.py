@@ -177,19 +177,14 @@ def html_escape(c: Column) -> Column:
 
 
 def wrap_lines(c: Column, cells: int) -> Column:
-    """Lines of at most ``cells`` characters; hard breaks stay, words that are too long are cut."""
-    pieces = lambda w: F.regexp_extract_all(w, F.lit(f".{{1,{cells}}}"), F.lit(0))
-    words = lambda line: F.flatten(F.transform(F.filter(F.split(line, " +"), lambda w: w != ""), pieces))
-
-    def add(s: Column, w: Column) -> Column:
-        fits = (s["line"] == "") | (F.length(s["line"]) + 1 + F.length(w) <= cells)
-        done = F.when(fits, s["done"]).otherwise(F.concat(s["done"], F.array(s["line"])))
-        line = F.when(s["line"] == "", w).when(fits, F.concat_ws(" ", s["line"], w)).otherwise(w)
-        return F.struct(done.alias("done"), line.alias("line"))
-
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
-    wrap = lambda line: F.aggregate(words(line), start, add, lambda s: F.when(s["line"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["line"]))))
-    return F.flatten(F.transform(F.split(c, "\n"), wrap))
+    """Lines of at most ``cells`` characters; hard breaks stay, words that are too long are cut.
+
+    A line is the longest run of that many characters that ends where a word does: one pass of a regex."""
+    if cells < 2:
+        raise ValueError("a line has two cells or more")
+    spaced = lambda line: F.regexp_replace(F.trim(F.regexp_replace(line, " {2,}", " ")), rf"([^ ]{{{cells}}})(?=[^ ])", "$1 ")
+    pattern = rf"[^ ](?:.{{0,{cells - 2}}}[^ ])?(?= |$)"
+    return F.flatten(F.transform(F.split(c, "\n"), lambda line: F.regexp_extract_all(spaced(line), F.lit(pattern), F.lit(0))))
 
 
 #: The plain-text set of line 21 captions beside ASCII, and ASCII that it lacks.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ALNUM, clean, entry_problem, fold, let, separators, tokens
@@ -58,11 +58,17 @@ def mask_words(texts: DataFrame, lists: DataFrame, style: str = "asterisks", key
     hits = list_match(words, compile_entries(lists), key)
     block = hits.filter("list = 'block'").groupBy(key, "i").agg(F.max("len").alias("len"))
     allow = hits.filter("list = 'allow'").select(key, "i", "len").distinct().withColumn("ok", F.lit(True))
-    spots = block.join(allow, [key, "i", "len"], "left").filter("ok is null").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "len"))).alias("__hits"))
-    # leftmost spots that don't overlap; an allowed longest entry passes one word, as no spot is left there
+    hits = block.join(allow, [key, "i", "len"], "left").filter("ok is null").select(key, "i", "len")
+    # a hit that begins after all hits before it have ended is always taken: what lies between two such hits is an
+    # island, in which the leftmost hits that don't overlap are taken one after another
+    order = Window.partitionBy(key).orderBy("i")
+    reach = F.max(F.col("i") + F.col("len")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    hits = hits.withColumn("island", F.sum(F.coalesce(F.col("i") >= reach, F.lit(True)).cast("int")).over(order))
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<i:int,len:int>>").alias("spots"))
     take = lambda s, x: F.when(x["i"] >= s["next"], F.struct((x["i"] + x["len"]).alias("next"), F.concat(s["spots"], F.array(x)).alias("spots"))).otherwise(s)
-    out = rows.join(spots, key, "left").withColumn("__m", F.coalesce(F.aggregate("__hits", start, take, lambda s: s["spots"]), F.array().cast("array<struct<i:int,len:int>>")))
+    each = hits.groupBy(key, "island").agg(F.sort_array(F.collect_list(F.struct("i", "len"))).alias("h"))
+    spots = each.select(key, F.aggregate("h", start, take, lambda s: s["spots"]).alias("h")).groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("h"))).alias("__hits"))
+    out = rows.join(spots, key, "left").withColumn("__m", F.coalesce("__hits", F.array().cast("array<struct<i:int,len:int>>")))
     stars = lambda t: F.regexp_replace(t, f"[{ALNUM}]", "*")
 
     def rebuilt(plain: Column, starred: Column) -> Column:

@@ -484,8 +484,8 @@ SELECT word, count(*) AS n FROM (
 
 def cleaned_texts(spark, sf_dir):
     """T1, T6, T7, T10, T12, T20."""
-    d = table(spark, sf_dir, "documents")
-    t = T.clean(F.col("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("t"))  # used five times
+    t = F.col("t")
     return d.select("doc_id", F.length(t).cast("long").alias("n_clean"), F.size(T.split_sentences(t)).cast("long").alias("sentences"), F.size(T.content_words(t)).cast("long").alias("content_words"), F.size(T.wrap_lines(t, 32)).cast("long").alias("lines"), T.sentence_end(t).alias("ends"))
 
 
