@@ -90,8 +90,9 @@ def normalise_line(c: Column) -> Column:
 def content_words(c: Column, stop=STOP_WORDS) -> Column:
     """Lower-case words without those of ``stop``."""
     each = F.transform(F.split(F.lower(c), f"[^{ALNUM}']+"), lambda w: F.btrim(w, F.lit("'")))
-    listed = F.array(*[F.lit(s) for s in stop]) if stop else F.array().cast("array<string>")
-    return F.filter(each, lambda w: (w != "") & ~F.array_contains(listed, w))
+    # one compiled regex for each word; the stop words are letters and ' alone
+    listed = f"^(?:{'|'.join(stop)})?$"
+    return F.filter(each, lambda w: ~w.rlike(listed))
 
 
 def wer_tokens(c: Column, apostrophe: bool = False) -> Column:
