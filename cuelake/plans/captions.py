@@ -383,13 +383,13 @@ def speech(spark, sf_dir):
 def outages(spark, sf_dir):
     """An hour without events is an outage; purchases are key rows."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), (F.col("event_type") == "purchase").alias("is_key"))
-    return audio.outages(e, 36_000_000)
+    return audio.outages(e, 36_000_000).withColumn("end_ms", F.coalesce("end_ms", F.lit(-1)))
 
 
 OUTAGES_SQL = """
 WITH e AS (SELECT user_id AS stream_id, epoch_us(ts) // 1000 AS at_ms, event_type = 'purchase' AS k FROM events),
 g AS (SELECT *, lead(at_ms) OVER (PARTITION BY stream_id ORDER BY at_ms) - at_ms AS gap, min(CASE WHEN k THEN at_ms END) OVER (PARTITION BY stream_id ORDER BY at_ms ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS back FROM e)
-SELECT stream_id, min(at_ms + 36000000) AS start_ms, back AS end_ms FROM g WHERE gap >= 36000000 GROUP BY stream_id, back"""
+SELECT stream_id, min(at_ms + 36000000) AS start_ms, coalesce(back, -1) AS end_ms FROM g WHERE gap >= 36000000 GROUP BY stream_id, back"""
 
 
 def heartbeats(spark, sf_dir):
