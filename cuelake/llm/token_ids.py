@@ -6,8 +6,8 @@ numbers of ids, bits, bit offsets) beside a table of code lengths; any block can
 from the checkpoint before it.
 
 Texts are cut where one space stands between two characters that aren't white space. The byte-level vocabulary never
-joins bytes across such a place, so the pieces are encoded by the library one by one, each different piece
-of a batch once, and recent pieces are remembered; the ids are those of the whole text.
+joins bytes across such a place, so the library encodes each different piece once and recent pieces are remembered;
+the ids are those of the whole text.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Ids of a block.
 BLOCK = 1 << 18
-#: Pieces that a worker remembers.
-REMEMBERED = 400_000
-#: White-space classes differ between regex engines; this one takes in all of them.
+#: Pieces that a worker remembers (about 200 bytes each).
+REMEMBERED = 1_200_000
+#: Pieces that are encoded as one text.
+TOGETHER = 2_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -38,29 +39,60 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # with a space before
+        self.begins = np.zeros(1 << 16, bool)  # tokens whose first byte is a space
+        for token, number in self.library.get_vocab().items():
+            self.begins[number] = token.startswith("\u0120")
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+
+        return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new_pieces(self, pieces: list[str]) -> None:
+        """Encode new pieces, each with the space before it. Many are one text: a token with a space first begins a
+        piece, unless a piece has a space of its own."""
+        import numpy as np
+
+        parts = [pieces[k : k + TOGETHER] for k in range(0, len(pieces), TOGETHER)]
+        for part, e in zip(parts, self.library.encode_batch_fast([f" {' '.join(p)}" for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u2")
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(part):
+                data, at = ids.tobytes(), (2 * at).tolist()
+                self.pieces.update((p, data[x:y]) for p, x, y in zip(part, at, [*at[1:], len(data)]))
+            else:
+                self.pieces.update(zip(part, self._plain([f" {p}" for p in part])))
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         import numpy as np
 
-        cut = []
-        for t in texts:
-            pieces = _CUT.split(t)
-            pieces[1:] = [" " + p for p in pieces[1:]]
-            cut.append(pieces)
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        seen = self.seen
-        new = list({p for pieces in cut for p in pieces if p not in seen})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                seen[p] = np.array(e.ids, "<u2").tobytes()
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        known = self.pieces
+        cut = [t.split(" ") for t in texts]
+        new = set().union(*[c[1:] for c in cut]).difference(known)
+        # a piece that is empty or has white space at its end or begin shows more than one space in a row
+        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        again = [k for k, c in enumerate(cut) if len(c) > 1 and (c[0][-1:].isspace() or (odd and not odd.isdisjoint(c[1:])))]
+        if again:
+            for k in again:
+                cut[k] = _CUT.split(texts[k])
+            new = set().union(*[c[1:] for c in cut]).difference(known)
+        inner = [p for p in new if " " in p]
+        self._new_pieces([p for p in new if " " not in p])
+        known.update(zip(inner, self._plain([f" {p}" for p in inner])))
+        first = self._plain([c[0] for c in cut])
         last = np.array([end], "<u2").tobytes()
-        return [b"".join(map(seen.__getitem__, pieces)) + last for pieces in cut]
+        return [b"".join((f, *map(known.__getitem__, c[1:]), last)) for f, c in zip(first, cut)]
+
+
+#: Encoders stay for the next task of a worker.
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -70,31 +102,34 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def _tokenize(path: str, end: int):
-    encoder = []
-
     def run(batches: Iterator) -> Iterator:
+        """(key, ids, counts): a row for each document, and a last one with the counts of all ids of the task."""
+        import numpy as np
         import pyarrow as pa
 
-        if not encoder:
-            encoder.append(Encoder(path))
+        if path not in _ENCODERS:
+            _ENCODERS[path] = Encoder(path)
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            text = batch.column(1)
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                ids = encoder[0].encode([t or "" for t in text.slice(k, 500).to_pylist()], end)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                ids = _ENCODERS[path].encode([t or "" for t in part.column(1).to_pylist()], end)
+                total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.list_(pa.int64()))], names=["key", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.tolist()], pa.list_(pa.int64()))], names=["key", "ids", "counts"])
 
     return run
 
 
-def _count(batches: Iterator) -> Iterator:
+def _add_counts(batches: Iterator) -> Iterator:
+    """Counts of several tasks to (id, n) of those that are there."""
     import numpy as np
     import pyarrow as pa
 
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for ids in batch.column(0):
-            total += np.bincount(np.frombuffer(ids.as_py(), "<u2"), minlength=1 << 16)
+        for counts in batch.column(0):
+            total += counts.values.to_numpy()
     found = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["id", "n"])
 
@@ -160,13 +195,14 @@ def write_token_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     given = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     ordered = given.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
     # numbers in ascending order: they keep the rows' places when the table is read again
-    numbered = ordered.mapInArrow(_tokenize(vocabulary or vocabulary_path(), end), "key long, ids binary").withColumn("at", F.monotonically_increasing_id())
+    numbered = ordered.mapInArrow(_tokenize(vocabulary or vocabulary_path(), end), "key long, ids binary, counts array<long>").withColumn("at", F.monotonically_increasing_id())
     tokens = materialize(numbered, "tokens")
-    counts = {r[0]: r[1] for r in tokens.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n")).collect()}  # the vocabulary's size at most
+    each = tokens.filter("counts is not null").select("counts").mapInArrow(_add_counts, "id int, n long")
+    counts = {r[0]: r[1] for r in each.groupBy("id").agg(F.sum("n")).collect()}  # the vocabulary's size at most
     lengths = code_lengths(counts)
     spark.createDataFrame(sorted(lengths.items()), "id int, bits int").write.parquet(f"{path}/lengths")
     code = spark.sparkContext.broadcast(Code(lengths))
-    tokens.select("at", "key", "ids").mapInArrow(_write_blocks(code), _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    tokens.filter("ids is not null").select("at", "key", "ids").mapInArrow(_write_blocks(code), _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_token_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
