@@ -396,6 +396,29 @@ def test_tables_follow_the_process():
     assert abs(many.mean() - t.mean()) < 0.05 and abs(many.std() - t.std()) < 0.05
 
 
+@pytest.mark.parametrize("many", [1, 4000])
+def test_tables_follow_the_exact_law(many):
+    """Their distribution is the one that seating one by one has; both ways of drawing."""
+    import numpy as np
+
+    n, p, d, s = 400, 0.5, 0.9, 3.0
+    law = np.zeros(n + 1)
+    law[1] = 1
+    t = np.arange(n + 1)
+    for j in range(1, n):
+        a = (s + d * t) * p
+        new = np.where(t <= j, a / (a + np.maximum(j - d * t, 0.01)), 0)
+        law = law * (1 - new) + np.append(0, (law * new)[:-1])
+    rng = np.random.default_rng(5)
+    found = np.concatenate([pitman_yor.seat(np.full(many, n), np.full(many, p), d, np.full(many, s), rng) for _ in range(40_000 // many)])
+    mean, std = (law * t).sum(), np.sqrt((law * t * t).sum() - (law * t).sum() ** 2)
+    assert abs(found.mean() - mean) < 0.03 * std and abs(found.std() / std - 1) < 0.02
+
+
+def test_scores_average_three_seatings():
+    assert pitman_yor.SWEEPS - pitman_yor.BURN_IN >= 3
+
+
 # ---- 10: decontamination
 
 
