@@ -1,8 +1,8 @@
 """License scans: ordered signature rules, gated by keywords, with overlapping detections resolved.
 
 A text is lower-cased and cut down to its words with single spaces. Base phrases are counted and placed in every
-text. Texts that hold one of ``GATES`` go on to the rules: each rule has a keyword that must be there before its
-regex runs. Detections are intervals of the text; one that lies within another is suppressed, and of equal
+text. Texts that hold one of ``gates()`` go on to the rules: each rule has keywords, one of which is in all that it
+matches, and its regex runs where one is. Detections are intervals of the text; one that lies within another is suppressed, and of equal
 intervals the rule with the better (lower) priority stays. The rules run once for each different text.
 """
 
@@ -16,51 +16,49 @@ from .common import documents, materialize
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: A text without any of these has no detection.
-GATES = ("licen", "copyright", "cc by", "cc0", "public domain", "redistribution", "spdx", "gpl", "permission is hereby granted", "without warranty")
-
-#: Families: label, regex of the name in words, keyword, versions (each makes rules of its own).
+#: Families: label, regex of the name in words, keywords (every match of the name, in a text with a space before and
+#: after each word, holds one of them), versions (each makes rules of its own).
 FAMILIES = (
-    ("agpl", r"(?:gnu )?(?:affero general public license|agpl)", "a", ("1 0", "3 0")),
-    ("lgpl", r"(?:gnu )?(?:lesser general public license|library general public license|lgpl)", "l", ("2 0", "2 1", "3 0")),
-    ("gpl", r"(?:gnu )?(?:general public license|gpl)", "g", ("1 0", "2 0", "3 0")),
-    ("gfdl", r"(?:gnu )?(?:free documentation license|gfdl)", "f", ("1 1", "1 2", "1 3")),
-    ("apache", r"apache(?: software)?(?: license)?", "apache", ("1 0", "1 1", "2 0")),
-    ("mpl", r"(?:mozilla public license|mpl)", "m", ("1 0", "1 1", "2 0")),
-    ("epl", r"(?:eclipse public license|epl)", "e", ("1 0", "2 0")),
-    ("eupl", r"(?:european union public licen[cs]e|eupl)", "eu", ("1 0", "1 1", "1 2")),
-    ("cddl", r"(?:common development and distribution license|cddl)", "c", ("1 0", "1 1")),
-    ("cpl", r"(?:common public license|cpl)", "c", ("1 0",)),
-    ("osl", r"(?:open software license|osl)", "o", ("1 0", "2 0", "2 1", "3 0")),
-    ("afl", r"(?:academic free license|afl)", "a", ("1 1", "2 0", "2 1", "3 0")),
-    ("artistic", r"(?:perl )?artistic license", "artistic", ("1 0", "2 0")),
-    ("bsl", r"(?:boost software license|bsl)", "b", ("1 0",)),
-    ("cc-by-nc-nd", r"(?:creative commons attribution non ?commercial no ?deriv(?:ative|s|atives)|cc by nc nd)", "nc", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)", "nc", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", r"(?:creative commons attribution non ?commercial|cc by nc)", "c", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", r"(?:creative commons attribution no ?deriv(?:ative|s|atives)|cc by nd)", "nd", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", r"(?:creative commons attribution share ?alike|cc by sa)", "sa", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by", r"(?:creative commons attribution|cc by)", "c", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc0", r"(?:creative commons zero|cc0)", "c", ("1 0",)),
-    ("zpl", r"(?:zope public license|zpl)", "z", ("1 1", "2 0", "2 1")),
-    ("psf", r"python software foundation license", "python", ("2 0",)),
-    ("php", r"php license", "php", ("3 0", "3 01")),
-    ("odbl", r"(?:open database license|odbl)", "o", ("1 0",)),
-    ("ofl", r"(?:sil )?open font license", "font", ("1 0", "1 1")),
-    ("ms-pl", r"(?:microsoft public license|ms pl)", "m", ("1 0",)),
-    ("upl", r"universal permissive license", "permissive", ("1 0",)),
-    ("ecl", r"educational community license", "educational", ("1 0", "2 0")),
-    ("ncsa", r"(?:university of illinois ncsa open source license|ncsa license)", "ncsa", ()),
-    ("mit", r"(?:mit|expat)(?: x11)?", "i", ()),
-    ("isc", r"isc", "isc", ()),
-    ("zlib", r"zlib(?: libpng)?", "zlib", ()),
-    ("bsd", r"(?:new |modified |revised |simplified )?bsd", "bsd", ("2 clause", "3 clause", "4 clause")),
-    ("wtfpl", r"(?:do what the \w+ you want to public license|wtfpl)", "w", ("2 0",)),
-    ("unlicense", r"unlicense", "unlicense", ()),
-    ("beerware", r"beer ?ware", "beer", ()),
+    ("agpl", r"(?:gnu )?(?:affero general public license|agpl)", ("affero general public license", " agpl"), ("1 0", "3 0")),
+    ("lgpl", r"(?:gnu )?(?:lesser general public license|library general public license|lgpl)", ("lesser general public license", "library general public license", " lgpl"), ("2 0", "2 1", "3 0")),
+    ("gpl", r"(?:gnu )?(?:general public license|gpl)", ("general public license", " gpl"), ("1 0", "2 0", "3 0")),
+    ("gfdl", r"(?:gnu )?(?:free documentation license|gfdl)", ("free documentation license", " gfdl"), ("1 1", "1 2", "1 3")),
+    ("apache", r"apache(?: software)?(?: license)?", (" apache",), ("1 0", "1 1", "2 0")),
+    ("mpl", r"(?:mozilla public license|mpl)", ("mozilla public license", " mpl"), ("1 0", "1 1", "2 0")),
+    ("epl", r"(?:eclipse public license|epl)", ("eclipse public license", " epl"), ("1 0", "2 0")),
+    ("eupl", r"(?:european union public licen[cs]e|eupl)", ("european union public licen", " eupl"), ("1 0", "1 1", "1 2")),
+    ("cddl", r"(?:common development and distribution license|cddl)", ("common development and distribution license", " cddl"), ("1 0", "1 1")),
+    ("cpl", r"(?:common public license|cpl)", ("common public license", " cpl"), ("1 0",)),
+    ("osl", r"(?:open software license|osl)", ("open software license", " osl"), ("1 0", "2 0", "2 1", "3 0")),
+    ("afl", r"(?:academic free license|afl)", ("academic free license", " afl"), ("1 1", "2 0", "2 1", "3 0")),
+    ("artistic", r"(?:perl )?artistic license", ("artistic license",), ("1 0", "2 0")),
+    ("bsl", r"(?:boost software license|bsl)", ("boost software license", " bsl"), ("1 0",)),
+    ("cc-by-nc-nd", r"(?:creative commons attribution non ?commercial no ?deriv(?:ative|s|atives)|cc by nc nd)", ("creative commons attribution", " cc by"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-sa", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)", ("creative commons attribution", " cc by"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc", r"(?:creative commons attribution non ?commercial|cc by nc)", ("creative commons attribution", " cc by"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nd", r"(?:creative commons attribution no ?deriv(?:ative|s|atives)|cc by nd)", ("creative commons attribution", " cc by"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-sa", r"(?:creative commons attribution share ?alike|cc by sa)", ("creative commons attribution", " cc by"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by", r"(?:creative commons attribution|cc by)", ("creative commons attribution", " cc by"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc0", r"(?:creative commons zero|cc0)", ("creative commons zero", " cc0"), ("1 0",)),
+    ("zpl", r"(?:zope public license|zpl)", ("zope public license", " zpl"), ("1 1", "2 0", "2 1")),
+    ("psf", r"python software foundation license", ("python software foundation license",), ("2 0",)),
+    ("php", r"php license", ("php license",), ("3 0", "3 01")),
+    ("odbl", r"(?:open database license|odbl)", ("open database license", " odbl"), ("1 0",)),
+    ("ofl", r"(?:sil )?open font license", ("open font license",), ("1 0", "1 1")),
+    ("ms-pl", r"(?:microsoft public license|ms pl)", ("microsoft public license", " ms pl"), ("1 0",)),
+    ("upl", r"universal permissive license", ("universal permissive license",), ("1 0",)),
+    ("ecl", r"educational community license", ("educational community license",), ("1 0", "2 0")),
+    ("ncsa", r"(?:university of illinois ncsa open source license|ncsa license)", ("ncsa open source license", "ncsa license"), ()),
+    ("mit", r"(?:mit|expat)(?: x11)?", (" mit ", " expat "), ()),
+    ("isc", r"isc", (" isc ",), ()),
+    ("zlib", r"zlib(?: libpng)?", (" zlib ",), ()),
+    ("bsd", r"(?:new |modified |revised |simplified )?bsd", (" bsd",), ("2 clause", "3 clause", "4 clause")),
+    ("wtfpl", r"(?:do what the \w+ you want to public license|wtfpl)", ("you want to public license", " wtfpl"), ("2 0",)),
+    ("unlicense", r"unlicense", (" unlicense ",), ()),
+    ("beerware", r"beer ?ware", (" beerware ", " beer ware "), ()),
 )
 
-#: Whole signatures: label, regex, keyword, weight.
+#: Whole signatures: label, regex, keyword (in every match), weight.
 TEXTS = (
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted", 1.0),
     ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee", 1.0),
@@ -80,26 +78,32 @@ TEXTS = (
 )
 
 
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, label, regex, keyword, weight), best first: identifier tags, whole signatures, names with a
-    version, "licensed under" phrases, bare names."""
+def rules() -> list[tuple[int, str, str, tuple[str, ...], float]]:
+    """(priority, label, regex, keywords, weight), best first: identifier tags, whole signatures, names with a
+    version, "licensed under" phrases, bare names. Every match of the regex holds one of the keywords."""
     found = []
     for label, regex, keyword, weight in TEXTS:
-        found.append((1, label, regex, keyword, weight))
-    for family, name, keyword, versions in FAMILIES:
+        found.append((1, label, regex, (keyword,), weight))
+    for family, name, keywords, versions in FAMILIES:
         tag = family.replace("-", " ")
-        found.append((4, family, name + r" licen[cs]e", "licen", 0.6) if "licen" not in name else (4, family, name, "licen", 0.6))
-        found.append((3, family, r"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?" + name, " under ", 0.8))
-        found.append((0, family, rf"spdx license identifier {tag}", "spdx", 1.0))
+        found.append((4, family, name + r" licen[cs]e" if "licen" not in name else name, keywords, 0.6))
+        found.append((3, family, r"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?" + name, keywords, 0.8))
+        found.append((0, family, rf"spdx license identifier {tag}", ("spdx license identifier",), 1.0))
         for v in versions:
             own = f"{family}-{v.replace(' ', '.' if v[-1].isdigit() else '-')}"
             number = v.removesuffix(" 0") + "(?: 0)?" if v.endswith(" 0") else v
-            found.append((0, own, rf"spdx license identifier {tag} {v}(?: only| or later)?", "spdx", 1.0))
-            found.append((2, own, rf"{name}(?: licen[cs]e)?(?: version| v)? ?{number}(?: or (?:any )?later(?: version)?)?", keyword, 0.9))
-            found.append((2, own, rf"{v} {name}(?: licen[cs]e)?", keyword, 0.9) if not v[-1].isdigit() else (2, own, rf"licen[cs]es {tag} {v}", "licen", 0.7))
+            found.append((0, own, rf"spdx license identifier {tag} {v}(?: only| or later)?", ("spdx license identifier",), 1.0))
+            found.append((2, own, rf"{name}(?: licen[cs]e)?(?: version| v)? ?{number}(?: or (?:any )?later(?: version)?)?", keywords, 0.9))
+            found.append((2, own, rf"{v} {name}(?: licen[cs]e)?", keywords, 0.9) if not v[-1].isdigit() else (2, own, rf"licen[cs]es {tag} {v}", (f"licenses {tag} {v}", f"licences {tag} {v}"), 0.7))
     return sorted(set(found))
 
 
+def gates() -> list[str]:
+    """A text without any of these has no detection and no base phrase."""
+    every = {f" {p} " for p in BASE} | {k for r in rules() for k in r[3]}
+    return sorted(k for k in every if not any(x != k and x in k for x in every))
+
+
 def normalised(text: Column) -> Column:
     """Lower-case words with a space before each and after the last; " " if there are none.
 
@@ -129,8 +133,8 @@ def detections(texts: DataFrame, key: str, norm: str) -> DataFrame:
     """``key, label, weight, priority, start, end`` of the detections that no other one contains. One row of
     ``texts`` for each key."""
     spark = texts.sparkSession
-    table = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(x).alias("label"), F.lit(f" {r}(?= )").alias("regex"), F.lit(k).alias("keyword"), F.lit(w).alias("weight")) for p, x, r, k, w in rules()])
-    hit = texts.select(key, norm, F.explode(F.filter(table, lambda r: F.contains(F.col(norm), r.keyword))).alias("r"))
+    table = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(x).alias("label"), F.lit(f" {r}(?= )").alias("regex"), F.array(*[F.lit(x) for x in k]).alias("keywords"), F.lit(w).alias("weight")) for p, x, r, k, w in rules()])
+    hit = texts.select(key, norm, F.explode(F.filter(table, lambda r: F.exists(r.keywords, lambda k: F.contains(F.col(norm), k)))).alias("r"))
     found = hit.select(key, "r.*", F.regexp_extract_all(norm, F.col("r.regex"), F.lit(0)).alias("m"), F.when(F.regexp_like(norm, F.col("r.regex")), F.split(norm, F.col("r.regex"), -1)).alias("s")).filter(F.size("m") > 0)
     each = found.select(key, "priority", "label", "weight", "regex", F.posexplode(F.arrays_zip("m", "s")).alias("i", "x")).filter(F.col("x.m").isNotNull())
     run = Window.partitionBy(key, "regex").orderBy("i")
@@ -148,7 +152,7 @@ def scan_licenses(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
     keep = [c for c in keep if c not in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")]
     rows = docs.select(*keep, normalised(F.col(text)).alias("__norm")).withColumn("n_words", F.greatest(spaces(F.col("__norm")) - 1, F.lit(0)))
     gated = F.lit(False)
-    for g in GATES:
+    for g in gates():
         gated |= F.col("__norm").contains(g)
     rows = rows.select(*keep, "n_words", *[c.alias(n) for n, c in base_matches(F.col("__norm"), F.col("n_words")).items()], F.when(gated, F.col("__norm")).alias("__norm"))
     rows = materialize(rows.withColumn("__key", F.sha2("__norm", 256)), "licenses")

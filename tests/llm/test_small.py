@@ -270,6 +270,41 @@ def test_licenses(make_docs):
     assert licenses.scan_licenses(make_docs([]), ["doc_id"]).count() == 0
 
 
+def matches(parsed, rng):
+    """A random match of a parsed regex."""
+    out = ""
+    for op, x in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(x)
+        elif name == "IN":
+            out += "5" if str(x[0][0]) == "CATEGORY" and "DIGIT" in str(x[0][1]) else "w" if str(x[0][0]) == "CATEGORY" else chr(rng.choice(x)[1])
+        elif name == "BRANCH":
+            out += matches(rng.choice(x[1]), rng)
+        elif name == "SUBPATTERN":
+            out += matches(x[3], rng)
+        elif name == "MAX_REPEAT":
+            out += "".join(matches(x[2], rng) for _ in range(rng.randint(x[0], min(x[1], x[0] + 1))))
+        else:
+            raise ValueError(name)
+    return out
+
+
+def test_prefilter_drops_no_match(make_docs, monkeypatch):
+    rng, every = random.Random(4), licenses.rules()
+    texts = ["Released under Creative Commons Attribution-ShareAlike 4.0", "distributed under MPL 2.0", "available under the BSD 3-Clause", "EPL 2.0", "all rights reserved", "AGPL"]
+    for _, _, regex, keywords, _ in every:
+        for _ in range(20):
+            text = f" {matches(re._parser.parse(regex), rng)} "
+            assert re.fullmatch(f" {regex} ", text) and any(k in text for k in keywords) and any(g in text for g in licenses.gates())
+        texts.append(text)
+    docs = make_docs(texts)
+    found = {r.doc_id: r for r in licenses.scan_licenses(docs, ["doc_id"]).collect()}
+    assert all(r.labels and r.score > 0 for r in found.values())
+    monkeypatch.setattr(licenses, "rules", lambda: [(p, x, r, ("",), w) for p, x, r, _, w in every])
+    assert found == {r.doc_id: r for r in licenses.scan_licenses(docs, ["doc_id"]).collect()}
+
+
 def test_contained_detections_are_suppressed(spark, make_docs):
     docs = make_docs(["licensed under the apache license version 2 0"]).select("doc_id", licenses.normalised(F.col("text")).alias("n"))
     found = licenses.detections(docs, "doc_id", "n").collect()
