@@ -2,12 +2,13 @@
 sources, sharding. Each stage takes what its predecessor kept, as a table, and all but the last return the columns
 of documents.
 
-Rows without a doc_id can't stand for a group or be named by the index: near_duplicates and decontaminate keep them.
+near_duplicates and decontaminated number the rows of their input and decide by that number: a doc_id may be null or
+stand at different texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm import decontaminate, mixing, quality, sharding, simhash
@@ -21,20 +22,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score_quality(docs, docs.columns).filter("kept").select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of each row, ``__row``, as a written table, so that a row keeps its number."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; one row of it, if it is repeated."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("__n", F.row_number().over(one)).filter("__n = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Of each group of linked documents the row with the smallest doc_id (null comes last); of several with it, the
+    one whose columns have the smallest hash."""
+    rows = numbered(docs)
+    groups = simhash.near_duplicates(rows, "__row").select("__row", "component_id")
+    order = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "__row").alias("order"))
+    first = groups.join(order, "__row").groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order.__row").alias("__row"))
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    found = decontaminate.find_items(docs, documents(spark, sf_dir, "benchmark"))
-    hit = found.filter((F.size("spans") > 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = decontaminate.find_items(rows, documents(spark, sf_dir, "benchmark"), key="__row")
+    return rows.join(found.filter(F.size("spans") > 0).select("__row"), "__row", "left_anti").select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def _searcher(block, window: int, slop: int):
 
         terms, freq, items = block.value
         rows, places, sizes, owner = [], [], [], []
-        for item, ids in items:
+        for item, (_, ids) in enumerate(items):
             for k in range(max(1, len(ids) - window + 1)):
                 own = ids[k : k + window]
                 by = sorted(range(len(own)), key=lambda i: (freq[own[i]], i))
@@ -217,7 +217,7 @@ def _searcher(block, window: int, slop: int):
             new = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
             froms.append(s[new].tolist())
             tos.append(e[np.append(new[1:] - 1, len(e) - 1)].tolist())
-            items.append(np.unique(owner[w[low[d] : high[d]]]).tolist())
+            items.append([block.value[2][i][0] for i in np.unique(owner[w[low[d] : high[d]]]).tolist()])
         longs = pa.list_(pa.int64())
         segment = table.column("segment")[0].as_py()
         return pa.table({"segment": pa.array([segment] * len(docs), pa.int64()), "first": pa.array(begin), "key": pa.array([keys[i] for i in docs], pa.int64()), "n_words": pa.array(n[docs]), "froms": pa.array(froms, longs), "tos": pa.array(tos, longs), "items": pa.array(items, longs)})
@@ -232,7 +232,7 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     A window is ``window`` consecutive words of an item, or all its words if there are fewer. With ``slop`` the
     matches are by proximity: each word of the window may stand up to ``slop`` places off, and a span still has the
     window's length. Keys and item ids are integers. Null and empty texts have no words and no matches; an item
-    without words has no window; repeated items and rows are all reported; an empty table on either side gives no
+    without words has no window; items with a null id are one item, null in ``items``; repeated items and rows are all reported; an empty table on either side gives no
     matches; other columns don't matter."""
     if window + slop >= GAP // 2:
         raise ValueError("documents stand too close in the index for this window and slop")

@@ -30,3 +30,21 @@ def test_stages_against_brute_force(spark):
     labels = {r.doc_id: r.quality for r in common.documents(spark, SF, "labels").collect()}
     good = [i for i, q in labels.items() if q == 1]
     assert len([i for i in good if i in kept["quality_rules"]]) > 0.85 * len(good)
+
+
+def test_rows_are_decided_one_by_one(spark, tmp_path):
+    """Rows without a doc_id and rows that share one with another text."""
+    import corpus_pipeline
+    from tests.llm.conftest import DOCS
+    from tests.llm.test_small import prose
+
+    a, b, c, d, item = (prose(120, 900 + k) for k in range(5))
+    rows = [(None, a), (None, a), (3, a), (None, b), (None, b), (7, c), (7, d), (8, d), (None, c + " " + item), (9, d + " " + item), (9, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs.limit(8), "").collect()), key=str)
+    assert kept == sorted([(3, a), (None, b), (7, c), (7, d)], key=str)
+    spark.createDataFrame([(None, item), (1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([x for x in rows if item not in x[1]], key=str)
+    found = corpus_pipeline.decontaminate.find_items(docs, corpus_pipeline.documents(spark, str(tmp_path), "benchmark"))
+    assert sorted(map(str, found.filter("size(spans) > 0").first()["items"])) == ["1", "None"]
