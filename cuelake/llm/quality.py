@@ -3,8 +3,12 @@
 Signals are computed inside each row from built-in functions alone. Their distribution is kept as a mergeable
 quantile sketch: a log-linear histogram of (language, source, signal, bucket, count) rows whose buckets keep the
 seven leading bits of a value, so any quantile is within 1/64 of the true value. Sketches merge by adding counts:
-sources merge into languages, languages into the whole. A document is held against the fences of its language
-and source, or, where those have fewer than ``MIN_DOCS`` documents, of its language or of all documents.
+sources merge into languages, languages into the whole.
+
+A signal's fence is a high quantile of the group's documents that pass the base rule, and beyond it a multiple of that
+quantile's distance from the median (a small least distance gives groups of equal values some room). A group's
+fences are drawn to its language's, and those to the fences of all documents, as if the wider group had added
+``PRIOR`` documents: a small group borrows nearly all, a large one nearly nothing, and no size switches anything.
 
 Windows of eight words are compared by a 64-bit hash within one document (a false repeat in a document of a
 million words has a chance of about 1 in 40 million).
@@ -17,14 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import documents, let, materialize, text_words
 
-#: A group with fewer documents borrows the sketch of its language, then of all documents.
-MIN_DOCS = 100
-#: Signal, least spread, whether low values are rejected too. In thousandths.
-SIGNALS = (("mean_word_length", 500, True), ("symbol_share", 20, False), ("dup_line_share", 120, False), ("repeat_share", 100, False))
+#: Documents' weight of the wider group in the fences of a group.
+PRIOR = 200
+#: Signal, quantile, reach beyond it (times its distance from the median), least distance, whether low values are
+#: rejected too. In thousandths. The two shares of repeats are zero in nearly all documents, so a quantile further out
+#: tells what their group is used to.
+SIGNALS = (("mean_word_length", 0.9, 3, 50, True), ("symbol_share", 0.9, 3, 5, False), ("dup_line_share", 0.99, 2, 10, False), ("repeat_share", 0.99, 2, 10, False))
 #: The table of fences is broadcast if it has no more groups than this.
 BROADCAST_GROUPS = 20_000
-#: Fences stand this many spreads from the median.
-SPREADS = 3
 WINDOW = 8
 
 
@@ -58,7 +62,7 @@ def base_signals(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
 
 
 #: Columns that score_quality adds.
-OWN = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", *(n for n, _, _ in SIGNALS), "base_failed", "kept")
+OWN = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", *(n for n, *_ in SIGNALS), "base_failed", "kept")
 
 
 def base_failed() -> Column:
@@ -80,9 +84,11 @@ def bucket(value: Column) -> Column:
 
 
 def sketch(signals: DataFrame, keys: list[str]) -> DataFrame:
-    """Quantile sketches: keys, signal, bucket, n. Sum ``n`` to merge them."""
-    each = F.array(*[F.struct(F.lit(name).alias("signal"), bucket(F.col(name)).alias("bucket")) for name, _, _ in SIGNALS])
-    return signals.select(*keys, F.explode(each).alias("x")).groupBy(*keys, "x.signal", "x.bucket").agg(F.count("*").alias("n"))
+    """Quantile sketches of the documents that pass the base rule: keys, signal, bucket, n (0 where only others are).
+    Sum ``n`` to merge them."""
+    each = F.array(*[F.struct(F.lit(name).alias("signal"), bucket(F.col(name)).alias("bucket")) for name, *_ in SIGNALS])
+    passes = F.when(base_failed(), 0).otherwise(1)
+    return signals.select(*keys, passes.alias("p"), F.explode(each).alias("x")).groupBy(*keys, "x.signal", "x.bucket").agg(F.sum("p").alias("n"))
 
 
 def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,25 +96,33 @@ def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
     merged = sketches.groupBy(*keys, "signal", "bucket").agg(F.sum("n").alias("n"))
     by = Window.partitionBy(*keys, "signal")
     run = merged.withColumns({"up_to": F.sum("n").over(by.orderBy("bucket")), "docs": F.sum("n").over(by)})
-    at = {q: F.min(F.when(F.col("up_to") >= F.ceil(F.lit(q) * F.col("docs")), F.col("bucket"))) for q in (0.5, 0.75)}
-    quantiles = run.groupBy(*keys, "signal").agg(F.max("docs").alias("docs"), at[0.5].alias("mid"), at[0.75].alias("high"))
+    quantile = F.create_map(*[F.lit(x) for name, q, *_ in SIGNALS for x in (name, q)])[F.col("signal")]
+    at = lambda q: F.min(F.when(F.col("up_to") >= F.ceil(q * F.col("docs")), F.col("bucket")))
+    quantiles = run.withColumn("q", quantile).groupBy(*keys, "signal").agg(F.max("docs").alias("docs"), at(F.lit(0.5)).alias("mid"), at(F.col("q")).alias("high"), at(1 - F.col("q")).alias("low"))
     out = [F.max("docs").alias("docs")]
-    for name, least, both in SIGNALS:
-        reach = SPREADS * F.greatest(F.col("high") - F.col("mid"), F.lit(least))
+    for name, _, reach, least, both in SIGNALS:
         mine = F.col("signal") == name
-        out += [F.max(F.when(mine, F.col("mid") + reach)).alias(f"{name}_max")]
+        out += [F.max(F.when(mine, F.col("high") + reach * F.greatest(F.col("high") - F.col("mid"), F.lit(least)))).alias(f"{name}_max")]
         if both:
-            out += [F.max(F.when(mine, F.col("mid") - reach)).alias(f"{name}_min")]
+            out += [F.max(F.when(mine, F.col("low") - reach * F.greatest(F.col("mid") - F.col("low"), F.lit(least)))).alias(f"{name}_min")]
     return quantiles.groupBy(*keys).agg(*out)
 
 
-def score_quality(docs: DataFrame, keep: list[str], lang: str = "lang", source: str = "source") -> DataFrame:
+def _drawn(docs: str, own: str, wider: Column, prior: int) -> Column:
+    """A fence drawn to the wider group's, which counts as ``prior`` documents."""
+    return (F.col(docs).cast("double") * F.col(own).cast("double") + F.lit(float(prior)) * wider) / (F.col(docs).cast("double") + F.lit(float(prior)))
+
+
+def score_quality(docs: DataFrame, keep: list[str], lang: str = "lang", source: str = "source", prior: int = PRIOR) -> DataFrame:
     """The columns ``keep`` of all documents with their base signals, ``base_failed`` and ``kept``.
 
     ``kept`` is false for documents that fail the base rule or lie outside a fence of their group. Null texts and
-    texts of white space have no words and fail; null languages and sources are groups of their own; equal rows get
-    equal verdicts; an empty table gives an empty table. Columns that aren't asked for don't matter; of those that
-    are, one with the name of a new column is replaced."""
+    texts of white space have no words and fail; null languages and sources are groups of their own; very long texts
+    are judged whole, like any other; values that tie with a fence pass; equal rows get equal verdicts; an empty table
+    gives an empty table. ``prior`` is the weight of the wider group in a group's fences. Columns that aren't asked for don't matter; of those that are, one with the name of a new
+    column is replaced."""
+    if prior <= 0:
+        raise ValueError("a group without documents needs the wider group's fences")
     keep = [c for c in keep if c not in OWN]
     given = docs.select(*[F.col(c) for c in keep], F.struct(F.col(lang).alias("lang"), F.col(source).alias("source")).alias("__g"), F.col("text").alias("__text"))
     rows = base_signals(given, [*keep, "__g"], "__text").withColumns(signal_values())
@@ -120,12 +134,13 @@ def score_quality(docs: DataFrame, keep: list[str], lang: str = "lang", source:
     names = [c for c in every.columns if c.endswith(("_max", "_min"))]
     merged = by_group.withColumns({"__lang": F.struct("__g.lang"), "__one": F.lit(1)})
     merged = merged.join(by_lang.select("__lang", *[F.col(c).alias(f"l_{c}") for c in ["docs", *names]]), "__lang").join(every.select("__one", *[F.col(c).alias(f"a_{c}") for c in names]), "__one")
-    pick = lambda c: F.when(F.col("docs") >= MIN_DOCS, F.col(c)).when(F.col("l_docs") >= MIN_DOCS, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    merged = materialize(merged.select("__g", *[pick(c).alias(f"__{c}") for c in names]), "quality-fences")
+    # every group lies in a wider one, so the joins lose none
+    drawn = [_drawn("docs", c, _drawn("l_docs", f"l_{c}", F.col(f"a_{c}").cast("double"), prior), prior).alias(f"__{c}") for c in names]
+    merged = materialize(merged.select("__g", *drawn), "quality-fences")
     if merged.count() <= BROADCAST_GROUPS:
         merged = F.broadcast(merged)
     inside = F.lit(True)
-    for name, _, both in SIGNALS:
+    for name, *_, both in SIGNALS:
         inside &= F.col(name) <= F.col(f"__{name}_max")
         if both:
             inside &= F.col(name) >= F.col(f"__{name}_min")
@@ -143,21 +158,22 @@ def _sql() -> str:
     values = {"mean_word_length": value("word_chars", "n_words"), "symbol_share": value("n_symbols", "word_chars"), "dup_line_share": value("n_dup_lines", "n_lines"), "repeat_share": value("n_repeat_words", "n_words")}
     v = "CAST(v AS BIGINT)"
     step = f"CAST(pow(2, greatest(length(bin({v})) - 7, 0)) AS BIGINT)"
+    level = "CASE signal " + " ".join(f"WHEN '{n}' THEN CAST({q} AS DOUBLE)" for n, q, *_ in SIGNALS) + " END"
     fence = []
-    for level, keys in (("g", "lang, source"), ("l", "lang"), ("a", "1")):
-        fence.append(f"""{level}_m AS (SELECT {keys} AS k, * FROM (SELECT {keys if level != 'a' else '1 AS one'}, signal, bucket, sum(n) AS n FROM sk GROUP BY ALL))""".replace("lang, source AS k, ", "").replace("lang AS k, ", "").replace("1 AS k, ", ""))
-        own = keys if level != "a" else "one"
-        fence.append(f"""{level}_r AS (SELECT *, sum(n) OVER (PARTITION BY {own}, signal ORDER BY bucket) AS up_to, sum(n) OVER (PARTITION BY {own}, signal) AS docs FROM {level}_m)""")
-        fence.append(f"""{level}_q AS (SELECT {own}, signal, max(docs) AS docs, min(bucket) FILTER (WHERE up_to >= ceil(0.5 * docs)) AS mid, min(bucket) FILTER (WHERE up_to >= ceil(0.75 * docs)) AS high FROM {level}_r GROUP BY ALL)""")
+    for name, own in (("g", "lang, source"), ("l", "lang"), ("a", "one")):
+        fence.append(f"{name}_m AS (SELECT {own}, signal, bucket, sum(n) AS n FROM (SELECT *, 1 AS one FROM sk) GROUP BY ALL)")
+        fence.append(f"{name}_r AS (SELECT *, {level} AS q, sum(n) OVER (PARTITION BY {own}, signal ORDER BY bucket) AS up_to, sum(n) OVER (PARTITION BY {own}, signal) AS docs FROM {name}_m)")
+        at = lambda q: f"min(bucket) FILTER (WHERE up_to >= ceil({q} * CAST(docs AS DOUBLE)))"
+        fence.append(f"{name}_q AS (SELECT {own}, signal, max(docs) AS docs, {at('CAST(0.5 AS DOUBLE)')} AS mid, {at('q')} AS high, {at('(1 - q)')} AS low FROM {name}_r GROUP BY ALL)")
         out = []
-        for name, least, both in SIGNALS:
-            reach = f"{SPREADS} * greatest(high - mid, {least})"
-            out.append(f"max(mid + {reach}) FILTER (WHERE signal = '{name}') AS {name}_max")
+        for signal, _, reach, least, both in SIGNALS:
+            out.append(f"max(high + {reach} * greatest(high - mid, {least})) FILTER (WHERE signal = '{signal}') AS {signal}_max")
             if both:
-                out.append(f"max(mid - {reach}) FILTER (WHERE signal = '{name}') AS {name}_min")
-        fence.append(f"{level} AS (SELECT {own}, max(docs) AS docs, {', '.join(out)} FROM {level}_q GROUP BY ALL)")
-    pick = lambda c: f"(CASE WHEN g.docs >= {MIN_DOCS} THEN g.{c} WHEN l.docs >= {MIN_DOCS} THEN l.{c} ELSE a.{c} END)"
-    inside = " AND ".join(f"s.{n} <= {pick(n + '_max')}" + (f" AND s.{n} >= {pick(n + '_min')}" if both else "") for n, _, both in SIGNALS)
+                out.append(f"max(low - {reach} * greatest(mid - low, {least})) FILTER (WHERE signal = '{signal}') AS {signal}_min")
+        fence.append(f"{name} AS (SELECT {own}, max(docs) AS docs, {', '.join(out)} FROM {name}_q GROUP BY ALL)")
+    drawn = lambda t, c, wider: f"((CAST({t}.docs AS DOUBLE) * CAST({t}.{c} AS DOUBLE) + CAST({PRIOR} AS DOUBLE) * {wider}) / (CAST({t}.docs AS DOUBLE) + CAST({PRIOR} AS DOUBLE)))"
+    pick = lambda c: drawn("g", c, drawn("l", c, f"CAST(a.{c} AS DOUBLE)"))
+    inside = " AND ".join(f"s.{n} <= {pick(n + '_max')}" + (f" AND s.{n} >= {pick(n + '_min')}" if both else "") for n, *_, both in SIGNALS)
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, list_filter(string_split_regex(text, '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM d),
@@ -173,8 +189,8 @@ b AS (SELECT d.rid, doc_id, lang, source, CAST(len(w.w) AS BIGINT) AS n_words, C
 e AS (SELECT *, len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
         n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
 s AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in values.items())} FROM e),
-x AS ({' UNION ALL '.join(f"SELECT lang, source, '{n}' AS signal, {n} AS v FROM s" for n, _, _ in SIGNALS)}),
-sk AS (SELECT lang, source, signal, {v} - {v} % {step} AS bucket, count(*) AS n FROM x GROUP BY ALL),
+x AS ({' UNION ALL '.join(f"SELECT lang, source, base_failed, '{n}' AS signal, {n} AS v FROM s" for n, *_ in SIGNALS)}),
+sk AS (SELECT lang, source, signal, {v} - {v} % {step} AS bucket, count(*) FILTER (WHERE NOT base_failed) AS n FROM x GROUP BY ALL),
 {', '.join(fence)}
 SELECT s.doc_id, s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words, s.base_failed,
        NOT s.base_failed AND {inside} AS kept
