@@ -67,6 +67,22 @@ def test_quality_of_nothing_and_of_clashing_names(spark, make_docs):
     assert quality.score_quality(docs.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}), ["doc_id"]).count() == 1
 
 
+def test_fences_follow_their_group(make_docs):
+    """What is usual in one source is rejected in another; small groups are drawn to the others."""
+    plain = [prose(100, k) for k in range(1300)]
+    marked = [" ".join(w + ("#" if j % 12 == 0 else "") for j, w in enumerate(prose(100, 5000 + k).split())) for k in range(1300)]
+    probe = " ".join(w + ("#" if j % 10 == 0 else "") for j, w in enumerate(prose(100, 9999).split()))
+    docs = make_docs([*plain, *marked, probe, probe, probe], ["plain"] * 1300 + ["code"] * 1300 + ["plain", "code", "new"])
+    kept = {r.doc_id: r.kept for r in quality.score_quality(docs, ["doc_id"]).collect()}
+    assert (kept[2600], kept[2601]) == (False, True)
+    assert sum(kept[k] for k in range(2600)) == 2600
+    everyone = quality.fences(quality.sketch(quality.base_signals(docs, ["source"]).withColumns(quality.signal_values()), ["source"]), ["source"])
+    most = {r.source: r.symbol_share_max for r in everyone.collect()}
+    assert most["plain"] == 15 and most["code"] > 30
+    with pytest.raises(ValueError):
+        quality.score_quality(docs, ["doc_id"], prior=0)
+
+
 def test_sketches_merge(spark, make_docs):
     docs = make_docs([prose(30 + k, k) for k in range(40)])
     rows = quality.base_signals(docs, ["doc_id"]).withColumns(quality.signal_values()).withColumn("k", F.lit(1))
@@ -292,25 +308,73 @@ def matches(parsed, rng):
 
 def test_prefilter_drops_no_match(make_docs, monkeypatch):
     rng, every = random.Random(4), licenses.rules()
-    texts = ["Released under Creative Commons Attribution-ShareAlike 4.0", "distributed under MPL 2.0", "available under the BSD 3-Clause", "EPL 2.0", "all rights reserved", "AGPL"]
-    for _, _, regex, keywords, _ in every:
+    texts = ["Released under Creative Commons Attribution-ShareAlike 4.0", "distributed under MPL 2.0", "available under the BSD 3-Clause", "EPL 2.0", "all rights reserved", "AGPL License"]
+    gate = re.compile(licenses.gate(every))
+    for _, _, regex, clauses, _ in every:
         for _ in range(20):
             text = f" {matches(re._parser.parse(regex), rng)} "
-            assert re.fullmatch(f" {regex} ", text) and any(k in text for k in keywords) and any(g in text for g in licenses.gates())
+            assert re.fullmatch(f" {regex} ", text) and all(any(k in text for k in c) for c in clauses) and gate.search(text)
         texts.append(text)
     docs = make_docs(texts)
     found = {r.doc_id: r for r in licenses.scan_licenses(docs, ["doc_id"]).collect()}
     assert all(r.labels and r.score > 0 for r in found.values())
-    monkeypatch.setattr(licenses, "rules", lambda: [(p, x, r, ("",), w) for p, x, r, _, w in every])
+    monkeypatch.setattr(licenses, "rules", lambda: [(p, x, r, (("",),), w) for p, x, r, _, w in every])
+    monkeypatch.setattr(licenses, "gate", lambda every: " ")
     assert found == {r.doc_id: r for r in licenses.scan_licenses(docs, ["doc_id"]).collect()}
 
 
-def test_contained_detections_are_suppressed(spark, make_docs):
+def test_gate_lets_few_rules_pass():
+    """The first clauses leave plain prose alone, and a license line meets a few rules, not all."""
+    every = licenses.rules()
+    gate = re.compile(licenses.gate(every))
+    assert not any(gate.search(f" {prose(3000, k)} die katze geht mit dem hund ") for k in range(5))
+    for text in (" licensed under the apache license version 2 0 ", " mit license ", " gnu general public license version 3 ", " cc by sa 4 0 "):
+        assert sum(all(any(k in text for k in c) for c in r[3]) for r in every) <= 20
+
+
+def brute_detections(norm, every):
+    found = sorted((m.start(), -m.end(), p, x) for p, x, r, _, _ in every for m in re.finditer(f" {r}(?= )", norm))
+    chain, reach = [], -1
+    for a, z, p, x in found:
+        if -z > reach:
+            chain.append((a, -z, p, x))
+            reach = -z
+    over = lambda i, j: 0 <= i < j < len(chain) and chain[i][1] > chain[j][0]
+    stays = [c for i, c in enumerate(chain) if not (over(i - 1, i) and (chain[i - 1][2] < c[2] or (chain[i - 1][2] == c[2] and chain[i - 1][3] == c[3]))) and not (over(i, i + 1) and chain[i + 1][2] < c[2])]
+    return sorted({c[3] for c in stays})
+
+
+def test_detections_equal_brute_force(make_docs):
+    """Labels of whole texts against a plain search by all rules, without gates."""
+    rng, every = random.Random(9), licenses.rules()
+    texts = []
+    for k in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            parts.append(matches(re._parser.parse(rng.choice(every)[2]), rng))
+            if rng.random() < 0.5:
+                parts.append(prose(rng.randint(1, 4), k))
+        texts.append(" ".join(parts))
+    found = {r.doc_id: r for r in licenses.scan_licenses(make_docs(texts), ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        want = set(brute_detections(f" {t} ", every)) | set(found[i].base_labels.split(",") if found[i].base_labels else ())
+        assert found[i].labels == ",".join(sorted(want)), t
+
+
+def test_contained_detections_are_suppressed(make_docs):
     docs = make_docs(["licensed under the apache license version 2 0"]).select("doc_id", licenses.normalised(F.col("text")).alias("n"))
-    found = licenses.detections(docs, "doc_id", "n").collect()
+    hits = docs.select("doc_id", licenses.matches(F.col("n"), licenses.rules()).alias("h"))
+    found = licenses.resolve(licenses.placed(hits, "doc_id", "h"), "doc_id").collect()
     assert [(r.label, r.start) for r in found] == [("apache-2.0", 0)]
 
 
+def test_partial_overlaps_are_settled_by_priority(spark):
+    rows = [(1, 2, "a", 0, 10), (1, 1, "b", 8, 20), (1, 3, "b", 18, 30), (2, 2, "mit", 0, 10), (2, 2, "mit", 8, 20), (3, 2, "x", 0, 10), (3, 2, "y", 8, 20), (3, 1, "z", 20, 25)]
+    found = spark.createDataFrame([(k, p, x, 1.0, a, z) for k, p, x, a, z in rows], "k int, priority int, label string, weight double, start int, end int")
+    stays = sorted((r.k, r.label, r.start) for r in licenses.resolve(found, "k").collect())
+    assert stays == [(1, "b", 8), (2, "mit", 0), (3, "x", 0), (3, "y", 8), (3, "z", 20)]
+
+
 # ---- 7: repeats
 
 
