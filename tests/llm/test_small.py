@@ -417,7 +417,26 @@ def test_repeated_rows_and_none(make_docs):
 # ---- 8: mixing
 
 
-def test_mix(make_docs):
+def brute_mix(sizes, sources, keys, weights=(5, 2, 1), repeats=3):
+    """Words taken of each row, by one global queue."""
+    names = sorted({x for x in sources if x is not None}) + ([None] if None in sources else [])
+    queue, budget, taken = [], sum(sizes), [0] * len(sizes)
+    for r, name in enumerate(names):
+        rows = [i for i, x in enumerate(sources) if x == name]
+        rows.sort(key=lambda i: (hashlib.md5(f"{'' if keys[i] is None else keys[i]}:mix:{sizes[i]}".encode()).hexdigest(), i))
+        run = 0
+        for _ in range(repeats):
+            for i in rows:
+                run += sizes[i]
+                queue.append((run / weights[r % 3], r, i))
+    for _, _, i in sorted(x for x in queue if sizes[x[2]]):
+        own = min(sizes[i], budget)
+        taken[i] += own
+        budget -= own
+    return taken
+
+
+def test_mix(spark, make_docs):
     sources = ["a"] * 10 + ["b"] * 80 + [None] * 3 + ["c"] * 40
     docs = make_docs([prose(20 + k % 9, k) for k in range(len(sources) - 1)] + [None], sources).withColumn("target", F.lit("clash"))
     out = mixing.mix_sources(docs, word_count(F.col("text"))).collect()
@@ -426,13 +445,43 @@ def test_mix(make_docs):
     total = sum(r["size"] for r in out)
     targets = {r.source: r.target for r in out}
     sizes = {s: sum(r["size"] for r in out if r.source == s) for s in targets}
-    assert abs(sum(targets.values()) - total) < 1e-6
+    assert abs(sum(targets.values()) - total) < 1e-6 and sum(r.taken for r in out) == total
     for s in targets:
-        assert sum(r.taken for r in out if r.source == s) == int(targets[s]) and targets[s] <= 3 * sizes[s]
+        assert abs(sum(r.taken for r in out if r.source == s) - targets[s]) <= 30 and targets[s] <= 3 * sizes[s]
     assert all(0 <= r.taken <= 3 * r["size"] for r in out)
     assert targets["a"] == 3 * sizes["a"]
+    by = sorted(out, key=lambda r: r.doc_id)
+    assert [r.taken for r in by] == brute_mix([r["size"] for r in by], sources, [r.doc_id for r in by])
     assert mixing.mix_sources(docs.limit(0), F.lit(1)).count() == 0
     assert {r.taken for r in mixing.mix_sources(make_docs([None, ""]), word_count(F.col("text"))).collect()} == {0}
+    order = mixing.mixed_order(mixing.mix_sources(docs, word_count(F.col("text"))), 3).collect()
+    assert sum(r.words for r in order) == total and [r.finish for r in order] == sorted(r.finish for r in order)
+    assert max(r["copy"] for r in order) == 2 and all(r.words == r["size"] for r in order[:-1])
+
+
+def test_mix_of_rows_that_share_a_key(make_docs):
+    """No key at all, and one key for most rows: the words taken are those of the one queue."""
+    sources, sizes = ["a", "b", "b"] * 40, [5 + k % 3 for k in range(120)]
+    for keys in ([None] * 120, [7 if k % 4 else k for k in range(120)]):
+        docs = make_docs([prose(n, k) for k, n in enumerate(sizes)], sources).withColumn("doc_id", F.when(F.lit(keys[0] is None), F.lit(None)).otherwise(F.when(F.col("doc_id") % 4 == 0, F.col("doc_id")).otherwise(7)).cast("long"))
+        out = mixing.mix_sources(docs, word_count(F.col("text"))).collect()
+        found = sorted((r.source, str(r.doc_id), r["size"], r.taken) for r in out)
+        assert found == sorted((x, str(k), n, t) for x, k, n, t in zip(sources, keys, sizes, brute_mix(sizes, sources, keys)))
+
+
+@pytest.mark.parametrize("buckets, most", [(mixing.TIME_BUCKETS, mixing.SORTED), (3, 2), (2, 1)])
+def test_the_cut_is_found_by_buckets(spark, buckets, most):
+    r = random.Random(3)
+    rows = sorted((r.choice([1.5, r.uniform(0, 50)]), k, r.randint(1, 9)) for k in range(200))
+    copies = spark.createDataFrame(rows, "finish double, rank int, n long")
+    for budget in (1, 37, 500, sum(x[2] for x in rows)):
+        left = budget
+        for f, k, n in rows:
+            if n >= left:
+                break
+            left -= n
+        assert mixing.find_cut(copies, budget, 50.0, buckets, most) == (f, k, left)
+    assert mixing.find_cut(copies, 10_000, 50.0, buckets, most) is None
 
 
 # ---- 9: language model
