@@ -510,18 +510,78 @@ def test_scores(make_docs):
     assert pitman_yor.score_texts(docs.limit(0)).count() == 0
 
 
+def test_scores_dont_depend_on_partitions(spark, make_docs):
+    docs = make_docs([prose(150, 700 + k) for k in range(60)])
+    found = []
+    for n in (4, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted((r.doc_id, r.score) for r in pitman_yor.score_texts(docs.repartition(n)).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found[0] == found[1]
+
+
+def test_word_contexts_are_learnt(make_docs):
+    """Texts from a word chain: the model tells them from the same words in another order, and half the perplexity
+    of held-out texts is gone against add-one unigrams."""
+    r = random.Random(8)
+    vocabulary = [f"w{k}o" for k in range(300)]  # all end in one byte: only word contexts can tell them apart
+    after = {w: r.sample(vocabulary, 4) for w in vocabulary}
+
+    def chain():
+        out = [r.choice(vocabulary)]
+        while len(out) < 200:
+            out.append(r.choice(after[out[-1]]))
+        return out
+
+    texts = [chain() for _ in range(300)]
+    mixed = [r.sample(t, len(t)) for t in texts[:100]]
+    docs = make_docs([" ".join(t) for t in texts]).unionByName(make_docs([" ".join(t) for t in mixed]).withColumn("doc_id", F.col("doc_id") + 100_000).filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2))
+    found = pitman_yor.score_texts(docs, share=2000).collect()
+    held = [x for x in found if x.held_out]
+    per = lambda rows, c: 10 ** (-sum(x[c] for x in rows) / sum(x.n_tokens for x in rows))
+    own, other = [x for x in held if x.doc_id < 100_000], [x for x in held if x.doc_id >= 100_000]
+    assert len(own) > 20 and len(other) > 5
+    assert per(own, "score") < 0.5 * per(own, "base_score")
+    assert per(other, "score") > 5 * per(own, "score")
+
+
+@pytest.mark.parametrize("n, p, d, s", [(2, 0.3, 0.5, 1.0), (6, 0.05, 0.3, 4.0), (7, 0.9, 0.8, 0.7)])
+def test_exact_tables_against_all_seatings(n, p, d, s):
+    """Table counts against the law summed over all set partitions of n customers."""
+    import numpy as np
+
+    law = np.zeros(n + 1)
+
+    def seatings(sizes, weight):
+        """All ways to seat the customers one by one, each with its probability times p for each table."""
+        j = sum(sizes)
+        if j == n:
+            law[len(sizes)] += weight
+            return
+        for k, size in enumerate(sizes):
+            seatings([*sizes[:k], size + 1, *sizes[k + 1 :]], weight * (size - d))
+        seatings([*sizes, 1], weight * (s + d * len(sizes)) * p)
+
+    seatings([], 1.0)
+    law /= law.sum()
+    tables = np.ones(200_000, np.int64)
+    pitman_yor.exact_tables(tables, np.full(200_000, n), np.full(200_000, p), d, np.full(200_000, s), np.random.default_rng(2))
+    assert np.abs(np.bincount(tables, minlength=n + 1) / 200_000 - law).max() < 0.005
+
+
 def test_probabilities_sum_to_one():
     """Over the known words and the unknown one, in every context."""
     import numpy as np
 
     r = np.random.default_rng(3)
-    cells = r.integers(1, 4, 30)
-    ctx = np.concatenate([np.sort(r.choice(256, n, replace=False)) for n in cells])
-    state = pitman_yor.Seating(cells, ctx, r.integers(1, 50, len(ctx)))
+    cells, kinds = r.integers(1, 4, 30), np.array(pitman_yor.kind_of([b"the", b"of"]))
+    ctx = np.concatenate([np.sort(r.choice(259, n, replace=False)) for n in cells])
+    state = pitman_yor.Seating(cells, ctx, r.integers(1, 90, len(ctx)), kinds)
     model = {"discount": [0.5, 0.5, 0.5], "base": 1 / 31}
+    n = pitman_yor.FIRST_CONTEXT + len(kinds)
     for k in range(3):
         every = state.totals().astype(float)
-        model |= {"customers": every[: pitman_yor.RESTAURANTS], "tables": every[pitman_yor.RESTAURANTS :]}
+        model |= {"customers": every[:n], "tables": every[n:]}
         if k < 2:
             state.sweep(model, r)
     root, _ = state.probabilities(model)
