@@ -1,20 +1,18 @@
 """Removal of long repeated strings: every byte covered by a string of ``length`` bytes that also starts elsewhere.
 
-Suffixes are sampled, the sample is ordered first, and all other positions are induced from it. The sample is chosen
-by content: of all ``GRAM``-byte grams that start in a window of ``length`` bytes the one with the least hash is
-the window's anchor (the leftmost of equal ones), so equal windows have equal anchors at equal offsets. Consecutive
-windows with one anchor make a block (some 80 windows), and only blocks are shuffled and sorted, by Spark's
-sorts and joins that spill to disk:
+No suffix array is built: external induced sorting holds a tuple for every byte of the corpus on disk, which the
+disk budget doesn't allow (figures in the README). Instead content decides what is compared with what. Of all
+``GRAM``-byte grams that start in a window of ``length`` bytes the one with the least hash is the window's anchor (the
+leftmost of equal ones), so equal windows have equal anchors at equal offsets. Consecutive windows with one anchor make
+a block (some 80 windows), and only blocks are shuffled and grouped, by Spark's sorts and joins that spill to disk:
 
 1. An anchor gram that stands once in the corpus: no window of its blocks is repeated. Most blocks end here.
 2. A block whose bytes stand twice: all its windows are repeated. Copies of whole passages end here.
 3. Blocks with a shared gram but different bytes (the ends of a passage, places where near copies differ): the
    windows of one representative of each different block are compared, by gram.
 
-Blocks are told apart by 128 bits of hash (gram and bytes), windows by 128 bits, too.
-
-Sorting all suffixes by external induced sorting holds at least a suffix tuple for each byte on disk; see the
-README for why that doesn't fit the disk budget.
+Grams that stand very often are taken out before anything is shuffled by gram and are counted by aggregates. Blocks
+are told apart by 128 bits of hash (gram and bytes), windows by 128 bits, too; rows by a written number.
 """
 
 from __future__ import annotations
@@ -31,6 +29,8 @@ LENGTH = 200
 GRAM = 32
 #: A gram that stands more often is counted by aggregates over many tasks, all others each in one task.
 HOT = 100_000
+#: Hot grams at most, as they are broadcast: in a large corpus a gram is hot if it has more than this part of all blocks.
+HOT_GRAMS = 1_000_000
 #: Window starts looked at at once.
 PIECE = 1 << 20
 _PLACE = (1 << 24) - 1
@@ -73,25 +73,27 @@ def blocks(text: bytes, length: int, gram: int, powers):
     return first, np.diff(np.append(first, len(anchor))), anchor[first] - first, h[anchor[first]].view(np.int64)
 
 
-def _pieces(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
-    for k in range(0, len(text) - length + 1, PIECE):
-        yield k, text[k : k + PIECE + length - 1]
+def _pieces(text: bytes, length: int, piece: int) -> Iterator[tuple[int, bytes]]:
+    for k in range(0, len(text) - length + 1, piece):
+        yield k, text[k : k + piece + length - 1]
 
 
 def _number(data: bytes) -> int:
     return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def _blocks_of(length: int, gram: int):
+def _blocks_of(length: int, gram: int, most: int):
+    """most: windows of a piece."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        powers = _powers(PIECE + length)
+        powers = _powers(most + length)
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                for at, piece in _pieces(text, length):
+                for at, piece in _pieces(text, length, most):
                     first, windows, offset, grams = blocks(piece, length, gram, powers)
                     same = [_number(piece[f : f + w + length - 1] + o.to_bytes(2, "little")) for f, w, o in zip(first.tolist(), windows.tolist(), offset.tolist())]
                     # place, number of windows and anchor's offset in one number: 40, 12 and 12 bits
@@ -280,19 +282,20 @@ def repeated_blocks(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     """``row, place, windows`` of the blocks of ``rows(row, body)`` with repeated windows; ``windows`` are the
     numbers of those that are, null for all."""
     spark = rows.sparkSession
-    every, at = materialize_at(rows.filter(F.octet_length("body") >= length).mapInArrow(_blocks_of(length, gram), "row long, place long, gram long, same long"), "blocks")
+    every, at = materialize_at(rows.filter(F.octet_length("body") >= length).mapInArrow(_blocks_of(length, gram, PIECE), "row long, place long, gram long, same long"), "blocks")
     shared = materialize(every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "shared-grams")
+    hot = max(hot, every.count() // HOT_GRAMS)
+    often = F.broadcast(shared.filter(F.col("n") > hot).select("gram"))  # HOT_GRAMS at most
     of_gram, of_kind = Window.partitionBy("gram"), Window.partitionBy("gram", "same")
     # the windows use the partitions that the join has made
-    common = every.join(shared.filter(F.col("n") <= hot).select("gram"), "gram").select(
+    common = every.join(often, "gram", "left_anti").join(shared.filter(F.col("n") <= hot).select("gram"), "gram").select(
         "row", "place", "gram", "same",
         F.count("*").over(of_kind).alias("times"),
         F.row_number().over(of_kind.orderBy("row", "place")).alias("nth"),
         (F.min("same").over(of_gram) != F.max("same").over(of_gram)).alias("mixed"),
     )
     common = materialize(common.filter("times > 1 or mixed"), "shared-blocks")
-    often = shared.filter(F.col("n") > hot).select("gram")
-    hot_ones = None if often.isEmpty() else materialize(every.join(often, "gram"), "hot-blocks")
+    hot_ones = None if shared.filter(F.col("n") > hot).isEmpty() else materialize(every.join(often, "gram"), "hot-blocks")
     discard(spark, at)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     contexts = _contexts(rows, common.filter("mixed and nth = 1").select("row", "place", "gram", "same", "times"), length)
@@ -305,11 +308,13 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", length:
     """The columns ``keep`` of every row with n_bytes, n_removed, n_spans and ``kept``: the bytes that are left, or
     with ``texts=False`` their SHA-256 in hex.
 
-    Matches never cross documents. Null texts are empty; texts shorter than ``length`` bytes lose nothing; a row that
-    is there twice is all repeated (if long enough); an empty table gives an empty table; other columns don't
-    matter. ``kept`` is binary, as a cut may fall within a character."""
+    Matches never cross documents. Null texts are empty; texts shorter than ``length`` bytes lose nothing; very long
+    texts are looked at in pieces that overlap, so nothing is missed between them; a row that is there twice is all
+    repeated (if long enough); an empty table gives an empty table; other columns don't matter. ``kept`` is binary, as a cut may fall within a character."""
+    if not 0 < length - gram + 1 < 1 << 12:
+        raise ValueError("a block's windows and the offset of its anchor are 12-bit numbers")
     body = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
-    rows = docs.select(*keep, body.alias("__body")).withColumn("__row", F.xxhash64(*keep, "__body"))
+    rows = materialize(docs.select(*keep, body.alias("__body"), F.monotonically_increasing_id().alias("__row")), "numbered-texts")
     found = repeated_blocks(rows.select(F.col("__row").alias("row"), F.col("__body").alias("body")), length, gram)
     spans = found.groupBy("row").agg(F.collect_list(F.struct("place", "windows")).alias("spans")).withColumnRenamed("row", "__row")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
