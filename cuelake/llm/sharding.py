@@ -7,6 +7,9 @@ holds floor(n / shards) or one more, so counts are at most one apart.
 
 Only the counts of the cells (a number fixed by the ring, not by the data) reach the driver, where the ring is
 filled; the plan that comes back has at most one row for each cell and shard border.
+
+Keys of a cell are ranked in parts, dealt by a hash of the whole row: a key with a third of all rows (no key at all,
+say) makes a cell of many parts, each ranked by a task of its own.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialize
 
 CELL_BITS = 16
 CELLS = 1 << CELL_BITS
+#: Parts of a cell.
+PARTS = 4096
 
 
 def _hash(*parts) -> int:
@@ -56,17 +61,22 @@ def shard_documents(docs: DataFrame, shards: int = 16, virtual_nodes: int = 128,
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (its place in the shard, gapless from 0).
 
     Rows with the same key fall into the same cell; equal rows are told apart by nothing, so which of them has which
-    slot doesn't matter. A null key is a key. An empty table gives an empty table. Columns named shard or slot are
-    replaced, all others pass through."""
+    slot doesn't matter. A null key is a key. Null and very long texts are columns like any other. An empty table gives
+    an empty table. Columns named shard or slot are replaced, all others pass through."""
     spark = docs.sparkSession
-    keyed = docs.drop("shard", "slot").withColumn("__h", F.xxhash64(key))
-    keyed = keyed.withColumn("__cell", F.shiftrightunsigned("__h", 64 - CELL_BITS).cast("int"))
-    counts = {r[0]: r[1] for r in keyed.groupBy("__cell").count().collect()}  # CELLS rows at most
+    docs = docs.drop("shard", "slot")
+    hashed = [F.col(f.name) for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    keyed = docs.withColumns({"__h": F.xxhash64(key), "__row": F.xxhash64(*hashed)})
+    keyed = keyed.withColumns({"__cell": F.shiftrightunsigned("__h", 64 - CELL_BITS).cast("int"), "__part": F.pmod("__row", F.lit(PARTS)).cast("int")})
+    sizes = materialize(keyed.groupBy("__cell", "__part").agg(F.count("*").alias("n")), "cells")
+    counts = {r[0]: r[1] for r in sizes.groupBy("__cell").agg(F.sum("n")).collect()}  # CELLS rows at most
     plan = spark.createDataFrame(fill_ring(counts, shards, virtual_nodes), "__cell int, __from long, __to long, shard int, __slot long")
-    order = [F.col("__h"), F.col(key)] + [F.crc32(F.col(c).cast("binary")) for c in ("text",) if c in docs.columns]
-    ranked = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__cell").orderBy(*order)) - 1)
+    earlier = Window.partitionBy("__cell").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select("__cell", "__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__begin"))
+    nth = F.row_number().over(Window.partitionBy("__cell", "__part").orderBy("__h", F.col(key), "__row")) - 1
+    ranked = keyed.withColumn("__nth", nth).join(begins, ["__cell", "__part"]).withColumn("__r", F.col("__begin") + F.col("__nth"))
     placed = ranked.join(F.broadcast(plan), "__cell").filter("__r >= __from and __r < __to")  # the plan is bounded by CELLS + shards
-    return placed.withColumn("slot", F.col("__slot") + F.col("__r") - F.col("__from")).drop("__h", "__cell", "__r", "__from", "__to", "__slot")
+    return placed.withColumn("slot", F.col("__slot") + F.col("__r") - F.col("__from")).drop("__h", "__row", "__cell", "__part", "__nth", "__begin", "__r", "__from", "__to", "__slot")
 
 
 def op5_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
