@@ -27,8 +27,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Ids of a block.
 BLOCK = 1 << 18
-#: Pieces that a worker remembers (about 200 bytes each).
-REMEMBERED = 1_200_000
+#: Pieces that a worker remembers, and bytes of them; a longer piece than LONGEST isn't remembered.
+REMEMBERED, REMEMBERED_BYTES, LONGEST = 1_200_000, 64 << 20, 1 << 10
 #: Pieces that are encoded as one text.
 TOGETHER = 2_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -44,6 +44,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.pieces: dict[str, bytes] = {}  # with a space before
+        self.size = 0  # bytes of the pieces
         self.begins = np.zeros(1 << 16, bool)  # tokens whose first byte is a space
         for token, number in self.library.get_vocab().items():
             self.begins[number] = token.startswith("\u0120")
@@ -71,8 +72,9 @@ class Encoder:
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         import numpy as np
 
-        if len(self.pieces) > REMEMBERED:
+        if len(self.pieces) > REMEMBERED or self.size > REMEMBERED_BYTES:
             self.pieces.clear()
+            self.size = 0
         known = self.pieces
         cut = [t.split(" ") for t in texts]
         new = set().union(*[c[1:] for c in cut]).difference(known)
@@ -86,9 +88,15 @@ class Encoder:
         inner = [p for p in new if " " in p]
         self._new_pieces([p for p in new if " " not in p])
         known.update(zip(inner, self._plain([f" {p}" for p in inner])))
+        self.size += sum(map(len, new))
         first = self._plain([c[0] for c in cut])
         last = np.array([end], "<u2").tobytes()
-        return [b"".join((f, *map(known.__getitem__, c[1:]), last)) for f, c in zip(first, cut)]
+        out = [b"".join((f, *map(known.__getitem__, c[1:]), last)) for f, c in zip(first, cut)]
+        for p in new:
+            if len(p) > LONGEST:
+                self.size -= len(p)
+                del known[p]
+        return out
 
 
 #: Encoders stay for the next task of a worker.
