@@ -145,6 +145,88 @@ def test_salvage(gz):
     assert at == len(data)
 
 
+def test_salvage_keeps_whole_records_of_damaged_members():
+    import gzip
+
+    three = [one_record(i, bytes(random.Random(i).choices(range(256), k=3000))) for i in (1, 2, 3)]
+    ids = lambda data: [int(x[3]["warc-record-id"][10:-1]) for x in warc.salvage(data) if x[0] == "record"]
+    spoilt = gzip.compress(three[0] + three[1].replace(b"WARC-Type", b"WARC Type") + three[2]) + gzip.compress(one_record(4))
+    assert ids(spoilt) == [1, 3, 4]
+    gaps = [x for x in warc.salvage(spoilt) if x[0] == "gap"]
+    assert len(gaps) == 1 and f"bytes {len(three[0])} to {len(three[0]) + len(three[1])} of the member" in gaps[0][3]
+    cut = gzip.compress(b"".join(three))[:-30]  # without its end
+    assert ids(cut + gzip.compress(one_record(4))) == [1, 2, 4] and ids(cut) == [1, 2]
+    member = bytearray(gzip.compress(b"".join(three)))
+    member[-1500:-1400] = b"\0" * 100  # damaged in the third record
+    found = list(warc.salvage(bytes(member) + gzip.compress(one_record(4))))
+    assert ids(bytes(member) + gzip.compress(one_record(4))) == [1, 2, 4]
+    gap = next(x for x in found if x[0] == "gap")
+    assert (gap[1], gap[2]) == (0, len(member))
+
+
+def test_salvage_of_random_damage():
+    """Bytes are spoilt at random: records that aren't touched come back, others don't, and the places cover all."""
+    r = random.Random(6)
+    for trial in range(60):
+        parts = [one_record(i, bytes(r.choices(b"ab \r\n:", k=r.randint(0, 300)))) for i in range(8)]
+        data, touched, at = bytearray(b"".join(parts)), set(), 0
+        edges = [sum(map(len, parts[:i])) for i in range(9)]
+        for k in r.sample(range(len(data)), 3):
+            data[k] ^= 0x55
+            touched.add(next(i for i in range(8) if edges[i] <= k < edges[i + 1]))
+        found = list(warc.salvage(bytes(data)))
+        known = {edges[i]: i for i in range(8)}
+        whole = {known[x[1]] for x in found if x[0] == "record" and x[1] in known and bytes(data[x[1] : x[2]]) == parts[known[x[1]]]}
+        assert whole == set(range(8)) - touched, trial
+        for _, a, z, *_ in found:
+            assert a == at
+            at = z
+        assert at == len(data)
+
+
+def test_headers_and_digests_of_others():
+    import base64
+
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    record = lambda *lines: b"WARC/1.0\r\nWARC-Type: response\r\n" + b"\r\n".join(lines) + b"\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    kinds = lambda data: [x[0] for x in warc.salvage(data)]
+    sha1 = hashlib.sha1(b"hello").digest()
+    assert kinds(record(b"WARC-Payload-Digest: sha1:" + base64.b32encode(sha1))) == ["record"]
+    assert kinds(record(b"WARC-Payload-Digest: sha1:" + sha1.hex().encode())) == ["record"]
+    assert kinds(record(b"WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"other").digest()))) == ["gap"]
+    assert kinds(record(b"WARC-Block-Digest: md5:" + hashlib.md5(body).hexdigest().encode())) == ["record"]
+    assert kinds(record(b"WARC-Block-Digest: unheard-of:abc")) == ["record"]
+    folded = list(warc.salvage(record(b"WARC-Target-URI: http://a/", b" b", b"\tc")))
+    assert folded[0][0] == "record" and folded[0][3]["warc-target-uri"] == "http://a/ b c"
+
+
+def test_salvage_work_grows_with_the_length():
+    """Many members and many gaps: no search starts over."""
+    import gzip
+    import time
+
+    def seconds(n):
+        data = b"".join(gzip.compress(one_record(i)) + b"WARC/1.1\r\nbroken" for i in range(n))
+        began = time.process_time()
+        assert sum(x[0] == "record" for x in warc.salvage(data)) == n
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(8000) < 12 * seconds(2000) + 0.5
+
+
+def test_archives_of_large_records(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE", 400_000)
+    monkeypatch.setattr(warc, "SMALL", 1000)
+    pages = [(i, "u", chr(97 + i % 7) * (10 + 37 * i * i)) for i in range(120)]
+    path = scratch(spark, "test-large")
+    warc.write_archives(page_rows(spark, pages).repartition(1), path)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert max(sizes) < 700_000 and len(sizes) < 100
+    found = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    assert len(found) == 120 and all(bytes(found[i].payload).decode() == t for i, _, t in pages)
+
+
 def test_salvage_checks_digests():
     data = one_record(1).replace(b"payload\r\n", b"pAyload\r\n") + one_record(2)
     assert [x[0] for x in warc.salvage(data)] == ["gap", "record"]
