@@ -2,8 +2,13 @@
 sources, sharding. Each stage takes what its predecessor kept, as a table, and all but the last return the columns
 of documents.
 
-near_duplicates and decontaminated number the rows of their input and decide by that number: a doc_id may be null or
-stand at different texts.
+near_duplicates, decontaminated and mixed_sources number the rows of their input and decide by that number: a doc_id may
+be null or stand at different texts.
+
+Null and blank texts fail the quality rules. Handed to a later stage as they are, they are one group of near-duplicates,
+hold no benchmark passage, have no words to take (the mix leaves them out), and are sharded like any other row. Very
+long texts are looked at whole. Repeated rows are one group; of ties the row with the smaller hash of its columns stays.
+An empty table gives an empty table, and columns beside those of documents pass through all stages.
 """
 
 from __future__ import annotations
@@ -45,11 +50,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, at most three times. The document at the cut of its source is
-    taken whole."""
-    mixed = mixing.mix_sources(docs, word_count(F.col("text")), prefix="mix_").filter("mix_taken > 0")
-    copies = F.sequence(F.lit(1), F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int"))
-    return mixed.withColumn("__copy", F.explode(copies)).select(*docs.columns)
+    """Each document as often as the mix takes it, at most three times. The document at the cut of the queue is
+    taken whole. Rows of equal key, source, and size are taken alike but for one at the cut."""
+    rows = numbered(docs)
+    sizes = rows.select("__row", "doc_id", "source", word_count(F.col("text")).alias("words"))
+    mixed = mixing.mix_sources(sizes, F.col("words")).filter("taken > 0")
+    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
+    taken = mixed.select("__row", F.explode(copies).alias("__copy"))
+    return rows.join(taken, "__row").select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
