@@ -48,3 +48,25 @@ def test_rows_are_decided_one_by_one(spark, tmp_path):
     assert sorted(kept, key=str) == sorted([x for x in rows if item not in x[1]], key=str)
     found = corpus_pipeline.decontaminate.find_items(docs, corpus_pipeline.documents(spark, str(tmp_path), "benchmark"))
     assert sorted(map(str, found.filter("size(spans) > 0").first()["items"])) == ["1", "None"]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, an empty table, and columns with clashing names."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from tests.llm.conftest import DOCS
+    from tests.llm.test_small import prose
+
+    spark.createDataFrame([(1, prose(30, 1)), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [None, "", "   ", prose(60, 50), prose(60, 50), prose(9000, 51), prose(60, 52) + " " + prose(30, 1), *[prose(80, 60 + k) for k in range(12)]]
+    rows = [(None if k % 5 == 4 else k, t, None if k % 7 == 6 else "en", None if k % 4 == 3 else "s", None) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[3]], DOCS).withColumns({c: F.lit(k) for k, c in enumerate(("kept", "fp", "taken", "size", "shard", "words", "component_id", "n_words"))})
+    left = {"quality_rules": 17, "simhash_near_duplicates": 16, "benchmark_decontamination": 19, "consistent_hash_shards": 20}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert set(docs.columns) <= set(out.columns), name
+        if name in left:
+            assert out.count() == left[name], name
+        else:
+            assert {r.text for r in out.collect()} <= {r.text for r in docs.collect()}
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
