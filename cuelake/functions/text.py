@@ -27,11 +27,15 @@ CLOSING = "»)]\"'”’」』）》"
 SENTENCE_MARKS = ".!?。！？…"
 CLAUSE_MARKS = ",，、"
 CJK = r"\x{3000}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}"
+#: Words that carry no content, and abbreviations that end no sentence.
 STOP_WORDS = (
-    "a an and are as at be been but by can do for from had has have he her him his i if in into is it its me my no not of on or our "
-    "out she so than that the their them then there these they this to up us was we were what when which who will with would you your"
-).split()
-ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "St.", "vs.", "e.g.", "i.e.")
+    "a", "an", "the", "and", "or", "but", "if", "of", "to", "in", "on", "at", "by", "for", "with", "from", "as",
+    "is", "was", "are", "were", "be", "been", "am", "it", "its", "this", "that", "these", "those", "he", "she",
+    "they", "we", "you", "i", "me", "him", "her", "them", "us", "my", "his", "their", "our", "your", "not", "no",
+    "so", "do", "did", "had", "has", "have", "then", "there", "which", "who", "what", "all", "one", "into",
+    "upon", "up", "out", "would", "could", "should", "will", "shall", "can", "may", "might", "must", "s",
+)
+ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "St.", "Jr.", "a.m.", "p.m.")
 
 #: Letters and numbers of any script.
 ALNUM = r"\p{IsAlphabetic}\p{N}"
@@ -88,9 +92,9 @@ def normalise_line(c: Column) -> Column:
 
 
 def content_words(c: Column, stop=STOP_WORDS) -> Column:
-    """Lower-case words without those of ``stop``."""
-    each = F.transform(F.split(F.lower(c), f"[^{ALNUM}']+"), lambda w: F.btrim(w, F.lit("'")))
-    # one compiled regex for each word; the stop words are letters and ' alone
+    """Lower-case words without those of ``stop``; an apostrophe joins its sides."""
+    each = F.split(F.lower(F.replace(c, F.lit("'"), F.lit(""))), f"[^{ALNUM}]+")
+    # one compiled regex for each word; the stop words are letters alone
     listed = f"^(?:{'|'.join(stop)})?$"
     return F.filter(each, lambda w: ~w.rlike(listed))
 
@@ -114,9 +118,9 @@ def entry_problem(c: Column) -> Column:
 
 
 def split_sentences(c: Column, abbreviations=ABBREVIATIONS) -> Column:
-    """Cut after . ! ? before white space and a capital or an opening mark, not after an abbreviation."""
+    """Cut after . ! ? before one white space and a capital or an opening mark, not after an abbreviation."""
     not_after = "".join(rf"(?<!\Q{a}\E)" for a in abbreviations)
-    cut = rf"(?<=[.!?]){not_after}\s+(?=[\p{{Lu}}¿¡\"“])"
+    cut = rf"(?<=[.!?]){not_after}\p{{IsWhite_Space}}(?=[\p{{IsUppercase}}¿¡\"“])"
     return F.filter(F.transform(F.split(c, cut), F.trim), lambda s: s != "")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ..functions.text import CJK, endonym, html_escape
 from ..functions.times import TICKS, WRAP, srt_time, vtt_time
 from .joins import overlap_join
+from .ordered import run_ordered
 
 #: Cues shorter than this many ticks (1 ms) aren't shown.
 SHORTEST = 90
@@ -41,6 +42,9 @@ class CueTrack:
         return (start, end, text) if end > start else None
 
     def line(self, text: str, new_row: bool, due: int):
+        text = " ".join(text.split())
+        if not text:  # shows nothing; what is shown may be over by now
+            return self.close(due) if self.start is not None and due >= self.until else None
         due = max(due, self.start) if self.start is not None else due
         ended = self.close(due)
         last = self.lines[-1] if self.lines else ""
@@ -59,16 +63,21 @@ def cue_track(lines: DataFrame, rows: int = 2, max_chars: int = 42, hold: int =
     kind = lines.schema["stream_id"].dataType
     schema = StructType([StructField("stream_id", kind), StructField("lang", StringType()), StructField("start", LongType()), StructField("end", LongType()), StructField("text", StringType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        track, out = CueTrack(rows, max_chars, hold), []
-        pdf = pdf.sort_values("seq")
-        for text, new_row, due in zip(pdf["text"], pdf["new_row"], pdf["due"]):
-            out.append(track.line(text, bool(new_row), int(due)))
-        out.append(track.close(track.until))
-        found = [(pdf["stream_id"].iloc[0], pdf["lang"].iloc[0], *c) for c in out if c]
-        return pd.DataFrame(found, columns=schema.names)
+    class Track:
+        def __init__(self):
+            self.track, self.key = CueTrack(rows, max_chars, hold), None
 
-    return lines.groupBy("stream_id", "lang").applyInPandas(run, schema)
+        def _rows(self, cues: list) -> pd.DataFrame:
+            return pd.DataFrame([(*self.key, *c) for c in cues if c], columns=schema.names)
+
+        def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
+            self.key = (pdf["stream_id"].iloc[0], pdf["lang"].iloc[0])
+            return self._rows([self.track.line(text or "", bool(new_row), int(due)) for text, new_row, due in zip(pdf["text"], pdf["new_row"], pdf["due"])])
+
+        def end(self) -> pd.DataFrame:
+            return self._rows([self.track.close(self.track.until)])
+
+    return run_ordered(lines, ["stream_id", "lang"], ["seq"], Track, schema)
 
 
 def simple_cues(lines: DataFrame, hold: int = 4 * TICKS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.times import TICKS, WRAP, pts_diff
 from .joins import asof_join
+from .ordered import run_ordered
 from .stats import drift_ms_per_min, rank_percentiles
 
 NO_HASH = "0" * 16
@@ -102,7 +103,7 @@ def sessionize_pts(frames: DataFrame, back_s: float = 1.0, ahead_s: float = 3.0)
     """S8, one kind of frames: ``session`` counts up where the unwrapped PTS falls by more than ``back_s`` or rises by
     more than ``ahead_s`` seconds, or where a column ``forced`` is true."""
     w = Window.partitionBy("stream_id").orderBy("seq")
-    step = F.col("pts_90k") - F.lag("pts_90k").over(w)
+    step = pts_diff(F.col("pts_90k"), F.lag("pts_90k").over(w))  # across the clock's wrap
     breaks = step.isNull() | (step < -back_s * TICKS) | (step > ahead_s * TICKS)
     if "forced" in frames.columns:
         breaks |= F.coalesce("forced", F.lit(False))
@@ -113,20 +114,28 @@ def sessionize_av(frames: DataFrame, back_s: float = 1.0, ahead_s: float = 3.0)
     """S8, video and audio (``kind``) in one order: only video opens a session. Audio that doesn't fit is dropped and
     makes the next video open one."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        session, last, forced, out = -1, None, True, []
-        for kind, pts in zip(pdf["kind"], pdf["pts_90k"]):
-            fits = last is not None and not forced and -back_s * TICKS <= pts - last <= ahead_s * TICKS
-            if kind == "video" and not fits:
-                session, forced, fits = session + 1, False, True
-            if fits:
-                last = pts if kind == "video" else last
-            else:
-                forced = True
-            out.append(session if fits else None)
-        return pdf.assign(session=pd.array(out, dtype="Int64")).dropna(subset=["session"])
+    class Sessions:
+        def __init__(self):
+            self.session, self.last, self.forced = -1, None, True
 
-    return frames.groupBy("stream_id").applyInPandas(lambda pdf: run(pdf.sort_values("seq")), StructType([*frames.schema.fields, StructField("session", LongType())]))
+        def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for kind, pts in zip(pdf["kind"], pdf["pts_90k"]):
+                step = None if self.last is None else (pts - self.last + WRAP // 2) % WRAP - WRAP // 2
+                fits = step is not None and not self.forced and -back_s * TICKS <= step <= ahead_s * TICKS
+                if kind == "video" and not fits:
+                    self.session, self.forced, fits = self.session + 1, False, True
+                if not fits:
+                    self.forced = True
+                elif kind == "video":
+                    self.last = pts
+                out.append(self.session if fits else None)
+            return pdf.assign(session=pd.array(out, dtype="Int64")).dropna(subset=["session"])
+
+        def end(self) -> None:
+            return None
+
+    return run_ordered(frames, ["stream_id"], ["seq"], Sessions, StructType([*frames.schema.fields, StructField("session", LongType())]))
 
 
 def session_offset(frames: DataFrame, hold_ms: int = 500, step_ms: int = 40) -> DataFrame:
@@ -164,20 +173,31 @@ def display_order(frames: DataFrame) -> DataFrame:
 
 
 def frame_grid(frames: DataFrame, frame_ticks: int = 3000, most: int = 90) -> DataFrame:
-    """``slot`` of each frame: the one before plus the rounded PTS step; a frame that lands ``most`` slots or more
-    off what its PTS says since the last anchor starts anew at the next slot."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        slots, slot, last = [], 0, None
-        for pts in pdf["pts_90k"]:
-            if last is not None:
-                step = int((pts - last) / frame_ticks + 0.5) if pts >= last else -int((last - pts) / frame_ticks + 0.5)
-                slot += step if 0 < step < most else 1
-            slots.append(slot)
-            last = pts
-        return pdf.assign(slot=slots)
-
-    return frames.groupBy("stream_id", "session").applyInPandas(lambda pdf: run(pdf.sort_values("seq")), StructType([*frames.schema.fields, StructField("slot", LongType())]))
+    """``slot`` of each frame: the slot of the frame before plus the PTS step in frames, rounded (halves away from
+    zero). The first frame, and one that lands ``most`` slots or more after or more than ``most`` before the next free
+    slot, starts anew at that slot. A frame before slot 0 has none."""
+
+    class Grid:
+        def __init__(self):
+            self.next, self.last = 0, None
+
+        def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
+            slots = []
+            for pts in pdf["pts_90k"]:
+                slot = self.next
+                if self.last is not None:
+                    step = (pts - self.last[0]) / frame_ticks
+                    slot = self.last[1] + int(abs(step) + 0.5) * (1 if step >= 0 else -1)
+                if slot >= self.next + most or slot < self.next - most:
+                    slot = self.next
+                self.last, self.next = (pts, slot), max(self.next, slot + 1)
+                slots.append(slot if slot >= 0 else None)
+            return pdf.assign(slot=pd.array(slots, dtype="Int64"))
+
+        def end(self) -> None:
+            return None
+
+    return run_ordered(frames, ["stream_id", "session"], ["seq"], Grid, StructType([*frames.schema.fields, StructField("slot", LongType())]))
 
 
 def stage_latency(stamps: DataFrame, stages: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_line
+from .ordered import run_ordered
 
 #: Lines that recognisers make of silence and music, openings of credits, interjections.
 FILLER = (
@@ -88,25 +89,43 @@ def collapse_loops(df: DataFrame, words: str) -> DataFrame:
     return out.withColumns({words: kept, "n_looped": (F.size(words) - F.size(kept)).cast("long")}).drop("__keep")
 
 
-def admit(recent: list[tuple[str, float]], batch: list[tuple[str, float]]) -> tuple[list[bool], list[tuple[str, float]]]:
-    """Which of the batch's (key, end) words stay, given those admitted lately, and the new memory."""
+def admit(recent: list[tuple[str, float]], batch: list[tuple[str, float, float]]) -> tuple[list[bool], list[tuple[str, float]]]:
+    """Which of the batch's (key, start, end) words stay, given the (key, end) admitted lately, and the new memory:
+    what ended up to ``RECENT_S`` seconds before the batch's first word starts."""
     if not batch:
         return [], recent
     recent = [(k, t) for k, t in recent if t >= batch[0][1] - RECENT_S][-RECENT_WORDS:]
-    keep = keep_mask([k for k, _ in recent + batch], len(recent))
-    return keep, (recent + [b for b, ok in zip(batch, keep) if ok])[-RECENT_WORDS:]
+    keep = keep_mask([k for k, _ in recent] + [k for k, _, _ in batch], len(recent))
+    return keep, (recent + [(k, z) for (k, _, z), ok in zip(batch, keep) if ok])[-RECENT_WORDS:]
 
 
-def prune_loops(words: DataFrame) -> DataFrame:
-    """S5 over ``words(stream_id, seq, text, end_ms, arrival_ms)``: the words that stay, batch by batch of arrival."""
-    keyed = words.withColumn("key", normalise_line(F.col("text")))
+class LoopPruner:
+    """S5 over rows in order; a batch of arrival may go on in the next part, so the last one waits."""
+
+    def __init__(self):
+        self.recent, self.waiting = [], None
+
+    def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf if self.waiting is None else pd.concat([self.waiting, pdf], ignore_index=True)
+        last = rows["arrival_ms"].iloc[-1]
+        ends = (rows["arrival_ms"] != last).to_numpy().nonzero()[0]
+        n = int(ends[-1]) + 1 if len(ends) else 0
+        self.waiting = rows.iloc[n:]
+        return self._admitted(rows.iloc[:n])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        recent, keep = [], []
-        pdf = pdf.sort_values("seq")
-        for _, batch in pdf.groupby("arrival_ms", sort=False):
-            ok, recent = admit(recent, list(zip(batch["key"], batch["end_ms"] / 1000)))
+    def end(self) -> pd.DataFrame:
+        return self._admitted(self.waiting)
+
+    def _admitted(self, rows: pd.DataFrame) -> pd.DataFrame:
+        keep = []
+        for _, batch in rows.groupby((rows["arrival_ms"] != rows["arrival_ms"].shift()).cumsum(), sort=False):
+            ok, self.recent = admit(self.recent, list(zip(batch["key"], batch["start_ms"] / 1000, batch["end_ms"] / 1000)))
             keep += ok
-        return pdf[keep]
+        return rows[keep]
+
 
-    return keyed.groupBy("stream_id").applyInPandas(run, keyed.schema).drop("key")
+def prune_loops(words: DataFrame) -> DataFrame:
+    """S5 over ``words(stream_id, seq, text, start_ms, end_ms, arrival_ms)``: the words that stay, batch by batch of
+    arrival."""
+    keyed = words.withColumn("key", normalise_line(F.col("text")))
+    return run_ordered(keyed, ["stream_id"], ["seq"], LoopPruner, keyed.schema).drop("key")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_words, norm_word
+from ..functions.text import content_words, let, norm_word, word_eq
 from .joins import asof_join, range_join
 from .stats import rank_percentiles
 
@@ -55,38 +55,23 @@ def borrow_words(utts: DataFrame, least: int = 3) -> DataFrame:
 
 
 def match_count(target: Column, shown: Column) -> Column:
-    """Words of ``target`` found in ``shown`` in order, equal up to a few edits (T14); greedy from the left."""
+    """Words of ``target`` found in ``shown``, equal up to a few edits (T14). The last one must be there; the others
+    count in order, from the last backwards, within the target's length + 1 words before it. The best place of the last
+    word counts; 0 if it isn't there."""
+    n = F.size(target)
+    earlier = F.reverse(F.slice(target, 1, F.greatest(n - 1, F.lit(0))))
 
-    @F.pandas_udf("int")
-    def count(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([in_order(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
+    def from_place(e: Column) -> Column:
+        low = F.greatest(e - n - 1, F.lit(0))
 
-    return count(target, shown)
+        def step(a: Column, t: Column) -> Column:
+            there = F.when(a["at"] > low, F.array_max(F.filter(F.sequence(low, a["at"] - 1), lambda p: word_eq(F.get(shown, p), t))))
+            return let(there, lambda p: F.struct(F.coalesce(p, a["at"]).alias("at"), (a["n"] + p.isNotNull().cast("int")).alias("n")))
 
+        return F.aggregate(earlier, F.struct(e.alias("at"), F.lit(1).alias("n")), step, lambda a: a["n"])
 
-def in_order(target: list[str], shown: list[str]) -> int:
-    at = n = 0
-    for w in target:
-        for k in range(at, len(shown)):
-            if close_words(w, shown[k]):
-                at, n = k + 1, n + 1
-                break
-    return n
-
-
-def close_words(a: str, b: str) -> bool:
-    if a == b:
-        return True
-    longest = max(len(a), len(b))
-    most = 0 if longest <= 2 else 1 if longest <= 7 else 2
-    if abs(len(a) - len(b)) > most:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return row[-1] <= most
+    places = F.filter(F.sequence(F.lit(0), F.size(shown) - 1), lambda e: word_eq(F.get(shown, e), F.get(target, n - 1)))
+    return F.when((n > 0) & (F.size(shown) > 0), F.coalesce(F.array_max(F.transform(places, from_place)), F.lit(0))).otherwise(0)
 
 
 def utterance_appearance(utts: DataFrame, cues: DataFrame, pre: float = 1.0, max_lag: float = 15.0) -> DataFrame:
@@ -145,15 +130,33 @@ def word_timing_error(diffs: DataFrame) -> DataFrame:
     return rank_percentiles(diffs, "diff_s", ["stream_id"], "floor_n1", {"p5": 0.05, "p50": 0.5, "p95": 0.95})
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """Twice the characters in matching blocks, over both lengths: the ratio of the standard library's sequence matcher,
+    which has no built-in form."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y)], dtype="float64")
+
+    return ratio(a, b)
+
+
 def exact_or_closest(expected: DataFrame, shown: DataFrame, least: float = 0.3) -> DataFrame:
-    """Each expected line of a file: ``exact``, else the closest shown line with a similarity of ``least`` or more
-    (1 less the edits over the longer length), else null."""
+    """Each expected line of a file: ``exact``, else the shown line with the highest :func:`similarity` of ``least`` or
+    more (of equal ones the last in code-point order), else null.
+
+    Only lines that aren't shown exactly are compared, once for each different text, with the shown lines of their file
+    whose length allows the similarity."""
     there = shown.select("file", F.col("text")).distinct().withColumn("exact", F.lit(True))
     rows = expected.join(there, ["file", "text"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
-    misses = rows.filter(~F.col("exact")).select("file", "line", "text").join(shown.select("file", F.col("text").alias("other")), "file")
-    like = 1 - F.levenshtein("text", "other") / F.greatest(F.length("text"), F.length("other"), F.lit(1))
-    best = misses.withColumn("similarity", like).groupBy("file", "line").agg(F.max_by("other", F.struct("similarity", "other")).alias("closest"), F.max("similarity").alias("similarity"))
-    return rows.join(best.filter(F.col("similarity") >= least), ["file", "line"], "left")
+    misses = rows.filter(~F.col("exact")).select("file", "text").distinct()
+    a, b = F.length("text"), F.length("other")
+    near = misses.join(there.select("file", F.col("text").alias("other")), "file").filter((a + b == 0) | (2 * F.least(a, b) >= least * (a + b)))
+    scored = near.withColumn("similarity", similarity(F.col("other"), F.col("text"))).filter(F.col("similarity") >= least)
+    best = scored.groupBy("file", "text").agg(F.max_by("other", F.struct("similarity", "other")).alias("closest"), F.max("similarity").alias("similarity"))
+    return rows.join(best.withColumn("exact", F.lit(False)), ["file", "text", "exact"], "left").select(*expected.columns, "exact", "closest", "similarity")
 
 
 def first_appearance(cues: DataFrame, lines: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ class Shedding:
         elif 2 * worst < self.limit_ms:
             self.calm = now if self.calm is None else self.calm
             if self.paused and now - self.calm >= self.calm_ms and since >= self.calm_ms:
-                out = [(self.paused[-1], False)]
+                out = [(x, False) for x in (reversed(self.paused) if self.source_only else self.paused[-1:])]
         else:
             self.calm = None
         for lang, pause in out:

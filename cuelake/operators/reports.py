@@ -79,18 +79,24 @@ def chr_f(hyp: str, ref: str, order: int = 6, beta: float = 2.0) -> float:
     return 100 * (1 + beta**2) * p * r / (beta**2 * p + r) if p + r else 0.0
 
 
+#: Words by which a model comments on its work.
+COMMENTARY = r"(?iU)\b(translation|translated|note:|here is|nota:|traducción|traduction|übersetzung|tradução)\b"
+
+
 def label_failures(runs: DataFrame) -> DataFrame:
-    """``label`` of each translation, the first that fits; null if none."""
-    src, out = F.trim("src"), F.trim("out")
-    same = F.lower(src) == F.lower(out)
-    talk = out.rlike(r"(?i)^(here is|here's|sure[,!]|translation:|note:|the translation)") | F.contains(out, F.lit("\n\n"))
-    cut = ~src.rlike(r"[.!?…]$") & out.rlike(r"[.!?…]$") & (F.size(F.split(out, r"\s+")) > F.size(F.split(src, r"\s+")) + 4)
-    rows = runs.withColumn("__f", char_f(F.col("out"), F.col("src")))
+    """A16 of ``runs(lang, kind, src, out, ref, cap)``: ``label`` of each translation, the first that fits; null if none.
+    Chinese, which has no spaces, is exempt from what counts words against the source."""
+    strip = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^\s+|\s+$", "")
+    n = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    rows = runs.withColumns({"__s": strip("src"), "__o": strip("out"), "__r": strip("ref")}).withColumn("__f", char_f(F.col("__o"), F.col("__s")))
+    src, out, ref = F.col("__s"), F.col("__o"), F.col("__r")
+    spaced, cap = F.col("lang") != "zh", F.coalesce(F.col("cap"), F.lit(""))
     label = (
-        F.when(out == "", "empty").when(F.coalesce(F.col("cap"), F.lit("")) != "", "capped").when(talk, "commentary").when(same & (F.length(src) > 3), "untranslated")
-        .when((F.col("__f") > 75) & (F.size(F.split(src, r"\s+")) > 2), "mostly-untranslated").when(F.length(out) > 2.2 * F.length(src) + 10, "too-long").when(cut, "fragment-continued")
+        F.when(out == "", "empty").when(cap != "", F.concat(F.lit("capped:"), cap)).when(out.rlike("\n") | out.rlike(COMMENTARY), "commentary")
+        .when(spaced & (F.lower(out) == F.lower(src)) & (n(src) > 2), "untranslated").when(spaced & (F.col("__f") > 75) & (n(src) > 3), "mostly-untranslated")
+        .when(spaced & (n(out) / F.greatest(n(src), F.lit(1)) > 2.2) & (n(src) >= 3), "too-long").when((F.col("kind") == "fragment") & (ref != "") & (n(out) > n(ref) + 3), "fragment-continued")
     )
-    return rows.withColumn("label", label).drop("__f")
+    return rows.withColumn("label", label).drop("__f", "__s", "__o", "__r")
 
 
 def mt_run_report(runs: DataFrame) -> DataFrame:

@@ -14,12 +14,38 @@ FIRST_CODE, MOST_WORDS = 256, 55_000
 
 def word_edits(ref: Column, hyp: Column) -> Column:
     """Least number of word edits between two arrays. Each different word becomes one character, and the built-in
-    edit distance counts characters; null beyond 55,000 different words."""
+    edit distance counts characters; a pair with more than 55,000 different words is counted row by row in numpy."""
     words = F.array_union(ref, hyp)
     code = lambda v, w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(v, w) + (FIRST_CODE - 1)), 4, "0")), "UTF-16BE")
     coded = lambda v, x: F.array_join(F.transform(x, lambda w: code(v, w)), "")
     edits = F.transform(F.array(words), lambda v: F.levenshtein(coded(v, ref), coded(v, hyp)))[0]
-    return F.when(F.size(words) <= MOST_WORDS, edits)
+    many = F.size(words) > MOST_WORDS
+    return F.when(many, many_edits(F.when(many, ref), F.when(many, hyp))).otherwise(edits)
+
+
+def many_edits(ref: Column, hyp: Column) -> Column:
+    """:func:`count_edits` of two arrays; null of null."""
+
+    @F.pandas_udf("int")
+    def edits(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else count_edits(list(x), list(y)) for x, y in zip(a, b)], dtype="Int32")
+
+    return edits(ref, hyp)
+
+
+def count_edits(ref: list[str], hyp: list[str]) -> int:
+    """Edit distance of two lists, a row of the table at a time."""
+    import numpy as np
+
+    numbers: dict[str, int] = {}
+    x, y = (np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64) for words in (ref, hyp))
+    steps = np.arange(len(y) + 1)
+    row = steps.copy()
+    for w in x:
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (y != w))
+        row = np.minimum.accumulate(new - steps) + steps  # insertions
+    return int(row[-1])
 
 
 def align(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:

@@ -63,7 +63,7 @@ def master_playlists(spark, sf_dir):
 def cue_tracks(spark, sf_dir):
     """S13 over clauses of turns."""
     c = table(spark, sf_dir, "conversations")
-    rows = c.select(F.col("conv_id").alias("stream_id"), F.lit("en").alias("lang"), F.col("turn").alias("seq"), F.substring("text", 1, 60).alias("text"), (F.col("turn") % 2 == 0).alias("new_row"), (F.col("turn") * 135_000).alias("due"))
+    rows = c.select(F.col("conv_id").alias("stream_id"), F.lit("en").alias("lang"), F.col("turn").alias("seq"), "text", (F.col("turn") % 2 == 0).alias("new_row"), (F.col("turn") * 135_000).alias("due"))
     return cues.cue_track(rows)
 
 
@@ -164,7 +164,7 @@ SELECT stream_id, CAST(max(l) AS BIGINT) AS max_ms, round(avg(l), 6) AS mean_ms
 
 def utterance_lags(spark, sf_dir):
     """Turns as utterances, shown two seconds after they end."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").cast("long").alias("utt"), (F.col("turn") * 6.0).alias("start"), (F.col("turn") * 6.0 + 4.0).alias("end"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("text"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").cast("long").alias("utt"), (F.col("turn") * 6.0).alias("start"), (F.col("turn") * 6.0 + 4.0).alias("end"), "text")
     shown = c.select("stream_id", (F.col("end") + 2.0).alias("start"), "text")
     span = c.groupBy("stream_id").agg(F.lit(0.0).alias("low"), (F.max("end") + 20).alias("high"))
     utts = lag.borrow_words(lag.in_span(c, span, 15.0)).withColumns({"loop": F.lit(0).cast("long"), "ref_end": F.col("end")})
@@ -178,11 +178,10 @@ def nearest_words(spark, sf_dir):
 
 
 def closest_lines(spark, sf_dir):
-    """The first words of turns against those of the turn before."""
+    """Turns against what was shown of them; of every other turn the first word is missing."""
     c = table(spark, sf_dir, "conversations")
-    head = F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ")
-    expected = c.select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), head.alias("text"))
-    shown = c.filter("turn % 2 = 1").select(F.col("conv_id").alias("file"), head.alias("text"))
+    expected = c.select(F.col("conv_id").alias("file"), F.col("turn").alias("line"), "text")
+    shown = c.select(F.col("conv_id").alias("file"), F.when(F.col("turn") % 2 == 1, F.col("text")).otherwise(F.regexp_replace("text", r"^\S+\s*", "")).alias("text"))
     return lag.exact_or_closest(expected, shown).select("file", "line", "exact", F.round("similarity", 6).alias("similarity"))
 
 
@@ -190,12 +189,12 @@ def first_lines(spark, sf_dir):
     """J18."""
     c = table(spark, sf_dir, "conversations")
     shown = c.select(F.col("conv_id").alias("stream_id"), (F.col("turn") * 2.0).alias("start"), "text")
-    lines = c.select(F.col("conv_id").alias("stream_id"), F.col("turn").cast("double").alias("at_s"), F.get(F.split("text", "\n"), F.lit(0)).alias("line"))
+    lines = c.select(F.col("conv_id").alias("stream_id"), F.col("turn").cast("double").alias("at_s"), F.explode(F.split("text", "\n")).alias("line"))
     return lag.first_appearance(shown, lines).select("stream_id", "at_s", "lag_s")
 
 
 FIRST_LINES_SQL = """
-WITH l AS (SELECT conv_id AS stream_id, CAST(turn AS DOUBLE) AS at_s, string_split(text, chr(10))[1] AS line FROM conversations),
+WITH l AS (SELECT conv_id AS stream_id, CAST(turn AS DOUBLE) AS at_s, unnest(string_split(text, chr(10))) AS line FROM conversations),
 s AS (SELECT stream_id, line, min(start) AS a FROM (SELECT conv_id AS stream_id, turn * 2.0 AS start, unnest(string_split(text, chr(10))) AS line FROM conversations) GROUP BY 1, 2)
 SELECT l.stream_id, at_s, a - at_s AS lag_s FROM l LEFT JOIN s USING (stream_id, line)"""
 
@@ -211,8 +210,8 @@ def translation_deltas(spark, sf_dir):
 
 
 def turn_wer(spark, sf_dir):
-    """Turn t against turn t + 1, first 40 words."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.slice(F.split("text", r"\s+"), 1, 40), " ").alias("ref"))
+    """Turn t against turn t + 1."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("ref"))
     pairs, _ = wer.ref_hyp_join(c, c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp")), ["conv_id", "turn"])
     out = wer.wer(pairs, ["conv_id"], kinds=True)
     return out.select("conv_id", "utts", "edits", "n_ref", (F.col("sub") + F.col("del") + F.col("ins") == F.col("edits")).alias("kinds_agree"), F.round("wer", 6).alias("wer"))
@@ -278,32 +277,39 @@ def lane_quality(spark, sf_dir):
     return lanes.quality_counters(lanes.drop_stale(_translations(spark, sf_dir), _clauses(spark, sf_dir), changes), changes)
 
 
+#: Time between two looks at the lanes.
+LOOK_MS = 5000
+
+
 def lane_lags(spark, sf_dir):
-    """A10."""
-    t = lanes.translation_join(_clauses(spark, sf_dir), _translations(spark, sf_dir)).withColumn("at_ms", F.lit(20_000).cast("long"))
-    queued = t.filter("arrival_ms <= 20000").select("stream_id", "at_ms", "lang", (20_000 - F.col("arrival_ms")).alias("age_ms")).filter("age_ms < 3000")
-    got = t.filter("arrival_ms <= 20000").select("stream_id", "at_ms", "lang", (20_000 - F.col("arrival_ms")).alias("ago_ms"), F.col("age_ms").alias("latency_ms"))
-    pending = t.filter("closed_ms <= 20000 and arrival_ms > 20000").select("stream_id", "at_ms", "lang", (20_000 - F.col("closed_ms")).alias("age_ms"))
+    """A10, at all looks that a clause is queued, pending, or lately shown at."""
+    t = lanes.translation_join(_clauses(spark, sf_dir), _translations(spark, sf_dir))
+    looks = F.sequence(F.ceil(F.col("closed_ms") / LOOK_MS).cast("long"), F.floor((F.col("arrival_ms") + 10_000) / LOOK_MS).cast("long"))
+    t = t.withColumn("look", F.explode(looks)).withColumn("at_ms", F.col("look") * LOOK_MS).withColumn("ago_ms", F.col("at_ms") - F.col("arrival_ms"))
+    queued = t.filter("ago_ms >= 0 and ago_ms < 3000").select("stream_id", "at_ms", "lang", F.col("ago_ms").alias("age_ms"))
+    got = t.filter("ago_ms >= 0").select("stream_id", "at_ms", "lang", "ago_ms", F.col("age_ms").alias("latency_ms"))
+    pending = t.filter("ago_ms < 0").select("stream_id", "at_ms", "lang", (F.col("at_ms") - F.col("closed_ms")).alias("age_ms"))
     return lanes.lane_lag(queued, got, pending)
 
 
 LANE_LAG_SQL = f"""
 WITH {TRANSLATIONS_SQL},
-q AS (SELECT stream_id, lang, max(20000 - arrival_ms) AS q FROM tr WHERE arrival_ms <= 20000 AND 20000 - arrival_ms < 3000 GROUP BY 1, 2),
-t AS (SELECT stream_id, lang, arg_min(arrival_ms - closed_ms, 20000 - arrival_ms) AS t FROM tr WHERE arrival_ms <= 20000 AND 20000 - arrival_ms <= 10000 GROUP BY 1, 2),
-p AS (SELECT stream_id, lang, max(20000 - closed_ms) AS p FROM tr WHERE closed_ms <= 20000 AND arrival_ms > 20000 AND 20000 - closed_ms <= 7000 GROUP BY 1, 2)
-SELECT stream_id, CAST(20000 AS BIGINT) AS at_ms, lang, CAST(greatest(coalesce(q, 0), coalesce(t, 0), coalesce(p, 0)) AS BIGINT) AS lag_ms FROM q FULL JOIN t USING (stream_id, lang) FULL JOIN p USING (stream_id, lang)"""
+a AS (SELECT *, at_ms - arrival_ms AS ago FROM (SELECT *, unnest(generate_series(CAST(ceil(closed_ms / 5000.0) AS BIGINT), CAST(floor((arrival_ms + 10000) / 5000.0) AS BIGINT))) * 5000 AS at_ms FROM tr)),
+q AS (SELECT stream_id, at_ms, lang, max(ago) AS q FROM a WHERE ago >= 0 AND ago < 3000 GROUP BY 1, 2, 3),
+t AS (SELECT stream_id, at_ms, lang, arg_min(arrival_ms - closed_ms, ago) AS t FROM a WHERE ago >= 0 AND ago <= 10000 GROUP BY 1, 2, 3),
+p AS (SELECT stream_id, at_ms, lang, max(at_ms - closed_ms) AS p FROM a WHERE ago < 0 AND at_ms - closed_ms <= 7000 GROUP BY 1, 2, 3)
+SELECT stream_id, CAST(at_ms AS BIGINT) AS at_ms, lang, CAST(greatest(coalesce(q, 0), coalesce(t, 0), coalesce(p, 0)) AS BIGINT) AS lag_ms FROM q FULL JOIN t USING (stream_id, at_ms, lang) FULL JOIN p USING (stream_id, at_ms, lang)"""
 
 
 def backlog(spark, sf_dir):
-    """F8: one snapshot, turns queued by age."""
+    """F8: a snapshot for each nine turns, queued by age."""
     c = table(spark, sf_dir, "conversations")
-    rows = c.select(F.lit(1).alias("snapshot"), F.col("conv_id").alias("stream_id"), F.lit("en").alias("lang"), F.col("turn").alias("seq"), F.substring("text", 1, 50).alias("text"), (F.col("turn") % 9).cast("double").alias("age_s"), F.lit(1.0).alias("lead_s"))
+    rows = c.select(F.floor(F.col("turn") / 9).alias("snapshot"), F.col("conv_id").alias("stream_id"), F.lit("en").alias("lang"), F.col("turn").alias("seq"), "text", (F.col("turn") % 9).cast("double").alias("age_s"), F.lit(1.0).alias("lead_s"))
     return lanes.cap_backlog(rows).select("stream_id", "seq")
 
 
 BACKLOG_SQL = """
-SELECT stream_id, seq FROM (SELECT conv_id AS stream_id, turn AS seq, sum(length(substring(text, 1, 50))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n
+SELECT stream_id, seq FROM (SELECT conv_id AS stream_id, turn AS seq, sum(length(text)) OVER (PARTITION BY conv_id, turn // 9 ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n
   FROM conversations WHERE turn % 9 <= 6) WHERE n / 40.0 + 1 <= 6"""
 
 
@@ -413,8 +419,8 @@ WHERE event_type = 'error'"""
 
 
 def _hypotheses(spark, sf_dir):
-    """Passes over a turn's first words: each hears six words more, and the newest word still wrong."""
-    c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("stream_id"), F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 60).alias("w")).filter("size(w) > 0")
+    """Passes over a whole turn: each hears six words more, and the newest word still wrong."""
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("stream_id"), F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w")).filter("size(w) > 0")
     c = c.withColumn("pass_no", F.explode(F.sequence(F.lit(1), F.ceil(F.size("w") / 6).cast("int"))))
     n = F.least(F.col("pass_no") * 6, F.size("w"))
     heard = F.transform(F.slice("w", 1, n), lambda x, i: F.struct(F.when((i == n - 1) & (n < F.size("w")), F.concat(x, F.lit("x"))).otherwise(x).alias("text"), (i * 0.3).cast("double").alias("t0"), (i * 0.3 + 0.2).cast("double").alias("t1")))
@@ -518,7 +524,7 @@ SELECT lang, count(*) AS n, CASE lang WHEN 'en' THEN 'English' WHEN 'es' THEN 'E
 def _runs(spark, sf_dir):
     t = _translations(spark, sf_dir)
     n = F.length("text")
-    return t.select(F.concat(F.lit("r"), (F.col("stream_id") % 3).cast("string")).alias("run"), F.col("clause_id").cast("string").alias("id"), "lang", F.substring("text", 6, 100).alias("src"), F.substring("text", 1, 100).alias("out"), (n % 97).cast("double").alias("ms"), (n % 131).cast("double").alias("req_ms"), (n % 17).cast("double").alias("ttft_ms"), (n % 40).cast("int").alias("n_out"), F.when(n % 50 == 0, "max").otherwise("").alias("cap"), (F.col("stream_id") * 1000 + F.col("clause_id")).alias("line"))
+    return t.select(F.concat(F.lit("r"), (F.col("stream_id") % 3).cast("string")).alias("run"), F.col("clause_id").cast("string").alias("id"), "lang", F.substr("text", F.lit(6)).alias("src"), F.col("text").alias("out"), F.when(F.col("clause_id") % 5 == 0, "fragment").otherwise("full").alias("kind"), F.substr("text", F.lit(6)).alias("ref"), (n % 97).cast("double").alias("ms"), (n % 131).cast("double").alias("req_ms"), (n % 17).cast("double").alias("ttft_ms"), (n % 40).cast("int").alias("n_out"), F.when(n % 50 == 0, "max").otherwise("").alias("cap"), (F.col("stream_id") * 1000 + F.col("clause_id")).alias("line"))
 
 
 def run_report(spark, sf_dir):
@@ -637,7 +643,7 @@ SELECT stream_id, count(*) AS n, round(max(d) FILTER (WHERE i = CAST(floor(0.05
        round(max(d) FILTER (WHERE i = CAST(floor(0.95 * (n - 1)) AS BIGINT)), 6) AS p95 FROM r GROUP BY 1"""
 
 REVISIONS_SQL = r"""
-WITH c AS (SELECT conv_id || '-' || turn AS stream_id, list_slice(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), 1, 60) AS w FROM conversations),
+WITH c AS (SELECT conv_id || '-' || turn AS stream_id, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS w FROM conversations),
 p AS (SELECT stream_id, w, len(w) AS m, unnest(generate_series(1, CAST(ceil(len(w) / 6.0) AS BIGINT))) AS k FROM c WHERE len(w) > 0)
 SELECT stream_id, count(*) AS passes, CAST(sum(least(k * 6, m)) AS BIGINT) AS shown, count(*) - 1 AS revised, round((count(*) - 1) / sum(least(k * 6, m)), 6) AS rate FROM p GROUP BY 1"""
 

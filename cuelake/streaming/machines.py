@@ -131,7 +131,7 @@ class LoopMachine(Machine):
         pdf = pd.concat(list(rows)).sort_values("seq")
         recent = [tuple(x) for x in state.get("recent", [])]
         for _, batch in pdf.groupby("arrival_ms", sort=False):
-            ok, recent = admit(recent, list(zip(batch["key"], batch["end_ms"] / 1000)))
+            ok, recent = admit(recent, list(zip(batch["key"], batch["start_ms"] / 1000, batch["end_ms"] / 1000)))
             keep += ok
         self.state.update((json.dumps({"recent": recent}),))
         if any(keep):

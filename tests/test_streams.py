@@ -24,7 +24,7 @@ def test_cues(spark, tmp_path):
 
 
 def test_loops(spark, tmp_path):
-    words = spark.createDataFrame([("s", i, w, i * 300 + 200, i // 4 * 1200 + 1260) for i, w in enumerate("a b no no no no no c d x y x y x y z".split())], "stream_id string, seq long, text string, end_ms long, arrival_ms long")
+    words = spark.createDataFrame([("s", i, w, i * 300, i * 300 + 200, i // 4 * 1200 + 1260) for i, w in enumerate("a b no no no no no c d x y x y x y z".split())], "stream_id string, seq long, text string, start_ms long, end_ms long, arrival_ms long")
     got = run(spark, words, tmp_path, "stream_loops", machines.stream_prune_loops)
     assert sorted(r.seq for r in got.collect()) == sorted(r.seq for r in guard.prune_loops(words).collect())
 
