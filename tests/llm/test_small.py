@@ -711,7 +711,7 @@ def test_probabilities_sum_to_one():
     import numpy as np
 
     r = np.random.default_rng(3)
-    cells, kinds = r.integers(1, 4, 30), np.array(pitman_yor.kind_of([b"the", b"of"]))
+    cells, kinds = r.integers(1, 4, 30), np.array(pitman_yor.kind_of([pitman_yor.word_key(w) for w in (b"the", b"of")]))
     ctx = np.concatenate([np.sort(r.choice(259, n, replace=False)) for n in cells])
     state = pitman_yor.Seating(cells, ctx, r.integers(1, 90, len(ctx)), kinds)
     model = {"discount": [0.5, 0.5, 0.5], "base": 1 / 31}
@@ -721,6 +721,8 @@ def test_probabilities_sum_to_one():
         model |= {"customers": every[:n], "tables": every[n:]}
         if k < 2:
             state.sweep(model, r)
+            again = pitman_yor.Seating(cells, ctx, state.count, kinds, state.pack())
+            assert all((getattr(again, x) == getattr(state, x)).all() for x in ("tables", "kind_tables", "root_tables"))
     root, _ = state.probabilities(model)
     unknown = (1 + 0.5 * model["tables"][0]) * model["base"] / (1 + model["customers"][0])
     assert root.sum() + unknown == pytest.approx(1)
