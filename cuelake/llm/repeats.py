@@ -31,6 +31,8 @@ GRAM = 32
 HOT = 100_000
 #: Hot grams at most, as they are broadcast: in a large corpus a gram is hot if it has more than this part of all blocks.
 HOT_GRAMS = 1_000_000
+#: Tasks that the copies of a block of a hot gram are dealt over.
+SALTS = 64
 #: Window starts looked at at once.
 PIECE = 1 << 20
 _PLACE = (1 << 24) - 1
@@ -275,7 +277,9 @@ def _hot_blocks(rows: DataFrame, blocks_: DataFrame, length: int) -> DataFrame:
     partly = windows.join(twice, ["gram", "window"]).groupBy("gram", "same").agg(F.collect_list(F.col("i").cast("int")).alias("windows"))
     verdict = kinds.select("gram", "same", "times").join(partly, ["gram", "same"], "left").filter("times > 1 or windows is not null")
     verdict = verdict.select("gram", "same", F.when(F.col("times") == 1, F.col("windows")).alias("windows"))
-    return blocks_.join(verdict, ["gram", "same"]).select("row", "place", "windows")
+    # one block may be most of a hot gram's: its copies are dealt over salts
+    verdict = verdict.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return blocks_.withColumn("salt", F.pmod(F.xxhash64("row", "place"), F.lit(SALTS)).cast("int")).join(verdict, ["gram", "same", "salt"]).select("row", "place", "windows")
 
 
 def repeated_blocks(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
