@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions.text import norm_word
+from .ordered import run_ordered
 
 HISTORY, SLACK_S = 200, 0.05
 
@@ -56,19 +57,31 @@ class Agreement:
         return out
 
 
+class _Committed:
+    """A stream's passes in order to numbered rows."""
+
+    def __init__(self, names: list[str], state: Agreement):
+        self.names, self.state, self.n = names, state, 0
+
+    def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in pdf.itertuples():
+            for w in self.state.add([(x["text"], x["t0"], x["t1"]) for x in r.words], r.buf_t0, bool(r.final)):
+                out.append((r.stream_id, self.n, r.pass_no, *w))
+                self.n += 1
+        return pd.DataFrame(out, columns=self.names)
+
+    def end(self) -> None:
+        return None
+
+
 def commit_agreed(hypotheses: DataFrame, passes: int = 2) -> DataFrame:
     """S3: committed words ``stream_id, seq, pass_no, text, t0, t1`` of ``hypotheses(stream_id, pass_no, buf_t0, final,
     words array<struct<text, t0, t1>>)``."""
     schema = StructType([hypotheses.schema["stream_id"], StructField("seq", LongType()), StructField("pass_no", LongType()), StructField("text", StringType()), StructField("t0", DoubleType()), StructField("t1", DoubleType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = Agreement(passes), []
-        for r in pdf.sort_values("pass_no").itertuples():
-            for w in state.add([(x["text"], x["t0"], x["t1"]) for x in r.words], r.buf_t0, bool(r.final)):
-                out.append((r.stream_id, len(out), r.pass_no, *w))
-        return pd.DataFrame(out, columns=schema.names)
-
-    return hypotheses.groupBy("stream_id").applyInPandas(run, schema)
+    rows = hypotheses.select("stream_id", "pass_no", "buf_t0", "final", "words")
+    return run_ordered(rows, ["stream_id"], ["pass_no"], lambda: _Committed(schema.names, Agreement(passes)), schema)
 
 
 def group_tokens(tokens: DataFrame, last_s: float = 0.08) -> DataFrame:

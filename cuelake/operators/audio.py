@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..functions.times import dbfs
+from .ordered import run_ordered
 
 RATE, FRAME = 16_000, 1600
 
@@ -76,6 +77,28 @@ def silence_meter(levels: DataFrame, quiet_dbfs: float = -60.0, alert_s: float =
     return levels.withColumn("silent_s", (F.col("end_ms") - since) / 1000).withColumn("alert", F.col("silent_s") >= alert_s)
 
 
+class _Intervals:
+    """One open interval of a stream; runs come in order."""
+
+    def __init__(self, names: list[str], pre_roll_ms: int, hangover_ms: int, young_ms: int):
+        self.names, self.pre_roll_ms, self.hangover_ms, self.young_ms = names, pre_roll_ms, hangover_ms, young_ms
+        self.open: list | None = None
+
+    def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for stream, a, z in zip(pdf["stream_id"], pdf["start_ms"], pdf["end_ms"]):
+            if self.open and a - self.open[2] < self.hangover_ms and a - self.open[1] < self.young_ms:
+                self.open[2] = z
+                continue
+            if self.open:
+                out.append(self.open)
+            self.open = [stream, max(a - self.pre_roll_ms, self.open[2] if self.open else 0, 0), z]
+        return pd.DataFrame(out, columns=self.names)
+
+    def end(self) -> pd.DataFrame | None:
+        return pd.DataFrame([self.open], columns=self.names) if self.open else None
+
+
 def speech_intervals(blocks: DataFrame, pre_roll_ms: int = 600, hangover_ms: int = 1500, young_ms: int = 60_000) -> DataFrame:
     """Intervals of ``blocks(stream_id, start_ms, end_ms, speech)``, begun ``pre_roll_ms`` early (but not before the
     interval before). Intervals with a gap below ``hangover_ms`` are one while the interval is younger than
@@ -84,17 +107,7 @@ def speech_intervals(blocks: DataFrame, pre_roll_ms: int = 600, hangover_ms: int
     runs = blocks.filter("speech").withColumn("__new", (F.coalesce(F.lag("end_ms").over(w), F.lit(-1)) != F.col("start_ms")).cast("int"))
     runs = runs.withColumn("__run", F.sum("__new").over(w)).groupBy("stream_id", "__run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     schema = StructType([blocks.schema["stream_id"], StructField("start_ms", LongType()), StructField("end_ms", LongType())])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list[int]] = []
-        for a, z in sorted(zip(pdf["start_ms"], pdf["end_ms"])):
-            if out and a - out[-1][1] < hangover_ms and a - out[-1][0] < young_ms:
-                out[-1][1] = z
-            else:
-                out.append([max(a - pre_roll_ms, out[-1][1] if out else 0, 0), z])
-        return pd.DataFrame([(pdf["stream_id"].iloc[0], *x) for x in out], columns=schema.names)
-
-    return runs.groupBy("stream_id").applyInPandas(merge, schema)
+    return run_ordered(runs.select("stream_id", "start_ms", "end_ms"), ["stream_id"], ["start_ms", "end_ms"], lambda: _Intervals(schema.names, pre_roll_ms, hangover_ms, young_ms), schema)
 
 
 def outages(data: DataFrame, after_ms: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .joins import state_asof
+from .ordered import run_ordered
 
 STALE_MS, LAG_MS, PENDING_MS = 6000, 10_000, 7000
 
@@ -92,21 +93,40 @@ class Shedding:
         return out
 
 
+class _Snapshots:
+    """Rows of a stream in order to whole snapshots for ``Shedding``."""
+
+    def __init__(self, names: list[str], state: Shedding):
+        self.names, self.state = names, state
+        self.stream, self.now, self.lags = None, None, {}
+
+    def _decide(self) -> list[tuple]:
+        return [] if self.now is None else [(self.stream, self.now, lang, str(pause).lower()) for lang, pause in self.state.decide(self.now, self.lags)]
+
+    def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for self.stream, now, lang, lag in zip(pdf["stream_id"], pdf["at_ms"], pdf["lang"], pdf["lag_ms"]):
+            if now != self.now:
+                out += self._decide()
+                self.now, self.lags = int(now), {}
+            self.lags[lang] = lag
+        return pd.DataFrame(out, columns=self.names)
+
+    def end(self) -> pd.DataFrame:
+        return pd.DataFrame(self._decide(), columns=self.names)
+
+
 def degrade_policy(lags: DataFrame, languages: DataFrame, limit_ms: int, source_only: bool = False) -> DataFrame:
-    """State changes ``stream_id, changed_ms, lang, paused`` from snapshots ``stream_id, at_ms, lang, lag_ms``."""
+    """State changes ``stream_id, changed_ms, lang, paused`` from snapshots ``stream_id, at_ms, lang, lag_ms``.
+    Of several rows of a lane in a snapshot the largest lag counts; rows without a time are left out."""
     rows = sorted(languages.collect(), key=lambda r: (-r["priority"], -r["position"]))  # a few languages
     order, source = [r["code"] for r in rows if not r["source"]], next((r["code"] for r in rows if r["source"]), "")
     kind = lags.schema["stream_id"].dataType
     schema = StructType([StructField("stream_id", kind), StructField("changed_ms", LongType()), StructField("lang", StringType()), StructField("paused", StringType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = Shedding(order, source, limit_ms, source_only), []
-        for now, part in pdf.sort_values("at_ms").groupby("at_ms"):
-            for lang, pause in state.decide(int(now), dict(zip(part["lang"], part["lag_ms"]))):
-                out.append((pdf["stream_id"].iloc[0], int(now), lang, str(pause).lower()))
-        return pd.DataFrame(out, columns=schema.names)
-
-    return lags.groupBy("stream_id").applyInPandas(run, schema).withColumn("paused", F.col("paused") == "true")
+    make = lambda: _Snapshots(schema.names, Shedding(order, source, limit_ms, source_only))
+    rows = lags.select("stream_id", "at_ms", "lang", "lag_ms").filter("at_ms is not null")
+    return run_ordered(rows, ["stream_id"], ["at_ms", "lang", "lag_ms"], make, schema).withColumn("paused", F.col("paused") == "true")
 
 
 def quality_counters(translations: DataFrame, changes: DataFrame) -> DataFrame:
