@@ -656,6 +656,87 @@ b AS (SELECT stream_id, seq, string_agg(printf('%02d:%02d:%02d.%03d --> %02d:%02
 v AS (SELECT g.stream_id, g.seq, 'WEBVTT' || chr(10) || 'X-TIMESTAMP-MAP=MPEGTS:' || (g.s % 8589934592) || ',LOCAL:00:00:00.000' || chr(10) || chr(10) || coalesce(b.body, '') AS body FROM segs g LEFT JOIN b USING (stream_id, seq))
 SELECT stream_id, 'en' AS lang, seq, md5(body) AS body_md5, length(body) AS n_chars FROM v"""
 
+SPEECH_SQL = """
+WITH RECURSIVE p AS (SELECT user_id AS stream_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 250 AS a, event_type IN ('purchase', 'click') AS speech FROM events),
+b AS (SELECT stream_id, a, sum(CASE WHEN due = a THEN 0 ELSE 1 END) OVER (PARTITION BY stream_id ORDER BY a) AS run FROM (SELECT stream_id, a, lag(a + 250) OVER (PARTITION BY stream_id ORDER BY a) AS due FROM p WHERE speech)),
+r AS (SELECT stream_id, run, min(a) AS a, max(a) + 250 AS z FROM b GROUP BY 1, 2),
+m AS (SELECT stream_id, run, greatest(a - 600, 0) AS s, z FROM r WHERE run = 1
+      UNION ALL SELECT r.stream_id, r.run, CASE WHEN r.a - m.z < 600 AND r.a - m.s < 60000 THEN m.s ELSE greatest(r.a - 600, m.z, 0) END, r.z FROM m JOIN r ON r.stream_id = m.stream_id AND r.run = m.run + 1)
+SELECT stream_id, s AS start_ms, max(z) AS end_ms FROM m GROUP BY 1, 2"""
+
+#: Lanes are paused in the order de, fr, es and come back in reverse, so their number is the state.
+STATES_SQL = f"""{TRANSLATIONS_SQL},
+g AS (SELECT stream_id, (arrival_ms // 1000) * 1000 AS at_ms, max(CASE WHEN lang = 'de' THEN arrival_ms - closed_ms END) AS de, max(CASE WHEN lang = 'fr' THEN arrival_ms - closed_ms END) AS fr, max(CASE WHEN lang = 'es' THEN arrival_ms - closed_ms END) AS es FROM tr GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY at_ms) AS k FROM g),
+st AS (SELECT stream_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS at_ms, 0 AS was, 0 AS p, CAST(NULL AS BIGINT) AS changed, CAST(NULL AS BIGINT) AS calm FROM (SELECT DISTINCT stream_id FROM k)
+  UNION ALL
+  SELECT stream_id, k, at_ms, was, was + up - down, CASE WHEN up + down > 0 THEN at_ms ELSE changed END, calm FROM (
+    SELECT *, CASE WHEN worst > 5000 AND was < 3 AND (changed IS NULL OR at_ms - changed >= 3000) THEN 1 ELSE 0 END AS up,
+           CASE WHEN 2 * worst < 5000 AND was > 0 AND at_ms - calm >= 10000 AND (changed IS NULL OR at_ms - changed >= 10000) THEN 1 ELSE 0 END AS down FROM (
+      SELECT *, CASE WHEN worst > 5000 THEN NULL WHEN 2 * worst < 5000 THEN coalesce(quiet, at_ms) END AS calm FROM (
+        SELECT k.stream_id, k.k, k.at_ms, st.p AS was, st.changed, st.calm AS quiet,
+               coalesce(greatest(CASE WHEN st.p < 1 THEN de END, CASE WHEN st.p < 2 THEN fr END, CASE WHEN st.p < 3 THEN es END), 0) AS worst FROM st JOIN k ON k.stream_id = st.stream_id AND k.k = st.k + 1)))),
+ch AS (SELECT stream_id, at_ms AS changed_ms, CASE greatest(was, p) WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END AS lang, p > was AS paused FROM st WHERE p <> was)"""
+
+LANE_STATES_SQL = f"WITH RECURSIVE {STATES_SQL} SELECT stream_id, changed_ms, lang, paused FROM ch"
+
+LANE_QUALITY_SQL = f"""
+WITH RECURSIVE {STATES_SQL},
+d AS (SELECT tr.stream_id, tr.lang, arrival_ms - closed_ms > 6000 AS stale, coalesce((SELECT arg_max(ch.paused, ch.changed_ms) FROM ch WHERE ch.stream_id = tr.stream_id AND ch.lang = tr.lang AND ch.changed_ms <= tr.arrival_ms), false) AS paused FROM tr),
+t AS (SELECT stream_id, lang, count(*) FILTER (WHERE NOT stale AND NOT paused) AS shown, count(*) FILTER (WHERE stale) AS stale, count(*) FILTER (WHERE NOT stale AND paused) AS paused_drops FROM d GROUP BY 1, 2)
+SELECT t.stream_id, t.lang, shown, stale, paused_drops, coalesce(pauses, 0) AS pauses FROM t LEFT JOIN (SELECT stream_id, lang, count(*) FILTER (WHERE paused) AS pauses FROM ch GROUP BY 1, 2) c ON c.stream_id = t.stream_id AND c.lang = t.lang"""
+
+_LANG = "['en', 'es', 'fr', 'de', 'pt', 'it'][CAST(({}) % 6 + 1 AS BIGINT)]"
+_ROUTES = f"""
+models AS (SELECT 'm' || n_nationkey AS id, {_LANG.format('n_nationkey')} AS source, n_nationkey % 3 = 0 AS std, n_nationkey % 2 = 0 AS inst, n_nationkey AS pos, unnest([{_LANG.format('n_nationkey * 5 + 1')}, {_LANG.format('n_nationkey * 7 + 2')}]) AS target FROM nation),
+best AS (SELECT * FROM models QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY (inst AND std) DESC, inst DESC, std DESC, pos) = 1),
+langs AS (SELECT DISTINCT source AS l FROM models),
+found AS (SELECT s.l AS source, t.l AS target, d.id AS d, d.inst AS d_in, a.id AS a, b.id AS b, a.inst AND b.inst AS ab_in FROM langs s JOIN langs t ON s.l <> t.l
+  LEFT JOIN best d ON d.source = s.l AND d.target = t.l LEFT JOIN best a ON a.source = s.l AND a.target = 'en' LEFT JOIN best b ON b.source = 'en' AND b.target = t.l),
+routes AS (SELECT source, target, CASE WHEN d_in THEN d WHEN ab_in THEN a || '>' || b WHEN d IS NOT NULL THEN d WHEN a IS NOT NULL AND b IS NOT NULL THEN a || '>' || b END AS hops FROM found)"""
+
+ROUTES_SQL = f"WITH {_ROUTES} SELECT source, target, hops, CASE WHEN contains(hops, '>') THEN 'en' END AS via FROM routes"
+
+PIVOTS_SQL = f"""
+WITH {_ROUTES},
+w AS (SELECT t.target, CASE WHEN hops IS NULL THEN 0 WHEN contains(hops, '>') THEN 2 ELSE 1 END AS n FROM (VALUES ('en'), ('fr'), ('de'), ('pt')) t(target) LEFT JOIN routes r ON r.source = 'es' AND r.target = t.target),
+p AS (SELECT bool_or(n = 2) AND bool_or(n = 1 AND target = 'en') AS shared, coalesce(string_agg(target, ',' ORDER BY target) FILTER (WHERE n = 2), '') AS "pivot",
+             coalesce(string_agg(target, ',' ORDER BY target) FILTER (WHERE n = 1), '') AS direct, coalesce(string_agg(target, ',' ORDER BY target) FILTER (WHERE n = 1 AND target <> 'en'), '') AS others FROM w)
+SELECT conv_id AS stream_id, turn AS clause_id, CASE WHEN shared THEN others ELSE direct END AS direct, "pivot", shared AS english_from_pivot FROM conversations, p"""
+
+COMMITTED_SQL = r"""
+SELECT stream_id, n_words, CAST(ceil(m / 6.0) AS BIGINT) AS last_pass FROM (
+  SELECT conv_id || '-' || turn AS stream_id, len(w) AS m, len(list_filter(w, lambda x: regexp_matches(x, '[\p{L}\p{N}'']'))) AS n_words
+  FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations)) WHERE n_words > 0"""
+
+PLAYLISTS_SQL = f"""
+WITH {SEGMENTS_SQL}
+SELECT stream_id, lang, md5('#EXTM3U' || chr(10) || '#EXT-X-VERSION:3' || chr(10) || '#EXT-X-TARGETDURATION:2' || chr(10) || '#EXT-X-MEDIA-SEQUENCE:0' || chr(10) || string_agg('#EXTINF:2.00000,' || chr(10) || lang || '_' || seq || '.vtt', chr(10) ORDER BY seq) || chr(10)) AS body_md5
+FROM segs, (VALUES ('en'), ('es'), ('fr'), ('de')) l(lang) GROUP BY 1, 2"""
+
+MASTER_SQL = """
+SELECT stream_id, '#EXTM3U' || chr(10) || lines || chr(10) || '#EXT-X-STREAM-INF:BANDWIDTH=1,SUBTITLES="subs"' || chr(10) || 'video.m3u8' || chr(10) AS body FROM (SELECT DISTINCT conv_id AS stream_id FROM conversations),
+  (SELECT string_agg('#EXT-X-MEDIA:TYPE=SUBTITLES,GROUP-ID="subs",NAME="' || name || '",LANGUAGE="' || code || '",DEFAULT=' || flag || ',AUTOSELECT=YES,URI="' || code || '.m3u8"', chr(10) ORDER BY position) AS lines
+   FROM (VALUES (0, 'en', 'English', 'YES'), (1, 'es', 'Español', 'NO'), (2, 'fr', 'Français', 'NO'), (3, 'de', 'Deutsch', 'NO')) l(position, code, name, flag))"""
+
+_RUNS = """
+r AS (SELECT 'r' || (conv_id % 3) AS run, turn AS id, lang, length(text) + 5 AS n, conv_id * 1000 + turn AS line FROM conversations, (VALUES ('es'), ('fr'), ('de')) l(lang))"""
+
+
+def _ranks(**names: float) -> str:
+    return ", ".join(f"max(v) FILTER (WHERE i = CAST(floor({p} * (c - 1) + 0.5) AS BIGINT)) AS {n}" for n, p in names.items())
+
+
+
+RUN_REPORT_SQL = f"""
+WITH {_RUNS},
+m AS (SELECT run, lang, count(*) AS n, {_ranks(p50=0.5, p95=0.95, max=1.0)} FROM (SELECT run, lang, CAST(n % 97 AS DOUBLE) AS v, row_number() OVER (PARTITION BY run, lang ORDER BY n % 97) - 1 AS i, count(*) OVER (PARTITION BY run, lang) AS c FROM r) GROUP BY 1, 2),
+f AS (SELECT run, lang, {_ranks(ttft_p50=0.5)} FROM (SELECT run, lang, CAST(n % 17 AS DOUBLE) AS v, row_number() OVER (PARTITION BY run, lang ORDER BY n % 17) - 1 AS i, count(*) OVER (PARTITION BY run, lang) AS c FROM r) GROUP BY 1, 2),
+q AS (SELECT run, lang, {_ranks(req_p50=0.5, req_p95=0.95, req_max=1.0)} FROM (SELECT run, lang, CAST(n % 131 AS DOUBLE) AS v, row_number() OVER (PARTITION BY run, lang ORDER BY n % 131) - 1 AS i, count(*) OVER (PARTITION BY run, lang) AS c
+      FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY run, lang, id ORDER BY line DESC) = 1)) GROUP BY 1, 2),
+s AS (SELECT run, lang, round(1000.0 * sum(n % 40) / sum(n % 97), 6) AS tokens_per_s, count(*) FILTER (WHERE n % 50 = 0) AS capped FROM r GROUP BY 1, 2)
+SELECT run, lang, n, p50, p95, max, ttft_p50, req_p50, req_p95, req_max, tokens_per_s, capped FROM m JOIN f USING (run, lang) JOIN q USING (run, lang) JOIN s USING (run, lang)"""
+
 QUERIES = {
     "cue_overlap": cue_overlap, "vtt_bodies": vtt_bodies, "playlists": playlists, "master_playlists": master_playlists, "cue_tracks": cue_tracks, "simple_cues": simple_cues, "srt_round_trip": srt_round_trip,
     "playlist_round_trip": playlist_round_trip, "emission_tails": emission_tails, "segment_ends": segment_ends, "clip_lags": clip_lags, "caption_lag": caption_lag, "utterance_lags": utterance_lags,
@@ -672,4 +753,5 @@ SQL = {
     "caption_lag": LAG_NOW_SQL, "first_lines": FIRST_LINES_SQL, "missing_turns": MISSING_SQL, "fanout": FANOUT_SQL, "stale_drops": STALE_SQL, "lane_lags": LANE_LAG_SQL, "backlog": BACKLOG_SQL, "levels": LEVELS_SQL,
     "audio_frames": AUDIO_FRAMES_SQL, "mono": MONO_SQL, "outages": OUTAGES_SQL, "recoveries": RECOVERY_SQL, "token_words": TOKENS_SQL, "late_suffixes": LATE_SQL, "text_functions": TEXT_SQL, "folded_words": FOLD_SQL,
     "joined_words": JOINED_SQL, "language_names": NAMES_SQL, "soak": SOAK_SQL, "run_table": RUN_TABLE_SQL, "event_feed": FEED_SQL, "parsed_messages": MESSAGES_SQL, "turn_context": CONTEXT_SQL, "retimed_turns": RETIMED_SQL,
+    "speech": SPEECH_SQL, "lane_states": LANE_STATES_SQL, "lane_quality": LANE_QUALITY_SQL, "routes": ROUTES_SQL, "pivots": PIVOTS_SQL, "committed_words": COMMITTED_SQL, "playlists": PLAYLISTS_SQL, "master_playlists": MASTER_SQL, "run_report": RUN_REPORT_SQL,
 }
