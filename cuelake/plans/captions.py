@@ -727,7 +727,6 @@ def _ranks(**names: float) -> str:
     return ", ".join(f"max(v) FILTER (WHERE i = CAST(floor({p} * (c - 1) + 0.5) AS BIGINT)) AS {n}" for n, p in names.items())
 
 
-
 RUN_REPORT_SQL = f"""
 WITH {_RUNS},
 m AS (SELECT run, lang, count(*) AS n, {_ranks(p50=0.5, p95=0.95, max=1.0)} FROM (SELECT run, lang, CAST(n % 97 AS DOUBLE) AS v, row_number() OVER (PARTITION BY run, lang ORDER BY n % 97) - 1 AS i, count(*) OVER (PARTITION BY run, lang) AS c FROM r) GROUP BY 1, 2),
@@ -737,6 +736,12 @@ q AS (SELECT run, lang, {_ranks(req_p50=0.5, req_p95=0.95, req_max=1.0)} FROM (S
 s AS (SELECT run, lang, round(1000.0 * sum(n % 40) / sum(n % 97), 6) AS tokens_per_s, count(*) FILTER (WHERE n % 50 = 0) AS capped FROM r GROUP BY 1, 2)
 SELECT run, lang, n, p50, p95, max, ttft_p50, req_p50, req_p95, req_max, tokens_per_s, capped FROM m JOIN f USING (run, lang) JOIN q USING (run, lang) JOIN s USING (run, lang)"""
 
+CHARSETS_SQL = f"""
+WITH c AS (SELECT lang, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents),
+k AS (SELECT lang, ch, count(*) AS n, (unicode(ch) BETWEEN 32 AND 126) OR contains('{T.CAPTION_608_EXTRA}', ch) AS ok FROM c GROUP BY 1, 2),
+t AS (SELECT lang, string_agg(ch, '' ORDER BY n DESC, ch) AS unsupported FROM (SELECT * FROM k WHERE NOT ok QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, ch) <= 10) GROUP BY 1)
+SELECT k.lang, CAST(sum(n) AS BIGINT) AS chars, round(coalesce(sum(n) FILTER (WHERE ok), 0) / sum(n), 6) AS covered, coalesce(any_value(unsupported), '') AS unsupported FROM k LEFT JOIN t ON t.lang IS NOT DISTINCT FROM k.lang GROUP BY 1"""
+
 QUERIES = {
     "cue_overlap": cue_overlap, "vtt_bodies": vtt_bodies, "playlists": playlists, "master_playlists": master_playlists, "cue_tracks": cue_tracks, "simple_cues": simple_cues, "srt_round_trip": srt_round_trip,
     "playlist_round_trip": playlist_round_trip, "emission_tails": emission_tails, "segment_ends": segment_ends, "clip_lags": clip_lags, "caption_lag": caption_lag, "utterance_lags": utterance_lags,
@@ -753,5 +758,5 @@ SQL = {
     "caption_lag": LAG_NOW_SQL, "first_lines": FIRST_LINES_SQL, "missing_turns": MISSING_SQL, "fanout": FANOUT_SQL, "stale_drops": STALE_SQL, "lane_lags": LANE_LAG_SQL, "backlog": BACKLOG_SQL, "levels": LEVELS_SQL,
     "audio_frames": AUDIO_FRAMES_SQL, "mono": MONO_SQL, "outages": OUTAGES_SQL, "recoveries": RECOVERY_SQL, "token_words": TOKENS_SQL, "late_suffixes": LATE_SQL, "text_functions": TEXT_SQL, "folded_words": FOLD_SQL,
     "joined_words": JOINED_SQL, "language_names": NAMES_SQL, "soak": SOAK_SQL, "run_table": RUN_TABLE_SQL, "event_feed": FEED_SQL, "parsed_messages": MESSAGES_SQL, "turn_context": CONTEXT_SQL, "retimed_turns": RETIMED_SQL,
-    "speech": SPEECH_SQL, "lane_states": LANE_STATES_SQL, "lane_quality": LANE_QUALITY_SQL, "routes": ROUTES_SQL, "pivots": PIVOTS_SQL, "committed_words": COMMITTED_SQL, "playlists": PLAYLISTS_SQL, "master_playlists": MASTER_SQL, "run_report": RUN_REPORT_SQL,
+    "speech": SPEECH_SQL, "lane_states": LANE_STATES_SQL, "lane_quality": LANE_QUALITY_SQL, "routes": ROUTES_SQL, "pivots": PIVOTS_SQL, "committed_words": COMMITTED_SQL, "playlists": PLAYLISTS_SQL, "master_playlists": MASTER_SQL, "run_report": RUN_REPORT_SQL, "charsets": CHARSETS_SQL,
 }

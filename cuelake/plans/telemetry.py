@@ -294,6 +294,39 @@ SELECT event_id, {_HMS.format(m=',')} AS srt, {_HMS.format(m='.')} AS vtt, round
        CASE WHEN d >= 4294967296 THEN d - 8589934592 ELSE d END AS diff, greatest(100 + (ms - 5000) * 90, 0) + 324000000 AS out_ts
 FROM (SELECT *, event_id * 1237 AS ms, (((event_id * 1237 * 90000000) % 8589934592 - event_id) % 8589934592 + 8589934592) % 8589934592 AS d FROM events)"""
 
+_AV = """
+av AS (SELECT user_id AS stream_id, event_id % 3 <> 0 AS video, epoch_us(ts) // 1000 AS arrival_ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k,
+              ((event_id * 3000 + CASE WHEN event_id % 50 = 0 THEN 900000 ELSE 0 END) * 40000) % 8589934592 AS pts FROM events)"""
+_STEP = "((({}) + 12884901888) % 8589934592 - 4294967296)"
+_SPLIT = f"""{_AV},
+sn AS (SELECT *, sum(CASE WHEN step BETWEEN -900000000 AND 2700000000 THEN 0 ELSE 1 END) OVER (PARTITION BY stream_id ORDER BY k) - 1 AS session FROM (SELECT *, {_STEP.format('pts - lag(pts) OVER (PARTITION BY stream_id ORDER BY k)')} AS step FROM av))"""
+
+AV_SQL = f"""
+WITH RECURSIVE {_AV},
+s AS (SELECT stream_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS session, CAST(NULL AS BIGINT) AS last, true AS forced, false AS kept FROM (SELECT DISTINCT stream_id FROM av)
+  UNION ALL
+  SELECT stream_id, k, session + CASE WHEN video AND NOT fits THEN 1 ELSE 0 END, CASE WHEN video THEN pts ELSE last END, NOT (fits OR video), fits OR video FROM (
+    SELECT av.*, s.session, s.last, NOT s.forced AND coalesce({_STEP.format('av.pts - s.last')} BETWEEN -900000000 AND 2700000000, false) AS fits FROM s JOIN av ON av.stream_id = s.stream_id AND av.k = s.k + 1))
+SELECT stream_id, count(*) AS kept, max(session) + 1 AS sessions FROM s WHERE kept GROUP BY 1"""
+
+OFFSETS_SQL = f"""
+WITH RECURSIVE {_SPLIT},
+e AS (SELECT stream_id, session, min(d) FILTER (WHERE arrival_ms <= begin_ + 500) AS low, min(p) AS first, max(p) AS last FROM (
+  SELECT stream_id, session, arrival_ms, pts // 90 AS p, arrival_ms - pts // 90 AS d, min(arrival_ms) OVER (PARTITION BY stream_id, session) AS begin_ FROM sn) GROUP BY 1, 2),
+o AS (SELECT stream_id, session, low AS offset_ms, last + low AS end_ FROM e WHERE session = 0
+  UNION ALL SELECT e.stream_id, e.session, greatest(low, end_ + 40 - first), last + greatest(low, end_ + 40 - first) FROM o JOIN e ON e.stream_id = o.stream_id AND e.session = o.session + 1)
+SELECT stream_id, CAST(session AS BIGINT) AS session, CAST(offset_ms AS BIGINT) AS offset_ms FROM o"""
+
+SLOTS_SQL = f"""
+WITH RECURSIVE {_SPLIT},
+f AS (SELECT stream_id, session, pts, row_number() OVER (PARTITION BY stream_id, session ORDER BY k) AS j FROM sn),
+s AS (SELECT stream_id, session, pts, j, CAST(0 AS BIGINT) AS slot, CAST(1 AS BIGINT) AS free FROM f WHERE j = 1
+  UNION ALL
+  SELECT stream_id, session, pts, j, slot, greatest(free, slot + 1) FROM (
+    SELECT stream_id, session, pts, j, free, CASE WHEN slot >= free + 90 OR slot < free - 90 THEN free ELSE slot END AS slot FROM (
+      SELECT f.stream_id, f.session, f.pts, f.j, s.free, s.slot + CAST(round((f.pts - s.pts) / 120000000.0) AS BIGINT) AS slot FROM s JOIN f ON f.stream_id = s.stream_id AND f.session = s.session AND f.j = s.j + 1)))
+SELECT stream_id, CAST(session AS BIGINT) AS session, max(slot) FILTER (WHERE slot >= 0) AS last_slot FROM s GROUP BY 1, 2"""
+
 QUERIES = {
     "frame_pairs": frame_pairs, "frame_pairs_pts": frame_pairs_pts, "frame_report": frame_report, "delay_report": delay_report, "pts_offset": pts_offset, "pts_sessions": pts_sessions,
     "av_sessions": av_sessions, "session_offsets": session_offsets, "display_ranks": display_ranks, "frame_slots": frame_slots, "sample_times": sample_times, "order_summary": order_summary,
@@ -306,4 +339,5 @@ SQL = {
     "sample_times": SAMPLES_SQL, "order_summary": SUMMARY_SQL, **{f"percentiles_{m}": percentiles_sql(m) for m in _INDEX}, "price_trend": TREND_SQL, "value_jitter": JITTER_SQL,
     "counter_deltas": DELTAS_SQL, "last_errors": ERRORS_SQL, "head_orders": HEAD_SQL, "last_purchase": ASOF_SQL, "clicks_near_errors": RANGE_SQL, "event_settings": SETTINGS_SQL,
     "stage_latency": STAGE_SQL, "clock_texts": CLOCK_SQL,
+    "av_sessions": AV_SQL, "session_offsets": OFFSETS_SQL, "frame_slots": SLOTS_SQL,
 }

@@ -1,4 +1,4 @@
-"""Every registered query runs on a small table folder; those with SQL give the SQL's rows."""
+"""Queries on a small table folder give the rows of their SQL."""
 
 import os
 
@@ -6,7 +6,8 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ("frame_pairs", "delay_report", "last_purchase", "clicks_near_errors", "cue_overlap", "emission_tails", "stale_drops", "soak", "event_counters", "percentiles_half_up", "word_gaps")
+NAMES = ("frame_pairs", "delay_report", "last_purchase", "clicks_near_errors", "cue_overlap", "emission_tails", "stale_drops", "soak", "event_counters", "percentiles_half_up", "word_gaps") + (
+    "av_sessions", "session_offsets", "frame_slots", "lane_states", "lane_quality", "routes", "pivots", "speech", "committed_words", "playlists", "master_playlists", "run_report")
 
 
 def rows(columns, values):
