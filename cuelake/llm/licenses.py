@@ -191,7 +191,7 @@ TEXTS = (
     ("copyright-notice", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?", "copyright", 0.3),
     ("open-source", r"open source license", "open source license", 0.4),
     ("open-source", r"licensed under an? (?:osi approved|open source) licen[cs]e", "licensed under ", 0.5),
-    ("dual-license", r"(?:dual|triple|multi) licensed under", " licensed under ", 0.5),
+    ("dual-license", r"(?:dual|triple) licensed under", " licensed under ", 0.5),
 )
 
 #: What stands before a name in "licensed under the terms of the ...".
