@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_mix_sources": ("mixing", "OP8_SQL"),
     "op9_pitman_yor": ("pitman_yor", None),
     "op10_decontaminate": ("decontaminate", "OP10_SQL"),
+    "op11_jaccard_join": ("jaccard", "OP11_SQL"),
     "op12_source_divergence": ("divergence", "OP12_SQL"),
     "op13_periodic_runs": ("periodic", None),
 }
