@@ -34,6 +34,8 @@ TERMS, NODES = 500_000, 1 << 20
 SLICE = 1 << 20
 #: Groups (language and source) whose totals are broadcast; more are joined by a shuffle, with the same result.
 BROADCAST_GROUPS = 100_000
+#: Entries of a row by which rows are dealt out in ranges.
+PREFIX = 3
 #: A-Z become a-z, the rest of ASCII white space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 _ONE_DOC = 1 << 44
@@ -192,7 +194,8 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     paths = cells.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("number", "p", "base"))).alias("path"))
     paths = paths.groupBy("lang", "path").agg(F.count("*").alias("times"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = paths.repartitionByRange(parts, "lang", "path").sortWithinPartitions("lang", "path").mapInArrow(_corrections, "lang string, a long, b long, value long")
+    begin = F.transform(F.slice("path", 1, PREFIX), lambda x: F.struct(x["number"], x["p"]))  # keeps the rows that are sampled for the ranges small
+    both = paths.repartitionByRange(parts, "lang", begin).sortWithinPartitions("lang", "path").mapInArrow(_corrections, "lang string, a long, b long, value long")
     value = single.unionByName(base).unionByName(both).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     ways = F.explode(F.array(F.struct(F.col("a").alias("g"), F.col("b").alias("h")), F.struct(F.col("b").alias("g"), F.col("a").alias("h")))).alias("w")
     name = lambda k, c: groups.select("lang", F.col("number").alias(k), F.col("source").alias(c))
