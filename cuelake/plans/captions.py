@@ -214,7 +214,23 @@ def turn_wer(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("ref"))
     pairs, _ = wer.ref_hyp_join(c, c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp")), ["conv_id", "turn"])
     out = wer.wer(pairs, ["conv_id"], kinds=True)
-    return out.select("conv_id", "utts", "edits", "n_ref", (F.col("sub") + F.col("del") + F.col("ins") == F.col("edits")).alias("kinds_agree"), F.round("wer", 6).alias("wer"))
+    return out.select("conv_id", "utts", "edits", "n_ref", "sub", "del", "ins", F.round("wer", 6).alias("wer"))
+
+
+#: The table of a pair a row at a time, packed as cost and deletions; steps add a fixed number, so insertions are a running
+#: minimum over the row.
+TURN_WER_SQL = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, text, list_filter(string_split_regex(regexp_replace(lower(nfc_normalize(text)), '[\p{P}\p{S}\p{C}]', ' ', 'g'), '\s+'), lambda x: x <> '') AS w FROM conversations),
+p AS MATERIALIZED (SELECT row_number() OVER () AS id, a.conv_id, a.w AS x, b.w AS y FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+      WHERE trim(a.text) <> '' AND len(a.w) > 0),
+r AS (SELECT id, 0 AS i, unnest(range(0, len(y) + 1)) AS j, unnest(list_transform(range(0, len(y) + 1), lambda j: j * 4294967296)) AS v FROM p
+      UNION ALL
+      SELECT id, i, j, min(t - j * 4294967296) OVER (PARTITION BY id ORDER BY j) + j * 4294967296
+      FROM (SELECT r.id, r.i + 1 AS i, r.j, least(v + 4294967297, CASE WHEN r.j > 0 THEN lag(v) OVER (PARTITION BY r.id ORDER BY r.j) + CASE WHEN p.x[r.i + 1] = p.y[r.j] THEN 0 ELSE 4294967296 END ELSE v + 4294967297 END) AS t
+            FROM r JOIN p USING (id) WHERE r.i < len(p.x))),
+k AS (SELECT p.conv_id, len(x) AS n, len(y) AS m, v >> 32 AS cost, v & 4294967295 AS gone FROM r JOIN p USING (id) WHERE i = len(x) AND j = len(y))
+SELECT conv_id, count(*) AS utts, CAST(sum(cost) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS n_ref, CAST(sum(cost - 2 * gone + n - m) AS BIGINT) AS sub, CAST(sum(gone) AS BIGINT) AS del,
+       CAST(sum(gone - n + m) AS BIGINT) AS ins, round(100.0 * sum(cost) / sum(n), 6) AS wer FROM k GROUP BY conv_id"""
 
 
 def missing_turns(spark, sf_dir):
@@ -753,7 +769,7 @@ QUERIES = {
     "event_feed": event_feed, "parsed_messages": parsed_messages, "turn_context": turn_context, "retimed_turns": retimed_turns,
 }
 SQL = {
-    "translation_deltas": DELTAS_SQL, "heartbeats": HEARTBEATS_SQL, "nearest_words": NEAREST_SQL, "revisions": REVISIONS_SQL, "vtt_bodies": VTT_SQL,
+    "turn_wer": TURN_WER_SQL, "translation_deltas": DELTAS_SQL, "heartbeats": HEARTBEATS_SQL, "nearest_words": NEAREST_SQL, "revisions": REVISIONS_SQL, "vtt_bodies": VTT_SQL,
     "cue_overlap": OVERLAP_SQL, "simple_cues": SIMPLE_SQL, "srt_round_trip": SRT_SQL, "playlist_round_trip": PLAYLIST_SQL, "emission_tails": EMISSION_SQL, "segment_ends": SEGMENT_ENDS_SQL, "clip_lags": CLIP_SQL,
     "caption_lag": LAG_NOW_SQL, "first_lines": FIRST_LINES_SQL, "missing_turns": MISSING_SQL, "fanout": FANOUT_SQL, "stale_drops": STALE_SQL, "lane_lags": LANE_LAG_SQL, "backlog": BACKLOG_SQL, "levels": LEVELS_SQL,
     "audio_frames": AUDIO_FRAMES_SQL, "mono": MONO_SQL, "outages": OUTAGES_SQL, "recoveries": RECOVERY_SQL, "token_words": TOKENS_SQL, "late_suffixes": LATE_SQL, "text_functions": TEXT_SQL, "folded_words": FOLD_SQL,

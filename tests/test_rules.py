@@ -3,6 +3,8 @@
 import random
 from difflib import get_close_matches
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as T
@@ -109,11 +111,35 @@ def test_loop_memory_begins_at_the_first_words_start():
     assert memory == [("b", 15.0), ("c", 46.0)]
 
 
-def test_edits_of_many_words():
+def plain_alignment(ref, hyp):
+    """(cost, deletions) of the cheapest alignment with the fewest deletions."""
+    row = [(j, 0) for j in range(len(hyp) + 1)]
+    for i, x in enumerate(ref, 1):
+        new = [(i, i)]
+        for j, y in enumerate(hyp, 1):
+            new.append(min((row[j - 1][0] + (x != y), row[j - 1][1]), (row[j][0] + 1, row[j][1] + 1), (new[j - 1][0] + 1, new[j - 1][1])))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("cells", [1, 40, 1 << 20])
+def test_alignments(monkeypatch, cells):
+    """Pairs of any length side by side, null lists as empty ones, in groups of few cells."""
+    monkeypatch.setattr(wer, "CELLS", cells)
     r = random.Random(4)
-    for _ in range(60):
-        a, b = ([r.choice("abcde") for _ in range(r.randint(0, 12))] for _ in range(2))
-        assert wer.count_edits(a, b) == sum(wer.align(a, b))
+    pairs = [tuple([r.choice("abcde") for _ in range(r.choice([0, 1, 5, 12, 30]))] for _ in range(2)) for _ in range(150)] + [([], []), (None, ["a"]), (["a"], None)]
+    refs, hyps = (pa.array(x, pa.list_(pa.string())) for x in zip(*pairs))
+    found = wer.align_pairs(refs, hyps)
+    assert [(int(x) >> wer.COST, int(x) % (1 << wer.COST)) for x in found] == [plain_alignment(a or [], b or []) for a, b in pairs]
+    assert len(wer.align_pairs(refs[:0], hyps[:0])) == 0 and wer.align_pairs(refs.slice(7, 9), hyps.slice(7, 9)).tolist() == found[7:16].tolist()
+
+
+def test_edits_and_kinds_agree(spark):
+    r = random.Random(5)
+    rows = [([r.choice("abcde") for _ in range(r.randint(0, 12))], [r.choice("abcde") for _ in range(r.randint(0, 12))]) for _ in range(40)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    for x in df.select("a", "b", wer.word_edits(F.col("a"), F.col("b")).alias("edits"), wer.many_edits(F.col("a"), F.col("b")).alias("many"), wer.edit_kinds(F.col("a"), F.col("b")).alias("k")).collect():
+        assert x.edits == x.many == x.k.sub + x.k["del"] + x.k.ins and x.k["del"] - x.k.ins == len(x.a) - len(x.b)
 
 
 def test_ordered_streams_cross_batches(spark):
