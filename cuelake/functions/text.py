@@ -71,6 +71,14 @@ def fold(c: Column) -> Column:
     return _replace(F.translate(F.lower(c), "".join(FOLDED.values()), "".join(k * len(v) for k, v in FOLDED.items())), FOLDED_TO_TWO)
 
 
+_FOLD_WORD = str.maketrans({x: k for k, letters in FOLDED.items() for x in letters} | dict(FOLDED_TO_TWO))
+
+
+def fold_word(word: str) -> str:
+    """:func:`fold` of one word in Python."""
+    return word.lower().translate(_FOLD_WORD)
+
+
 def tokens(c: Column) -> Column:
     """T4: runs of letters and numbers."""
     return F.regexp_extract_all(c, F.lit(f"[{ALNUM}]+"), F.lit(0))

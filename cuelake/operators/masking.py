@@ -1,13 +1,28 @@
-"""Word lists and masking."""
+"""Word lists and masking.
+
+Usable entries are folded words. Up to ``TRIE_ENTRIES`` of them (counted first) are broadcast and become a trie for each
+lane in every Python worker: edges are whole words, words with * are compiled alternatives beside them. A text's words
+are walked through it in place, from the positions whose word can begin an entry, and only the spots that are hit
+come back; texts are put together again by built-in functions. Longer lists are met by joins (:func:`list_match`).
+"""
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ALNUM, clean, entry_problem, fold, let, separators, tokens
+from ..functions.text import ALNUM, clean, entry_problem, fold, fold_word, let, separators, tokens
 
 STYLES = ("asterisks", "first_letter", "bleep", "drop")
+#: Entries that are broadcast at most.
+TRIE_ENTRIES = 200_000
+SPOTS = pa.list_(pa.struct([("i", pa.int32()), ("len", pa.int32())]))
 
 
 def compile_entries(lists: DataFrame) -> DataFrame:
@@ -22,6 +37,94 @@ def rejected_entries(lists: DataFrame) -> DataFrame:
     return lists.withColumn("problem", entry_problem(F.trim("entry"))).filter("problem is not null")
 
 
+class Trie:
+    """Entries of a lane by their words, to be looked up at a position of a text."""
+
+    def __init__(self):
+        self.words, self.globs, self.ends = [{}], [[]], [set()]
+
+    def add(self, pattern: list[str], kind: str) -> None:
+        at = 0
+        for word in pattern:
+            edges = self.words[at]
+            if word not in edges:
+                edges[word] = len(self.words)
+                if ".*" in word:
+                    self.globs[at].append((re.compile(word), edges[word]))
+                for column, empty in ((self.words, {}), (self.globs, []), (self.ends, set())):
+                    column.append(empty)
+            at = edges[word]
+        self.ends[at].add(kind)
+
+    def after(self, at: int, word: str) -> list[int]:
+        """The nodes that ``word`` leads to."""
+        exact = self.words[at].get(word)  # a word of a text has no *, so it never names a glob
+        return ([exact] if exact is not None else []) + [to for glob, to in self.globs[at] if glob.fullmatch(word)]
+
+    def spot(self, words: list[str], i: int, first: list[int]) -> int:
+        """How many words are masked at i: those of the longest blocked entry, unless as many are allowed; else 0."""
+        blocked, allowed, nodes, size = 0, set(), first, 1
+        while nodes:
+            kinds = set().union(*(self.ends[n] for n in nodes))
+            if "block" in kinds:
+                blocked = size
+            if "allow" in kinds:
+                allowed.add(size)
+            if i + size >= len(words):
+                break
+            nodes = [to for n in nodes for to in self.after(n, words[i + size])]
+            size += 1
+        return 0 if blocked in allowed else blocked
+
+
+#: The tries of the lists that this worker met last, by the name of the broadcast.
+_tries: dict[str, dict[str, Trie]] = {}
+
+
+def _tries_of(name: str, rows: list[tuple[str, str, list[str]]]) -> dict[str, Trie]:
+    if name not in _tries:
+        _tries.clear()
+        tries = _tries[name] = {}
+        for lang, kind, pattern in rows:
+            tries.setdefault(lang, Trie()).add(pattern, kind)
+    return _tries[name]
+
+
+def spots_in(tries: dict[str, Trie], langs: list[str], texts: pa.Array) -> pa.Array:
+    """For each array of words the masked ``(i, len)``, from left to right. Each different word is folded and looked up
+    at the root once for all texts."""
+    coded = pc.dictionary_encode(texts.flatten())
+    folded = [fold_word(w) for w in coded.dictionary.to_pylist()]
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    roots = {lang: [trie.after(0, w) for w in folded] for lang, trie in tries.items() if lang in set(langs)}
+    begins = {lang: np.array([bool(x) for x in first], bool) for lang, first in roots.items()}
+    out: list[list[dict]] = []
+    for lang, a, b in zip(langs, bounds[:-1].tolist(), bounds[1:].tolist()):
+        found: list[dict] = []
+        if lang in roots and b > a:
+            at = np.flatnonzero(begins[lang][codes[a:b]]).tolist()
+            words, free = [folded[k] for k in codes[a:b].tolist()] if at else [], 0
+            for i in at:
+                if i >= free and (n := tries[lang].spot(words, i, roots[lang][codes[a + i]])):
+                    found.append({"i": i, "len": n})
+                    free = i + n
+        out.append(found)
+    return pa.array(out, SPOTS)
+
+
+def spots(entries: DataFrame, lang: Column, words: Column) -> Column:
+    """``array<struct<i, len>>``: what is masked in an array of words, for ``entries(lang, list, pattern)`` that fit the driver."""
+    name = uuid.uuid4().hex
+    sent = entries.sparkSession.sparkContext.broadcast([(r.lang, r.list, list(r.pattern)) for r in entries.collect()])
+
+    @F.arrow_udf("array<struct<i: int, len: int>>")
+    def find(langs: pa.Array, texts: pa.Array) -> pa.Array:
+        return spots_in(_tries_of(name, sent.value), langs.to_pylist(), texts)
+
+    return find(lang, words)
+
+
 def list_match(words: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """``key, lang, list, i, len`` of entries that stand at word i (from 0) of ``words(key, lang, words)``.
 
@@ -41,21 +144,10 @@ def list_match(words: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     return found.filter((F.size("pattern") == 1) | whole).select(key, "lang", "list", "i", F.size("pattern").alias("len"))
 
 
-def tidy(c: Column) -> Column:
-    """Spaces that dropped words leave behind."""
-    return F.rtrim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "^ +", ""), " {2,}", " "), " ([,.!?;:])", "$1"))
-
-
-def mask_words(texts: DataFrame, lists: DataFrame, style: str = "asterisks", key: str = "id") -> DataFrame:
-    """``texts(key, lang, text)`` with listed words and phrases masked, and ``n_masked``.
-
-    At each word the longest entry of the block list counts. If exactly its words are on the allow list, one word is
-    passed over, and shorter entries aren't tried. Else the entry is masked and the words after it are next."""
-    if style not in STYLES:
-        raise ValueError(f"style is one of {STYLES}")
-    rows = texts.withColumns({"__t": tokens(F.col("text")), "__s": separators(F.col("text"))})
+def joined_spots(rows: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """``rows(key, lang, __t)`` with ``__m``, as :func:`spots` gives, by joins."""
     words = rows.select(key, "lang", F.transform("__t", fold).alias("words"))
-    hits = list_match(words, compile_entries(lists), key)
+    hits = list_match(words, entries, key)
     block = hits.filter("list = 'block'").groupBy(key, "i").agg(F.max("len").alias("len"))
     allow = hits.filter("list = 'allow'").select(key, "i", "len").distinct().withColumn("ok", F.lit(True))
     hits = block.join(allow, [key, "i", "len"], "left").filter("ok is null").select(key, "i", "len")
@@ -67,13 +159,32 @@ def mask_words(texts: DataFrame, lists: DataFrame, style: str = "asterisks", key
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<i:int,len:int>>").alias("spots"))
     take = lambda s, x: F.when(x["i"] >= s["next"], F.struct((x["i"] + x["len"]).alias("next"), F.concat(s["spots"], F.array(x)).alias("spots"))).otherwise(s)
     each = hits.groupBy(key, "island").agg(F.sort_array(F.collect_list(F.struct("i", "len"))).alias("h"))
-    spots = each.select(key, F.aggregate("h", start, take, lambda s: s["spots"]).alias("h")).groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("h"))).alias("__hits"))
-    out = rows.join(spots, key, "left").withColumn("__m", F.coalesce("__hits", F.array().cast("array<struct<i:int,len:int>>")))
+    found = each.select(key, F.aggregate("h", start, take, lambda s: s["spots"]).alias("h")).groupBy(key).agg(F.sort_array(F.flatten(F.collect_list("h"))).alias("__m"))
+    return rows.join(found, key, "left")
+
+
+def tidy(c: Column) -> Column:
+    """Spaces that dropped words leave behind."""
+    return F.rtrim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "^ +", ""), " {2,}", " "), " ([,.!?;:])", "$1"))
+
+
+def mask_words(texts: DataFrame, lists: DataFrame, style: str = "asterisks", key: str = "id") -> DataFrame:
+    """``texts(key, lang, text)`` with listed words and phrases masked, and ``n_masked``.
+
+    At each word the longest entry of the block list counts. If exactly its words are on the allow list, one word is
+    passed over, and shorter entries aren't tried. Else the entry is masked and the words after it are next."""
+    if style not in STYLES:
+        raise ValueError(f"style is one of {STYLES}")
+    entries = compile_entries(lists)
+    rows = texts.withColumn("__t", tokens(F.col("text")))
+    few = entries.count() <= TRIE_ENTRIES
+    out = rows.withColumn("__m", spots(entries, F.col("lang"), F.col("__t"))) if few else joined_spots(rows, entries, key)
+    out = out.withColumn("__m", F.coalesce("__m", F.array().cast("array<struct<i:int,len:int>>")))
     stars = lambda t: F.regexp_replace(t, f"[{ALNUM}]", "*")
 
-    def rebuilt(plain: Column, starred: Column) -> Column:
+    def rebuilt(plain: Column, starred: Column, s: Column) -> Column:
         """The text from its words with the separators before them, as they are and starred."""
-        m, s, n = F.col("__m"), F.col("__s"), F.size("__t")
+        m, n = F.col("__m"), F.size("__t")
         end = lambda k: F.coalesce(F.get(m, k)["i"] + F.get(m, k)["len"], F.lit(0))
         run = lambda words, a, z: F.array_join(F.slice(words, a + 1, z - a), "")
 
@@ -86,10 +197,11 @@ def mask_words(texts: DataFrame, lists: DataFrame, style: str = "asterisks", key
         parts = F.transform(m, lambda x, k: F.concat(run(plain, end(k - 1), x["i"]), F.get(s, x["i"]), hidden(x)))
         return F.concat(F.array_join(parts, ""), run(plain, end(F.size(m) - 1), n), F.get(s, n))
 
-    joined = lambda f: F.zip_with(F.slice("__s", 1, F.size("__t")), F.col("__t"), lambda s, t: F.concat(s, f(t)))
-    body = let(F.struct(joined(lambda t: t).alias("a"), joined(stars).alias("b")), lambda x: rebuilt(x["a"], x["b"]))
+    joined = lambda s, f: F.zip_with(F.slice(s, 1, F.size("__t")), F.col("__t"), lambda s, t: F.concat(s, f(t)))
+    with_gaps = lambda s: F.struct(s.alias("s"), joined(s, lambda t: t).alias("a"), joined(s, stars).alias("b"))
+    body = let(separators(F.col("text")), lambda s: let(with_gaps(s), lambda x: rebuilt(x["a"], x["b"], x["s"])))
     body = F.when(F.size("__m") == 0, F.col("text")).otherwise(tidy(body) if style == "drop" else body)
-    return out.withColumns({"text": body, "n_masked": F.size("__m").cast("long")}).drop("__t", "__s", "__m", "__hits")
+    return out.withColumns({"text": body, "n_masked": F.size("__m").cast("long")}).drop("__t", "__m")
 
 
 def text_for_lane(texts: DataFrame, lists: DataFrame, style: str = "asterisks", key: str = "id") -> DataFrame:

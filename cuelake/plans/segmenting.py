@@ -39,6 +39,32 @@ def mask_documents(style: str):
     return run
 
 
+_FOLD = f"replace(replace(replace(translate(lower(w), '{''.join(T.FOLDED.values())}', '{''.join(k * len(v) for k, v in T.FOLDED.items())}'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')"
+_SHOWN = {
+    "asterisks": ("repeat('*', length(t[i]))", "s[i] || repeat('*', length(t[i]))"),
+    "first_letter": ("t[i][1] || repeat('*', length(t[i]) - 1)", "s[i] || repeat('*', length(t[i]))"),
+    "bleep": ("'[bleep]'", "''"),
+    "drop": ("''", "''"),
+}
+
+
+def mask_sql(style: str) -> str:
+    """The word lists written out; no second word of a phrase begins another one."""
+    first, second = _SHOWN[style]
+    body = "array_to_string(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN i > 1 AND h[i - 1] = 2 THEN {b} WHEN h[i] > 0 THEN s[i] || {a} ELSE s[i] || t[i] END), '') || s[len(t) + 1]".format(a=first, b=second)
+    if style == "drop":
+        body = rf"rtrim(regexp_replace(regexp_replace(regexp_replace({body}, '^ +', ''), ' {{2,}}', ' ', 'g'), ' ([,.!?;:])', '\1', 'g'), ' ')"
+    return rf"""
+WITH d AS (SELECT doc_id, lang, text, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS t, string_split_regex(text, '[\p{{L}}\p{{N}}]+') AS s FROM documents),
+f AS (SELECT *, list_transform(t, lambda w: {_FOLD}) AS f FROM d),
+p AS (SELECT *, list_transform(range(1, len(f) + 1), lambda i: (lang = 'en' AND f[i] = 'of' AND f[i + 1] = 'the') OR (lang = 'fr' AND f[i] = 'de' AND f[i + 1] = 'la') OR (lang = 'de' AND f[i] = 'in' AND f[i + 1] = 'der')) AS p FROM f),
+h AS (SELECT *, list_transform(range(1, len(f) + 1), lambda i: CASE WHEN p[i] THEN 2 WHEN i > 1 AND p[i - 1] THEN 0
+        WHEN (lang = 'en' AND (f[i] = 'the' OR starts_with(f[i], 'ha')) AND f[i] <> 'hand') OR (lang = 'fr' AND (f[i] = 'le' OR starts_with(f[i], 'eau')) AND f[i] <> 'eaux')
+          OR (lang = 'de' AND (f[i] = 'die' OR starts_with(f[i], 'zu'))) OR (lang = 'es' AND (f[i] = 'el' OR starts_with(f[i], 'de'))) THEN 1 ELSE 0 END) AS h FROM p),
+n AS (SELECT *, coalesce(len(list_filter(h, lambda x: x > 0)), 0) AS n FROM h)
+SELECT doc_id, md5(CASE WHEN n = 0 THEN text ELSE {body} END) AS text_md5, CAST(n AS BIGINT) AS n_masked FROM n"""
+
+
 def guard_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the first words of turns as decoder segments."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean("text").alias("text"))
@@ -81,4 +107,4 @@ QUERIES = {
     "loops": loops,
     "word_gaps": word_gaps,
 }
-SQL = {"guard_segments": GUARD_SQL, "word_gaps": WORD_GAPS_SQL}
+SQL = {**{f"mask_{s}": mask_sql(s) for s in masking.STYLES}, "guard_segments": GUARD_SQL, "word_gaps": WORD_GAPS_SQL}
