@@ -27,15 +27,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import discard, documents, materialize, materialize_at
 from .components import connected_components
 from .words import hash_words, mix
 
 PERCENT, SHINGLE = 90, 3
 #: Counters of the sketch, and how many deviations above the mean make an n-gram frequent.
 SLOTS, NOISE = 1 << 18, 4
-#: Parts of a suffix; sizes count to 127.
-CELLS = 16
+#: Parts of a suffix; their sizes count to 255 and are the bytes of a long.
+CELLS = 8
 STARS = 2
 #: Classes of a block of an n-gram; documents' keys that are broadcast (more are joined by shuffle, with the same result).
 BLOCK, BROADCAST_KEYS = 1 << 14, 500_000
@@ -116,7 +116,7 @@ def prefix(s: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray
     part = lambda x: (x & np.uint64(CELLS - 1)).astype(np.int64)
     seen = np.cumsum(part(first)[:, None] == np.arange(CELLS), axis=0)
     left = np.bincount(part(s), minlength=CELLS) - seen
-    return first, np.minimum(left, 127).astype(np.int8)
+    return first, np.minimum(left, 255).astype(np.uint8).view("<i8").reshape(-1)
 
 
 def _prefixes(size: int, percent: int, classes: np.ndarray):
@@ -127,16 +127,14 @@ def _prefixes(size: int, percent: int, classes: np.ndarray):
             d, grams, sizes, lengths = [], [], [], []
             for s in shingle_sets(batch.column("text"), size):
                 d.append(digest(s))
-                first, left = prefix(s, classes, percent) if len(s) else (s, np.zeros((0, CELLS), np.int8))
+                first, left = prefix(s, classes, percent) if len(s) else (s, np.zeros(0, np.int64))
                 grams.append(first.view(np.int64))
                 sizes.append(left)
                 lengths.append(len(first))
             d = np.array(d, np.int64).reshape(-1, 2)
             ends = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
-            flat = np.concatenate(sizes).reshape(-1) if sizes else np.zeros(0, np.int8)
-            left = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, CELLS, dtype=np.int32)), pa.array(flat))
-            gram = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), gram, pa.ListArray.from_arrays(ends, left)], names=["key", "d1", "d2", "grams", "lefts"])
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in (grams, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), *lists], names=["key", "d1", "d2", "grams", "lefts"])
 
     return run
 
@@ -162,7 +160,8 @@ def may_link(one: str, two: str, percent: int) -> Column:
     need = F.ceil(F.lit(percent) * n / (100 + percent))
     lengths = 100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))
     positions = 1 + F.least(x("n") - x("pos") - 1, y("n") - y("pos") - 1) >= need
-    apart = F.aggregate(F.zip_with(x("left"), y("left"), lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, v: s + v)
+    cell = lambda c, k: F.shiftright(c, 8 * k).bitwiseAND(255)
+    apart = sum((F.abs(cell(x("left"), k) - cell(y("left"), k)) for k in range(1, CELLS)), F.abs(cell(x("left"), 0) - cell(y("left"), 0)))
     return lengths & positions & (x("pos") + y("pos") + apart <= n - 2 * need)
 
 
@@ -174,13 +173,13 @@ def block_pairs(n, pos, left, part, chunk, percent: int) -> tuple[np.ndarray, np
     across = chunk.min() != chunk.max()
     place = np.full(len(n), -1)
     place[look] = np.arange(len(look))
-    left = left.astype(np.int16)
+    left = np.ascontiguousarray(left).view(np.uint8).reshape(-1, CELLS).astype(np.int16)
     out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in look.tolist():
         total = n + n[i]
         need = -(-percent * total // (100 + percent))
         ok = (part != part[i]) & (place < place[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-        ok &= 1 + np.minimum(n - pos, n[i] - pos[i]) - 1 >= need
+        ok &= np.minimum(n - pos, n[i] - pos[i]) >= need
         if across:
             ok &= chunk != chunk[i]
         j = np.flatnonzero(ok)
@@ -202,13 +201,12 @@ def _blocks(percent: int):
             u, v = rows["node"][i], rows["node"][j]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
-        plain = ("gram", "a", "b", "node", "n", "pos", "part", "chunk")
+        columns = ("gram", "a", "b", "node", "n", "pos", "left", "part", "chunk")
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in plain}
-            rows["left"] = batch.column("left").flatten().to_numpy(zero_copy_only=False).reshape(-1, CELLS)
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
             if held:
                 rows = {c: np.concatenate((held[c], rows[c])) for c in rows}
             cut = np.flatnonzero((rows["gram"][1:] != rows["gram"][:-1]) | (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])) + 1
@@ -244,11 +242,12 @@ class Join:
         keys = F.broadcast(keys) if known.count() <= BROADCAST_KEYS else keys
         texts = self.docs.join(keys, F.col("key").eqNullSafe(F.col("__k")), "left_semi")
         sets = texts.mapInArrow(_sets(self.size), "d1 long, d2 long, grams array<bigint>")
-        sets = materialize(sets.join(known.select("node", "n", "d1", "d2"), ["d1", "d2"]).select("node", "n", "grams").dropDuplicates(["node"]), "candidate-sets")
+        sets, sets_at = materialize_at(sets.join(known.select("node", "n", "d1", "d2"), ["d1", "d2"]).select("node", "n", "grams").dropDuplicates(["node"]), "candidate-sets")
         one, two = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}")) for k in "uv")
         both = F.size(F.array_intersect("gu", "gv"))
         links = pairs.join(one, "u").join(two, "v").filter(100 * both >= self.percent * (F.col("nu") + F.col("nv") - both)).select("u", "v")
         links = materialize(links, "links")
+        discard(links.sparkSession, sets_at)
         self.links = links if self.links is None else self.links.unionByName(links)
         return not links.isEmpty()
 
@@ -297,6 +296,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     compared by 64-bit hashes of shingles."""
     if not 0 < percent <= 100 or size < 1:
         raise ValueError("percent is from 1 to 100, and size at least 1")
+    spark = docs.sparkSession
     given = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     kind = given.schema["key"].dataType.simpleString()
     seen = materialize(given.mapInArrow(_counter(size), f"key {kind}, n long, d1 long, d2 long, slot long, docs long"), "sets")
@@ -308,12 +308,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         counts[slot] = n
 
     # a row for each n-gram of a class's prefix that stands in another class's prefix too
-    made = given.mapInArrow(_prefixes(size, percent, frequency(counts)), f"key {kind}, d1 long, d2 long, grams array<bigint>, lefts array<array<tinyint>>")
+    made = given.mapInArrow(_prefixes(size, percent, frequency(counts)), f"key {kind}, d1 long, d2 long, grams array<bigint>, lefts array<bigint>")
     own = made.alias("m").join(classes.alias("c"), (F.col("m.d1") == F.col("c.d1")) & (F.col("m.d2") == F.col("c.d2")) & F.col("m.key").eqNullSafe(F.col("c.key")))
-    own = materialize(own.select("c.node", "c.n", "m.grams", "m.lefts"), "prefixes")
+    own, own_at = materialize_at(own.select("c.node", "c.n", "m.grams", "m.lefts"), "prefixes")
     each = own.select("node", "n", F.posexplode(F.arrays_zip("grams", "lefts")).alias("pos", "x")).select("node", "n", F.col("pos").cast("long").alias("pos"), F.col("x.grams").alias("gram"), F.col("x.lefts").alias("left"))
     shared = own.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram")
     each = materialize(each.join(shared, "gram"), "shared-prefixes")
+    discard(spark, own_at)
 
     join, parts = Join(given, classes, size, percent), None
     for k in range(stars):
