@@ -11,11 +11,14 @@ their prefixes (the first n - ceil(t n) + 1 in this order), so classes are joine
   parts, and all that stands before, are n-grams that only one of the two has.
 
 Each filter holds for the first n-gram that two alike sets share, so no link is lost. What passes is made distinct and
-verified once on the whole sets, which are made again from the texts of the classes concerned.
+held against signatures: the parities of the number of n-grams in as many parts of the hash as the set has n-grams, which differ
+in no more parts than the sets have n-grams apart. The rest is verified once on the whole sets, which are made again from
+the texts of the classes concerned.
 
 A group of thousands of near copies is not compared all with all: in star rounds each class meets one centre for each
 of its n-grams and sizes, verified links make components, and after that only classes of different components
-meet. N-grams in very many prefixes are cut into blocks; the largest component of such an n-gram isn't compared with itself.
+meet, with their signatures of ``BITS`` parts at hand. N-grams in very many prefixes are cut into blocks; the largest
+component of such an n-gram isn't compared with itself.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import discard, documents, materialize, materialize_at
 from .components import connected_components
@@ -37,6 +41,8 @@ SLOTS, NOISE = 1 << 18, 4
 #: Parts of a suffix; their sizes count to 255 and are the bytes of a long.
 CELLS = 8
 STARS = 2
+#: Parts of the smallest signature. Blocks of so few rows are looked at together.
+BITS, FEW = 256, 12
 #: Classes of a block of an n-gram; documents' keys that are broadcast (more are joined by shuffle, with the same result).
 BLOCK, BROADCAST_KEYS = 1 << 14, 500_000
 
@@ -119,22 +125,56 @@ def prefix(s: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray
     return first, np.minimum(left, 255).astype(np.uint8).view("<i8").reshape(-1)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Parities of the number of hashes in each of a power of two of parts, as bits; BITS parts at least."""
+    parts = max(BITS, 1 << (max(1, len(s)) - 1).bit_length())
+    odd = np.bincount(((s >> np.uint64(3)) & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A signature of so many bytes from a longer one."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def signatures_apart(u: bytes, v: bytes) -> int:
+    x, y = np.frombuffer(u, np.uint8), np.frombuffer(v, np.uint8)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+
+
+def _near_signatures(percent: int):
+    def run(batches: Iterator) -> Iterator:
+        """Rows (u, v, nu, nv, su, sv): those whose signatures aren't too far apart."""
+        import pyarrow as pa
+
+        for batch in batches:
+            u, v, nu, nv = (batch.column(c).to_numpy() for c in ("u", "v", "nu", "nv"))
+            most = nu + nv - 2 * -(-percent * (nu + nv) // (100 + percent))
+            apart = [signatures_apart(x, y) for x, y in zip(batch.column("su").to_pylist(), batch.column("sv").to_pylist())]
+            near = np.flatnonzero(np.array(apart, np.int64) <= most)
+            yield pa.RecordBatch.from_arrays([pa.array(u[near]), pa.array(v[near])], names=["u", "v"])
+
+    return run
+
+
 def _prefixes(size: int, percent: int, classes: np.ndarray):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            d, grams, sizes, lengths = [], [], [], []
+            d, grams, sizes, lengths, marks = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), size):
                 d.append(digest(s))
                 first, left = prefix(s, classes, percent) if len(s) else (s, np.zeros(0, np.int64))
                 grams.append(first.view(np.int64))
                 sizes.append(left)
                 lengths.append(len(first))
+                marks.append(signature(s))
             d = np.array(d, np.int64).reshape(-1, 2)
             ends = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in (grams, sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), *lists], names=["key", "d1", "d2", "grams", "lefts"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), *lists, pa.array(marks, pa.binary())], names=["key", "d1", "d2", "grams", "lefts", "signature"])
 
     return run
 
@@ -165,29 +205,49 @@ def may_link(one: str, two: str, percent: int) -> Column:
     return lengths & positions & (x("pos") + y("pos") + apart <= n - 2 * need)
 
 
-def block_pairs(n, pos, left, part, chunk, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of the rows of a block that pass the filters, of different components; rows of two chunks meet only
-    across. Rows of the largest component are met, but look for nobody."""
+def near_rows(rows: dict[str, np.ndarray], i, j, percent: int) -> np.ndarray:
+    """Which of the pairs of rows i and j (arrays, or one row and an array) pass the filters, in different components."""
+    n, pos = rows["n"], rows["pos"]
+    total = n[i] + n[j]
+    most = total - 2 * -(-percent * total // (100 + percent))
+    ok = (rows["part"][i] != rows["part"][j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+    ok &= 2 * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= total - most
+    at = np.flatnonzero(ok)
+    i, j = (i[at] if isinstance(i, np.ndarray) else i), j[at]
+    apart = np.abs(rows["left"][i].astype(np.int16) - rows["left"][j]).sum(axis=-1)
+    near = (pos[i] + pos[j] + apart <= most[at]) & (np.bitwise_count(rows["bits"][i] ^ rows["bits"][j]).sum(axis=-1) <= most[at])
+    ok[at] = near
+    return ok
+
+
+def block_pairs(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of the rows of a block that pass the filters; rows of two chunks meet only across. Rows of the largest
+    component are met, but look for nobody."""
+    part, chunk = rows["part"], rows["chunk"]
     names, size = np.unique(part, return_counts=True)
     look = np.flatnonzero(part != names[size.argmax()]) if len(names) > 1 else np.zeros(0, np.int64)
     across = chunk.min() != chunk.max()
-    place = np.full(len(n), -1)
+    place = np.full(len(part), -1)
     place[look] = np.arange(len(look))
-    left = np.ascontiguousarray(left).view(np.uint8).reshape(-1, CELLS).astype(np.int16)
     out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in look.tolist():
-        total = n + n[i]
-        need = -(-percent * total // (100 + percent))
-        ok = (part != part[i]) & (place < place[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-        ok &= np.minimum(n - pos, n[i] - pos[i]) >= need
-        if across:
-            ok &= chunk != chunk[i]
-        j = np.flatnonzero(ok)
-        if len(j):
-            apart = np.abs(left[j] - left[i]).sum(axis=1)
-            j = j[pos[j] + pos[i] + apart <= total[j] - 2 * need[j]]
-            out_i.append(np.full(len(j), i))
-            out_j.append(j)
+        j = np.flatnonzero((place < place[i]) & (chunk != chunk[i])) if across else np.flatnonzero(place < place[i])
+        j = j[near_rows(rows, i, j, percent)]
+        out_i.append(np.full(len(j), i))
+        out_j.append(j)
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def small_pairs(rows: dict[str, np.ndarray], block: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for all blocks of few rows at once (``block`` is the number of each row's block, -1 for others)."""
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, FEW):
+        i = np.flatnonzero((block[:-step] == block[step:]) & (block[step:] >= 0)) if step < len(block) else np.zeros(0, np.int64)
+        if not len(i):
+            break
+        i = i[near_rows(rows, i, i + step, percent)]
+        out_i.append(i)
+        out_j.append(i + step)
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
@@ -196,36 +256,47 @@ def _blocks(percent: int):
         """Rows sorted by gram, a, b; a block is all rows of one of these, at most two chunks."""
         import pyarrow as pa
 
-        def pairs(rows: dict) -> pa.RecordBatch:
-            i, j = block_pairs(*(rows[c] for c in ("n", "pos", "left", "part", "chunk")), percent)
+        def pairs(rows: dict, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
             u, v = rows["node"][i], rows["node"][j]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
-        columns = ("gram", "a", "b", "node", "n", "pos", "left", "part", "chunk")
+        def all_pairs(rows: dict, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+            sizes = np.diff(cuts)
+            few = sizes <= FEW
+            if few.any():
+                block = np.repeat(np.where(few & (sizes > 1), np.arange(len(sizes)), -1), sizes)
+                own = {c: x[cuts[0] : cuts[-1]] for c, x in rows.items()}
+                yield pairs(own, *small_pairs(own, block, percent))
+            for k in np.flatnonzero(~few).tolist():
+                own = {c: x[cuts[k] : cuts[k + 1]] for c, x in rows.items()}
+                yield pairs(own, *block_pairs(own, percent))
+
+        plain = ("gram", "a", "b", "node", "n", "pos", "part", "chunk")
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in plain}
+            rows["left"] = np.ascontiguousarray(batch.column("left").to_numpy(zero_copy_only=False)).view(np.uint8).reshape(-1, CELLS)
+            rows["bits"] = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
             if held:
                 rows = {c: np.concatenate((held[c], rows[c])) for c in rows}
             cut = np.flatnonzero((rows["gram"][1:] != rows["gram"][:-1]) | (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])) + 1
-            starts = [0, *cut.tolist()]
-            for s, e in zip(starts[:-1], starts[1:]):
-                if e - s > 1 and (out := pairs({c: x[s:e] for c, x in rows.items()})).num_rows:
-                    yield out
-            held = {c: x[starts[-1] :] for c, x in rows.items()}
-        if held and len(held["n"]) > 1:
-            yield pairs(held)
+            cuts = [0, *cut.tolist()]
+            yield from all_pairs(rows, cuts) if len(cuts) > 1 else ()
+            held = {c: x[cuts[-1] :] for c, x in rows.items()}
+        if held:
+            yield from all_pairs(held, [0, len(held["n"])])
 
     return run
 
 
 class Join:
-    """What the steps of one join share: ``docs(key, text)``, ``classes(node, key, n, d1, d2)``."""
+    """What the steps of one join share: ``docs(key, text)``, ``classes(node, key, n, d1, d2)``,
+    ``signatures(node, n, signature)``."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int):
-        self.docs, self.classes, self.size, self.percent = docs, classes, size, percent
+    def __init__(self, docs: DataFrame, classes: DataFrame, signatures: DataFrame, size: int, percent: int):
+        self.docs, self.classes, self.signatures, self.size, self.percent = docs, classes, signatures, size, percent
         self.links: DataFrame | None = None
         self.done: DataFrame | None = None
 
@@ -234,7 +305,9 @@ class Join:
         pairs = pairs.distinct()
         if self.done is not None:
             pairs = pairs.join(self.done, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "candidates")
+        one, two = (self.signatures.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("signature").alias(f"s{k}")) for k in "uv")
+        marked = pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "su", "sv")
+        pairs = materialize(marked.mapInArrow(_near_signatures(self.percent), "u long, v long"), "candidates")
         self.done = pairs if self.done is None else self.done.unionByName(pairs)
         nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         known = materialize(self.classes.join(nodes, "node", "left_semi").select("node", "key", "n", "d1", "d2"), "candidate-classes")
@@ -269,17 +342,25 @@ def _stars(rows: DataFrame, round_: int, percent: int) -> DataFrame:
     return found.select(F.least("x.node", "c.node").alias("u"), F.greatest("x.node", "c.node").alias("v"))
 
 
-def _rest(rows: DataFrame, percent: int) -> DataFrame:
+@F.arrow_udf(BinaryType())
+def shortest_signature(signatures):
+    """Signatures of BITS parts."""
+    import pyarrow as pa
+
+    return pa.array([folded(np.frombuffer(x, np.uint8), BITS // 8).tobytes() for x in signatures.to_pylist()], pa.binary())
+
+
+def _rest(rows: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Candidates (u, v) of different components, all of them."""
     counts = rows.groupBy("gram", "part").agg(F.count("*").alias("k"))
     mixed = counts.groupBy("gram").agg(F.max(F.struct("k", "part")).alias("most"), F.sum("k").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = mixed.select("gram", F.col("most.part").alias("main"), F.when(F.col("all") <= BLOCK, 0).otherwise(F.ceil(F.col("most.k") / BLOCK)).alias("d"), F.when(F.col("all") <= BLOCK, 1).otherwise(F.ceil((F.col("all") - F.col("most.k")) / BLOCK)).alias("m"))
-    rows = rows.join(mixed, "gram")
+    rows = rows.join(mixed, "gram").join(signatures.select("node", shortest_signature("signature").alias("bits")), "node")
     own = (F.col("part") == F.col("main")) & (F.col("d") > 0)
     h = F.xxhash64("node")
     rows = rows.withColumn("chunk", F.when(own, F.pmod(h, F.greatest("d", F.lit(1)))).otherwise(F.col("d") + F.pmod(h, F.col("m"))))
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(own, F.col("d")).otherwise(0), F.col("d") + F.col("m") - 1)))
-    rows = rows.select("gram", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node", "n", "pos", "left", "part", "chunk")
+    rows = rows.select("gram", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node", "n", "pos", "left", "bits", "part", "chunk")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "gram", "a", "b").sortWithinPartitions("gram", "a", "b").mapInArrow(_blocks(percent), "u long, v long")
 
@@ -308,20 +389,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         counts[slot] = n
 
     # a row for each n-gram of a class's prefix that stands in another class's prefix too
-    made = given.mapInArrow(_prefixes(size, percent, frequency(counts)), f"key {kind}, d1 long, d2 long, grams array<bigint>, lefts array<bigint>")
+    made = given.mapInArrow(_prefixes(size, percent, frequency(counts)), f"key {kind}, d1 long, d2 long, grams array<bigint>, lefts array<bigint>, signature binary")
     own = made.alias("m").join(classes.alias("c"), (F.col("m.d1") == F.col("c.d1")) & (F.col("m.d2") == F.col("c.d2")) & F.col("m.key").eqNullSafe(F.col("c.key")))
-    own, own_at = materialize_at(own.select("c.node", "c.n", "m.grams", "m.lefts"), "prefixes")
+    own, own_at = materialize_at(own.select("c.node", "c.n", "m.grams", "m.lefts", "m.signature"), "prefixes")
+    signatures = materialize(own.select("node", "n", "signature").dropDuplicates(["node"]), "signatures")
     each = own.select("node", "n", F.posexplode(F.arrays_zip("grams", "lefts")).alias("pos", "x")).select("node", "n", F.col("pos").cast("long").alias("pos"), F.col("x.grams").alias("gram"), F.col("x.lefts").alias("left"))
     shared = own.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram")
     each = materialize(each.join(shared, "gram"), "shared-prefixes")
     discard(spark, own_at)
 
-    join, parts = Join(given, classes, size, percent), None
+    join, parts = Join(given, classes, signatures, size, percent), None
     for k in range(stars):
         if not join.verify(_stars(_with_parts(each, parts), k, percent)):
             break
         parts = materialize(connected_components(join.links), "parts")
-    if join.verify(_rest(_with_parts(each, parts), percent)):
+    if join.verify(_rest(_with_parts(each, parts), signatures, percent)):
         parts = materialize(connected_components(join.links), "parts")
     named = _with_parts(classes, parts)
     least = named.groupBy("part").agg(F.min("key").alias("component_id"))

@@ -81,6 +81,11 @@ def test_null_and_repeated_keys(spark, make_docs):
     assert jaccard.jaccard_components(make_docs([])).count() == 0
 
 
+def rows(n, pos=None, left=None, bits=None, part=None, chunk=None):
+    k, zero = len(n), lambda x: np.zeros(len(n), np.int64) if x is None else np.array(x)
+    return {"n": np.array(n), "pos": zero(pos), "left": np.ascontiguousarray(zero(left)).view(np.uint8).reshape(k, 8), "bits": np.zeros((k, 4), np.uint64) if bits is None else np.stack(bits), "part": zero(part), "chunk": zero(chunk)}
+
+
 def test_filters_lose_no_link():
     """For every two sets that are alike, the first shared n-gram of both prefixes passes all filters."""
     r, classes = random.Random(3), np.random.default_rng(3).integers(0, 4, 1 << 8).astype(np.uint8)
@@ -97,8 +102,11 @@ def test_filters_lose_no_link():
         (a, left_a), (b, left_b) = (jaccard.prefix(np.array(sorted(s), np.uint64), classes, percent) for s in (x, y))
         shared = next(g for g in a if g in set(b.tolist()))
         i, j = a.tolist().index(shared), b.tolist().index(shared)
-        arrays = np.array([len(x), len(y)]), np.array([i, j]), np.array([left_a[i], left_b[j]]), np.array([1, 2]), np.array([0, 0])
-        assert len(jaccard.block_pairs(*arrays, percent)[0]) == 1
+        u, v = (jaccard.signature(np.array(sorted(t), np.uint64)) for t in (x, y))
+        bits = [np.frombuffer(jaccard.folded(np.frombuffer(t, np.uint8), 32).tobytes(), np.uint64) for t in (u, v)]
+        pair = rows(n=[len(x), len(y)], pos=[i, j], left=[left_a[i], left_b[j]], bits=bits, part=[1, 2])
+        assert len(jaccard.block_pairs(pair, percent)[0]) == len(jaccard.small_pairs(pair, np.zeros(2, np.int64), percent)[0]) == 1
+        assert jaccard.signatures_apart(u, v) <= len(x ^ y)
         met += 1
     assert met > 100
 
@@ -106,22 +114,25 @@ def test_filters_lose_no_link():
 def test_blocks_meet_every_pair_of_components():
     """Chunks and their pairs together give the pairs of one block."""
     g = np.random.default_rng(5)
-    n, part = np.full(60, 50), g.integers(0, 9, 60)
-    args = n, np.zeros(60, np.int64), np.zeros(60, np.int64), part
-    whole = {frozenset((i, j)) for i, j in zip(*map(np.ndarray.tolist, jaccard.block_pairs(*args, np.zeros(60), 90)))}
-    chunk, found = g.integers(0, 4, 60), set()
+    part, chunk, found = g.integers(0, 9, 60), g.integers(0, 4, 60), set()
+    expected = {frozenset((i, j)) for i in range(60) for j in range(i) if part[i] != part[j]}
+    pairs = lambda i, j, at: {frozenset((int(at[x]), int(at[y]))) for x, y in zip(i, j)}
+    assert pairs(*jaccard.block_pairs(rows([50] * 60, part=part), 90), range(60)) == expected
     for a in range(4):
         for b in range(a, 4):
-            rows = np.flatnonzero((chunk == a) | (chunk == b))
-            found |= {frozenset((int(rows[i]), int(rows[j]))) for i, j in zip(*jaccard.block_pairs(*(x[rows] for x in args), chunk[rows], 90))}
-    assert found == whole == {frozenset((i, j)) for i in range(60) for j in range(i) if part[i] != part[j]}
+            at = np.flatnonzero((chunk == a) | (chunk == b))
+            found |= pairs(*jaccard.block_pairs(rows([50] * len(at), part=part[at], chunk=chunk[at]), 90), at)
+    assert found == expected
+    block = np.repeat(np.arange(10), 6)
+    within = {p for p in expected if len({block[i] for i in p}) == 1 and 3 not in {block[i] for i in p}}
+    assert pairs(*jaccard.small_pairs(rows([50] * 60, part=part), np.where(block == 3, -1, block), 90), range(60)) == within
 
 
 def test_hot_grams_are_cut_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
-    rows = [(1, k, 50, 0, 0, 0 if k < 40 else k) for k in range(70)]
-    df = spark.createDataFrame(rows, "gram long, node long, n long, pos long, left long, part long")
-    found = {(r.u, r.v) for r in jaccard._rest(df, 90).collect()}
+    df = spark.createDataFrame([(1, k, 50, 0, 0, 0 if k < 40 else k) for k in range(70)], "gram long, node long, n long, pos long, left long, part long")
+    signatures = spark.createDataFrame([(k, bytearray(64)) for k in range(70)], "node long, signature binary")
+    found = {(r.u, r.v) for r in jaccard._rest(df, signatures, 90).collect()}
     assert found == {(u, v) for v in range(40, 70) for u in range(v)}
 
 
