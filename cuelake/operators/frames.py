@@ -10,6 +10,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..functions.times import TICKS, WRAP, pts_diff
 from .joins import asof_join
 from .ordered import run_ordered
+from .ranks import nearest, with_ranks
 from .stats import drift_ms_per_min, rank_percentiles
 
 NO_HASH = "0" * 16
@@ -83,11 +84,9 @@ def delay_report(pairs: DataFrame) -> DataFrame:
     """A1, A3, A4 of the delays of each stream."""
     w = Window.partitionBy("stream_id").orderBy("out_wall_ns", "out_seq")
     rows = pairs.withColumn("step", F.abs(F.col("delay_ms") - F.lag("delay_ms").over(w))).withColumn("at_s", (F.col("in_wall_ns") - F.min("in_wall_ns").over(Window.partitionBy("stream_id"))) / 1e9)
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY delay_ms)")
-    return rows.groupBy("stream_id").agg(
-        F.count("*").alias("n"), F.min("delay_ms").alias("min"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.max("delay_ms").alias("max"),
-        F.avg("delay_ms").alias("mean"), F.stddev_pop("delay_ms").alias("stddev"), F.coalesce(F.avg("step"), F.lit(0.0)).alias("mean_step"), drift_ms_per_min(F.col("delay_ms"), F.col("at_s")).alias("drift_ms_per_min"),
-    )
+    ranks = {"p50": nearest(0.5), "p95": nearest(0.95), "p99": nearest(0.99)}
+    plain = {"min": F.min("delay_ms"), "max": F.max("delay_ms"), "mean": F.avg("delay_ms"), "stddev": F.stddev_pop("delay_ms"), "mean_step": F.coalesce(F.avg("step"), F.lit(0.0)), "drift_ms_per_min": drift_ms_per_min(F.col("delay_ms"), F.col("at_s"))}
+    return with_ranks(rows, "delay_ms", ["stream_id"], ranks, plain).select("stream_id", "n", "min", "p50", "p95", "p99", "max", "mean", "stddev", "mean_step", "drift_ms_per_min")
 
 
 def unwrap_pts(rows: DataFrame, pts: str = "pts_90k", order: str = "seq") -> DataFrame:

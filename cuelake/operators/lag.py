@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_words, let, norm_word, word_eq
 from .joins import asof_join, range_join
+from .ranks import nearest, with_ranks
 from .stats import rank_percentiles
 
 
@@ -89,8 +90,9 @@ def utterance_appearance(utts: DataFrame, cues: DataFrame, pre: float = 1.0, max
 
 def lag_summary(lags: DataFrame) -> DataFrame:
     """Share of matched utterances, and a summary of the lags."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY lag_s)")
-    return lags.groupBy("stream_id").agg(F.count("*").alias("utterances"), F.count("lag_s").alias("matched"), (100.0 * F.count("lag_s") / F.count("*")).alias("percent"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), F.max("lag_s").alias("max"))
+    plain = {"utterances": F.count("*"), "percent": 100.0 * F.count("lag_s") / F.count("*"), "max": F.max("lag_s")}
+    out = with_ranks(lags, "lag_s", ["stream_id"], {"p50": nearest(0.5), "p95": nearest(0.95)}, plain)
+    return out.select("stream_id", "utterances", F.col("n").alias("matched"), "percent", "p50", "p95", "max")
 
 
 def caption_lag_now(arrivals: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import in_caption_charset, split_sentences
+from .ranks import nearest, with_ranks
 from .stats import rank_percentiles
 
 SCRIPT = ("the", "quick", "brown", "fox", "jumps", "over")
@@ -127,11 +128,11 @@ def rtf(runs: DataFrame) -> DataFrame:
 def soak_blocks(rows: DataFrame, value: str, at: str, minutes: int = 10, counters: list[str] = (), sessions: str | None = None) -> DataFrame:
     """Per stream and block of time n, p50, p99 and max of ``value``, its first and last, growth of counters, and
     the number of sessions."""
-    block = F.window(at, f"{minutes} minutes")["start"].alias("block")
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)")
-    more = [(F.max(c) - F.min(c)).alias(f"{c}_delta") for c in counters]
-    more += [F.count_distinct(sessions).alias("sessions")] if sessions else []
-    return rows.groupBy("stream_id", block).agg(F.count("*").alias("n"), rank(0.5).alias("p50"), rank(0.99).alias("p99"), F.max(value).alias("max"), F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"), *more)
+    blocks = rows.withColumn("block", F.window(at, f"{minutes} minutes")["start"])
+    more = {f"{c}_delta": F.max(c) - F.min(c) for c in counters} | ({"sessions": F.count_distinct(sessions)} if sessions else {})
+    plain = {"rows": F.count("*"), "max": F.max(value), "first": F.min_by(value, at), "last": F.max_by(value, at), **more}
+    out = with_ranks(blocks, value, ["stream_id", "block"], {"p50": nearest(0.5), "p99": nearest(0.99)}, plain)
+    return out.select("stream_id", "block", F.col("rows").alias("n"), "p50", "p99", "max", "first", "last", *more)
 
 
 def junk_rate(emitted: DataFrame, by: list[str], text: str = "text") -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import nearest, with_ranks
+
 
 def summary(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """A1: n, min, p50, p95, p99, max, mean, stddev per key; all 0 without rows. Percentiles are of rank
     ceil(p n)."""
     v = F.col(value).cast("double")
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CAST(`{value}` AS DOUBLE))")
-    parts = {"min": F.min(v), "p50": rank(0.5), "p95": rank(0.95), "p99": rank(0.99), "max": F.max(v), "mean": F.avg(v), "stddev": F.stddev_pop(v)}
-    return df.groupBy(*by).agg(F.count(v).alias("n"), *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in parts.items()])
+    plain = {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "stddev": F.stddev_pop(v)}
+    out = with_ranks(df, value, list(by), {"p50": nearest(0.5), "p95": nearest(0.95), "p99": nearest(0.99)}, plain)
+    return out.select(*by, "n", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("min", "p50", "p95", "p99", "max", "mean", "stddev")])
 
 
 def rank_index(method: str, p: float, n: Column) -> Column:
@@ -30,9 +32,7 @@ def rank_index(method: str, p: float, n: Column) -> Column:
 def rank_percentiles(df: DataFrame, value: str, by: list[str], method: str, ps: dict[str, float]) -> DataFrame:
     """A2: one column for each of ``ps`` (name: p), by one of five rules; null values don't count."""
     rows = df.filter(F.col(value).isNotNull())
-    w = Window.partitionBy(*by)
-    rows = rows.select(*by, F.col(value).cast("double").alias("__v"), (F.row_number().over(w.orderBy(value)) - 1).alias("__i"), F.count("*").over(w).alias("__n"))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.max(F.when(F.col("__i") == rank_index(method, p, F.col("__n")), F.col("__v"))).alias(k) for k, p in ps.items()])
+    return with_ranks(rows, value, by, {k: (p, lambda n, p=p: rank_index(method, p, n)) for k, p in ps.items()})
 
 
 def slope(y: Column, x: Column) -> Column:
