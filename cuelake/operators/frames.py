@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..sources.staging import staged
 from ..functions.times import TICKS, WRAP, pts_diff
 from .joins import asof_join
 from .ordered import run_ordered
@@ -48,7 +49,7 @@ def pts_offset_mode(pairs: DataFrame) -> DataFrame:
 def match_frames(inputs: DataFrame, outputs: DataFrame, offset: int | None = None) -> DataFrame:
     """J2, auto: hash pairs of a stream if they cover half of its outputs, else PTS pairs with the forced offset, the
     offset of its hash pairs, or 0. ``method`` says which."""
-    by_hash = match_frames_hash(inputs, outputs)
+    by_hash = staged(match_frames_hash(inputs, outputs), "hash-pairs")
     n_out = outputs.groupBy("stream_id").agg(F.count("*").alias("n_out"))
     use = n_out.join(by_hash.groupBy("stream_id").agg(F.count("*").alias("n")), "stream_id", "left")
     use = use.select("stream_id", (F.coalesce(2 * F.col("n") >= F.col("n_out"), F.lit(False))).alias("use_hash"))
@@ -67,6 +68,7 @@ def skip_warmup(pairs: DataFrame, seconds: float) -> DataFrame:
 
 def match_report(inputs: DataFrame, outputs: DataFrame, pairs: DataFrame) -> DataFrame:
     """A5: per stream matched pairs, frames without a match in the time that both taps saw, inputs matched twice."""
+    pairs = staged(pairs.select("stream_id", "in_seq", "out_seq"), "pairs")
     span = lambda df, k: df.groupBy("stream_id").agg(F.min("wall_ns").alias(f"{k}0"), F.max("wall_ns").alias(f"{k}1"))
     both = span(inputs, "i").join(span(outputs, "o"), "stream_id").select("stream_id", F.greatest("i0", "o0").alias("low"), F.least("i1", "o1").alias("high"))
 

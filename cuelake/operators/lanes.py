@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..sources.staging import staged
 from .joins import state_asof
 from .ordered import run_ordered
 
@@ -162,17 +165,31 @@ def pivot_plan(requests: DataFrame, routes: DataFrame) -> DataFrame:
 
 def merge_catalogue(builtin: DataFrame, user: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The catalogue with user rows (which replace by id or add), and the user rows that were skipped, with why.
-    Rows have id, source, targets, variant_of, position. A variant of a row that isn't there goes too, until none is."""
+    Rows have id, source, targets, variant_of, position. A user row whose variant isn't there goes, and so does
+    one whose variant went, along chains of any length; rows that are each other's variants stay."""
     bad = user.withColumn("reason", F.when(F.col("id").isNull() | (F.trim("id") == ""), "no id").when(F.col("source").isNull(), "no source").when(F.size(F.coalesce("targets", F.array().cast("array<string>"))) == 0, "no targets"))
     first = Window.partitionBy("id").orderBy("position")
-    ok = bad.filter("reason is null").withColumn("__k", F.row_number().over(first))
-    skipped = bad.filter("reason is not null").unionByName(ok.filter("__k > 1").drop("__k").withColumn("reason", F.lit("duplicate id")))
+    ok = staged(bad.filter("reason is null").withColumn("__k", F.row_number().over(first)), "user-models")
     mine = ok.filter("__k = 1").drop("__k", "reason")
-    rows = builtin.join(mine.select("id"), "id", "left_anti").unionByName(mine)
-    for _ in range(16):  # chains of variants are short; each pass removes one level
-        ids = rows.select(F.col("id").alias("variant_of"))
-        lost = rows.filter("variant_of is not null").join(ids, "variant_of", "left_anti")
-        if lost.isEmpty():
-            break
-        rows = rows.join(lost.select("id"), "id", "left_anti")
-    return rows, skipped
+    kept = builtin.join(mine.select("id"), "id", "left_anti")
+    gone = staged(without_variant(mine, kept), "lost-variants")
+    reasons = [(bad.filter("reason is not null"), None), (ok.filter("__k > 1").drop("__k"), "duplicate id"), (mine.join(gone, "id", "left_semi").withColumn("reason", F.lit(None).cast("string")), "unknown variant")]
+    skipped = reduce(lambda a, b: a.unionByName(b), [df if why is None else df.withColumn("reason", F.lit(why)) for df, why in reasons])
+    return kept.unionByName(mine.join(gone, "id", "left_anti")), skipped
+
+
+def without_variant(mine: DataFrame, others: DataFrame) -> DataFrame:
+    """The ids of ``mine`` whose chain of variants leads to an id that is in neither table. Pointer jumping: each round a row
+    takes what is known of the row that it points to, or points to where that one does, so a chain of n rows takes
+    log2(n) rounds; each is written, and rows that point in a circle are left over when nothing new is known."""
+    known = mine.select("id").withColumn("own", F.lit(True)).unionByName(others.select("id").withColumn("own", F.lit(False)))
+    to = mine.select("id", F.col("variant_of").alias("to")).join(known.select(F.col("id").alias("to"), "own"), "to", "left")
+    lost = F.when(F.col("to").isNull() | ~F.col("own"), False).when(F.col("own").isNull(), True)
+    rows = staged(to.select("id", "to", lost.alias("lost")), "variants")
+    left = None
+    while (now := rows.filter("lost is null").count()) not in (0, left):
+        left = now
+        next_ = rows.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("lost").alias("known"))
+        open_ = rows.filter("lost is null").drop("lost").join(next_, "to").select("id", F.coalesce("further", "to").alias("to"), F.col("known").alias("lost"))
+        rows = staged(rows.filter("lost is not null").unionByName(open_), "variants")
+    return rows.filter("lost").select("id")

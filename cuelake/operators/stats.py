@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .ranks import nearest, with_ranks
 
 
@@ -61,9 +62,15 @@ def next_start_as_end(df: DataFrame, by: list[str], order: list[str], start: str
     return df.withColumn(end, F.coalesce(F.lead(start).over(Window.partitionBy(*by).orderBy(*order)), F.col(start)))
 
 
-def previous_context(df: DataFrame, n: int, order: list[str], doc: str = "doc", text: str = "text") -> DataFrame:
-    """``context``, the texts of up to n rows before in the same document."""
-    return df.withColumn("context", F.collect_list(text).over(Window.partitionBy(doc).orderBy(*order).rowsBetween(-n, -1)))
+def previous_context(df: DataFrame, n: int, order: list[str], doc: str = "doc", text: str = "text", by: list[str] | None = None) -> DataFrame:
+    """``context``, the texts of up to n rows before in the same stretch of rows of one document. ``by`` names the files
+    whose rows stand in order; without it each document is a file."""
+    w = Window.partitionBy(*(by or [doc])).orderBy(*order)
+    near = F.collect_list(F.struct(F.col(doc).alias("doc"), F.col(text).alias("text"))).over(w.rowsBetween(-n, -1))
+    # from the nearest row back: rows count until one is of another document
+    step = lambda s, x: F.when(s["on"] & x["doc"].eqNullSafe(F.col(doc)), F.struct(F.lit(True).alias("on"), F.concat(F.array(x["text"]), s["texts"]).alias("texts"))).otherwise(F.struct(F.lit(False).alias("on"), s["texts"].alias("texts")))
+    start = F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("texts"))
+    return df.withColumn("context", F.aggregate(F.reverse(near), start, step, lambda s: s["texts"]))
 
 
 def last_words(df: DataFrame, n: int, by: list[str], order: list[str], word: str = "text") -> DataFrame:
@@ -112,22 +119,27 @@ def missing_ids(expected: DataFrame, found: DataFrame, by: list[str]) -> DataFra
     return expected.join(found.select(*by).distinct(), by, "left_anti")
 
 
-def json_paths(df: DataFrame, by: list[str], column: str, depth: int = 4) -> DataFrame:
-    """Leaves of a JSON object as ``path, value``; lists are leaves."""
-    level = df.select(*by, F.lit("").alias("path"), F.col(column).alias("value"))
+def json_paths(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """Leaves of a JSON object as ``path, value, json`` (text, and JSON with sorted keys); lists and empty objects are leaves. Each
+    level is written, down to the deepest one; null and broken JSON has no leaves."""
+    level = df.select(*by, F.lit("").alias("path"), F.to_json(F.try_parse_json(column)).alias("json")).filter(F.col("json").like('{"%'))
     leaves = None
-    for k in range(depth):
-        fields = level.select(*by, "path", F.explode(F.from_json("value", "map<string,string>")).alias("k", "value"))
-        fields = fields.select(*by, F.concat(F.col("path"), F.when(F.col("path") == "", "").otherwise("."), F.col("k")).alias("path"), "value")
-        inner = F.col("value").rlike(r"^\s*\{") if k < depth - 1 else F.lit(False)
-        done = fields.filter(~F.coalesce(inner, F.lit(False)))
+    while True:
+        exploded = level.select(*by, F.col("path").alias("__p"), F.parse_json("json").alias("v")).lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        path = F.concat("__p", F.when(F.col("__p") == "", "").otherwise("."), "key")
+        own = staged(exploded.select(*by, path.alias("path"), F.to_json("value").alias("json")), "json-level")
+        inner = F.col("json").like('{"%')
+        text = F.when(F.col("json").like('"%'), F.variant_get(F.parse_json("json"), "$", "string")).otherwise(F.col("json"))
+        done = own.filter(~inner).withColumn("value", text)
         leaves = done if leaves is None else leaves.unionByName(done)
-        level = fields.filter(inner)
-    return leaves
+        level = own.filter(inner)
+        if level.isEmpty():
+            return leaves
 
 
 def changed_settings(before: DataFrame, after: DataFrame, by: list[str], column: str = "settings") -> DataFrame:
-    """Dotted paths whose value differs between two JSON objects."""
-    a = json_paths(before, by, column).withColumnRenamed("value", "old")
-    b = json_paths(after, by, column).withColumnRenamed("value", "new")
-    return a.join(b, [*by, "path"], "full").filter(~F.col("old").eqNullSafe(F.col("new")))
+    """Dotted paths whose value differs between two JSON objects, at any depth; the order of keys doesn't matter, a null
+    is the same as no value."""
+    side = lambda df, name: json_paths(df, by, column).filter("json <> 'null'").withColumnsRenamed({"value": name, "json": f"__{name}"})
+    both = side(before, "old").join(side(after, "new"), [*by, "path"], "full")
+    return both.filter(~F.col("__old").eqNullSafe(F.col("__new"))).drop("__old", "__new")

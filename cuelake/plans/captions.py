@@ -621,6 +621,39 @@ def turn_context(spark, sf_dir):
     return stats.previous_context(c, 2, ["turn"]).select("doc", "turn", F.md5(F.array_join("context", "|")).alias("context_md5"))
 
 
+def catalogue(spark, sf_dir):
+    """Parts as models. User models are variants of the one before, in chains that begin at a model that isn't there."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("position"), F.lit("en").alias("source"), F.when(F.col("p_partkey") % 50 > 0, F.array(F.lit("de"))).alias("targets"))
+    name = lambda c: F.concat(F.lit("m"), c)
+    k = F.col("position")
+    base = p.filter("position % 5 = 0").select(name(k).alias("id"), "source", F.array(F.lit("de")).alias("targets"), F.when(k % 10 == 0, name(k + 1)).alias("variant_of"), "position")
+    user = p.filter("position % 3 > 0").select(name(k).alias("id"), "source", "targets", F.when(k % 40 > 1, name(k - 1 - (k % 3 == 1).cast("int"))).otherwise(F.when(k % 40 == 1, F.lit("nothing"))).alias("variant_of"), "position")
+    rows, skipped = lanes.merge_catalogue(base, user)
+    return rows.select("id", "variant_of", F.lit(None).cast("string").alias("reason")).unionByName(skipped.select("id", "variant_of", "reason"))
+
+
+CATALOGUE_SQL = """
+WITH RECURSIVE p AS (SELECT p_partkey AS k FROM part),
+u AS (SELECT 'm' || k AS id, CASE WHEN k % 40 > 1 THEN 'm' || (k - 1 - CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END) WHEN k % 40 = 1 THEN 'nothing' END AS variant_of, k % 50 = 0 AS bad FROM p WHERE k % 3 > 0),
+b AS (SELECT 'm' || k AS id, CASE WHEN k % 10 = 0 THEN 'm' || (k + 1) END AS variant_of FROM p WHERE k % 5 = 0 AND NOT EXISTS (SELECT 1 FROM u WHERE u.id = 'm' || k AND NOT bad)),
+o AS (SELECT id, variant_of FROM u WHERE NOT bad),
+g AS (SELECT id FROM o WHERE variant_of IS NOT NULL AND variant_of NOT IN (SELECT id FROM o UNION ALL SELECT id FROM b)
+      UNION SELECT o.id FROM o JOIN g ON o.variant_of = g.id)
+SELECT id, variant_of, NULL AS reason FROM b UNION ALL SELECT id, variant_of, CASE WHEN id IN (SELECT id FROM g) THEN 'unknown variant' END FROM o
+UNION ALL SELECT id, variant_of, 'no targets' FROM u WHERE bad"""
+
+
+def source_context(spark, sf_dir):
+    """In each language's documents, in order, the three before of the same source, back to the first other one."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.floor(F.col("doc_id") * 7 % 23 / 8).alias("doc"), F.md5("text").alias("text"))
+    return stats.previous_context(d, 3, ["doc_id"], by=["lang"]).select("doc_id", F.array_join("context", "|").alias("context"))
+
+
+SOURCE_CONTEXT_SQL = """
+WITH d AS (SELECT doc_id, lang, md5(text) AS h, doc_id * 7 % 23 // 8 AS doc FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - row_number() OVER (PARTITION BY lang, doc ORDER BY doc_id) AS stretch FROM d)
+SELECT doc_id, coalesce(string_agg(h, '|') OVER (PARTITION BY lang, doc, stretch ORDER BY doc_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS context FROM n"""
+
 CONTEXT_SQL = """
 SELECT conv_id AS doc, turn, md5(coalesce(string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '')) AS context_md5 FROM conversations"""
 
@@ -766,13 +799,13 @@ QUERIES = {
     "audio_frames": audio_frames, "mono": mono, "speech": speech, "outages": outages, "heartbeats": heartbeats, "recoveries": recoveries, "committed_words": committed_words, "revisions": revisions,
     "token_words": token_words, "late_suffixes": late_suffixes, "text_functions": text_functions, "folded_words": folded_words, "cleaned_texts": cleaned_texts, "joined_words": joined_words,
     "charsets": charsets, "language_names": language_names, "run_report": run_report, "failure_labels": failure_labels, "translated": translated, "soak": soak, "run_table": run_table,
-    "event_feed": event_feed, "parsed_messages": parsed_messages, "turn_context": turn_context, "retimed_turns": retimed_turns,
+    "event_feed": event_feed, "parsed_messages": parsed_messages, "turn_context": turn_context, "source_context": source_context, "catalogue": catalogue, "retimed_turns": retimed_turns,
 }
 SQL = {
     "turn_wer": TURN_WER_SQL, "translation_deltas": DELTAS_SQL, "heartbeats": HEARTBEATS_SQL, "nearest_words": NEAREST_SQL, "revisions": REVISIONS_SQL, "vtt_bodies": VTT_SQL,
     "cue_overlap": OVERLAP_SQL, "simple_cues": SIMPLE_SQL, "srt_round_trip": SRT_SQL, "playlist_round_trip": PLAYLIST_SQL, "emission_tails": EMISSION_SQL, "segment_ends": SEGMENT_ENDS_SQL, "clip_lags": CLIP_SQL,
     "caption_lag": LAG_NOW_SQL, "first_lines": FIRST_LINES_SQL, "missing_turns": MISSING_SQL, "fanout": FANOUT_SQL, "stale_drops": STALE_SQL, "lane_lags": LANE_LAG_SQL, "backlog": BACKLOG_SQL, "levels": LEVELS_SQL,
     "audio_frames": AUDIO_FRAMES_SQL, "mono": MONO_SQL, "outages": OUTAGES_SQL, "recoveries": RECOVERY_SQL, "token_words": TOKENS_SQL, "late_suffixes": LATE_SQL, "text_functions": TEXT_SQL, "folded_words": FOLD_SQL,
-    "joined_words": JOINED_SQL, "language_names": NAMES_SQL, "soak": SOAK_SQL, "run_table": RUN_TABLE_SQL, "event_feed": FEED_SQL, "parsed_messages": MESSAGES_SQL, "turn_context": CONTEXT_SQL, "retimed_turns": RETIMED_SQL,
+    "joined_words": JOINED_SQL, "language_names": NAMES_SQL, "soak": SOAK_SQL, "run_table": RUN_TABLE_SQL, "event_feed": FEED_SQL, "parsed_messages": MESSAGES_SQL, "turn_context": CONTEXT_SQL, "source_context": SOURCE_CONTEXT_SQL, "catalogue": CATALOGUE_SQL, "retimed_turns": RETIMED_SQL,
     "speech": SPEECH_SQL, "lane_states": LANE_STATES_SQL, "lane_quality": LANE_QUALITY_SQL, "routes": ROUTES_SQL, "pivots": PIVOTS_SQL, "committed_words": COMMITTED_SQL, "playlists": PLAYLISTS_SQL, "master_playlists": MASTER_SQL, "run_report": RUN_REPORT_SQL, "charsets": CHARSETS_SQL,
 }

@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_path, staged  # noqa: F401  for the queries
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="cuelake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as a table and read back: for what is costly and used more than once."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``stream_id, seq, text, start_ms, end_ms, arrival_ms``: a stream for each conversation."""
     each = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), "turn", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "text"))

@@ -61,7 +61,8 @@ def delay_report(spark, sf_dir):
     """F9, A1, A3, A4."""
     pairs = frames.skip_warmup(frames.match_frames_hash(*taps(spark, sf_dir)), 60)
     out = frames.delay_report(pairs)
-    return out.select("stream_id", "n", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+    level = F.when(F.abs("drift_ms_per_min") < 5e-7, 0.0).otherwise(F.round("drift_ms_per_min", 6)).alias("drift_ms_per_min")  # no sign on a zero
+    return out.select("stream_id", "n", *[F.round(c, 6).alias(c) for c in out.columns[2:-1]], level)
 
 
 DELAY_SQL = f"""
@@ -70,7 +71,7 @@ p AS (SELECT o.stream_id, o.seq, o.wall_ns AS ow, i.wall_ns AS iw, (o.wall_ns -
 f AS (SELECT * FROM (SELECT *, min(iw) OVER (PARTITION BY stream_id) AS f0 FROM p) WHERE iw >= f0 + 60000000000),
 s AS (SELECT *, abs(d - lag(d) OVER (PARTITION BY stream_id ORDER BY ow, seq)) AS step, (iw - min(iw) OVER (PARTITION BY stream_id)) / 1e9 AS at_s FROM f)
 SELECT stream_id, count(*) AS n, round(min(d), 6) AS min, round(quantile_disc(d, 0.5), 6) AS p50, round(quantile_disc(d, 0.95), 6) AS p95, round(quantile_disc(d, 0.99), 6) AS p99,
-       round(max(d), 6) AS max, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS stddev, round(coalesce(avg(step), 0), 6) AS mean_step, round(regr_slope(d, at_s) * 60, 6) AS drift_ms_per_min
+       round(max(d), 6) AS max, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS stddev, round(coalesce(avg(step), 0), 6) AS mean_step, CASE WHEN abs(regr_slope(d, at_s) * 60) < 5e-7 THEN 0 ELSE round(regr_slope(d, at_s) * 60, 6) END AS drift_ms_per_min
 FROM s GROUP BY 1"""
 
 

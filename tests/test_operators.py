@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,7 +167,17 @@ def test_catalogue(spark):
     base = spark.createDataFrame([("a", "en", ["de"], None, 0), ("b", "en", ["fr"], "a", 1)], kind)
     user = spark.createDataFrame([("a", "en", ["es"], "zzz", 0), ("c", "en", [], None, 1)], kind)
     rows, skipped = lanes.merge_catalogue(base, user)
-    assert rows.count() == 0 and [r.reason for r in skipped.collect()] == ["no targets"]
+    assert [(r.id, r.variant_of) for r in rows.collect()] == [("b", "a")]  # only a user's models go
+    assert sorted((r.id, r.reason) for r in skipped.collect()) == [("a", "unknown variant"), ("c", "no targets")]
+
+
+def test_chains_of_variants(spark):
+    """A chain of 1,000, one that ends well, and a circle."""
+    kind = "id string, source string, targets array<string>, variant_of string, position long"
+    rows = [(f"x{k}", "en", ["de"], f"x{k - 1}", k) for k in range(1, 1001)] + [(f"y{k}", "en", ["de"], f"y{k - 1}" if k else "base", k) for k in range(300)] + [("p", "en", ["de"], "q", 0), ("q", "en", ["de"], "p", 1), ("r", "en", ["de"], "q", 2)]
+    kept, skipped = lanes.merge_catalogue(spark.createDataFrame([("base", "en", ["de"], None, 0)], kind), spark.createDataFrame(rows, kind))
+    assert {r.id for r in kept.collect()} == {"base", "p", "q", "r"} | {f"y{k}" for k in range(300)}
+    assert {r.id for r in skipped.collect()} == {f"x{k}" for k in range(1, 1001)}
 
 
 def test_word_errors(spark):
@@ -205,6 +217,27 @@ def test_char_f():
     assert reports.chr_f("abc", "abc") == pytest.approx(100) and reports.chr_f("abc", "xyz") == 0 and reports.chr_f("", "") == 0
 
 
+def test_settings_of_any_depth(spark):
+    def nested(depth, leaf, turn):
+        body = {"leaf": leaf, "list": [{"b": 1, "a": 2}], "none": None, "empty": {}}
+        for k in range(depth):
+            body = {"z": k, "in": body} if turn else {"in": body, "z": k}
+        return json.dumps({k: body[k] for k in sorted(body, reverse=turn)})
+
+    kind = "id long, settings string"
+    before = spark.createDataFrame([(1, nested(12, "x", True)), (2, nested(12, 1, True)), (3, None), (4, "broken {"), (5, '{"a": {}}'), (6, '{"a": "1", "l": [{"x": 1, "y": 2}]}')], kind)
+    after = spark.createDataFrame([(1, nested(12, "x", False)), (2, nested(12, 2, False)), (3, None), (4, "{}"), (5, '{"a": {"b": 1}}'), (6, '{"l": [{"y": 2, "x": 1}], "a": 1}')], kind)
+    found = {(r.id, r.path, r.old, r.new) for r in stats.changed_settings(before, after, ["id"]).collect()}
+    assert found == {(2, "in." * 12 + "leaf", "1", "2"), (5, "a", "{}", None), (5, "a.b", None, "1"), (6, "a", "1", "1")}
+
+
+def test_context_stops_at_another_document(spark):
+    rows = [("f", i, d, t) for i, (d, t) in enumerate([("A", "1"), ("A", "2"), ("B", "3"), ("A", "4"), ("A", "5"), (None, "6"), (None, "7")])]
+    df = spark.createDataFrame(rows, "file string, i long, doc string, text string")
+    found = {r.i: r.context for r in stats.previous_context(df, 2, ["i"], by=["file"]).collect()}
+    assert found == {0: [], 1: ["1"], 2: [], 3: [], 4: ["4"], 5: [], 6: ["6"]}
+
+
 def test_changed_settings(spark):
     a = spark.createDataFrame([(1, '{"a":{"b":1,"c":[1,2]},"d":"x"}')], "id long, settings string")
     b = spark.createDataFrame([(1, '{"a":{"b":2,"c":[1,2]},"e":"y"}')], "id long, settings string")
