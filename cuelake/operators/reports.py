@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import in_caption_charset, split_sentences
+from ..sources.staging import staged
 from .ranks import nearest, with_ranks
 from .stats import rank_percentiles
 
@@ -27,33 +28,64 @@ def stub_words(frame: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in SCRIPT]), (F.pmod(frame, F.lit(len(SCRIPT))) + 1).cast("int"))
 
 
-def translate(requests: DataFrame, make: Callable[[], Callable], text: str = "text", most_bytes: int = 4096, deadline_s: float = 2.0) -> DataFrame:
-    """G1: ``requests`` (with ``lang``) with ``out``, ``error`` and ``elapsed_ms``. ``make()`` is called once in each
-    Python worker and gives a function from (texts, language) to texts. Texts are cut into sentences, which are
-    translated together and joined again. What is too long, comes back empty, or is late is an error row."""
-    given = requests.withColumn("__s", F.when(F.octet_length(text) <= most_bytes, split_sentences(F.col(text)))).repartition("lang")
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
+#: Tasks that the requests of one language or model are dealt over.
+SPREAD = 64
+
+
+def translate(requests: DataFrame, make: Callable[[], Callable], text: str = "text", most_bytes: int = 4096, deadline_s: float = 2.0, by: str = "lang") -> DataFrame:
+    """G1: ``requests`` with ``out``, ``error`` and ``elapsed_ms``. ``make()`` is called once in each Python worker and gives a
+    function from (texts, value of the column ``by``) to texts. Texts are cut into sentences, which are translated
+    together and joined again. What is null or too long, comes back empty, or is late is an error row. Requests of one
+    language are dealt over ``SPREAD`` tasks, so that a busy one isn't a task of its own and workers meet few of them."""
+    plain = [c for c in requests.columns if requests.schema[c].dataType.typeName() not in ("map", "variant")]
+    deal = F.pmod(F.xxhash64(*plain), F.lit(SPREAD))
+    given = requests.withColumn("__s", F.when(F.octet_length(text) <= most_bytes, split_sentences(F.col(text)))).repartition(F.col(by), deal)
+    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in requests.schema)
     loaded: list = []
 
+    def one(sentences, model) -> tuple[str | None, str | None, int]:
+        if sentences is None:
+            return None, "too long", 0
+        began = time.monotonic()
+        out = " ".join(x for x in loaded[0](list(sentences), model) if x).strip() if len(sentences) else ""
+        took = int((time.monotonic() - began) * 1000)
+        error = "empty" if not out else "late" if took > deadline_s * 1000 else None
+        return None if error else out, error, took
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             if not loaded:
                 loaded.append(make())
-            pdf["out"], pdf["error"], pdf["elapsed_ms"] = None, None, 0
-            for lang, rows in pdf.groupby("lang"):
-                for i, sentences in rows["__s"].items():
-                    if sentences is None:
-                        pdf.loc[i, "error"] = "too long"
-                        continue
-                    began = time.monotonic()
-                    out = " ".join(x for x in loaded[0](list(sentences), lang) if x).strip() if len(sentences) else ""
-                    took = int((time.monotonic() - began) * 1000)
-                    error = "empty" if not out else "late" if took > deadline_s * 1000 else None
-                    pdf.loc[i, ["out", "error"]] = (None if error else out, error)
-                    pdf.loc[i, "elapsed_ms"] = took
+            done = [one(s, m) for s, m in zip(pdf["__s"], pdf[by])]
+            pdf["out"], pdf["error"], pdf["elapsed_ms"] = zip(*done) if done else ([], [], [])
             yield pdf.drop(columns="__s")
 
-    return given.mapInPandas(run, f"{own}, out string, error string, elapsed_ms long")
+    return given.mapInPandas(run, f"{own}out string, error string, elapsed_ms long")
+
+
+def translate_routes(requests: DataFrame, routes: DataFrame, make: Callable[[], Callable], key: list[str], most_bytes: int = 4096, deadline_s: float = 2.0) -> DataFrame:
+    """G1 with J13 and J14: ``requests(key.., source, langs, text)`` by the hops of ``routes(source, target, hops)``: a row for each
+    wanted language with ``via``, ``out``, ``error``, ``elapsed_ms`` of all its hops. ``make()`` gives a function from
+    (texts, model).
+
+    The first hop to English is translated once for a clause, for all languages beyond it and for English itself, and
+    written; second hops join its result. An error of the first hop is that of every language behind it. A language without
+    a route is an error row, and so is the text's own language."""
+    wanted = requests.select(*key, "source", "text", F.explode(F.array_distinct("langs")).alias("lang"))
+    planned = wanted.join(routes.select("source", F.col("target").alias("lang"), "hops"), ["source", "lang"], "left").withColumn("n", F.coalesce(F.size("hops"), F.lit(0)))
+    planned = staged(planned, "planned")
+    # one request for each clause and first model: direct ones, and the shared hop to English
+    first = planned.filter("n > 0").select(*key, "text", F.col("hops")[0].alias("model"), F.when(F.col("n") == 1, F.col("lang")).otherwise("en").alias("into")).dropDuplicates([*key, "model", "into"])
+    one = staged(translate(first, make, "text", most_bytes, deadline_s, by="model").drop("text"), "first-hops")
+    done = one.withColumnsRenamed({"out": "out1", "error": "error1", "elapsed_ms": "ms1"})
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"d.{k}")) for k in key] + [F.col("p.hops")[0] == F.col("d.model"), F.when(F.col("p.n") == 1, F.col("p.lang")).otherwise("en") == F.col("d.into")]
+    met = planned.filter("n > 0").alias("p").join(done.alias("d"), reduce(lambda a, b: a & b, same)).select("p.*", "d.out1", "d.error1", "d.ms1")
+    direct = met.filter("n = 1").select(*key, "source", "lang", F.lit(None).cast("string").alias("via"), F.col("out1").alias("out"), F.col("error1").alias("error"), F.col("ms1").alias("elapsed_ms"))
+    second = met.filter("n = 2 and error1 is null").select(*key, "source", "lang", F.col("hops")[1].alias("model"), F.col("out1").alias("text"), "ms1")
+    pivot = translate(second, make, "text", most_bytes, deadline_s, by="model").select(*key, "source", "lang", F.lit("en").alias("via"), "out", "error", (F.col("ms1") + F.col("elapsed_ms")).alias("elapsed_ms"))
+    failed = met.filter("n = 2 and error1 is not null").select(*key, "source", "lang", F.lit("en").alias("via"), F.lit(None).cast("string").alias("out"), F.col("error1").alias("error"), F.col("ms1").alias("elapsed_ms"))
+    none = planned.filter("n = 0").select(*key, "source", "lang", F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("out"), F.lit("no route").alias("error"), F.lit(0).cast("long").alias("elapsed_ms"))
+    return direct.unionByName(pivot).unionByName(failed).unionByName(none)
 
 
 def char_f(a: Column, b: Column, order: int = 6, beta: float = 2.0) -> Column:

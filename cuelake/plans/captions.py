@@ -564,6 +564,36 @@ def translated(spark, sf_dir):
     return reports.translate(t, make).groupBy("lang", "error").agg(F.count("*").alias("n"), F.sum(F.length("out")).alias("chars"))
 
 
+#: Stand-in models: each puts one letter for another.
+MODELS = {"es-en": "aá", "fr-en": "eé", "en-de": "ií", "en-fr": "oó", "es-de": "uú"}
+
+
+def translated_routes(spark, sf_dir):
+    """G1 by J13's routes: turns in three languages into four, some through English, some not at all."""
+    swap = dict(MODELS)  # goes to the workers
+
+    def make():
+        return lambda texts, model: [t.replace(*swap[model]) for t in texts]
+
+    models = spark.createDataFrame([(m, m[:2], [m[3:]], True, True, k) for k, m in enumerate(MODELS)], "id string, source string, targets array<string>, is_default boolean, installed boolean, position long")
+    codes = [F.lit(x) for x in ("es", "fr", "en")]
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.element_at(F.array(*codes), (F.col("conv_id") % 3 + 1).cast("int")).alias("source"), T.clean(F.col("text")).alias("text"))
+    turns = turns.withColumn("langs", F.filter(F.array(*[F.lit(x) for x in ("en", "de", "fr", "it")]), lambda x: x != F.col("source")))
+    pairs = spark.createDataFrame([(a, b) for a in ("es", "fr", "en") for b in ("en", "de", "fr", "it") if a != b], "source string, target string")
+    out = reports.translate_routes(turns, lanes.route_models(models, pairs), make, ["conv_id", "turn"])
+    return out.select("conv_id", "turn", "source", "lang", "via", F.md5("out").alias("out_md5"), "error")
+
+
+TRANSLATED_ROUTES_SQL = r"""
+WITH t AS (SELECT conv_id, turn, ['es', 'fr', 'en'][conv_id % 3 + 1] AS source, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations),
+w AS (SELECT *, unnest(list_filter(['en', 'de', 'fr', 'it'], lambda x: x <> source)) AS lang FROM t),
+o AS (SELECT conv_id, turn, source, lang, CASE WHEN source <> 'en' AND lang = 'fr' OR source = 'fr' AND lang = 'de' THEN 'en' END AS via,
+        CASE WHEN source = 'es' AND lang = 'de' THEN replace(t, 'u', 'ú') ELSE
+          CASE lang WHEN 'de' THEN replace(h, 'i', 'í') WHEN 'fr' THEN replace(h, 'o', 'ó') WHEN 'en' THEN h END END AS o
+      FROM (SELECT *, CASE source WHEN 'es' THEN replace(t, 'a', 'á') WHEN 'fr' THEN replace(t, 'e', 'é') ELSE t END AS h FROM w))
+SELECT conv_id, turn, source, lang, via, md5(nullif(o, '')) AS out_md5, CASE WHEN o IS NULL THEN 'no route' WHEN o = '' THEN 'empty' END AS error FROM o"""
+
+
 def soak(spark, sf_dir):
     """One-hour blocks of events."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_id", "user_id")
@@ -798,11 +828,11 @@ QUERIES = {
     "fanout": fanout, "stale_drops": stale_drops, "lane_states": lane_states, "lane_quality": lane_quality, "lane_lags": lane_lags, "backlog": backlog, "routes": routes, "pivots": pivots, "levels": levels,
     "audio_frames": audio_frames, "mono": mono, "speech": speech, "outages": outages, "heartbeats": heartbeats, "recoveries": recoveries, "committed_words": committed_words, "revisions": revisions,
     "token_words": token_words, "late_suffixes": late_suffixes, "text_functions": text_functions, "folded_words": folded_words, "cleaned_texts": cleaned_texts, "joined_words": joined_words,
-    "charsets": charsets, "language_names": language_names, "run_report": run_report, "failure_labels": failure_labels, "translated": translated, "soak": soak, "run_table": run_table,
+    "charsets": charsets, "language_names": language_names, "run_report": run_report, "failure_labels": failure_labels, "translated": translated, "translated_routes": translated_routes, "soak": soak, "run_table": run_table,
     "event_feed": event_feed, "parsed_messages": parsed_messages, "turn_context": turn_context, "source_context": source_context, "catalogue": catalogue, "retimed_turns": retimed_turns,
 }
 SQL = {
-    "turn_wer": TURN_WER_SQL, "translation_deltas": DELTAS_SQL, "heartbeats": HEARTBEATS_SQL, "nearest_words": NEAREST_SQL, "revisions": REVISIONS_SQL, "vtt_bodies": VTT_SQL,
+    "turn_wer": TURN_WER_SQL, "translated_routes": TRANSLATED_ROUTES_SQL, "translation_deltas": DELTAS_SQL, "heartbeats": HEARTBEATS_SQL, "nearest_words": NEAREST_SQL, "revisions": REVISIONS_SQL, "vtt_bodies": VTT_SQL,
     "cue_overlap": OVERLAP_SQL, "simple_cues": SIMPLE_SQL, "srt_round_trip": SRT_SQL, "playlist_round_trip": PLAYLIST_SQL, "emission_tails": EMISSION_SQL, "segment_ends": SEGMENT_ENDS_SQL, "clip_lags": CLIP_SQL,
     "caption_lag": LAG_NOW_SQL, "first_lines": FIRST_LINES_SQL, "missing_turns": MISSING_SQL, "fanout": FANOUT_SQL, "stale_drops": STALE_SQL, "lane_lags": LANE_LAG_SQL, "backlog": BACKLOG_SQL, "levels": LEVELS_SQL,
     "audio_frames": AUDIO_FRAMES_SQL, "mono": MONO_SQL, "outages": OUTAGES_SQL, "recoveries": RECOVERY_SQL, "token_words": TOKENS_SQL, "late_suffixes": LATE_SQL, "text_functions": TEXT_SQL, "folded_words": FOLD_SQL,

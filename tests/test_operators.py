@@ -217,6 +217,33 @@ def test_char_f():
     assert reports.chr_f("abc", "abc") == pytest.approx(100) and reports.chr_f("abc", "xyz") == 0 and reports.chr_f("", "") == 0
 
 
+def test_routes_share_the_first_hop(spark):
+    def make():
+        def run(texts, model):
+            if model == "bad":
+                return ["" for _ in texts]
+            return [f"{model}({t})" for t in texts]
+
+        return run
+
+    routes = spark.createDataFrame([("es", "en", ["a"]), ("es", "de", ["a", "b"]), ("es", "fr", ["a", "c"]), ("es", "it", ["d"]), ("pt", "en", ["bad"]), ("pt", "de", ["bad", "b"]), ("es", "pl", None)], "source string, target string, hops array<string>")
+    rows = [(1, "es", ["en", "de", "fr", "it", "pl", "de"], "hola"), (None, "pt", ["en", "de"], "x"), (2, "es", ["de"], None), (2, "es", [], "y"), (3, "es", ["it"], "z" * 5000)]
+    requests = spark.createDataFrame(rows, "id long, source string, langs array<string>, text string")
+    found = {(r.id, r.lang): (r.via, r.out, r.error) for r in reports.translate_routes(requests, routes, make, ["id"]).collect()}
+    assert found == {
+        (1, "en"): (None, "a(hola)", None), (1, "de"): ("en", "b(a(hola))", None), (1, "fr"): ("en", "c(a(hola))", None), (1, "it"): (None, "d(hola)", None), (1, "pl"): (None, None, "no route"),
+        (None, "en"): (None, None, "empty"), (None, "de"): ("en", None, "empty"), (2, "de"): ("en", None, "too long"), (3, "it"): (None, None, "too long"),
+    }
+
+
+def test_a_busy_language_is_many_tasks(spark):
+    rows = spark.range(400).select(F.col("id"), F.lit("de").alias("lang"), F.lit("a b").alias("text"))
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    out = reports.translate(rows, lambda: lambda texts, lang: list(texts)).select(F.spark_partition_id().alias("p")).distinct().count()
+    spark.conf.set("spark.sql.adaptive.enabled", True)
+    assert out > 1 and reports.translate(rows.limit(0), lambda: None).count() == 0
+
+
 def test_settings_of_any_depth(spark):
     def nested(depth, leaf, turn):
         body = {"leaf": leaf, "list": [{"b": 1, "a": 2}], "none": None, "empty": {}}
