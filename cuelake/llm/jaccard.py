@@ -297,11 +297,11 @@ class Join:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, signatures: DataFrame, size: int, percent: int):
         self.docs, self.classes, self.signatures, self.size, self.percent = docs, classes, signatures, size, percent
-        self.links: DataFrame | None = None
+        self.parts: DataFrame | None = None
         self.done: DataFrame | None = None
 
     def verify(self, pairs: DataFrame) -> bool:
-        """Adds the links among ``pairs(u, v)`` that weren't verified before; whether there are any."""
+        """Joins the components of the links among ``pairs(u, v)`` that weren't verified before; whether there are any."""
         pairs = pairs.distinct()
         if self.done is not None:
             pairs = pairs.join(self.done, ["u", "v"], "left_anti")
@@ -319,10 +319,18 @@ class Join:
         one, two = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("grams").alias(f"g{k}")) for k in "uv")
         both = F.size(F.array_intersect("gu", "gv"))
         links = pairs.join(one, "u").join(two, "v").filter(100 * both >= self.percent * (F.col("nu") + F.col("nv") - both)).select("u", "v")
-        links = materialize(links, "links")
+        for k in "uv":
+            links = _with_parts(links.withColumnRenamed(k, "node"), self.parts).drop("node").withColumnRenamed("part", k)
+        links = materialize(links.filter("u <> v").distinct(), "links")  # of components, one for however many of their classes
         discard(links.sparkSession, sets_at)
-        self.links = links if self.links is None else self.links.unionByName(links)
-        return not links.isEmpty()
+        if links.isEmpty():
+            return False
+        joined = materialize(connected_components(links), "joined").select(F.col("node").alias("part"), F.col("component").alias("now"))
+        known = joined.select(F.col("part").alias("node"), "part")
+        if self.parts is not None:
+            known = self.parts.select("node", F.col("component").alias("part")).unionByName(known.join(self.parts, "node", "left_anti"))
+        self.parts = materialize(known.join(joined, "part", "left").select("node", F.coalesce("now", "part").alias("component")), "parts")
+        return True
 
 
 def _with_parts(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -398,14 +406,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     each = materialize(each.join(shared, "gram"), "shared-prefixes")
     discard(spark, own_at)
 
-    join, parts = Join(given, classes, signatures, size, percent), None
+    join = Join(given, classes, signatures, size, percent)
     for k in range(stars):
-        if not join.verify(_stars(_with_parts(each, parts), k, percent)):
+        if not join.verify(_stars(_with_parts(each, join.parts), k, percent)):
             break
-        parts = materialize(connected_components(join.links), "parts")
-    if join.verify(_rest(_with_parts(each, parts), signatures, percent)):
-        parts = materialize(connected_components(join.links), "parts")
-    named = _with_parts(classes, parts)
+    join.verify(_rest(_with_parts(each, join.parts), signatures, percent))
+    named = _with_parts(classes, join.parts)
     least = named.groupBy("part").agg(F.min("key").alias("component_id"))
     owner = named.join(least, "part").select("d1", "d2", "component_id")
     return rows.join(owner, ["d1", "d2"], "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
