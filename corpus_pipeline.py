@@ -23,8 +23,10 @@ SHARDS = 16
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and lie within the fences of their language and source."""
-    return quality.score_quality(docs, docs.columns).filter("kept").select(*docs.columns)
+    """Documents that pass the base rule and lie within the fences of their language and source. A row goes through the
+    rules as one value, so a column with the name of a signal keeps what it holds."""
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), "text", "lang", "source")
+    return quality.score_quality(rows, ["__doc"]).filter("kept").select("__doc.*")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
