@@ -3,6 +3,8 @@ import os
 import pytest
 
 SF = "/root/testdata/sf0.001"
+#: Columns with names that the stages use themselves, and their values.
+CLASHING = {"kept": "mine", "fp": 1, "taken": 2, "size": -3, "shard": 4, "words": "w", "component_id": 6, "n_words": -7, "n_lines": 8, "base_failed": "no", "word_chars": 9, "source_size": 10, "target": 11, "first_finish": 12}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -60,7 +62,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, prose(30, 1)), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     texts = [None, "", "   ", prose(60, 50), prose(60, 50), prose(9000, 51), prose(60, 52) + " " + prose(30, 1), *[prose(80, 60 + k) for k in range(12)]]
     rows = [(None if k % 5 == 4 else k, t, None if k % 7 == 6 else "en", None if k % 4 == 3 else "s", None) for k, t in enumerate(texts)]
-    docs = spark.createDataFrame([*rows, rows[3]], DOCS).withColumns({c: F.lit(k) for k, c in enumerate(("kept", "fp", "taken", "size", "shard", "words", "component_id", "n_words"))})
+    docs = spark.createDataFrame([*rows, rows[3]], DOCS).withColumns({c: F.lit(v) for c, v in CLASHING.items()})
     left = {"quality_rules": 17, "simhash_near_duplicates": 16, "benchmark_decontamination": 19, "consistent_hash_shards": 20}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
@@ -69,4 +71,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
             assert out.count() == left[name], name
         else:
             assert {r.text for r in out.collect()} <= {r.text for r in docs.collect()}
+        own = {"shard"} if name == "consistent_hash_shards" else set()  # the last stage's own column
+        values = out.select(*[c for c in CLASHING if c not in own]).distinct().collect()
+        assert [r.asDict() for r in values] == [{c: v for c, v in CLASHING.items() if c not in own}], name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
