@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import agree, audio, cues, lag, lanes, reports, stats, wer
-from ..sources import readers, sinks
-from .tables import WORDS_SQL, languages, table, words
+from ..sources import named, readers, sinks
+from .tables import WORDS_SQL, languages, shared_path, table, words
 
 # ---- cues: one for each turn, two-second segments
 
@@ -105,6 +105,20 @@ def playlist_round_trip(spark, sf_dir):
 PLAYLIST_SQL = f"WITH {SEGMENTS_SQL} SELECT stream_id, 2.0 AS target, seq, 2.0 AS dur, 'en_' || seq || '.vtt' AS uri FROM segs"
 
 
+def published_subtitles(spark, sf_dir):
+    """Segments and playlists are written as files; each playlist is read and each URI that it names opened."""
+    langs, base = spark.createDataFrame([("en",), ("fr",)], "lang string"), shared_path(spark, "subtitles")
+    segments = _segments(spark, sf_dir)
+    named.write_vtt_segments(cues.vtt_segments(_cues(spark, sf_dir), segments, langs), f"{base}/segments")
+    named.write_playlists(cues.subtitle_playlists(segments, langs), f"{base}/playlists")
+    at = lambda end: F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/([^/]+)\.{end}$", 1)
+    files = lambda folder, end: spark.read.option("recursiveFileLookup", True).text(f"{base}/{folder}", wholetext=True).select(at(end).alias("stream"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), "value")
+    lists = files("playlists", "m3u8").select(F.concat_ws("/", "stream", F.regexp_extract("file", r"^(.*)\.m3u8$", 1)).alias("stream_id"), "value")
+    uris = readers.parse_playlist(lists).select(F.split("stream_id", "/").alias("s"), "seq", "uri").select(F.col("s")[0].alias("stream"), F.col("s")[1].alias("lang"), "seq", F.col("uri").alias("file"))
+    opened = uris.join(files("segments", "vtt"), ["stream", "file"], "left")
+    return opened.select(F.col("stream").cast("long").alias("stream_id"), "lang", "seq", F.md5("value").alias("body_md5"))
+
+
 def emission_tails(spark, sf_dir):
     """K3, W6."""
     w = words(spark, sf_dir).withColumn("emit_s", F.col("arrival_ms") / 1000.0)
@@ -735,6 +749,9 @@ b AS (SELECT stream_id, seq, string_agg(printf('%02d:%02d:%02d.%03d --> %02d:%02
 v AS (SELECT g.stream_id, g.seq, 'WEBVTT' || chr(10) || 'X-TIMESTAMP-MAP=MPEGTS:' || (g.s % 8589934592) || ',LOCAL:00:00:00.000' || chr(10) || chr(10) || coalesce(b.body, '') AS body FROM segs g LEFT JOIN b USING (stream_id, seq))
 SELECT stream_id, 'en' AS lang, seq, md5(body) AS body_md5, length(body) AS n_chars FROM v"""
 
+PUBLISHED_SQL = VTT_SQL.replace("SELECT stream_id, 'en' AS lang, seq, md5(body) AS body_md5, length(body) AS n_chars FROM v", """SELECT stream_id, 'en' AS lang, seq, md5(body) AS body_md5 FROM v
+UNION ALL SELECT stream_id, 'fr', seq, md5('WEBVTT' || chr(10) || 'X-TIMESTAMP-MAP=MPEGTS:' || (s % 8589934592) || ',LOCAL:00:00:00.000' || chr(10) || chr(10)) FROM segs""")
+
 SPEECH_SQL = """
 WITH RECURSIVE p AS (SELECT user_id AS stream_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 250 AS a, event_type IN ('purchase', 'click') AS speech FROM events),
 b AS (SELECT stream_id, a, sum(CASE WHEN due = a THEN 0 ELSE 1 END) OVER (PARTITION BY stream_id ORDER BY a) AS run FROM (SELECT stream_id, a, lag(a + 250) OVER (PARTITION BY stream_id ORDER BY a) AS due FROM p WHERE speech)),
@@ -823,7 +840,7 @@ SELECT k.lang, CAST(sum(n) AS BIGINT) AS chars, round(coalesce(sum(n) FILTER (WH
 
 QUERIES = {
     "cue_overlap": cue_overlap, "vtt_bodies": vtt_bodies, "playlists": playlists, "master_playlists": master_playlists, "cue_tracks": cue_tracks, "simple_cues": simple_cues, "srt_round_trip": srt_round_trip,
-    "playlist_round_trip": playlist_round_trip, "emission_tails": emission_tails, "segment_ends": segment_ends, "clip_lags": clip_lags, "caption_lag": caption_lag, "utterance_lags": utterance_lags,
+    "playlist_round_trip": playlist_round_trip, "published_subtitles": published_subtitles, "emission_tails": emission_tails, "segment_ends": segment_ends, "clip_lags": clip_lags, "caption_lag": caption_lag, "utterance_lags": utterance_lags,
     "nearest_words": nearest_words, "closest_lines": closest_lines, "first_lines": first_lines, "translation_deltas": translation_deltas, "turn_wer": turn_wer, "missing_turns": missing_turns,
     "fanout": fanout, "stale_drops": stale_drops, "lane_states": lane_states, "lane_quality": lane_quality, "lane_lags": lane_lags, "backlog": backlog, "routes": routes, "pivots": pivots, "levels": levels,
     "audio_frames": audio_frames, "mono": mono, "speech": speech, "outages": outages, "heartbeats": heartbeats, "recoveries": recoveries, "committed_words": committed_words, "revisions": revisions,
@@ -832,7 +849,7 @@ QUERIES = {
     "event_feed": event_feed, "parsed_messages": parsed_messages, "turn_context": turn_context, "source_context": source_context, "catalogue": catalogue, "retimed_turns": retimed_turns,
 }
 SQL = {
-    "turn_wer": TURN_WER_SQL, "translated_routes": TRANSLATED_ROUTES_SQL, "translation_deltas": DELTAS_SQL, "heartbeats": HEARTBEATS_SQL, "nearest_words": NEAREST_SQL, "revisions": REVISIONS_SQL, "vtt_bodies": VTT_SQL,
+    "turn_wer": TURN_WER_SQL, "translated_routes": TRANSLATED_ROUTES_SQL, "translation_deltas": DELTAS_SQL, "heartbeats": HEARTBEATS_SQL, "nearest_words": NEAREST_SQL, "revisions": REVISIONS_SQL, "vtt_bodies": VTT_SQL, "published_subtitles": PUBLISHED_SQL,
     "cue_overlap": OVERLAP_SQL, "simple_cues": SIMPLE_SQL, "srt_round_trip": SRT_SQL, "playlist_round_trip": PLAYLIST_SQL, "emission_tails": EMISSION_SQL, "segment_ends": SEGMENT_ENDS_SQL, "clip_lags": CLIP_SQL,
     "caption_lag": LAG_NOW_SQL, "first_lines": FIRST_LINES_SQL, "missing_turns": MISSING_SQL, "fanout": FANOUT_SQL, "stale_drops": STALE_SQL, "lane_lags": LANE_LAG_SQL, "backlog": BACKLOG_SQL, "levels": LEVELS_SQL,
     "audio_frames": AUDIO_FRAMES_SQL, "mono": MONO_SQL, "outages": OUTAGES_SQL, "recoveries": RECOVERY_SQL, "token_words": TOKENS_SQL, "late_suffixes": LATE_SQL, "text_functions": TEXT_SQL, "folded_words": FOLD_SQL,

@@ -22,6 +22,44 @@ def clause_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.clause_stats(found).join(masked, "stream_id", "left").withColumn("masked", F.coalesce("masked", F.lit(0)))
 
 
+_FOLD = f"replace(replace(replace(translate(lower(w), '{''.join(T.FOLDED.values())}', '{''.join(k * len(v) for k, v in T.FOLDED.items())}'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')"
+
+#: A stream word by word: the open clause, the close before a word (timer or pause), and the one that it brings about.
+CLAUSES_CTE = f"""
+{WORDS_SQL},
+g AS MATERIALIZED (SELECT stream_id, seq, arrival_ms AS now, coalesce(greatest(start_ms - lag(greatest(start_ms, end_ms)) OVER (PARTITION BY stream_id ORDER BY seq), 0), 0) AS gap,
+        regexp_matches(text, '[.!?。！？…][»)\\]"''”’」』）》]*$') AS ends,
+        struct_pack(seq := seq, t := text, s := start_ms, e := end_ms, p := NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]'), c := regexp_matches(text, '[,，、][»)\\]"''”’」』）》]*$')) AS word FROM words),
+r AS (
+  SELECT stream_id, CAST(-1 AS BIGINT) AS seq, CAST([] AS STRUCT(seq BIGINT, t VARCHAR, s BIGINT, e BIGINT, p BOOLEAN, c BOOLEAN)[]) AS open, CAST(NULL AS BIGINT) AS last, CAST(NULL AS BIGINT) AS now,
+         CAST([] AS STRUCT(seq BIGINT, t VARCHAR, s BIGINT, e BIGINT, p BOOLEAN, c BOOLEAN)[]) AS w1, CAST(NULL AS VARCHAR) AS e1, CAST(NULL AS BIGINT) AS a1,
+         CAST([] AS STRUCT(seq BIGINT, t VARCHAR, s BIGINT, e BIGINT, p BOOLEAN, c BOOLEAN)[]) AS w2, CAST(NULL AS VARCHAR) AS e2, CAST(NULL AS BIGINT) AS a2 FROM (SELECT DISTINCT stream_id FROM words)
+  UNION ALL
+  SELECT stream_id, seq, open2[n2 + 1:], CASE WHEN len(open2) > n2 THEN now ELSE last END, now,
+         CASE WHEN e1 IS NULL THEN open[1:0] ELSE open END, e1, CASE e1 WHEN 'timer' THEN last + wait WHEN 'pause' THEN now END, open2[1:n2], e2, CASE WHEN n2 > 0 THEN now END
+  FROM (SELECT *, CASE e2 WHEN 'punctuation' THEN len(open2) WHEN 'max_words' THEN coalesce(list_max(list_filter(range(3, len(open2)), lambda k: open2[k].c)), len(open2)) ELSE 0 END AS n2
+    FROM (SELECT *, CASE WHEN ends AND len(list_filter(open2, lambda w: NOT w.p)) >= 3 THEN 'punctuation' WHEN len(list_filter(open2, lambda w: NOT w.p)) >= 24 THEN 'max_words' END AS e2
+      FROM (SELECT *, list_append(CASE WHEN e1 IS NULL THEN open ELSE open[1:0] END, word) AS open2
+        FROM (SELECT *, CASE WHEN len(open) = 0 THEN NULL WHEN before <> now AND now - last > wait THEN 'timer' WHEN gap >= 350 AND (spoken >= 3 OR gap >= 1000) THEN 'pause' END AS e1
+          FROM (SELECT r.stream_id, g.seq, r.open, r.last, r.now AS before, g.now, g.gap, g.ends, g.word, len(list_filter(r.open, lambda w: NOT w.p)) AS spoken,
+                       CASE WHEN len(list_filter(r.open, lambda w: NOT w.p)) >= 3 THEN 800 ELSE 1000 END AS wait
+                FROM r JOIN g ON g.stream_id = r.stream_id AND g.seq = r.seq + 1)))))),
+z AS (SELECT stream_id, w1 AS w, e1 AS reason, a1 AS closed_ms FROM r WHERE e1 IS NOT NULL UNION ALL SELECT stream_id, w2, e2, a2 FROM r WHERE e2 IS NOT NULL
+      UNION ALL SELECT stream_id, open, 'end', now FROM r WHERE len(open) > 0 QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) = 1 AND seq = (SELECT max(seq) FROM g WHERE g.stream_id = r.stream_id)),
+n AS (SELECT z.*, g.gap AS next_gap_ms, coalesce(lag(reason) OVER (PARTITION BY z.stream_id ORDER BY w[1].seq) <> 'max_words', true) AS new_row FROM z LEFT JOIN g ON g.stream_id = z.stream_id AND g.seq = w[-1].seq + 1),
+clauses AS (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY w[1].seq) - 1 AS id, array_to_string(list_transform(w, lambda x: x.t), ' ') AS text, w[1].s AS start_ms, w[-1].e AS end_ms,
+                   len(w) AS n_words, new_row, reason, closed_ms, next_gap_ms FROM n WHERE len(list_filter(w, lambda x: NOT x.p)) > 0)"""
+CLAUSES_SQL = f"WITH RECURSIVE {CLAUSES_CTE} SELECT * FROM clauses"
+CLAUSE_STATS_SQL = rf"""
+WITH RECURSIVE {CLAUSES_CTE},
+f AS (SELECT *, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda w: {_FOLD}) AS f FROM clauses),
+h AS (SELECT *, len(list_filter(range(1, len(f) + 1), lambda i: (f[i] = 'of' AND f[i + 1] = 'the') OR (f[i] = 'de' AND f[i + 1] = 'la')
+         OR ((f[i] = 'the' OR starts_with(f[i], 'ha')) AND f[i] <> 'hand' AND NOT (i > 1 AND f[i] = 'the' AND f[i - 1] = 'of')) OR ((f[i] = 'le' OR starts_with(f[i], 'eau')) AND f[i] <> 'eaux'))) AS masked FROM f)
+SELECT stream_id, count(*) FILTER (WHERE reason = 'punctuation') AS punctuation, count(*) FILTER (WHERE reason = 'pause') AS pause, count(*) FILTER (WHERE reason = 'timer') AS timer,
+       count(*) FILTER (WHERE reason = 'max_words') AS max_words, count(*) FILTER (WHERE reason = 'end') AS end, count(*) AS total,
+       count(*) FILTER (WHERE reason = 'timer' AND next_gap_ms >= 350) AS timer_at_pause, CAST(sum(masked) AS BIGINT) AS masked FROM h GROUP BY stream_id"""
+
+
 def source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.source_chunks(words(spark, sf_dir))
 
@@ -39,7 +77,6 @@ def mask_documents(style: str):
     return run
 
 
-_FOLD = f"replace(replace(replace(translate(lower(w), '{''.join(T.FOLDED.values())}', '{''.join(k * len(v) for k, v in T.FOLDED.items())}'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')"
 _SHOWN = {
     "asterisks": ("repeat('*', length(t[i]))", "s[i] || repeat('*', length(t[i]))"),
     "first_letter": ("t[i][1] || repeat('*', length(t[i]) - 1)", "s[i] || repeat('*', length(t[i]))"),
@@ -107,4 +144,4 @@ QUERIES = {
     "loops": loops,
     "word_gaps": word_gaps,
 }
-SQL = {**{f"mask_{s}": mask_sql(s) for s in masking.STYLES}, "guard_segments": GUARD_SQL, "word_gaps": WORD_GAPS_SQL}
+SQL = {"clauses": CLAUSES_SQL, "clause_stats": CLAUSE_STATS_SQL, **{f"mask_{s}": mask_sql(s) for s in masking.STYLES}, "guard_segments": GUARD_SQL, "word_gaps": WORD_GAPS_SQL}
