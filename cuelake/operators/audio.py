@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..functions.times import dbfs
-from .ordered import run_ordered
+from .hot import run_islands, scanned
 
 RATE, FRAME = 16_000, 1600
 
@@ -78,7 +78,7 @@ def silence_meter(levels: DataFrame, quiet_dbfs: float = -60.0, alert_s: float =
 
 
 class _Intervals:
-    """One open interval of a stream; runs come in order."""
+    """One open interval of a stream; runs come in order, each with the end of the one before (``before``)."""
 
     def __init__(self, names: list[str], pre_roll_ms: int, hangover_ms: int, young_ms: int):
         self.names, self.pre_roll_ms, self.hangover_ms, self.young_ms = names, pre_roll_ms, hangover_ms, young_ms
@@ -86,13 +86,13 @@ class _Intervals:
 
     def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for stream, a, z in zip(pdf["stream_id"], pdf["start_ms"], pdf["end_ms"]):
+        for stream, a, z, before in zip(pdf["stream_id"], pdf["start_ms"], pdf["end_ms"], pdf["before"]):
             if self.open and a - self.open[2] < self.hangover_ms and a - self.open[1] < self.young_ms:
                 self.open[2] = z
                 continue
             if self.open:
                 out.append(self.open)
-            self.open = [stream, max(a - self.pre_roll_ms, self.open[2] if self.open else 0, 0), z]
+            self.open = [stream, max(a - self.pre_roll_ms, before, 0), z]
         return pd.DataFrame(out, columns=self.names)
 
     def end(self) -> pd.DataFrame | None:
@@ -102,12 +102,13 @@ class _Intervals:
 def speech_intervals(blocks: DataFrame, pre_roll_ms: int = 600, hangover_ms: int = 1500, young_ms: int = 60_000) -> DataFrame:
     """Intervals of ``blocks(stream_id, start_ms, end_ms, speech)``, begun ``pre_roll_ms`` early (but not before the
     interval before). Intervals with a gap below ``hangover_ms`` are one while the interval is younger than
-    ``young_ms``."""
-    w = Window.partitionBy("stream_id").orderBy("start_ms")
-    runs = blocks.filter("speech").withColumn("__new", (F.coalesce(F.lag("end_ms").over(w), F.lit(-1)) != F.col("start_ms")).cast("int"))
-    runs = runs.withColumn("__run", F.sum("__new").over(w)).groupBy("stream_id", "__run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    ``young_ms``. A gap of ``hangover_ms`` always ends an interval: there a stream is cut."""
+    given = scanned(blocks.filter("speech").select("stream_id", "start_ms", "end_ms"), ["stream_id"], ["start_ms"], {"before": ("last", F.col("end_ms"))})
+    runs = scanned(given, ["stream_id"], ["start_ms"], {"run": ("sum", (F.coalesce("before", F.lit(-1)) != F.col("start_ms")).cast("long"))})
+    runs = runs.groupBy("stream_id", "run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.coalesce(F.min_by("before", "start_ms"), F.lit(0)).alias("before"))
     schema = StructType([blocks.schema["stream_id"], StructField("start_ms", LongType()), StructField("end_ms", LongType())])
-    return run_ordered(runs.select("stream_id", "start_ms", "end_ms"), ["stream_id"], ["start_ms", "end_ms"], lambda: _Intervals(schema.names, pre_roll_ms, hangover_ms, young_ms), schema)
+    cut = F.col("start_ms") - F.col("before") >= hangover_ms
+    return run_islands(runs.drop("run"), ["stream_id"], ["start_ms", "end_ms"], cut, lambda: _Intervals(schema.names, pre_roll_ms, hangover_ms, young_ms), schema)
 
 
 def outages(data: DataFrame, after_ms: int) -> DataFrame:

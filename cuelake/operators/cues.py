@@ -9,8 +9,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import CJK, endonym, html_escape
 from ..functions.times import TICKS, WRAP, srt_time, vtt_time
+from .hot import run_islands, scanned
 from .joins import overlap_join
-from .ordered import run_ordered
 
 #: Cues shorter than this many ticks (1 ms) aren't shown.
 SHORTEST = 90
@@ -59,7 +59,10 @@ class CueTrack:
 
 
 def cue_track(lines: DataFrame, rows: int = 2, max_chars: int = 42, hold: int = 4 * TICKS) -> DataFrame:
-    """Cues ``stream_id, lang, start, end, text`` of ``lines(stream_id, lang, seq, text, new_row, due)`` in ticks."""
+    """Cues ``stream_id, lang, start, end, text`` of ``lines(stream_id, lang, seq, text, new_row, due)`` in ticks.
+
+    A line that is due ``hold`` after all before it meets an empty track: there a lane is cut, and its parts are worked on
+    at the same time."""
     kind = lines.schema["stream_id"].dataType
     schema = StructType([StructField("stream_id", kind), StructField("lang", StringType()), StructField("start", LongType()), StructField("end", LongType()), StructField("text", StringType())])
 
@@ -77,7 +80,9 @@ def cue_track(lines: DataFrame, rows: int = 2, max_chars: int = 42, hold: int =
         def end(self) -> pd.DataFrame:
             return self._rows([self.track.close(self.track.until)])
 
-    return run_ordered(lines, ["stream_id", "lang"], ["seq"], Track, schema)
+    keys = ["stream_id", "lang"]
+    timed = scanned(lines.select(*keys, "seq", "text", "new_row", "due"), keys, ["seq"], {"before": ("max", F.col("due"))})
+    return run_islands(timed, keys, ["seq"], F.col("due") >= F.col("before") + hold, Track, schema)
 
 
 def simple_cues(lines: DataFrame, hold: int = 4 * TICKS) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..sources.staging import staged
 from ..functions.times import TICKS, WRAP, pts_diff
+from ..sources.staging import staged
+from .hot import scanned
 from .joins import asof_join
 from .ordered import run_ordered
 from .ranks import nearest, with_ranks
@@ -115,28 +116,18 @@ def sessionize_av(frames: DataFrame, back_s: float = 1.0, ahead_s: float = 3.0)
     """S8, video and audio (``kind``) in one order: only video opens a session. Audio that doesn't fit is dropped and
     makes the next video open one."""
 
-    class Sessions:
-        def __init__(self):
-            self.session, self.last, self.forced = -1, None, True
-
-        def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for kind, pts in zip(pdf["kind"], pdf["pts_90k"]):
-                step = None if self.last is None else (pts - self.last + WRAP // 2) % WRAP - WRAP // 2
-                fits = step is not None and not self.forced and -back_s * TICKS <= step <= ahead_s * TICKS
-                if kind == "video" and not fits:
-                    self.session, self.forced, fits = self.session + 1, False, True
-                if not fits:
-                    self.forced = True
-                elif kind == "video":
-                    self.last = pts
-                out.append(self.session if fits else None)
-            return pdf.assign(session=pd.array(out, dtype="Int64")).dropna(subset=["session"])
-
-        def end(self) -> None:
-            return None
-
-    return run_ordered(frames, ["stream_id"], ["seq"], Sessions, StructType([*frames.schema.fields, StructField("session", LongType())]))
+    is_video = F.col("kind") == "video"
+    rows = scanned(frames, ["stream_id"], ["seq"], {"__last": ("last", F.when(is_video, F.col("pts_90k")))})
+    # video always leaves its own PTS and nothing forced behind, so all that counts is the video before
+    step = pts_diff(F.col("pts_90k"), F.col("__last"))
+    bad = F.coalesce((step < -back_s * TICKS) | (step > ahead_s * TICKS), F.lit(True))
+    rows = rows.withColumn("__bad", bad).withColumn("__odd", (bad & ~is_video).cast("long"))
+    rows = scanned(rows, ["stream_id"], ["seq"], {"__odds": ("sum", F.col("__odd"))})
+    rows = scanned(rows, ["stream_id"], ["seq"], {"__at_video": ("last", F.when(is_video, F.col("__odds")))})
+    odd_since = F.col("__odds") > F.coalesce("__at_video", F.lit(0))  # with this row, if it is audio
+    rows = rows.withColumn("__opens", is_video & (F.col("__bad") | odd_since)).withColumn("__drop", ~is_video & odd_since)
+    rows = scanned(rows, ["stream_id"], ["seq"], {"session": ("sum", F.col("__opens").cast("long"))})
+    return rows.filter(~F.col("__drop")).withColumn("session", F.col("session") - 1).select(*frames.columns, "session")
 
 
 def session_offset(frames: DataFrame, hold_ms: int = 500, step_ms: int = 40) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import normalise_line
-from .ordered import run_ordered
+from .hot import run_islands, scanned
 
 #: Lines that recognisers make of silence and music, openings of credits, interjections.
 FILLER = (
@@ -100,32 +101,34 @@ def admit(recent: list[tuple[str, float]], batch: list[tuple[str, float, float]]
 
 
 class LoopPruner:
-    """S5 over rows in order; a batch of arrival may go on in the next part, so the last one waits."""
+    """S5 over rows in order; a batch of arrival may go on in the next part, so the pieces of the last one wait."""
 
     def __init__(self):
-        self.recent, self.waiting = [], None
+        self.recent, self.waiting = [], []
 
-    def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf if self.waiting is None else pd.concat([self.waiting, pdf], ignore_index=True)
-        last = rows["arrival_ms"].iloc[-1]
-        ends = (rows["arrival_ms"] != last).to_numpy().nonzero()[0]
-        n = int(ends[-1]) + 1 if len(ends) else 0
-        self.waiting = rows.iloc[n:]
-        return self._admitted(rows.iloc[:n])
+    def take(self, pdf: pd.DataFrame) -> pd.DataFrame | None:
+        arrival, out = pdf["arrival_ms"].to_numpy(), []
+        starts = [0, *((arrival[1:] != arrival[:-1]).nonzero()[0] + 1).tolist(), len(pdf)]
+        for a, z in zip(starts, starts[1:]):
+            if self.waiting and self.waiting[-1]["arrival_ms"].iloc[-1] != arrival[a]:
+                out.append(self._admitted())
+            self.waiting.append(pdf.iloc[a:z])
+        return pd.concat(out) if out else None
 
     def end(self) -> pd.DataFrame:
-        return self._admitted(self.waiting)
+        return self._admitted()
 
-    def _admitted(self, rows: pd.DataFrame) -> pd.DataFrame:
-        keep = []
-        for _, batch in rows.groupby((rows["arrival_ms"] != rows["arrival_ms"].shift()).cumsum(), sort=False):
-            ok, self.recent = admit(self.recent, list(zip(batch["key"], batch["start_ms"] / 1000, batch["end_ms"] / 1000)))
-            keep += ok
-        return rows[keep]
+    def _admitted(self) -> pd.DataFrame:
+        batch, self.waiting = pd.concat(self.waiting), []
+        keep, self.recent = admit(self.recent, list(zip(batch["key"], batch["start_ms"] / 1000, batch["end_ms"] / 1000)))
+        return batch[keep]
 
 
 def prune_loops(words: DataFrame) -> DataFrame:
     """S5 over ``words(stream_id, seq, text, start_ms, end_ms, arrival_ms)``: the words that stay, batch by batch of
-    arrival."""
+    arrival. A batch that starts more than ``RECENT_S`` after all before it has ended remembers nothing: there a stream is cut."""
     keyed = words.withColumn("key", normalise_line(F.col("text")))
-    return run_ordered(keyed, ["stream_id"], ["seq"], LoopPruner, keyed.schema).drop("key")
+    rows = scanned(keyed, ["stream_id"], ["seq"], {"__ended": ("max", F.col("end_ms")), "__came": ("last", F.col("arrival_ms"))})
+    cut = (F.col("arrival_ms") != F.col("__came")) & (F.col("start_ms") - F.col("__ended") > int(RECENT_S * 1000))
+    kept = run_islands(rows, ["stream_id"], ["seq"], cut, LoopPruner, StructType([*rows.schema.fields, StructField("__island", LongType())]))
+    return kept.select(*words.columns)
