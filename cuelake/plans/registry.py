@@ -1,8 +1,8 @@
 """All queries of the timed-text operators and their SQL."""
 
-from . import captions, segmenting, streams, telemetry
+from . import captions, files, segmenting, streams, telemetry
 
-_MODULES = (segmenting, telemetry, captions, streams)
+_MODULES = (segmenting, telemetry, captions, files, streams)
 
 
 def queries() -> dict:

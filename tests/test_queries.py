@@ -7,6 +7,8 @@ import pytest
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = ("frame_pairs", "delay_report", "last_purchase", "clicks_near_errors", "cue_overlap", "emission_tails", "stale_drops", "soak", "event_counters", "percentiles_half_up", "word_gaps") + (
+    "turn_wer", "mask_asterisks", "mask_first_letter", "mask_bleep", "mask_drop", "clauses", "clause_stats", "catalogue", "source_context", "translated_routes", "published_subtitles", "order_summary", "event_settings", "frame_report",
+    "tap_files", "emit_words", "engine_words", "segment_files", "run_files", "corpus_files", "word_list_files", "emit_log", "pair_files", "lag_files", "pcm_flags", "cleaned_bytes", "filler_lines", "loop_spans",
     "av_sessions", "session_offsets", "frame_slots", "lane_states", "lane_quality", "routes", "pivots", "speech", "committed_words", "playlists", "master_playlists", "run_report")
 
 
