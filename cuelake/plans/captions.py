@@ -67,6 +67,21 @@ def cue_tracks(spark, sf_dir):
     return cues.cue_track(rows)
 
 
+#: Line by line: what is shown, since when, until when, and the cue that the line ends.
+CUE_TRACKS_SQL = r"""
+WITH RECURSIVE l AS (SELECT conv_id AS stream_id, turn AS seq, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, turn % 2 = 0 AS new_row, CAST(turn * 135000 AS BIGINT) AS due FROM conversations),
+r AS (
+  SELECT stream_id, CAST(-1 AS BIGINT) AS seq, CAST([] AS VARCHAR[]) AS lines, CAST(NULL AS BIGINT) AS start, CAST(0 AS BIGINT) AS until, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e, CAST(NULL AS VARCHAR) AS shown FROM (SELECT DISTINCT stream_id FROM l)
+  UNION ALL
+  SELECT stream_id, seq, CASE WHEN len(kept) > 0 AND NOT new_row AND len(kept[-1] || ' ' || t) <= 42 THEN list_append(kept[1:-2], kept[-1] || ' ' || t) ELSE list_append(kept, t)[-2:] END, now, now + 360000,
+         CASE WHEN least(now, until) > start THEN start END, CASE WHEN least(now, until) > start THEN least(now, until) END, CASE WHEN least(now, until) > start THEN array_to_string(lines, chr(10)) END
+  FROM (SELECT r.stream_id, l.seq, l.t, l.new_row, r.lines, r.start, r.until, greatest(l.due, coalesce(r.start, l.due)) AS now,
+               CASE WHEN r.start IS NOT NULL AND greatest(l.due, r.start) >= r.until THEN r.lines[1:0] ELSE r.lines END AS kept
+        FROM r JOIN l ON l.stream_id = r.stream_id AND l.seq = r.seq + 1))
+SELECT stream_id, 'en' AS lang, s AS start, e AS "end", shown AS text FROM r WHERE s IS NOT NULL
+UNION ALL SELECT stream_id, 'en', start, until, array_to_string(lines, chr(10)) FROM r WHERE start IS NOT NULL QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY seq DESC) = 1"""
+
+
 def simple_cues(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.lit("en").alias("lang"), F.col("turn").alias("seq"), (F.col("turn") * 135_000 + F.length("text") * 900).alias("due"), "text")
     return cues.simple_cues(c).select("stream_id", "start", "end")
@@ -849,7 +864,7 @@ QUERIES = {
     "event_feed": event_feed, "parsed_messages": parsed_messages, "turn_context": turn_context, "source_context": source_context, "catalogue": catalogue, "retimed_turns": retimed_turns,
 }
 SQL = {
-    "turn_wer": TURN_WER_SQL, "translated_routes": TRANSLATED_ROUTES_SQL, "translation_deltas": DELTAS_SQL, "heartbeats": HEARTBEATS_SQL, "nearest_words": NEAREST_SQL, "revisions": REVISIONS_SQL, "vtt_bodies": VTT_SQL, "published_subtitles": PUBLISHED_SQL,
+    "turn_wer": TURN_WER_SQL, "cue_tracks": CUE_TRACKS_SQL, "translated_routes": TRANSLATED_ROUTES_SQL, "translation_deltas": DELTAS_SQL, "heartbeats": HEARTBEATS_SQL, "nearest_words": NEAREST_SQL, "revisions": REVISIONS_SQL, "vtt_bodies": VTT_SQL, "published_subtitles": PUBLISHED_SQL,
     "cue_overlap": OVERLAP_SQL, "simple_cues": SIMPLE_SQL, "srt_round_trip": SRT_SQL, "playlist_round_trip": PLAYLIST_SQL, "emission_tails": EMISSION_SQL, "segment_ends": SEGMENT_ENDS_SQL, "clip_lags": CLIP_SQL,
     "caption_lag": LAG_NOW_SQL, "first_lines": FIRST_LINES_SQL, "missing_turns": MISSING_SQL, "fanout": FANOUT_SQL, "stale_drops": STALE_SQL, "lane_lags": LANE_LAG_SQL, "backlog": BACKLOG_SQL, "levels": LEVELS_SQL,
     "audio_frames": AUDIO_FRAMES_SQL, "mono": MONO_SQL, "outages": OUTAGES_SQL, "recoveries": RECOVERY_SQL, "token_words": TOKENS_SQL, "late_suffixes": LATE_SQL, "text_functions": TEXT_SQL, "folded_words": FOLD_SQL,

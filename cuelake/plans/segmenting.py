@@ -60,6 +60,17 @@ SELECT stream_id, count(*) FILTER (WHERE reason = 'punctuation') AS punctuation,
        count(*) FILTER (WHERE reason = 'timer' AND next_gap_ms >= 350) AS timer_at_pause, CAST(sum(masked) AS BIGINT) AS masked FROM h GROUP BY stream_id"""
 
 
+#: A chunk ends with its arrival, at a clause's end, and before a pause that closes one.
+CHUNKS_SQL = f"""
+WITH RECURSIVE {CLAUSES_CTE},
+k AS (SELECT r.stream_id, r.seq, g.word.t AS t, r.now AS came, coalesce(r.e2 IS NOT NULL OR lead(r.e1) OVER w = 'pause', false) AS flush, lead(r.now) OVER w AS next, z.reason AS closed
+      FROM r JOIN g USING (stream_id, seq) LEFT JOIN z ON z.stream_id = r.stream_id AND z.w[-1].seq = r.seq WHERE r.seq >= 0 WINDOW w AS (PARTITION BY r.stream_id ORDER BY r.seq)),
+e AS (SELECT *, flush OR next IS NULL OR next <> came AS fin, CASE WHEN flush AND closed IS NULL THEN 'max_words' ELSE closed END AS cut FROM k),
+c AS (SELECT *, coalesce(sum(CAST(fin AS INTEGER)) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
+d AS (SELECT stream_id, CAST(chunk AS BIGINT) AS seq, string_agg(t, ' ' ORDER BY seq) AS text, max(CASE WHEN fin THEN cut END) AS cut, max(came) AS at_ms FROM c GROUP BY stream_id, chunk)
+SELECT stream_id, seq, text, seq = 0 OR coalesce(lag(cut) OVER (PARTITION BY stream_id ORDER BY seq) <> 'max_words', false) AS new_row, at_ms FROM d"""
+
+
 def source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.source_chunks(words(spark, sf_dir))
 
@@ -144,4 +155,4 @@ QUERIES = {
     "loops": loops,
     "word_gaps": word_gaps,
 }
-SQL = {"clauses": CLAUSES_SQL, "clause_stats": CLAUSE_STATS_SQL, **{f"mask_{s}": mask_sql(s) for s in masking.STYLES}, "guard_segments": GUARD_SQL, "word_gaps": WORD_GAPS_SQL}
+SQL = {"clauses": CLAUSES_SQL, "clause_stats": CLAUSE_STATS_SQL, "source_chunks": CHUNKS_SQL, **{f"mask_{s}": mask_sql(s) for s in masking.STYLES}, "guard_segments": GUARD_SQL, "word_gaps": WORD_GAPS_SQL}

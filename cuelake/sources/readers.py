@@ -114,9 +114,9 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Clauses ``id, doc, kind, text``; lines of another number of fields fail."""
+    """Clauses ``id, doc, kind, text``; lines of another number of fields fail. With ``limit`` the first by id."""
     rows = spark.read.schema("id string, doc string, kind string, text string").option("sep", "\t").option("header", True).option("mode", "FAILFAST").option("quote", "").csv(path)
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else rows.orderBy("id").limit(limit)
 
 
 def read_wordlists(spark: SparkSession, path: str, kind: str = "block") -> DataFrame:
