@@ -212,6 +212,24 @@ def in_caption_charset(ch: Column, kind: str = "608") -> Column:
     return ch.rlike(r"^[\x{20}-\x{7E}]$") | F.contains(F.lit(CAPTION_608_EXTRA), ch)
 
 
+def caption_tables(kind: str = "608") -> tuple[str, str, list[tuple[str, str]], str]:
+    """What :func:`plain_caption` does: letters, their plain forms, longer replacements, and a class of all that can be shown."""
+    extra = CAPTION_608_EXTRA if kind == "608" else "".join(map(chr, range(0xA0, 0x100))) + "…‘’“”•™ŠšŒœŸ⅛⅜⅝⅞♪"
+    plain = {x: k for k, letters in FOLDED.items() for x in letters}
+    plain |= {x.upper(): k.upper() for x, k in plain.items() if len(x.upper()) == 1}
+    plain = {x: k for x, k in (plain | CAPTION_FALLBACK).items() if x not in extra and not " " <= x <= "~"}
+    single = {x: k for x, k in plain.items() if len(k) == 1}
+    escaped = "".join("\\" + x if x in "\\^]-[" else x for x in extra)
+    return "".join(single), "".join(single.values()), [(x, k) for x, k in plain.items() if len(k) > 1], f"\n -~{escaped}"
+
+
+def plain_caption(c: Column, kind: str = "608") -> Column:
+    """A text as a caption of the kind can show it: letters that it lacks as plain ones, a few marks written out, the rest
+    left out; line breaks stay."""
+    letters, plain, longer, shown = caption_tables(kind)
+    return F.regexp_replace(_replace(F.translate(c, letters, plain), longer), f"[^{shown}]", "")
+
+
 #: Names of languages in themselves; a code without one is shown as it is.
 ENDONYMS = {"en": "English", "es": "Español", "fr": "Français", "de": "Deutsch", "pt": "Português", "it": "Italiano", "nl": "Nederlands", "pl": "Polski", "ru": "Русский", "uk": "Українська", "ja": "日本語", "zh": "中文", "ko": "한국어", "ar": "العربية", "tr": "Türkçe", "sv": "Svenska"}
 LATIN = ("en", "es", "fr", "de", "pt", "it", "nl", "pl", "sv", "tr")

@@ -100,6 +100,14 @@ def admit(recent: list[tuple[str, float]], batch: list[tuple[str, float, float]]
     return keep, (recent + [(k, z) for (k, _, z), ok in zip(batch, keep) if ok])[-RECENT_WORDS:]
 
 
+def guard_report(segments: DataFrame, by: list[str], **limits) -> DataFrame:
+    """What the guard removes from decoder segments (``words, no_speech, avg_logprob``), per key: segments, those dropped
+    by reason, and the looped words of those that stay."""
+    rows = segments.withColumn("__why", reject_reason(F.col("words"), F.col("no_speech"), F.col("avg_logprob"), **limits))
+    rows = collapse_loops(rows.withColumn("words", F.when(F.col("__why").isNull(), F.col("words")).otherwise(F.array().cast("array<string>"))), "words")
+    return rows.groupBy(*by).agg(F.count("*").alias("segments"), *[F.count_if(F.col("__why") == r).alias(r) for r in ("no_speech", "low_confidence", "filler")], F.sum("n_looped").cast("long").alias("loop_words"))
+
+
 class LoopPruner:
     """S5 over rows in order; a batch of arrival may go on in the next part, so the pieces of the last one wait."""
 

@@ -132,16 +132,27 @@ def label_failures(runs: DataFrame) -> DataFrame:
     return rows.withColumn("label", label).drop("__f", "__s", "__o", "__r")
 
 
-def mt_run_report(runs: DataFrame) -> DataFrame:
+def failures_by_label(labelled: DataFrame) -> DataFrame:
+    """Per run and language ``labels``, a map from label to the number of translations with it, of what
+    :func:`label_failures` gives."""
+    counts = labelled.filter("label is not null").groupBy("run", "lang", "label").agg(F.count("*").alias("n"))
+    return counts.groupBy("run", "lang").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("labels"))
+
+
+def mt_run_report(runs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """Per run and language n, percentiles of times, request times (the last record of each id), output tokens per
-    second, caps."""
+    second, caps; with ``labelled`` the failures by label too (an empty map where there are none)."""
     by = ["run", "lang"]
     main = rank_percentiles(runs, "ms", by, "linear", {"p50": 0.5, "p95": 0.95, "max": 1.0})
     first = rank_percentiles(runs, "ttft_ms", by, "linear", {"ttft_p50": 0.5}).drop("n")
     last = runs.filter("req_ms is not null").withColumn("__k", F.row_number().over(Window.partitionBy(*by, "id").orderBy(F.desc("line")))).filter("__k = 1")
     request = rank_percentiles(last, "req_ms", by, "linear", {"req_p50": 0.5, "req_p95": 0.95, "req_max": 1.0}).drop("n")
     rate = runs.groupBy(*by).agg((1000 * F.sum("n_out") / F.sum("ms")).alias("tokens_per_s"), F.count_if(F.col("cap") != "").alias("capped"))
-    return reduce(lambda a, b: a.join(b, by, "left"), (first, request, rate), main)
+    out = reduce(lambda a, b: a.join(b, by, "left"), (first, request, rate), main)
+    if labelled is None:
+        return out
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    return out.join(failures_by_label(labelled), by, "left").withColumn("labels", F.coalesce("labels", none))
 
 
 def charset_coverage(texts: DataFrame, by: str = "lang", text: str = "text", kind: str = "608") -> DataFrame:

@@ -126,6 +126,38 @@ SELECT conv_id, turn, CASE WHEN (length(t) % 10) / 10.0 > 0.6 THEN 'no_speech' W
 FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations)"""
 
 
+def guard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as decoder segments, some of them filler, some with a word that loops at the end."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("k"), T.clean("text").alias("text"))
+    said = F.when(F.col("k") % 5 == 1, "Thank you. Bye bye!").when(F.col("k") % 5 == 4, F.concat("text", F.lit(" no no no no no no"))).otherwise(F.col("text"))
+    rows = turns.select("conv_id", F.split(said, " ").alias("words"), ((F.length("text") % 10) / 10.0).alias("no_speech"), (-(F.length("text") % 13) / 10.0).alias("avg_logprob"))
+    return guard.guard_report(rows, ["conv_id"])
+
+
+GUARD_COUNTS_SQL = r"""
+WITH t AS (SELECT conv_id, turn % 5 AS k, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n FROM conversations),
+w AS (SELECT *, CASE WHEN (n % 10) / 10.0 > 0.6 THEN 'no_speech' WHEN -(n % 13) / 10.0 < -1.0 THEN 'low_confidence' WHEN k = 1 THEN 'filler' END AS why FROM t)
+SELECT conv_id, count(*) AS segments, count(*) FILTER (WHERE why = 'no_speech') AS no_speech, count(*) FILTER (WHERE why = 'low_confidence') AS low_confidence, count(*) FILTER (WHERE why = 'filler') AS filler,
+       CAST(coalesce(sum(5) FILTER (WHERE why IS NULL AND k = 4), 0) AS BIGINT) AS loop_words FROM w GROUP BY 1"""
+
+
+def plain_captions(kind: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """T21 over whole texts."""
+        return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.plain_caption(F.col("text"), kind)).alias("text_md5"))
+
+    return run
+
+
+def plain_captions_sql(kind: str) -> str:
+    letters, plain, longer, shown = T.caption_tables(kind)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    body = f"translate(text, {quoted(letters)}, {quoted(plain)})"
+    for a, b in longer:
+        body = f"replace({body}, {quoted(a)}, {quoted(b)})"
+    return f"SELECT doc_id, md5(regexp_replace({body}, {quoted(f'[^{shown}]')}, '', 'g')) AS text_md5 FROM documents"
+
+
 def loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F5 and F6 over turns."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", guard.drop_annotations(F.split("text", r"\s+")).alias("words"))
@@ -152,7 +184,9 @@ QUERIES = {
     "pruned_loops": pruned_loops,
     **{f"mask_{s}": mask_documents(s) for s in masking.STYLES},
     "guard_segments": guard_segments,
+    "guard_counts": guard_counts,
+    **{f"plain_captions_{k}": plain_captions(k) for k in ("608", "708")},
     "loops": loops,
     "word_gaps": word_gaps,
 }
-SQL = {"clauses": CLAUSES_SQL, "clause_stats": CLAUSE_STATS_SQL, "source_chunks": CHUNKS_SQL, **{f"mask_{s}": mask_sql(s) for s in masking.STYLES}, "guard_segments": GUARD_SQL, "word_gaps": WORD_GAPS_SQL}
+SQL = {"guard_counts": GUARD_COUNTS_SQL, **{f"plain_captions_{k}": plain_captions_sql(k) for k in ("608", "708")}, "clauses": CLAUSES_SQL, "clause_stats": CLAUSE_STATS_SQL, "source_chunks": CHUNKS_SQL, **{f"mask_{s}": mask_sql(s) for s in masking.STYLES}, "guard_segments": GUARD_SQL, "word_gaps": WORD_GAPS_SQL}

@@ -217,6 +217,13 @@ def test_char_f():
     assert reports.chr_f("abc", "abc") == pytest.approx(100) and reports.chr_f("abc", "xyz") == 0 and reports.chr_f("", "") == 0
 
 
+def test_failures_by_label(spark):
+    labelled = spark.createDataFrame([("r", "de", "empty"), ("r", "de", "empty"), ("r", "de", None), ("r", "de", "too-long"), ("r", "fr", None)], "run string, lang string, label string")
+    assert [(x.run, x.lang, x.labels) for x in reports.failures_by_label(labelled).collect()] == [("r", "de", {"empty": 2, "too-long": 1})]
+    runs = spark.createDataFrame([("r", lang, "1", 1, 5.0, 2.0, None, 3, "") for lang in ("de", "fr")], "run string, lang string, id string, line long, ms double, req_ms double, ttft_ms double, n_out int, cap string")
+    assert {x.lang: x.labels for x in reports.mt_run_report(runs, labelled).collect()} == {"de": {"empty": 2, "too-long": 1}, "fr": {}}
+
+
 def test_routes_share_the_first_hop(spark):
     def make():
         def run(texts, model):

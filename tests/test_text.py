@@ -56,3 +56,11 @@ def test_clocks(spark):
     assert one(spark, times.pts_diff(F.col("a"), F.col("b")), a=5, b=(1 << 33) - 5) == 10
     assert one(spark, times.unwrap_near(F.col("a"), F.col("b")), a=5, b=(1 << 33) - 5) == (1 << 33) + 5
     assert one(spark, times.dbfs(F.col("a")), a=0.0) == -100.0
+
+
+def test_plain_captions(spark):
+    rows = [("Łódź – Šibenik…\nœuvre € 5 ♪ 日本 ÿ„x“\t",), (None,), ("",), ("plain [ok] ^ \\\\",)]
+    df = spark.createDataFrame(rows, "t string")
+    found = [r.p for r in df.select(T.plain_caption(F.col("t")).alias("p")).collect()]
+    assert found == ["Lódz - Sibenik...\noeuvre EUR 5 ♪  y\"x“", None, "", rows[3][0]]
+    assert df.select(T.plain_caption(F.col("t"), "708").alias("p")).first().p == "Lódz - Šibenik…\nœuvre EUR 5 ♪  ÿ\"x“"
