@@ -102,9 +102,7 @@ def normalise_line(c: Column) -> Column:
 def content_words(c: Column, stop=STOP_WORDS) -> Column:
     """Lower-case words without those of ``stop``; an apostrophe joins its sides."""
     each = F.split(F.lower(F.replace(c, F.lit("'"), F.lit(""))), f"[^{ALNUM}]+")
-    # one compiled regex for each word; the stop words are letters alone
-    listed = f"^(?:{'|'.join(stop)})?$"
-    return F.filter(each, lambda w: ~w.rlike(listed))
+    return F.filter(each, lambda w: (w != "") & ~w.isin(*stop))  # a hash set of the stop words
 
 
 def wer_tokens(c: Column, apostrophe: bool = False) -> Column:

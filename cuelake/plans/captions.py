@@ -540,6 +540,17 @@ def cleaned_texts(spark, sf_dir):
     return d.select("doc_id", F.length(t).cast("long").alias("n_clean"), F.size(T.split_sentences(t)).cast("long").alias("sentences"), F.size(T.content_words(t)).cast("long").alias("content_words"), F.size(T.wrap_lines(t, 32)).cast("long").alias("lines"), T.sentence_end(t).alias("ends"))
 
 
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_ABBREVIATED = "|".join(a.replace(".", r"\.") for a in T.ABBREVIATIONS)
+#: Few words of these texts have more than two lines of 32 characters.
+CLEANED_SQL = rf"""
+WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS t FROM documents),
+w AS (SELECT *, regexp_replace(t, '([^ ]{{32}})([^ ])', '\1 \2', 'g') AS cut FROM d)
+SELECT doc_id, length(t) AS n_clean, CASE WHEN t = '' THEN 0 ELSE 1 + len(regexp_extract_all(t, '[.!?] [\p{{Lu}}¿¡"“]')) - len(regexp_extract_all(t, '(?:{_ABBREVIATED}) [\p{{Lu}}¿¡"“]')) END AS sentences,
+       len(list_filter(string_split_regex(lower(replace(t, '''', '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ({_STOP}))) AS content_words,
+       len(regexp_extract_all(cut, '[^ ](?:.{{0,30}}[^ ])?(?: |$)')) AS lines, regexp_matches(t, '[.!?。！？…][»)\]"''”’」』）》]*$') AS ends FROM w"""
+
+
 def joined_words(spark, sf_dir):
     """Turns joined from their words."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
@@ -864,7 +875,7 @@ QUERIES = {
     "event_feed": event_feed, "parsed_messages": parsed_messages, "turn_context": turn_context, "source_context": source_context, "catalogue": catalogue, "retimed_turns": retimed_turns,
 }
 SQL = {
-    "turn_wer": TURN_WER_SQL, "cue_tracks": CUE_TRACKS_SQL, "translated_routes": TRANSLATED_ROUTES_SQL, "translation_deltas": DELTAS_SQL, "heartbeats": HEARTBEATS_SQL, "nearest_words": NEAREST_SQL, "revisions": REVISIONS_SQL, "vtt_bodies": VTT_SQL, "published_subtitles": PUBLISHED_SQL,
+    "turn_wer": TURN_WER_SQL, "cleaned_texts": CLEANED_SQL, "cue_tracks": CUE_TRACKS_SQL, "translated_routes": TRANSLATED_ROUTES_SQL, "translation_deltas": DELTAS_SQL, "heartbeats": HEARTBEATS_SQL, "nearest_words": NEAREST_SQL, "revisions": REVISIONS_SQL, "vtt_bodies": VTT_SQL, "published_subtitles": PUBLISHED_SQL,
     "cue_overlap": OVERLAP_SQL, "simple_cues": SIMPLE_SQL, "srt_round_trip": SRT_SQL, "playlist_round_trip": PLAYLIST_SQL, "emission_tails": EMISSION_SQL, "segment_ends": SEGMENT_ENDS_SQL, "clip_lags": CLIP_SQL,
     "caption_lag": LAG_NOW_SQL, "first_lines": FIRST_LINES_SQL, "missing_turns": MISSING_SQL, "fanout": FANOUT_SQL, "stale_drops": STALE_SQL, "lane_lags": LANE_LAG_SQL, "backlog": BACKLOG_SQL, "levels": LEVELS_SQL,
     "audio_frames": AUDIO_FRAMES_SQL, "mono": MONO_SQL, "outages": OUTAGES_SQL, "recoveries": RECOVERY_SQL, "token_words": TOKENS_SQL, "late_suffixes": LATE_SQL, "text_functions": TEXT_SQL, "folded_words": FOLD_SQL,
