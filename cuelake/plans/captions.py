@@ -604,6 +604,12 @@ def translated(spark, sf_dir):
     return reports.translate(t, make).groupBy("lang", "error").agg(F.count("*").alias("n"), F.sum(F.length("out")).alias("chars"))
 
 
+TRANSLATED_SQL = rf"""
+WITH t AS (SELECT trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM conversations),
+n AS (SELECT t, CASE WHEN t = '' THEN 0 ELSE 1 + len(regexp_extract_all(t, '[.!?]\s[\p{{Lu}}¿¡"“]')) - len(regexp_extract_all(t, '(?:{_ABBREVIATED})\s[\p{{Lu}}¿¡"“]')) END AS n FROM t)
+SELECT lang, CASE WHEN n = 0 THEN 'empty' END AS error, count(*) AS n, CAST(sum(CASE WHEN n > 0 THEN length(t) + 5 * n END) AS BIGINT) AS chars FROM n, (SELECT unnest(['es', 'fr', 'de']) AS lang) GROUP BY 1, 2"""
+
+
 #: Stand-in models: each puts one letter for another.
 MODELS = {"es-en": "aá", "fr-en": "eé", "en-de": "ií", "en-fr": "oó", "es-de": "uú"}
 
@@ -875,7 +881,7 @@ QUERIES = {
     "event_feed": event_feed, "parsed_messages": parsed_messages, "turn_context": turn_context, "source_context": source_context, "catalogue": catalogue, "retimed_turns": retimed_turns,
 }
 SQL = {
-    "turn_wer": TURN_WER_SQL, "cleaned_texts": CLEANED_SQL, "cue_tracks": CUE_TRACKS_SQL, "translated_routes": TRANSLATED_ROUTES_SQL, "translation_deltas": DELTAS_SQL, "heartbeats": HEARTBEATS_SQL, "nearest_words": NEAREST_SQL, "revisions": REVISIONS_SQL, "vtt_bodies": VTT_SQL, "published_subtitles": PUBLISHED_SQL,
+    "turn_wer": TURN_WER_SQL, "translated": TRANSLATED_SQL, "cleaned_texts": CLEANED_SQL, "cue_tracks": CUE_TRACKS_SQL, "translated_routes": TRANSLATED_ROUTES_SQL, "translation_deltas": DELTAS_SQL, "heartbeats": HEARTBEATS_SQL, "nearest_words": NEAREST_SQL, "revisions": REVISIONS_SQL, "vtt_bodies": VTT_SQL, "published_subtitles": PUBLISHED_SQL,
     "cue_overlap": OVERLAP_SQL, "simple_cues": SIMPLE_SQL, "srt_round_trip": SRT_SQL, "playlist_round_trip": PLAYLIST_SQL, "emission_tails": EMISSION_SQL, "segment_ends": SEGMENT_ENDS_SQL, "clip_lags": CLIP_SQL,
     "caption_lag": LAG_NOW_SQL, "first_lines": FIRST_LINES_SQL, "missing_turns": MISSING_SQL, "fanout": FANOUT_SQL, "stale_drops": STALE_SQL, "lane_lags": LANE_LAG_SQL, "backlog": BACKLOG_SQL, "levels": LEVELS_SQL,
     "audio_frames": AUDIO_FRAMES_SQL, "mono": MONO_SQL, "outages": OUTAGES_SQL, "recoveries": RECOVERY_SQL, "token_words": TOKENS_SQL, "late_suffixes": LATE_SQL, "text_functions": TEXT_SQL, "folded_words": FOLD_SQL,
