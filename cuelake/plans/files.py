@@ -63,7 +63,7 @@ def segment_files(spark, sf_dir):
     return readers.read_segments(spark, _lines(c, shared_path(spark, "segments"), "a", "z", "t")).select("start", "end", "text")
 
 
-SEGMENT_FILES_SQL = "SELECT turn * 2.5 AS start, turn * 2.5 + 2 AS end, md5(text) || chr(9) || conv_id AS text FROM conversations WHERE turn % 4 <> 3"
+SEGMENT_FILES_SQL = "SELECT CAST(turn * 2.5 AS DOUBLE) AS start, CAST(turn * 2.5 + 2 AS DOUBLE) AS end, md5(text) || chr(9) || conv_id AS text FROM conversations WHERE turn % 4 <> 3"
 
 
 def run_files(spark, sf_dir):
@@ -147,7 +147,7 @@ def lag_files(spark, sf_dir):
     return spark.read.schema(kinds).option("header", True).csv(path).select("stream_id", "utt", "appear_s", "lag_s", "words_matched", "target")
 
 
-LAG_FILES_SQL = "SELECT conv_id AS stream_id, turn AS utt, CASE WHEN turn % 3 > 0 THEN turn * 2.0 + 1.5 END AS appear_s, CASE WHEN turn % 3 > 0 THEN 0.5 END AS lag_s, CAST(CASE WHEN turn % 3 > 0 THEN 2 END AS INTEGER) AS words_matched, 'two words' AS target FROM conversations"
+LAG_FILES_SQL = "SELECT conv_id AS stream_id, turn AS utt, CAST(CASE WHEN turn % 3 > 0 THEN turn * 2.0 + 1.5 END AS DOUBLE) AS appear_s, CAST(CASE WHEN turn % 3 > 0 THEN 0.5 END AS DOUBLE) AS lag_s, CAST(CASE WHEN turn % 3 > 0 THEN 2 END AS INTEGER) AS words_matched, 'two words' AS target FROM conversations"
 
 
 def pcm_flags(spark, sf_dir):
@@ -200,7 +200,7 @@ LOOP_SPANS_SQL = """
 WITH u AS (SELECT conv_id, turn, turn * 2.0 AS a, turn * 2.0 + 1.5 AS z, CAST(conv_id % 7 AS DOUBLE) AS low, CAST(conv_id % 7 + 45 AS DOUBLE) AS high FROM conversations),
 k AS (SELECT *, unnest(range(CAST(floor(low / 20) AS BIGINT), CAST(floor(high / 20) AS BIGINT) + 1)) AS loop FROM u),
 s AS (SELECT n_regionkey AS region, CAST(arg_min(n_nationkey, r) AS BIGINT) AS first_shed FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey % 3 DESC, n_nationkey DESC) AS r FROM nation WHERE n_nationkey % 7 > 0) GROUP BY 1)
-SELECT conv_id AS stream_id, turn AS utt, loop, a + loop * 20.0 AS start, first_shed FROM k LEFT JOIN s ON s.region = conv_id % 5
+SELECT conv_id AS stream_id, turn AS utt, loop, CAST(a + loop * 20.0 AS DOUBLE) AS start, first_shed FROM k LEFT JOIN s ON s.region = conv_id % 5
 WHERE a + loop * 20 >= low AND z + loop * 20 + 4 <= high"""
 
 QUERIES = {

@@ -155,7 +155,7 @@ class CueMachine(Machine):
 
     def step(self, key, state, row):
         track = self._track(state)
-        return self._out(key, state, track, track.line(row["text"], bool(row["new_row"]), int(row["due"])))
+        return self._out(key, state, track, track.line(row["text"] or "", bool(row["new_row"]), int(row["due"])))
 
     def idle(self, key, state):
         track = self._track(state)

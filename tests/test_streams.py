@@ -16,7 +16,7 @@ def run(spark, df, path, name, build):
 
 
 def test_cues(spark, tmp_path):
-    lines = spark.createDataFrame([("s", "en", i, f"line {i}", i % 2 == 0, i * 100_000) for i in range(12)], "stream_id string, lang string, seq long, text string, new_row boolean, due long")
+    lines = spark.createDataFrame([("s", "en", i, None if i == 5 else f"line {i}", i % 2 == 0, i * 100_000) for i in range(12)], "stream_id string, lang string, seq long, text string, new_row boolean, due long")
     got = run(spark, lines, tmp_path, "stream_cues", lambda s: machines.stream_cues(s, idle_ms=None))
     key = lambda r: (r.start, r.end, r.text)
     batch = sorted(map(key, cues.cue_track(lines).collect()))
