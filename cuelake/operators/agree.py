@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from .ordered import run_ordered
 HISTORY, SLACK_S = 200, 0.05
 
 
+@lru_cache(1 << 16)
 def norm(word: str) -> str:
     """T5 in Python: letters, digits and ' in lower case."""
     return "".join(c for c in word if c.isalnum() or c == "'").lower()
@@ -21,15 +24,28 @@ def norm(word: str) -> str:
 def skip_prefix(done: list[str], heard: list[str]) -> int:
     """Length of the prefix of ``heard`` with the fewest word edits to all of ``done``; of equal ones the longest.
 
-    One row of the edit table is kept, over ``heard``; its last state has the distance of each prefix."""
+    What both begin with costs nothing, and no prefix that ends within it is better. For the rest the columns of the edit table
+    are bits of whole numbers (Myers' and Hyyrö's bit vectors), of which the last row's step gives the distance of each prefix."""
+    n = next((i for i, (a, b) in enumerate(zip(done, heard)) if a != b), min(len(done), len(heard)))
+    done, heard = done[n:], heard[n:]
     if not done:
-        return 0
-    row = list(range(len(heard) + 1))
-    for i, word in enumerate(done, 1):
-        corner, row[0] = row[0], i
-        for j, other in enumerate(heard, 1):
-            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (word != other))
-    return max(range(len(row)), key=lambda j: (-row[j], j))
+        return n
+    places: dict[str, int] = {}
+    for i, word in enumerate(done):
+        places[word] = places.get(word, 0) | 1 << i
+    full, last = (1 << len(done)) - 1, 1 << len(done) - 1
+    up, down, distance, best = full, 0, len(done), (len(done), 0)
+    for j, word in enumerate(heard, 1):
+        same = places.get(word, 0)
+        x = same | down
+        d = (((x & up) + up) ^ up) | x
+        more, less = down | full & ~(d | up), up & d
+        distance += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = less | full & ~(d | more), more & d
+        if distance <= best[0]:
+            best = distance, j
+    return n + best[1]
 
 
 class Agreement:
@@ -60,16 +76,16 @@ class Agreement:
 class _Committed:
     """A stream's passes in order to numbered rows."""
 
-    def __init__(self, names: list[str], state: Agreement):
-        self.names, self.state, self.n = names, state, 0
+    def __init__(self, state: Agreement):
+        self.state, self.n = state, 0
 
-    def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
+    def take(self, pdf: pd.DataFrame) -> list[tuple]:
         out = []
-        for r in pdf.itertuples():
-            for w in self.state.add([(x["text"], x["t0"], x["t1"]) for x in r.words], r.buf_t0, bool(r.final)):
-                out.append((r.stream_id, self.n, r.pass_no, *w))
+        for stream, pass_no, start, final, text, t0, t1 in zip(*[pdf[c] for c in ("stream_id", "pass_no", "buf_t0", "final", "text", "t0", "t1")]):
+            for w in self.state.add(list(zip(text.tolist(), t0.tolist(), t1.tolist())), start, bool(final)):
+                out.append((stream, self.n, pass_no, *w))
                 self.n += 1
-        return pd.DataFrame(out, columns=self.names)
+        return out
 
     def end(self) -> None:
         return None
@@ -80,8 +96,9 @@ def commit_agreed(hypotheses: DataFrame, passes: int = 2) -> DataFrame:
     words array<struct<text, t0, t1>>)``."""
     schema = StructType([hypotheses.schema["stream_id"], StructField("seq", LongType()), StructField("pass_no", LongType()), StructField("text", StringType()), StructField("t0", DoubleType()), StructField("t1", DoubleType())])
 
-    rows = hypotheses.select("stream_id", "pass_no", "buf_t0", "final", "words")
-    return run_ordered(rows, ["stream_id"], ["pass_no"], lambda: _Committed(schema.names, Agreement(passes)), schema)
+    # an array for each field: structs would be a dict for each word of each pass
+    rows = hypotheses.select("stream_id", "pass_no", "buf_t0", "final", *[F.col(f"words.{c}").alias(c) for c in ("text", "t0", "t1")])
+    return run_ordered(rows, ["stream_id"], ["pass_no"], lambda: _Committed(Agreement(passes)), schema)
 
 
 def group_tokens(tokens: DataFrame, last_s: float = 0.08) -> DataFrame:

@@ -4,33 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 
+def changes(values: pd.Series) -> np.ndarray:
+    """True where a value differs from the one before; nulls are equal."""
+    codes = pd.factorize(values, use_na_sentinel=False)[0]
+    return codes[1:] != codes[:-1]
+
+
 def run_ordered(df: DataFrame, keys: list[str], order: list[str], make: Callable[[], object], schema: StructType | str) -> DataFrame:
     """Rows of each key in order through a machine of its own: ``machine.take(pdf)`` gets the key's rows batch by batch
-    and ``machine.end()`` comes after the last; both give rows of ``schema`` or None.
+    and ``machine.end()`` comes after the last; both give rows of ``schema`` (a frame or a list of tuples) or None.
 
     Partitions are sorted by key and order, by Spark's sort that spills, and streamed: no key is gathered. Null keys
     are a key."""
+    names = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).names
+
+    def gathered(out: list) -> Iterator[pd.DataFrame]:
+        out = [x for x in out if x is not None and len(x)]
+        rows = [r for x in out if isinstance(x, list) for r in x]
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+        if frames := [x for x in out if not isinstance(x, list)]:
+            yield pd.concat(frames, ignore_index=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, machine = None, None
         for pdf in batches:
-            out = []
-            for own, part in pdf.groupby(keys, sort=False, dropna=False):
+            if not len(pdf):
+                continue
+            out, new = [], np.zeros(len(pdf) - 1, dtype=bool)
+            for k in keys:
+                new |= changes(pdf[k])
+            starts = [0, *(np.flatnonzero(new) + 1).tolist(), len(pdf)]
+            for own, a, z in zip(zip(*[pdf[k].iloc[starts[:-1]] for k in keys]), starts, starts[1:]):
                 own = tuple(None if pd.isna(x) else x for x in own)
                 if machine is None or own != key:
                     if machine is not None:
                         out.append(machine.end())
                     key, machine = own, make()
-                out.append(machine.take(part))
-            out = [x for x in out if x is not None and len(x)]
-            if out:
-                yield pd.concat(out, ignore_index=True)
-        if machine is not None and (last := machine.end()) is not None and len(last):
-            yield last
+                out.append(machine.take(pdf.iloc[a:z]))
+            yield from gathered(out)
+        if machine is not None:
+            yield from gathered([machine.end()])
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
