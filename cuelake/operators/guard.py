@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,28 +109,63 @@ def guard_report(segments: DataFrame, by: list[str], **limits) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("segments"), *[F.count_if(F.col("__why") == r).alias(r) for r in ("no_speech", "low_confidence", "filler")], F.sum("n_looped").cast("long").alias("loop_words"))
 
 
+def first_repeat(keys: list[str]) -> int:
+    """The place where the first run of repeats that could be a loop is complete; the number of keys if there is none."""
+    codes, first = pd.factorize(np.array(keys, dtype=object), use_na_sentinel=False)[0], len(keys)
+    for n in range(1, MAX_LOOP + 1):
+        least = 3 if n == 1 else 2 * n  # keys in a row that equal the n-th before them
+        so_far = np.concatenate([[0], (codes[n:] == codes[:-n]).cumsum()])
+        ends = np.flatnonzero(so_far[least:] - so_far[:-least] == least)
+        if len(ends):
+            first = min(first, int(ends[0]) + least - 1 + n)
+    return first
+
+
 class LoopPruner:
-    """S5 over rows in order; a batch of arrival may go on in the next part, so the pieces of the last one wait."""
+    """S5 over rows in order; a batch of arrival may go on in the next part, so the pieces of the last one wait.
+
+    Where nothing repeats nothing is dropped: batches up to the first run of repeats stay as they are, and only those from there
+    on are admitted one by one. That needs starts and ends that never fall, so that the memory is the end of what was admitted."""
 
     def __init__(self):
         self.recent, self.waiting = [], []
 
     def take(self, pdf: pd.DataFrame) -> pd.DataFrame | None:
-        arrival, out = pdf["arrival_ms"].to_numpy(), []
-        starts = [0, *((arrival[1:] != arrival[:-1]).nonzero()[0] + 1).tolist(), len(pdf)]
-        for a, z in zip(starts, starts[1:]):
-            if self.waiting and self.waiting[-1]["arrival_ms"].iloc[-1] != arrival[a]:
-                out.append(self._admitted())
-            self.waiting.append(pdf.iloc[a:z])
-        return pd.concat(out) if out else None
-
-    def end(self) -> pd.DataFrame:
-        return self._admitted()
-
-    def _admitted(self) -> pd.DataFrame:
-        batch, self.waiting = pd.concat(self.waiting), []
-        keep, self.recent = admit(self.recent, list(zip(batch["key"], batch["start_ms"] / 1000, batch["end_ms"] / 1000)))
-        return batch[keep]
+        arrival = pdf["arrival_ms"].to_numpy()
+        new = np.flatnonzero(arrival[1:] != arrival[:-1]) + 1
+        over = bool(self.waiting) and self.waiting[-1]["arrival_ms"].iloc[-1] != arrival[0]
+        last = int(new[-1]) if len(new) else 0
+        if not last and not over:
+            self.waiting.append(pdf)
+            return None
+        done = [*self.waiting, pdf.iloc[:last]] if last else self.waiting
+        self.waiting = [pdf.iloc[last:]]
+        return self._admitted(pd.concat(done) if len(done) > 1 else done[0])
+
+    def end(self) -> pd.DataFrame | None:
+        done, self.waiting = self.waiting, []
+        return self._admitted(pd.concat(done)) if done else None
+
+    def _admitted(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Whole batches."""
+        arrival, keys, starts, ends = rows["arrival_ms"].to_numpy(), rows["key"].tolist(), rows["start_ms"].to_numpy() / 1000, rows["end_ms"].to_numpy() / 1000
+        cuts = [0, *(np.flatnonzero(arrival[1:] != arrival[:-1]) + 1).tolist(), len(rows)]
+        rising = bool((np.diff(starts) >= 0).all() and (np.diff([t for _, t in self.recent] + ends.tolist()) >= 0).all())
+        keep, at, ahead = np.ones(len(rows), dtype=bool), 0, 1 << 14
+        while at < len(cuts) - 1:
+            a, z = cuts[at], cuts[at + 1]
+            if rising:
+                near = cuts[at:][: ahead + 1]
+                before = a + first_repeat([k for k, _ in self.recent] + keys[a : near[-1]]) - len(self.recent)
+                quiet = int(np.searchsorted(near, before, side="right")) - 1
+                if quiet > 0:
+                    self.recent = (self.recent + list(zip(keys[a : near[quiet]], ends[a : near[quiet]].tolist())))[-RECENT_WORDS:]
+                    at, ahead = at + quiet, min(2 * ahead, 1 << 14)
+                    continue
+                ahead = max(ahead // 2, 64)
+            keep[a:z], self.recent = admit(self.recent, list(zip(keys[a:z], starts[a:z].tolist(), ends[a:z].tolist())))
+            at += 1
+        return rows[keep]
 
 
 def prune_loops(words: DataFrame) -> DataFrame:
