@@ -126,12 +126,13 @@ def published_subtitles(spark, sf_dir):
     segments = _segments(spark, sf_dir)
     named.write_vtt_segments(cues.vtt_segments(_cues(spark, sf_dir), segments, langs), f"{base}/segments")
     named.write_playlists(cues.subtitle_playlists(segments, langs), f"{base}/playlists")
-    at = lambda end: F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/([^/]+)\.{end}$", 1)
-    files = lambda folder, end: spark.read.option("recursiveFileLookup", True).text(f"{base}/{folder}", wholetext=True).select(at(end).alias("stream"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), "value")
-    lists = files("playlists", "m3u8").select(F.concat_ws("/", "stream", F.regexp_extract("file", r"^(.*)\.m3u8$", 1)).alias("stream_id"), "value")
-    uris = readers.parse_playlist(lists).select(F.split("stream_id", "/").alias("s"), "seq", "uri").select(F.col("s")[0].alias("stream"), F.col("s")[1].alias("lang"), "seq", F.col("uri").alias("file"))
-    opened = uris.join(files("segments", "vtt"), ["stream", "file"], "left")
-    return opened.select(F.col("stream").cast("long").alias("stream_id"), "lang", "seq", F.md5("value").alias("body_md5"))
+    # files are opened by name where the rows are, dealt over all tasks: listed folders are planned at some 30 files a task
+    many = lambda df: df.repartition("file")
+    names = segments.select("stream_id").distinct().crossJoin(F.broadcast(langs)).select("stream_id", "lang", named.playlist_name(F.col("stream_id"), F.col("lang")).alias("file"))
+    lists = named.read_named(many(names), f"{base}/playlists").select(F.struct("stream_id", "lang").alias("stream_id"), "value")
+    uris = readers.parse_playlist(lists).select("stream_id.*", "seq", F.concat(named.folder(F.col("stream_id.stream_id")), F.lit("/"), "uri").alias("file"))
+    opened = named.read_named(many(uris), f"{base}/segments")
+    return opened.select("stream_id", "lang", "seq", F.md5("value").alias("body_md5"))
 
 
 def emission_tails(spark, sf_dir):

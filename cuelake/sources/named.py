@@ -38,6 +38,7 @@ class NamedTextWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         fs, base = self._open(self.staging)
         seen: set[str] = set()
+        folders: set[str] = set()
         for row in iterator:
             parts = (row.file or "").split("/")
             if not all(parts) or {".", ".."} & set(parts):
@@ -46,7 +47,9 @@ class NamedTextWriter(DataSourceWriter):
                 raise ValueError(f"two rows have the file name {row.file!r}")
             seen.add(row.file)
             folder = "/".join([base, *parts[:-1]])
-            fs.create_dir(folder, recursive=True)
+            if folder not in folders:
+                fs.create_dir(folder, recursive=True)
+                folders.add(folder)
             own = f"{folder}/.{uuid.uuid4().hex}"  # a second attempt at a task never sees half a file
             with fs.open_output_stream(own) as out:
                 out.write((row.body or "").encode())
@@ -97,16 +100,47 @@ def write_named(files: DataFrame, path: str, mode: str = "overwrite") -> None:
     files.select("file", "body").repartition("file").write.format("named_text").mode(mode).save(path)
 
 
-def _folder(stream: Column) -> Column:
+def folder(stream: Column) -> Column:
     return F.url_encode(stream.cast("string"))
 
 
 def write_vtt_segments(bodies: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K1: ``bodies(stream_id, lang, seq, body)`` as ``<stream>/<lang>_<seq>.vtt``, the names that the playlists give."""
-    name = F.concat(_folder(F.col("stream_id")), F.lit("/"), F.col("lang"), F.lit("_"), F.col("seq").cast("string"), F.lit(".vtt"))
+    name = F.concat(folder(F.col("stream_id")), F.lit("/"), F.col("lang"), F.lit("_"), F.col("seq").cast("string"), F.lit(".vtt"))
     write_named(bodies.select(name.alias("file"), "body"), path, mode)
 
 
 def write_playlists(bodies: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K2: ``bodies(stream_id, lang, body)`` as ``<stream>/<lang>.m3u8``."""
-    write_named(bodies.select(F.concat(_folder(F.col("stream_id")), F.lit("/"), F.col("lang"), F.lit(".m3u8")).alias("file"), "body"), path, mode)
+    write_named(bodies.select(playlist_name(F.col("stream_id"), F.col("lang")).alias("file"), "body"), path, mode)
+
+
+def read_named(files: DataFrame, path: str) -> DataFrame:
+    """``files`` with ``value``: the text of the file ``file`` below ``path``, null if there is none. Tasks open files by their names,
+    so that no folder is listed on the driver and no task is planned for a few files each."""
+    kinds = files.schema.simpleString()[len("struct<") : -1]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+
+        fs, base = FileSystem.from_uri(path)
+
+        def text(name: str | None) -> str | None:
+            if name is None:
+                return None
+            try:
+                with fs.open_input_stream(f"{base}/{name}") as f:
+                    return f.read().decode(errors="replace")
+            except FileNotFoundError:
+                return None
+
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                yield part.append_column("value", pa.array([text(n) for n in part.column("file").to_pylist()], pa.string()))
+
+    return files.mapInArrow(run, f"{kinds},value:string")
+
+
+def playlist_name(stream: Column, lang: Column) -> Column:
+    return F.concat(folder(stream), F.lit("/"), lang, F.lit(".m3u8"))

@@ -39,3 +39,20 @@ def test_stream_names_are_safe(spark, tmp_path):
     bodies = spark.createDataFrame([("a/b ü", "en", 3, "x")], "stream_id string, lang string, seq long, body string")
     named.write_vtt_segments(bodies, f"file://{tmp_path}/out")
     assert tree(f"{tmp_path}/out") == {"a%2Fb+%C3%BC/en_3.vtt": "x"}
+
+
+def test_files_opened_by_name(spark, tmp_path):
+    path = f"file://{tmp_path}/by-name"
+    named.write_named(spark.createDataFrame([("1/a.vtt", "x\ny"), ("2/b c.vtt", "")], "file string, body string"), path)
+    asked = spark.createDataFrame([(1, "1/a.vtt"), (2, "2/b c.vtt"), (3, "3/none.vtt"), (4, None), (5, "1/a.vtt")], "id long, file string")
+    assert {r.id: r.value for r in named.read_named(asked, path).collect()} == {1: "x\ny", 2: "", 3: None, 4: None, 5: "x\ny"}
+
+
+def test_published_files_are_not_listed(spark):
+    """Listed files are planned at some 30 files a task, so tasks grow with the files."""
+    from cuelake.plans import captions
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    plan = captions.published_subtitles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Relation [value" not in plan and "MapInArrow" in plan
