@@ -68,7 +68,9 @@ def mark_words(words: DataFrame) -> DataFrame:
     return rows.withColumn("island", F.sum((F.col("gap_ms") >= LONG_PAUSE_MS).cast("int")).over(order).cast("long"))
 
 
-_MARKED = "stream_id {id}, island long, seq long, part int, closed string, closed_ms long, flush boolean"
+#: What the machine reads of a word, and what it gives for it.
+_READ = ("arrival_ms", "gap_ms", "blank", "punct", "ends", "comma")
+_MARKED = "part int, closed string, closed_ms long, flush boolean"
 
 
 def _island(words: list[dict], max_wait_ms: int) -> list[dict]:
@@ -87,7 +89,7 @@ def _island(words: list[dict], max_wait_ms: int) -> list[dict]:
 
     for w in words:
         now = w["arrival_ms"]
-        row = {"stream_id": w["stream_id"], "island": w["island"], "seq": w["seq"], "part": -1, "closed": None, "closed_ms": None, "flush": False}
+        row = {"part": -1, "closed": None, "closed_ms": None, "flush": False}
         if before is not None and now != before:
             closed(state.idle(now))
         if not w["blank"]:
@@ -112,23 +114,43 @@ def _island(words: list[dict], max_wait_ms: int) -> list[dict]:
 
 def _islands(max_wait_ms: int):
     def run(batches: Iterator) -> Iterator:
-        """Rows sorted by stream, island and seq."""
+        """Rows sorted by stream, island and seq, with what the machine gives for them; other columns pass as they are."""
+        import numpy as np
         import pyarrow as pa
 
-        words, schema = [], None
+        schema = pa.schema([("part", pa.int32()), ("closed", pa.string()), ("closed_ms", pa.int64()), ("flush", pa.bool_())])
+        waiting = []  # pieces of the last island, which may go on
+
+        def marked(rows):
+            words, out = rows.select(_READ).to_pylist(), []
+            cuts = [0, *starts(rows).tolist(), rows.num_rows]
+            for a, z in zip(cuts, cuts[1:]):
+                out += _island(words[a:z], max_wait_ms)
+            new = pa.RecordBatch.from_pylist(out, schema=schema)
+            yield pa.RecordBatch.from_arrays([*rows.columns, *new.columns], names=[*rows.schema.names, *schema.names])
+
+        def starts(rows):
+            """Where islands begin, but for the first."""
+            new = np.zeros(max(rows.num_rows - 1, 0), dtype=bool)
+            for c in ("stream_id", "island"):
+                codes = rows.column(c).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+                new |= codes[1:] != codes[:-1]
+            return np.flatnonzero(new) + 1
+
         for batch in batches:
-            kind = batch.schema.field("stream_id").type
-            schema = pa.schema([("stream_id", kind), ("island", pa.int64()), ("seq", pa.int64()), ("part", pa.int32()), ("closed", pa.string()), ("closed_ms", pa.int64()), ("flush", pa.bool_())])
-            out = []
-            for w in batch.to_pylist():
-                if words and (w["stream_id"], w["island"]) != (words[-1]["stream_id"], words[-1]["island"]):
-                    out += _island(words, max_wait_ms)
-                    words = []
-                words.append(w)
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-        if words:
-            yield pa.RecordBatch.from_pylist(_island(words, max_wait_ms), schema=schema)
+            if not batch.num_rows:
+                continue
+            if waiting and any(waiting[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("stream_id", "island")):
+                yield from marked(pa.concat_batches(waiting))
+                waiting = []
+            cuts = starts(batch)
+            last = int(cuts[-1]) if len(cuts) else 0
+            if last:
+                yield from marked(pa.concat_batches([*waiting, batch.slice(0, last)]))
+                waiting = []
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield from marked(pa.concat_batches(waiting))
 
     return run
 
@@ -137,12 +159,11 @@ def mark_clauses(words: DataFrame, max_wait_ms: int = MAX_WAIT_MS) -> DataFrame:
     """Marked words with ``part``, ``closed``, ``closed_ms`` and ``flush`` (see :class:`Clauses`), repaired across
     islands: what is open at an island's end closes by the timer, by the pause, or at the end of the stream."""
     marked = mark_words(words)
-    kind = dict(words.dtypes)["stream_id"]
-    keys = marked.select("stream_id", "island", "seq", "arrival_ms", "gap_ms", "blank", "punct", "ends", "comma")
-    # sorted partitions instead of groups: islands are small, and a group costs some ms
-    ordered = keys.repartition("stream_id", "island").sortWithinPartitions("stream_id", "island", "seq")
-    parts = ordered.mapInArrow(_islands(max_wait_ms), _MARKED.format(id=kind))
-    rows = marked.join(parts, ["stream_id", "island", "seq"])
+    # sorted partitions instead of groups: islands are small, and a group costs some ms. All columns pass through: marking words
+    # costs more than carrying them, and no join back marks them again
+    ordered = marked.repartition("stream_id", "island").sortWithinPartitions("stream_id", "island", "seq")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema)
+    rows = ordered.mapInArrow(_islands(max_wait_ms), f"{kinds}, {_MARKED}")
     order = Window.partitionBy("stream_id").orderBy("seq")
     first = F.lag("island").over(order)
     rows = rows.withColumn("island_start", (first != F.col("island")) | first.isNull())

@@ -123,3 +123,11 @@ def test_filler(spark):
     say = lambda t: spark.range(1).select(guard.is_filler(F.split(F.lit(t), " "))).first()[0]
     assert say("Thank you. Bye.") and say("Oh, oh.") and say("Subtitles by the community")
     assert not say("Thank you. See the report.") and not say("...")
+
+
+def test_words_are_marked_once(spark):
+    """Columns pass through the machine: no join back, which would clean and mark all words again."""
+    df = spark.createDataFrame(rows("one two three. four".split()), SCHEMA).withColumn("more", F.col("seq") * 2)
+    marked = segment.mark_clauses(df)
+    assert "Join" not in marked._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.more, r.text, r.part) for r in marked.orderBy("seq").collect()] == [(0, "one", 0), (2, "two", 0), (4, "three.", 0), (6, "four", 1)]
