@@ -143,17 +143,24 @@ def clause_end(c: Column) -> Column:
     return c.rlike(f"{_class(CLAUSE_MARKS)}{_class(CLOSING)}*$")
 
 
+def _tight(before: Column, word: Column) -> Column:
+    """Whether no space stands between what ends like ``before`` and ``word``."""
+    bare = ~word.rlike(f"[{ALNUM}]") & ~word.rlike(f"^{_class(OPENING)}+$")
+    return bare | before.rlike(f"{_class(OPENING)}$") | (before.rlike(f"[{CJK}]$") & word.rlike(f"^[{CJK}]"))
+
+
 def glue(left: Column, word: Column) -> Column:
     """``left`` and ``word`` with a space, but none before bare punctuation, after an opening mark, or between two
     CJK characters."""
-    bare = ~word.rlike(f"[{ALNUM}]") & ~word.rlike(f"^{_class(OPENING)}+$")
-    tight = (left == "") | bare | left.rlike(f"{_class(OPENING)}$") | (left.rlike(f"[{CJK}]$") & word.rlike(f"^[{CJK}]"))
-    return F.concat(left, F.when(tight, "").otherwise(" "), word)
+    return F.concat(left, F.when((left == "") | _tight(left, word), "").otherwise(" "), word)
 
 
 def join_words(words: Column) -> Column:
-    """T11 over an array."""
-    return F.aggregate(words, F.lit(""), glue)
+    """T11 over an array: :func:`glue` looks at the word before alone, so the text isn't read again for each word. A null word
+    makes the text null."""
+    space = lambda w, x, i: F.when((i == 0) | _tight(F.get(w, i - 1), x), "").otherwise(" ")
+    text = let(F.filter(words, lambda w: w != ""), lambda w: F.array_join(F.transform(w, lambda x, i: F.concat(space(w, x, i), x)), ""))
+    return F.when(~F.exists(words, lambda w: w.isNull()), text)
 
 
 def decode_cap(c: Column) -> Column:

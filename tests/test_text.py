@@ -64,3 +64,18 @@ def test_plain_captions(spark):
     found = [r.p for r in df.select(T.plain_caption(F.col("t")).alias("p")).collect()]
     assert found == ["Lódz - Sibenik...\noeuvre EUR 5 ♪  y\"x“", None, "", rows[3][0]]
     assert df.select(T.plain_caption(F.col("t"), "708").alias("p")).first().p == "Lódz - Šibenik…\nœuvre EUR 5 ♪  ÿ\"x“"
+
+
+def test_joined_words_are_glued_ones(spark):
+    """The text is that of gluing word by word, and the expression doesn't go through the text so far."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from cuelake.functions import text as T
+
+    r = random.Random(5)
+    rows = [([r.choice(["a", "Bc", ",", "«", "(", "x(", "」", "日", "本a", "¿", "...", "", "-", " "]) for _ in range(r.randint(0, 12))],) for _ in range(400)] + [(None,), (["a", None, "b"],), ([],)]
+    df = spark.createDataFrame(rows, "w array<string>").select(T.join_words(F.col("w")).alias("one"), F.aggregate("w", F.lit(""), T.glue).alias("two"))
+    assert all(x.one == x.two for x in df.collect())
+    assert "aggregate(" not in df.select("one")._jdf.queryExecution().optimizedPlan().toString()
