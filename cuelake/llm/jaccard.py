@@ -8,7 +8,7 @@ their prefixes (the first n - ceil(t n) + 1 in this order), so classes are joine
 * the length filter: the smaller set has at least t times the size of the larger,
 * the positional filter: what follows the shared n-gram is enough for the overlap that is needed,
 * the suffix filter: what follows is cut into ``CELLS`` parts by fixed pivots of the hash; differences in the sizes of the
-  parts, and all that stands before, are n-grams that only one of the two has.
+  parts, and all that stands before, are n-grams that only one of the two has (sizes count to 255, so it is weak for long sets).
 
 Each filter holds for the first n-gram that two alike sets share, so no link is lost. What passes is made distinct and
 held against signatures: the parities of the number of n-grams in as many parts of the hash as the set has n-grams, which differ
@@ -17,8 +17,12 @@ the texts of the classes concerned.
 
 A group of thousands of near copies is not compared all with all: in star rounds each class meets one centre for each
 of its n-grams and sizes, verified links make components, and after that only classes of different components
-meet, with their signatures of ``BITS`` parts at hand. N-grams in very many prefixes are cut into blocks; the largest
-component of such an n-gram isn't compared with itself.
+meet. Ranges of sizes move by half their width from round to round, so no boundary keeps a group in two, and after the first
+round, in which the n-grams of a group mostly have the same centre, each n-gram has a centre of its own, from the largest
+component that it stands in: what is alike to that and not to others is met there. What meets at last is
+held against signatures at once: those of ``BITS`` parts, and for longer sets those of half as many parts as the whole
+signature, since in 256 parts two strange texts of 2,000 words are no farther apart than alike ones may be. N-grams in very
+many prefixes are cut into blocks; the largest component of such an n-gram isn't compared with itself.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ PERCENT, SHINGLE = 90, 3
 SLOTS, NOISE = 1 << 18, 4
 #: Parts of a suffix; their sizes count to 255 and are the bytes of a long.
 CELLS = 8
-STARS = 2
+STARS = 3
 #: Parts of the smallest signature. Blocks of so few rows are looked at together.
 BITS, FEW = 256, 12
 #: Classes of a block of an n-gram; documents' keys that are broadcast (more are joined by shuffle, with the same result).
@@ -137,6 +141,12 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
+def half_signature(bits: bytes) -> bytes | None:
+    """A signature folded to half its parts: it tells strange long sets apart as well, in half the bytes. None if that
+    is no more than BITS."""
+    return folded(np.frombuffer(bits, np.uint8), len(bits) // 2).tobytes() if len(bits) > BITS // 4 else None
+
+
 def signatures_apart(u: bytes, v: bytes) -> int:
     x, y = np.frombuffer(u, np.uint8), np.frombuffer(v, np.uint8)
     size = min(len(x), len(y))
@@ -217,6 +227,11 @@ def near_rows(rows: dict[str, np.ndarray], i, j, percent: int) -> np.ndarray:
     apart = np.abs(rows["left"][i].astype(np.int16) - rows["left"][j]).sum(axis=-1)
     near = (pos[i] + pos[j] + apart <= most[at]) & (np.bitwise_count(rows["bits"][i] ^ rows["bits"][j]).sum(axis=-1) <= most[at])
     ok[at] = near
+    at, i, j = at[near], (i[near] if isinstance(i, np.ndarray) else i), j[near]
+    long = rows.get("long", [None] * len(n))
+    for k, u, v in zip(at.tolist(), i.tolist() if isinstance(i, np.ndarray) else [i] * len(j), j.tolist()):
+        if long[u] is not None and long[v] is not None:
+            ok[k] = signatures_apart(long[u], long[v]) <= most[k]
     return ok
 
 
@@ -271,7 +286,7 @@ def _blocks(percent: int):
                 own = {c: x[cuts[k] : cuts[k + 1]] for c, x in rows.items()}
                 yield pairs(own, *block_pairs(own, percent))
 
-        plain = ("gram", "a", "b", "node", "n", "pos", "part", "chunk")
+        plain = ("gram", "a", "b", "node", "n", "pos", "part", "chunk", "long")
         held = None
         for batch in batches:
             if not batch.num_rows:
@@ -320,7 +335,7 @@ class Join:
         both = F.size(F.array_intersect("gu", "gv"))
         links = pairs.join(one, "u").join(two, "v").filter(100 * both >= self.percent * (F.col("nu") + F.col("nv") - both)).select("u", "v")
         for k in "uv":
-            links = _with_parts(links.withColumnRenamed(k, "node"), self.parts).drop("node").withColumnRenamed("part", k)
+            links = _with_parts(links.withColumnRenamed(k, "node"), self.parts).drop("node", "size").withColumnRenamed("part", k)
         links = materialize(links.filter("u <> v").distinct(), "links")  # of components, one for however many of their classes
         discard(links.sparkSession, sets_at)
         if links.isEmpty():
@@ -329,27 +344,36 @@ class Join:
         known = joined.select(F.col("part").alias("node"), "part")
         if self.parts is not None:
             known = self.parts.select("node", F.col("component").alias("part")).unionByName(known.join(self.parts, "node", "left_anti"))
-        self.parts = materialize(known.join(joined, "part", "left").select("node", F.coalesce("now", "part").alias("component")), "parts")
+        known = known.join(joined, "part", "left").select("node", F.coalesce("now", "part").alias("component"))
+        self.parts = materialize(known.join(known.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size"), "parts")
         return True
 
 
 def _with_parts(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """``rows`` with ``part``, the component of their node so far."""
+    """``rows`` with ``part``, the component of their node so far, and its ``size``."""
     if parts is None:
-        return rows.withColumn("part", F.col("node"))
-    return rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        return rows.withColumns({"part": F.col("node"), "size": F.lit(1).cast("long")})
+    return rows.join(parts, "node", "left").withColumns({"part": F.coalesce("component", "node"), "size": F.coalesce("size", F.lit(1))}).drop("component")
 
 
 def _stars(rows: DataFrame, round_: int, percent: int) -> DataFrame:
     """Candidates (u, v) of each row and the centre of its n-gram and size, which is in another component."""
-    cell = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    cell = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + round_ % 2 / 2).cast("int") if percent < 100 else F.lit(0)
     rows = rows.withColumn("cell", cell)
-    who = F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "part", "n", "pos", "left")
+    who = F.struct((-F.col("size")).alias("most"), F.xxhash64("node", F.lit(round_), *(["gram"] if round_ else [])).alias("h"), "node", "part", "n", "pos", "left")
     centres = rows.groupBy("gram", "cell").agg(F.min(who).alias("c"), F.count("*").alias("k")).filter("k > 1").select("gram", "cell", "c.*")
     found = rows.alias("x").join(centres.alias("c"), ["gram", "cell"]).filter(F.col("x.part") != F.col("c.part")).filter(may_link("x", "c", percent))
     return found.select(F.least("x.node", "c.node").alias("u"), F.greatest("x.node", "c.node").alias("v"))
 
 
+@F.arrow_udf(BinaryType())
+def longer_signature(signatures):
+    """Signatures of half as many parts, null if these are BITS or fewer."""
+    import pyarrow as pa
+
+    return pa.array([half_signature(x) for x in signatures.to_pylist()], pa.binary())
+
+
 @F.arrow_udf(BinaryType())
 def shortest_signature(signatures):
     """Signatures of BITS parts."""
@@ -363,12 +387,12 @@ def _rest(rows: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     counts = rows.groupBy("gram", "part").agg(F.count("*").alias("k"))
     mixed = counts.groupBy("gram").agg(F.max(F.struct("k", "part")).alias("most"), F.sum("k").alias("all"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = mixed.select("gram", F.col("most.part").alias("main"), F.when(F.col("all") <= BLOCK, 0).otherwise(F.ceil(F.col("most.k") / BLOCK)).alias("d"), F.when(F.col("all") <= BLOCK, 1).otherwise(F.ceil((F.col("all") - F.col("most.k")) / BLOCK)).alias("m"))
-    rows = rows.join(mixed, "gram").join(signatures.select("node", shortest_signature("signature").alias("bits")), "node")
+    rows = rows.join(mixed, "gram").join(signatures.select("node", shortest_signature("signature").alias("bits"), longer_signature("signature").alias("long")), "node")
     own = (F.col("part") == F.col("main")) & (F.col("d") > 0)
     h = F.xxhash64("node")
     rows = rows.withColumn("chunk", F.when(own, F.pmod(h, F.greatest("d", F.lit(1)))).otherwise(F.col("d") + F.pmod(h, F.col("m"))))
     rows = rows.withColumn("other", F.explode(F.sequence(F.when(own, F.col("d")).otherwise(0), F.col("d") + F.col("m") - 1)))
-    rows = rows.select("gram", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node", "n", "pos", "left", "bits", "part", "chunk")
+    rows = rows.select("gram", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node", "n", "pos", "left", "bits", "long", "part", "chunk")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "gram", "a", "b").sortWithinPartitions("gram", "a", "b").mapInArrow(_blocks(percent), "u long, v long")
 

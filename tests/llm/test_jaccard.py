@@ -111,6 +111,24 @@ def test_filters_lose_no_link():
     assert met > 100
 
 
+def test_strange_long_sets_are_no_candidates(spark):
+    """Sets of 3,000 that share one n-gram aren't put out as pairs; alike ones are."""
+    g = np.random.default_rng(7)
+    sets = [np.sort(g.integers(0, 1 << 64, 3000, dtype=np.uint64)) for _ in range(12)]
+    sets.append(np.sort(np.concatenate((sets[0][30:], g.integers(0, 1 << 64, 30, dtype=np.uint64)))))
+    df = spark.createDataFrame([(1, k, 3000, 0, -1, k) for k in range(13)], "gram long, node long, n long, pos long, left long, part long")
+    signatures = spark.createDataFrame([(k, bytearray(jaccard.signature(s))) for k, s in enumerate(sets)], "node long, signature binary")
+    assert [(r.u, r.v) for r in jaccard._rest(df, signatures, 90).collect()] == [(0, 12)]
+
+
+def test_left_over_classes_meet_the_largest_component(spark):
+    """Sixty classes that share an n-gram with a component of three, in a later star round: all meet the component, not one another."""
+    df = spark.createDataFrame([(1, k, 50, 0, 0, min(k, 60), 3 if k >= 60 else 1) for k in range(63)], "gram long, node long, n long, pos long, left long, part long, size long")
+    for k in (1, 2):
+        found = [(r.u, r.v) for r in jaccard._stars(df, k, 90).collect()]
+        assert sorted(u for u, _ in found) == list(range(60)) and {v >= 60 for _, v in found} == {True}
+
+
 def test_blocks_meet_every_pair_of_components():
     """Chunks and their pairs together give the pairs of one block."""
     g = np.random.default_rng(5)
