@@ -102,12 +102,17 @@ def chr_f(hyp: str, ref: str, order: int = 6, beta: float = 2.0) -> float:
     from collections import Counter
 
     hyp, ref, ps, rs = "".join(hyp.split()), "".join(ref.split()), [], []
+    whole = hyp in ref or ref in hyp  # then every n-gram of the shorter one is met, and none has to be counted
     for n in range(1, order + 1):
-        h, r = (Counter(x[i : i + n] for i in range(len(x) - n + 1)) for x in (hyp, ref))
-        if h and r:
-            same = sum((h & r).values())
-            ps.append(same / sum(h.values()))
-            rs.append(same / sum(r.values()))
+        a, b = len(hyp) - n + 1, len(ref) - n + 1
+        if a > 0 and b > 0:
+            if whole:
+                same = min(a, b)
+            else:
+                h, r = (Counter([x[i : i + n] for i in range(k)]) for x, k in ((hyp, a), (ref, b)))
+                same = sum(min(c, r[g]) for g, c in h.items() if g in r)
+            ps.append(same / a)
+            rs.append(same / b)
     p, r = (sum(x) / len(x) if x else 0.0 for x in (ps, rs))
     return 100 * (1 + beta**2) * p * r / (beta**2 * p + r) if p + r else 0.0
 

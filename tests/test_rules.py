@@ -78,6 +78,28 @@ def test_failure_labels(spark):
     assert [(r.i, r.label) for r in reports.label_failures(df).orderBy("i").collect()] == [(i, r[-1]) for i, r in enumerate(rows)]
 
 
+def test_contained_texts_are_scored_without_counting(monkeypatch):
+    pairs = [("[de] one two three", "one two three"), ("one", "someone else"), ("aaaa", "aa"), ("", "abc"), ("abc", ""), ("a b c", "a b c")]
+    counted = [reports.chr_f("x" + a + "y", b + "z") for a, b in pairs]
+    # the same by counting every n-gram
+    from collections import Counter
+
+    def plain(a, b):
+        a, b, ps, rs = "".join(a.split()), "".join(b.split()), [], []
+        for n in range(1, 7):
+            h, r = (Counter(x[i : i + n] for i in range(len(x) - n + 1)) for x in (a, b))
+            if h and r:
+                ps.append(sum((h & r).values()) / sum(h.values()))
+                rs.append(sum((h & r).values()) / sum(r.values()))
+        p, r = (sum(x) / len(x) if x else 0.0 for x in (ps, rs))
+        return 100 * 5 * p * r / (4 * p + r) if p + r else 0.0
+
+    assert counted == [plain("x" + a + "y", b + "z") for a, b in pairs]
+    wanted = [plain(a, b) for a, b in pairs]
+    monkeypatch.setattr("collections.Counter", None)
+    assert [reports.chr_f(a, b) for a, b in pairs] == wanted
+
+
 def test_frame_grid(spark):
     pts = [0, 3000, 6000, 6000, 3000, 12000, 12000 + 89 * 3000, 12000 + 300 * 3000, 12000 + 301 * 3000, 0]
     df = spark.createDataFrame([("s", 0, i, p) for i, p in enumerate(pts)], "stream_id string, session long, seq long, pts_90k long")
