@@ -30,6 +30,8 @@ def stub_words(frame: Column) -> Column:
 
 #: Tasks that the requests of one language or model are dealt over.
 SPREAD = 64
+#: Requests of an Arrow batch that are Python objects at the same time.
+TOGETHER = 256
 
 
 def translate(requests: DataFrame, make: Callable[[], Callable], text: str = "text", most_bytes: int = 4096, deadline_s: float = 2.0, by: str = "lang") -> DataFrame:
@@ -52,15 +54,20 @@ def translate(requests: DataFrame, make: Callable[[], Callable], text: str = "te
         error = "empty" if not out else "late" if took > deadline_s * 1000 else None
         return None if error else out, error, took
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            if not loaded:
-                loaded.append(make())
-            done = [one(s, m) for s, m in zip(pdf["__s"], pdf[by])]
-            pdf["out"], pdf["error"], pdf["elapsed_ms"] = zip(*done) if done else ([], [], [])
-            yield pdf.drop(columns="__s")
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    return given.mapInPandas(run, f"{own}out string, error string, elapsed_ms long")
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                if not loaded:
+                    loaded.append(make())
+                done = zip(*[one(s, m) for s, m in zip(part.column("__s").to_pylist(), part.column(by).to_pylist())])
+                kept = [c for c in part.schema.names if c != "__s"]
+                made = [pa.array(x, t) for x, t in zip(done, (pa.string(), pa.string(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names=[*kept, "out", "error", "elapsed_ms"])
+
+    return given.mapInArrow(run, f"{own}out string, error string, elapsed_ms long")
 
 
 def translate_routes(requests: DataFrame, routes: DataFrame, make: Callable[[], Callable], key: list[str], most_bytes: int = 4096, deadline_s: float = 2.0) -> DataFrame:

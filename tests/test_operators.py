@@ -213,6 +213,15 @@ def test_translate(spark):
     assert out == {1: ("<One.> <Two.>", None), 2: (None, "too long"), 3: (None, "empty")}
 
 
+def test_translate_keeps_other_columns(spark):
+    """Long numbers beside nulls, more rows than are Python objects at the same time."""
+    n = 600 * reports.SPREAD // 16
+    big = F.when(F.col("id") % 2 == 0, F.lit((1 << 60) + 1) + F.col("id"))
+    rows = spark.range(n).select("id", F.lit("de").alias("lang"), F.lit("a b").alias("text"), big.alias("big"))
+    out = reports.translate(rows, lambda: lambda texts, lang: list(texts)).select("id", "big", "out").collect()
+    assert {(r.id, r.big, r.out) for r in out} == {(k, None if k % 2 else (1 << 60) + 1 + k, "a b") for k in range(n)} and len(out) == n
+
+
 def test_char_f():
     assert reports.chr_f("abc", "abc") == pytest.approx(100) and reports.chr_f("abc", "xyz") == 0 and reports.chr_f("", "") == 0
 
