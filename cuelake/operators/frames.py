@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.times import TICKS, WRAP, pts_diff
 from ..sources.staging import staged
 from .hot import scanned
 from .joins import asof_join
-from .ordered import run_ordered
+from .ordered import add_ordered
 from .ranks import nearest, with_ranks
 from .stats import drift_ms_per_min, rank_percentiles
 
@@ -167,29 +167,25 @@ def display_order(frames: DataFrame) -> DataFrame:
 def frame_grid(frames: DataFrame, frame_ticks: int = 3000, most: int = 90) -> DataFrame:
     """``slot`` of each frame: the slot of the frame before plus the PTS step in frames, rounded (halves away from
     zero). The first frame, and one that lands ``most`` slots or more after or more than ``most`` before the next free
-    slot, starts anew at that slot. A frame before slot 0 has none."""
-
-    class Grid:
-        def __init__(self):
-            self.next, self.last = 0, None
-
-        def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
-            slots = []
-            for pts in pdf["pts_90k"]:
-                slot = self.next
-                if self.last is not None:
-                    step = (pts - self.last[0]) / frame_ticks
-                    slot = self.last[1] + int(abs(step) + 0.5) * (1 if step >= 0 else -1)
-                if slot >= self.next + most or slot < self.next - most:
-                    slot = self.next
-                self.last, self.next = (pts, slot), max(self.next, slot + 1)
-                slots.append(slot if slot >= 0 else None)
-            return pdf.assign(slot=pd.array(slots, dtype="Int64"))
-
-        def end(self) -> None:
-            return None
-
-    return run_ordered(frames, ["stream_id", "session"], ["seq"], Grid, StructType([*frames.schema.fields, StructField("slot", LongType())]))
+    slot, starts anew at that slot; so does one without a PTS and the one after it. A frame before slot 0 has none."""
+
+    def grid() -> Callable[[int | None], int | None]:
+        free, last = 0, None
+
+        def slot_of(pts: int | None) -> int | None:
+            nonlocal free, last
+            slot = free
+            if last is not None and pts is not None:
+                step = (pts - last[0]) / frame_ticks
+                slot = last[1] + int(abs(step) + 0.5) * (1 if step >= 0 else -1)
+            if slot >= free + most or slot < free - most:
+                slot = free
+            last, free = None if pts is None else (pts, slot), max(free, slot + 1)
+            return slot if slot >= 0 else None
+
+        return slot_of
+
+    return add_ordered(frames, ["stream_id", "session"], ["seq"], "pts_90k", grid, "slot")
 
 
 def stage_latency(stamps: DataFrame, stages: list[str]) -> DataFrame:

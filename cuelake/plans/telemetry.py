@@ -123,7 +123,7 @@ SELECT stream_id, CAST(session AS BIGINT) AS session, seq, row_number() OVER (PA
 def frame_slots(spark, sf_dir):
     """S20."""
     f = frames.sessionize_pts(_frames(spark, sf_dir), 10_000.0, 30_000.0)
-    return frames.frame_grid(f, 120_000_000).groupBy("stream_id", "session").agg(F.max("slot").alias("last_slot"))
+    return frames.frame_grid(f.select("stream_id", "session", "seq", "pts_90k"), 120_000_000).groupBy("stream_id", "session").agg(F.max("slot").alias("last_slot"))
 
 
 def sample_times(spark, sf_dir):

@@ -107,6 +107,15 @@ def test_frame_grid(spark):
     assert got == [0, 1, 2, 2, 1, 4, 93, 94, 95, 96]
 
 
+def test_frame_grid_of_many_keys(spark):
+    """A frame without a PTS starts anew, and so does the next one; batches hold many keys, and keys many batches."""
+    rows = [(None if k == 7 else k, 0, i, None if i == 2 else (5 + i) * 3000) for k in range(3000) for i in range(4)] + [(5000, 1, i, i * 3000) for i in range(25_000)]
+    df = spark.createDataFrame(rows, "stream_id long, session long, seq long, pts_90k long").repartition(7)
+    found = frames.frame_grid(df).groupBy("stream_id").agg(F.sort_array(F.collect_list("slot")).alias("slots")).collect()
+    assert {r.stream_id for r in found} == {k for k, *_ in rows}
+    assert all(r.slots == list(range(25_000 if r.stream_id == 5000 else 4)) for r in found)
+
+
 def test_sessions_go_on_across_the_wrap(spark):
     top = 1 << 33
     df = spark.createDataFrame([("s", i, p) for i, p in enumerate([top - 6000, top - 3000, 0, 3000, 900_000])], "stream_id string, seq long, pts_90k long")
