@@ -48,3 +48,18 @@ def test_no_window_holds_a_group(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("Aggregate [", plan.index("Window")) and "percentile_disc" not in plan
     assert sorted((r.k, r.p50) for r in out.collect()) == [(0, 49998.0), (1, 49999.0)]
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_large_groups_stay_where_they_are(spark, monkeypatch, few):
+    """No row is sent by the key of a large group: the intervals of a few groups are broadcast, without a size that the planner guesses."""
+    monkeypatch.setattr(ranks, "FEW", few)
+    df = spark.range(60_000).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = ranks.with_ranks(df, "v", ["k"], {"p50": ranks.nearest(0.5)}).select("k", "p50")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == (few > 0)
+        assert sorted(map(tuple, out.collect())) == [(0, 29997.0), (1, 29998.0), (2, 29999.0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
