@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -78,25 +77,22 @@ def silence_meter(levels: DataFrame, quiet_dbfs: float = -60.0, alert_s: float =
 
 
 class _Intervals:
-    """One open interval of a stream; runs come in order, each with the end of the one before (``before``)."""
+    """One open interval of a stream; runs come in order, each with the end of the one before."""
 
-    def __init__(self, names: list[str], pre_roll_ms: int, hangover_ms: int, young_ms: int):
-        self.names, self.pre_roll_ms, self.hangover_ms, self.young_ms = names, pre_roll_ms, hangover_ms, young_ms
-        self.open: list | None = None
+    def __init__(self, pre_roll_ms: int, hangover_ms: int, young_ms: int):
+        self.pre_roll_ms, self.hangover_ms, self.young_ms = pre_roll_ms, hangover_ms, young_ms
+        self.open: tuple | None = None
 
-    def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for stream, a, z, before in zip(pdf["stream_id"], pdf["start_ms"], pdf["end_ms"], pdf["before"]):
-            if self.open and a - self.open[2] < self.hangover_ms and a - self.open[1] < self.young_ms:
-                self.open[2] = z
-                continue
-            if self.open:
-                out.append(self.open)
-            self.open = [stream, max(a - self.pre_roll_ms, before, 0), z]
-        return pd.DataFrame(out, columns=self.names)
+    def row(self, stream, start: int, end: int, before: int) -> tuple | None:
+        ended = self.open
+        if ended and start - ended[2] < self.hangover_ms and start - ended[1] < self.young_ms:
+            self.open = (*ended[:2], end)
+            return None
+        self.open = (stream, max(start - self.pre_roll_ms, before, 0), end)
+        return ended
 
-    def end(self) -> pd.DataFrame | None:
-        return pd.DataFrame([self.open], columns=self.names) if self.open else None
+    def end(self) -> tuple | None:
+        return self.open
 
 
 def speech_intervals(blocks: DataFrame, pre_roll_ms: int = 600, hangover_ms: int = 1500, young_ms: int = 60_000) -> DataFrame:
@@ -108,7 +104,7 @@ def speech_intervals(blocks: DataFrame, pre_roll_ms: int = 600, hangover_ms: int
     runs = runs.groupBy("stream_id", "run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.coalesce(F.min_by("before", "start_ms"), F.lit(0)).alias("before"))
     schema = StructType([blocks.schema["stream_id"], StructField("start_ms", LongType()), StructField("end_ms", LongType())])
     cut = F.col("start_ms") - F.col("before") >= hangover_ms
-    return run_islands(runs.drop("run"), ["stream_id"], ["start_ms", "end_ms"], cut, lambda: _Intervals(schema.names, pre_roll_ms, hangover_ms, young_ms), schema)
+    return run_islands(runs.drop("run"), ["stream_id"], ["start_ms", "end_ms"], cut, lambda: _Intervals(pre_roll_ms, hangover_ms, young_ms), schema, inputs=["stream_id", "start_ms", "end_ms", "before"])
 
 
 def outages(data: DataFrame, after_ms: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.staging import staged
-from .ordered import run_ordered
+from .ordered import run_ordered, run_rows
 
 
 def scanned(df: DataFrame, by: list[str], order: list[str], running: dict[str, tuple[str, Column]], blocks: int | None = None) -> DataFrame:
@@ -44,8 +44,9 @@ def scanned(df: DataFrame, by: list[str], order: list[str], running: dict[str, t
     return out.withColumns({name: value for name, (_, value) in running.items()}).select(*[c for c in df.columns if c not in running], *running)
 
 
-def run_islands(df: DataFrame, keys: list[str], order: list[str], cut: Column, make: Callable[[], object], schema: StructType | str, blocks: int | None = None) -> DataFrame:
-    """:func:`run_ordered`, beginning anew at the rows where ``cut`` holds: there the machine's state must not depend on what came
-    before, and ``end()`` must give what the next row would have ended."""
+def run_islands(df: DataFrame, keys: list[str], order: list[str], cut: Column, make: Callable[[], object], schema: StructType | str, blocks: int | None = None, inputs: list[str] | None = None) -> DataFrame:
+    """:func:`run_ordered` (with ``inputs`` :func:`run_rows`), beginning anew at the rows where ``cut`` holds: there the machine's
+    state must not depend on what came before, and ``end()`` must give what the next row would have ended."""
     islands = scanned(df.withColumn("__cut", cut), keys, order, {"__island": ("sum", F.coalesce(F.col("__cut"), F.lit(False)).cast("long"))}, blocks)
-    return run_ordered(islands.drop("__cut"), [*keys, "__island"], order, make, schema)
+    islands = islands.drop("__cut")
+    return run_rows(islands, [*keys, "__island"], order, inputs, make, schema) if inputs else run_ordered(islands, [*keys, "__island"], order, make, schema)

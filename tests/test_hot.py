@@ -91,6 +91,14 @@ def test_speech(spark):
     assert sorted([x.start_ms, x.end_ms] for x in audio.speech_intervals(df, young_ms=6000).collect()) == out and len(out) > 50
 
 
+def test_speech_of_many_short_islands(spark, monkeypatch):
+    """Islands of a row each make no pandas frames."""
+    monkeypatch.setattr(hot, "run_ordered", None)
+    blocks = spark.range(20_000).select((F.col("id") % 50).alias("stream_id"), (F.col("id") * 100).alias("start_ms"), (F.col("id") * 100 + 50).alias("end_ms"), F.lit(True).alias("speech"))
+    rows = audio.speech_intervals(blocks).collect()
+    assert sorted((x.stream_id, x.start_ms, x.end_ms) for x in rows) == sorted((i % 50, max(i * 100 - 600, 0), i * 100 + 50) for i in range(20_000))
+
+
 def test_cues_and_loops(spark):
     r, due, lines, track, expected = random.Random(4), 0, [], cues.CueTrack(), []
     for i in range(300):
