@@ -12,9 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``stream_id, seq, text, start_ms, end_ms, arrival_ms``: a stream for each conversation."""
-    each = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), "turn", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "text"))
+#: Bytes of text whose words a task puts in order at a time, about 400,000 words.
+TASK_BYTES = 2_000_000
+
+
+def word_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for the words of all conversations: more text makes more tasks, not larger ones."""
+    size = table(spark, sf_dir, "conversations").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
+def words(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """``stream_id, seq, text, start_ms, end_ms, arrival_ms``: a stream for each conversation, dealt over ``tasks``."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), "turn", "text").repartition(tasks or word_tasks(spark, sf_dir), "stream_id")
+    each = turns.select("stream_id", "turn", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "text"))
     seq = (F.row_number().over(Window.partitionBy("stream_id").orderBy("turn", "pos")) - 1).cast("long")
     rows = each.select("stream_id", seq.alias("seq"), "text")
     start = F.col("seq") * 300 + 400 * F.floor(F.col("seq") / 41) + 1200 * F.floor(F.col("seq") / 97)
