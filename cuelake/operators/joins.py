@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, take: list[str], tie: str | None = None, first_if_none: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, take: list[str], tie: str | None = None, first_if_none: bool = False, tasks: int | None = None) -> DataFrame:
     """``left`` with the columns ``take`` of the latest row of ``right`` at or before it, by key.
 
     Of right rows at the same time the one with the largest ``tie`` counts. With ``first_if_none`` a left row before
-    all right ones gets the earliest. Columns are null where there is none. Names of ``take`` mustn't be on the left."""
+    all right ones gets the earliest. Columns are null where there is none. Names of ``take`` mustn't be on the left. Both sides
+    are sorted by ``tasks`` tasks, else by as many as shuffles have."""
     kinds = dict(left.dtypes)
     time = lambda c: F.col(c).cast("double")
     one = left.select(*by, time(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__tie"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(f"struct<{', '.join(f'{c}:{dict(right.dtypes)[c]}' for c in take)}>").alias("__r"))
@@ -22,7 +23,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     found = F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     if first_if_none:
         found = F.coalesce(found, F.first("__r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    out = one.unionByName(two).withColumn("__r", found).filter("__side = 1")
+    both = one.unionByName(two)
+    out = (both.repartition(tasks, *by) if tasks else both).withColumn("__r", found).filter("__side = 1")
     return out.select(*[F.col(f"__l.{c}").cast(kinds[c]).alias(c) for c in left.columns], *[F.col(f"__r.{c}").alias(c) for c in take])
 
 

@@ -12,11 +12,11 @@ from .ranks import nearest, with_ranks
 from .stats import rank_percentiles
 
 
-def words_in_segment(segments: DataFrame, words: DataFrame, value: str = "end") -> DataFrame:
+def words_in_segment(segments: DataFrame, words: DataFrame, value: str = "end", tasks: int | None = None) -> DataFrame:
     """Segments (which don't overlap) with ``ref_end``: the largest ``value`` of the words that start in them, else
     their end. A word belongs to the latest segment that starts at or before it: an as-of join."""
     segs = segments.select("stream_id", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"))
-    own = asof_join(words.select("stream_id", "start", F.col(value).alias("v")), segs, ["stream_id"], "start", "seg_start", ["seg_start", "seg_end"])
+    own = asof_join(words.select("stream_id", "start", F.col(value).alias("v")), segs, ["stream_id"], "start", "seg_start", ["seg_start", "seg_end"], tasks=tasks)
     most = own.filter("start < seg_end").groupBy("stream_id", F.col("seg_start").alias("start")).agg(F.max("v").alias("__v"))
     return segments.join(most, ["stream_id", "start"], "left").withColumn("ref_end", F.coalesce("__v", "end")).drop("__v")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import agree, audio, cues, lag, lanes, reports, stats, wer
 from ..sources import named, readers, sinks
-from .tables import WORDS_SQL, languages, shared_path, table, words
+from .tables import WORDS_SQL, languages, shared_path, table, word_tasks, words
 
 # ---- cues: one for each turn, two-second segments
 
@@ -150,16 +150,17 @@ SELECT stream_id, s AS start, coalesce(lead(s) OVER (PARTITION BY stream_id ORDE
 # ---- lag
 
 
-def _seconds(spark, sf_dir):
-    return words(spark, sf_dir).select("stream_id", "seq", "text", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), (F.col("arrival_ms") / 1000.0).alias("emit"))
+def _seconds(spark, sf_dir, tasks=None):
+    return words(spark, sf_dir, tasks).select("stream_id", "seq", "text", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), (F.col("arrival_ms") / 1000.0).alias("emit"))
 
 
 def segment_ends(spark, sf_dir):
     """Segments of 7.3 s."""
-    w = _seconds(spark, sf_dir)
+    tasks = word_tasks(spark, sf_dir)
+    w = _seconds(spark, sf_dir, tasks)
     segs = w.groupBy("stream_id").agg(F.max("end").alias("m")).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("m") / 7.3).cast("int"))))
     segs = segs.select("stream_id", (F.col("k") * 7.3).alias("start"), (F.col("k") * 7.3 + 6.0).alias("end"))
-    return lag.words_in_segment(segs, w).select("stream_id", F.round("start", 3).alias("start"), F.round("ref_end", 3).alias("ref_end"))
+    return lag.words_in_segment(segs, w, tasks=tasks).select("stream_id", F.round("start", 3).alias("start"), F.round("ref_end", 3).alias("ref_end"))
 
 
 SEGMENT_ENDS_SQL = f"""
