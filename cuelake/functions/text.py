@@ -175,7 +175,8 @@ def translatable(c: Column, most: int = 4096) -> Column:
 def word_eq(a: Column, b: Column) -> Column:
     """Equal up to the edits that a word of this length may have."""
     n = F.greatest(F.length(a), F.length(b))
-    return F.levenshtein(a, b) <= F.when(n <= 2, 0).when(n <= 7, 1).otherwise(2)
+    # beyond two edits, where it is -1, the distance isn't worked out
+    return F.levenshtein(a, b, 2).between(0, F.when(n <= 2, 0).when(n <= 7, 1).otherwise(2))
 
 
 def redact_url(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_words, let, norm_word, word_eq
+from ..sources.staging import staged
 from .joins import asof_join, range_join
 from .ranks import nearest, with_ranks
 from .stats import rank_percentiles
@@ -55,11 +56,13 @@ def borrow_words(utts: DataFrame, least: int = 3) -> DataFrame:
     return both.withColumn("target", F.concat(taken, "__own")).filter("__o >= 0").drop("__own", "__o")
 
 
-def match_count(target: Column, shown: Column) -> Column:
+def match_count(target: Column, shown: Column, need: Column | None = None) -> Column:
     """Words of ``target`` found in ``shown``, equal up to a few edits (T14). The last one must be there; the others
     count in order, from the last backwards, within the target's length + 1 words before it. The best place of the last
-    word counts; 0 if it isn't there."""
+    word counts; 0 if it isn't there. A place where ``need`` words can't be reached any more is followed no further: it counts
+    fewer than ``need``."""
     n = F.size(target)
+    most = n - need if need is not None else n  # words that may be missing
     earlier = F.reverse(F.slice(target, 1, F.greatest(n - 1, F.lit(0))))
 
     def from_place(e: Column) -> Column:
@@ -67,9 +70,10 @@ def match_count(target: Column, shown: Column) -> Column:
 
         def step(a: Column, t: Column) -> Column:
             there = F.when(a["at"] > low, F.array_max(F.filter(F.sequence(low, a["at"] - 1), lambda p: word_eq(F.get(shown, p), t))))
-            return let(there, lambda p: F.struct(F.coalesce(p, a["at"]).alias("at"), (a["n"] + p.isNotNull().cast("int")).alias("n")))
+            after = let(there, lambda p: F.struct(F.coalesce(p, a["at"]).alias("at"), (a["n"] + p.isNotNull().cast("int")).alias("n"), (a["lack"] + p.isNull().cast("int")).alias("lack")))
+            return F.when(a["lack"] > most, a).otherwise(after)
 
-        return F.aggregate(earlier, F.struct(e.alias("at"), F.lit(1).alias("n")), step, lambda a: a["n"])
+        return F.aggregate(earlier, F.struct(e.alias("at"), F.lit(1).alias("n"), F.lit(0).alias("lack")), step, lambda a: a["n"])
 
     places = F.filter(F.sequence(F.lit(0), F.size(shown) - 1), lambda e: word_eq(F.get(shown, e), F.get(target, n - 1)))
     return F.when((n > 0) & (F.size(shown) > 0), F.coalesce(F.array_max(F.transform(places, from_place)), F.lit(0))).otherwise(0)
@@ -83,13 +87,14 @@ def utterance_appearance(utts: DataFrame, cues: DataFrame, pre: float = 1.0, max
     shown = cues.select("stream_id", F.col("start").alias("cue_start"), content_words(F.col("text")).alias("__shown"))
     pairs = range_join(shown, spans, ["stream_id"], "cue_start", "__low", "__high", pre + max_lag)
     need = F.when(F.size("target") <= 2, F.size("target")).otherwise(F.size("target") - 1)
-    pairs = pairs.withColumn("n", match_count(F.col("target"), F.col("__shown"))).filter((F.col("n") >= need) & (F.size("target") > 0))
+    pairs = pairs.withColumn("n", match_count(F.col("target"), F.col("__shown"), need)).filter((F.col("n") >= need) & (F.size("target") > 0))
     first = pairs.groupBy("stream_id", "loop", "utt").agg(F.min("cue_start").alias("appear_s"), F.min_by("n", "cue_start").alias("words_matched"))
     return utts.join(first, ["stream_id", "loop", "utt"], "left").withColumn("lag_s", F.col("appear_s") - F.col("ref_end"))
 
 
 def lag_summary(lags: DataFrame) -> DataFrame:
     """Share of matched utterances, and a summary of the lags."""
+    lags = staged(lags.select("stream_id", "lag_s"), "lags")  # read twice
     plain = {"utterances": F.count("*"), "percent": 100.0 * F.count("lag_s") / F.count("*"), "max": F.max("lag_s")}
     out = with_ranks(lags, "lag_s", ["stream_id"], {"p50": nearest(0.5), "p95": nearest(0.95)}, plain)
     return out.select("stream_id", "utterances", F.col("n").alias("matched"), "percent", "p50", "p95", "max")

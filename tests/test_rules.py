@@ -100,6 +100,17 @@ def test_contained_texts_are_scored_without_counting(monkeypatch):
     assert [reports.chr_f(a, b) for a, b in pairs] == wanted
 
 
+def test_match_count_with_a_need(spark):
+    """From the need on the count is that without it; below, it stays below, and hopeless places aren't followed to their end."""
+    r = random.Random(8)
+    words = "alpha beta gamma delta epsilon betta gama of".split()
+    rows = [(i, [r.choice(words) for _ in range(r.randrange(7))], [r.choice(words) for _ in range(r.randrange(12))]) for i in range(600)]
+    df = spark.createDataFrame(rows, "i long, a array<string>, b array<string>")
+    need = F.when(F.size("a") <= 2, F.size("a")).otherwise(F.size("a") - 1)
+    got = df.select(need.alias("need"), lag.match_count(F.col("a"), F.col("b")).alias("n"), lag.match_count(F.col("a"), F.col("b"), need).alias("m")).collect()
+    assert all(x.m == x.n if x.n >= x.need else x.m < x.need for x in got) and any(x.m < x.n for x in got) and sum(x.n >= x.need > 2 for x in got) > 10
+
+
 def test_frame_grid(spark):
     pts = [0, 3000, 6000, 6000, 3000, 12000, 12000 + 89 * 3000, 12000 + 300 * 3000, 12000 + 301 * 3000, 0]
     df = spark.createDataFrame([("s", 0, i, p) for i, p in enumerate(pts)], "stream_id string, session long, seq long, pts_90k long")
