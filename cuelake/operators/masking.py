@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -99,18 +100,19 @@ def spots_in(tries: dict[str, Trie], langs: list[str], texts: pa.Array) -> pa.Ar
     bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
     roots = {lang: [trie.after(0, w) for w in folded] for lang, trie in tries.items() if lang in set(langs)}
     begins = {lang: np.array([bool(x) for x in first], bool) for lang, first in roots.items()}
-    out: list[list[dict]] = []
+    spot_at, spot_len, ends = array("i"), array("i"), array("i", [0])  # plain numbers: texts of a batch have many spots
     for lang, a, b in zip(langs, bounds[:-1].tolist(), bounds[1:].tolist()):
-        found: list[dict] = []
         if lang in roots and b > a:
             at = np.flatnonzero(begins[lang][codes[a:b]]).tolist()
             words, free = [folded[k] for k in codes[a:b].tolist()] if at else [], 0
             for i in at:
                 if i >= free and (n := tries[lang].spot(words, i, roots[lang][codes[a + i]])):
-                    found.append({"i": i, "len": n})
+                    spot_at.append(i)
+                    spot_len.append(n)
                     free = i + n
-        out.append(found)
-    return pa.array(out, SPOTS)
+        ends.append(len(spot_at))
+    found = pa.StructArray.from_arrays([pa.array(np.array(x, np.int32)) for x in (spot_at, spot_len)], fields=list(SPOTS.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), found).cast(SPOTS)
 
 
 def spots(entries: DataFrame, lang: Column, words: Column) -> Column:

@@ -49,3 +49,20 @@ def test_no_lists(spark):
     none = spark.createDataFrame([], "lang string, entry string, list string")
     assert [(r.text, r.n_masked) for r in masking.mask_words(texts, none).collect()] == [("the end", 0)]
     assert masking.mask_words(texts.limit(0), none).count() == 0
+
+
+def test_spots_take_little_memory():
+    """Spots of a batch are numbers, not an object each."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    trie = masking.Trie()
+    trie.add(["the"], "block")
+    texts = pa.array([["the", "a"] * 1000] * 200 + [None, []])
+    tracemalloc.start()
+    found = masking.spots_in({"en": trie}, ["en"] * 202, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.type == masking.SPOTS and found.to_pylist() == [[{"i": i, "len": 1} for i in range(0, 2000, 2)]] * 200 + [[], []]
+    assert peak < 15_000_000
