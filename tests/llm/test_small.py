@@ -340,6 +340,25 @@ def test_long_pieces_are_not_remembered(spark, make_docs, monkeypatch):
     assert [(r.key, r.n_tokens) for r in token_ids.read_token_ids(spark, path, digest=True).orderBy("key").collect()] == [(0, len(encoder.encode([text], 2)[0]) // 2), (1, 2), (2, len(encoder.encode([text], 2)[0]) // 2)]
 
 
+def test_simple_pieces_go_to_the_merges(monkeypatch):
+    """Words with marks after them need neither the library's regex nor its added tokens; all other pieces do."""
+    import numpy as np
+
+    pytest.importorskip("tokenizers")
+    encoder = token_ids.Encoder(token_ids.vocabulary_path())
+    library, seen = encoder.library, []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(encoder, "library", Watched())
+    for text in ("A word, être%%%\nÜber (no ###\nend.", "it's 5 x\u00a0y a<|endoftext|> \u4e2d\u6587 re'll", "a.\n\nb \u00d7 \u00b5 \u00e9\u0301"):
+        assert np.frombuffer(encoder.encode([text], 2)[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [2]
+    assert {"A", " (no ###\nend."} <= set(seen) and not [t for t in seen if "word" in t or "ber" in t]
+
+
 # ---- 5: sharding
 
 
