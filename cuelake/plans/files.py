@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audio, frames, guard, lag, stats
 from ..sources import named, readers, sinks
-from .tables import TAPS_SQL, WORDS_SQL, shared_path, table, taps, words
+from .tables import TAPS_SQL, WORDS_SQL, shared_path, table, taps, word_tasks, words
 
 
 def _lines(df, path: str, *columns: str, sep: str = "\t") -> str:
@@ -46,10 +46,11 @@ EMIT_WORDS_SQL = f"WITH {WORDS_SQL} SELECT text, start_ms, end_ms, arrival_ms /
 
 def engine_words(spark, sf_dir):
     """An engine's words by stream, written and read; seconds are cut to ms."""
-    path = shared_path(spark, "engine")
-    w = words(spark, sf_dir)
-    sinks.write_words(w.select("stream_id", "text", (F.col("start_ms") / 1000.0).alias("t0_s"), (F.col("end_ms") / 1000.0).alias("t1_s"), (F.col("arrival_ms") / 1000.0).alias("emit_s")), path)
-    return readers.read_words(spark, path, "engine").select("text", "start_ms", "end_ms", "emit_s")
+    path, tasks = shared_path(spark, "engine"), word_tasks(spark, sf_dir)
+    w = words(spark, sf_dir, tasks)
+    files = sinks.write_words(w.select("stream_id", "text", (F.col("start_ms") / 1000.0).alias("t0_s"), (F.col("end_ms") / 1000.0).alias("t1_s"), (F.col("arrival_ms") / 1000.0).alias("emit_s")), path)
+    # names are few bytes, but each is a file to open: a given number of tasks isn't made smaller
+    return readers.read_word_files(files.repartition(tasks, "file"), path, "engine").select("text", "start_ms", "end_ms", "emit_s")
 
 
 ENGINE_WORDS_SQL = f"""

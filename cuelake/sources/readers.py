@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_tags
 from ..functions.times import parse_time
+from .named import read_named
 
 MESSAGES = (
     "type string, words array<struct<text:string,start_ms:long,end_ms:long>>, clause struct<id:long,text:string,start_ms:long,end_ms:long>, langs array<string>, "
@@ -22,16 +23,25 @@ def _stem():
 
 def _fields(spark: SparkSession, path: str, n: int) -> DataFrame:
     """Lines of tab-separated files cut into at most n fields, the last with what is left."""
-    return spark.read.text(path).select(_stem().alias("stream_id"), F.split("value", "\t", n).alias("f"))
+    return spark.read.option("recursiveFileLookup", True).text(path).select(_stem().alias("stream_id"), F.split("value", "\t", n).alias("f"))
 
 
 def read_words(spark: SparkSession, path: str, layout: str) -> DataFrame:
     """``stream_id, text, start_ms, end_ms, emit_s`` of one of three layouts: ``emit`` (emit_s, start_ms, end_ms,
     text), ``reference`` (word, start_s, end_s), ``engine`` (word, t0_s, t1_s, emit_s). The stream is the file's name;
     lines whose numbers can't be read (headers) are left out. Seconds are cut to ms."""
+    return _word_rows(_fields(spark, path, 4), layout)
+
+
+def read_word_files(files: DataFrame, path: str, layout: str) -> DataFrame:
+    """:func:`read_words` of the files ``file`` of ``files(stream_id, file)`` below ``path``, opened by their names."""
+    lines = read_named(files.select("stream_id", "file"), path).select("stream_id", F.explode(F.split("value", "\r\n|\r|\n")).alias("value"))
+    return _word_rows(lines.select("stream_id", F.split("value", "\t", 4).alias("f")), layout)
+
+
+def _word_rows(rows: DataFrame, layout: str) -> DataFrame:
     ms = lambda c: (F.try_multiply(c.try_cast("double"), F.lit(1000.0))).cast("long")
     f = lambda i: F.get("f", F.lit(i))
-    rows = _fields(spark, path, 4)
     if layout == "emit":
         out = rows.select("stream_id", f(3).alias("text"), f(1).try_cast("long").alias("start_ms"), f(2).try_cast("long").alias("end_ms"), f(0).try_cast("double").alias("emit_s"))
     else:

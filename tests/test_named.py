@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from cuelake.sources import named
+from cuelake.sources import named, readers, sinks
 
 
 def tree(path):
@@ -56,3 +56,17 @@ def test_published_files_are_not_listed(spark):
         pytest.skip("no test tables")
     plan = captions.published_subtitles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Relation [value" not in plan and "MapInArrow" in plan
+
+
+def test_word_files_are_opened_by_name(spark, tmp_path):
+    """Word logs are a file for each stream and hour, found without partition folders; each call adds files."""
+    rows = [("a b", "x", 1.5, 1.75, 2.0), ("a b", "y", 0.5, 0.75, 1.0), ("a b", "z", 3600.0, 3600.5, None), ("_c", "", 1.0, 1.25, 2.0), (None, "n", 0.0, 0.25, 0.5)]
+    df = spark.createDataFrame(rows, "stream_id string, text string, t0_s double, t1_s double, emit_s double")
+    path = f"file://{tmp_path}/words"
+    files = sinks.write_words(df, path)
+    assert sorted(r.file.split("/", 1)[1] for r in files.collect()) == ["0/%.tsv", "0/%5Fc.tsv", "0/a+b.tsv", "1/a+b.tsv"]
+    expected = sorted(((s, t, int(a * 1000), int(z * 1000), e) for s, t, a, z, e in rows), key=str)
+    assert sorted(map(tuple, readers.read_word_files(files, path, "engine").collect()), key=str) == expected
+    sinks.write_words(df, path)
+    assert readers.read_words(spark, path, "engine").count() == 2 * len(rows)
+    assert not list(tmp_path.glob("**/stream_id=*"))
