@@ -92,13 +92,17 @@ def _tries_of(name: str, rows: list[tuple[str, str, list[str]]]) -> dict[str, Tr
 
 
 def spots_in(tries: dict[str, Trie], langs: list[str], texts: pa.Array) -> pa.Array:
-    """For each array of words the masked ``(i, len)``, from left to right. Each different word is folded and looked up
-    at the root once for all texts."""
+    """For each array of words the masked ``(i, len)``, from left to right. Each different word is folded once for all texts and
+    looked up once at the root of each lane in which it stands."""
     coded = pc.dictionary_encode(texts.flatten())
-    folded = [fold_word(w) for w in coded.dictionary.to_pylist()]
+    folded = [fold_word(w) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]  # to_pylist is slow for many
     codes = coded.indices.to_numpy(zero_copy_only=False)
     bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
-    roots = {lang: [trie.after(0, w) for w in folded] for lang, trie in tries.items() if lang in set(langs)}
+    stands = {lang: np.zeros(len(folded), bool) for lang in tries.keys() & set(langs)}
+    for lang, a, b in zip(langs, bounds[:-1].tolist(), bounds[1:].tolist()):
+        if lang in stands:
+            stands[lang][codes[a:b]] = True
+    roots = {lang: [tries[lang].after(0, w) if here else [] for w, here in zip(folded, at.tolist())] for lang, at in stands.items()}
     begins = {lang: np.array([bool(x) for x in first], bool) for lang, first in roots.items()}
     spot_at, spot_len, ends = array("i"), array("i"), array("i", [0])  # plain numbers: texts of a batch have many spots
     for lang, a, b in zip(langs, bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -184,24 +188,23 @@ def mask_words(texts: DataFrame, lists: DataFrame, style: str = "asterisks", key
     out = out.withColumn("__m", F.coalesce("__m", F.array().cast("array<struct<i:int,len:int>>")))
     stars = lambda t: F.regexp_replace(t, f"[{ALNUM}]", "*")
 
-    def rebuilt(plain: Column, starred: Column, s: Column) -> Column:
-        """The text from its words with the separators before them, as they are and starred."""
+    def rebuilt(plain: Column, s: Column) -> Column:
+        """The text from its words with the separators before them. Only what is masked is starred: separators have no letters."""
         m, n = F.col("__m"), F.size("__t")
         end = lambda k: F.coalesce(F.get(m, k)["i"] + F.get(m, k)["len"], F.lit(0))
-        run = lambda words, a, z: F.array_join(F.slice(words, a + 1, z - a), "")
+        run = lambda a, z: F.array_join(F.slice(plain, a + 1, z - a), "")
 
         def hidden(x: Column) -> Column:
             if style in ("bleep", "drop"):
                 return F.lit("[bleep]" if style == "bleep" else "")
-            span = F.substr(run(starred, x["i"], x["i"] + x["len"]), F.length(F.get(s, x["i"])) + 1)
+            span = stars(F.substr(run(x["i"], x["i"] + x["len"]), F.length(F.get(s, x["i"])) + 1))
             return span if style == "asterisks" else F.concat(F.substring(F.get(F.col("__t"), x["i"]), 1, 1), F.substr(span, F.lit(2)))
 
-        parts = F.transform(m, lambda x, k: F.concat(run(plain, end(k - 1), x["i"]), F.get(s, x["i"]), hidden(x)))
-        return F.concat(F.array_join(parts, ""), run(plain, end(F.size(m) - 1), n), F.get(s, n))
+        parts = F.transform(m, lambda x, k: F.concat(run(end(k - 1), x["i"]), F.get(s, x["i"]), hidden(x)))
+        return F.concat(F.array_join(parts, ""), run(end(F.size(m) - 1), n), F.get(s, n))
 
-    joined = lambda s, f: F.zip_with(F.slice(s, 1, F.size("__t")), F.col("__t"), lambda s, t: F.concat(s, f(t)))
-    with_gaps = lambda s: F.struct(s.alias("s"), joined(s, lambda t: t).alias("a"), joined(s, stars).alias("b"))
-    body = let(separators(F.col("text")), lambda s: let(with_gaps(s), lambda x: rebuilt(x["a"], x["b"], x["s"])))
+    joined = lambda s: F.zip_with(F.slice(s, 1, F.size("__t")), F.col("__t"), lambda s, t: F.concat(s, t))
+    body = let(separators(F.col("text")), lambda s: let(F.struct(s.alias("s"), joined(s).alias("a")), lambda x: rebuilt(x["a"], x["s"])))
     body = F.when(F.size("__m") == 0, F.col("text")).otherwise(tidy(body) if style == "drop" else body)
     return out.withColumns({"text": body, "n_masked": F.size("__m").cast("long")}).drop("__t", "__m")
 

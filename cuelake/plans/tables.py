@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows over as many tasks as shuffles have, for work that costs more than the shuffle: a file may be one row group, and
+    so one task. Equal rows alone stay together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*df.columns))
+
+
 #: Bytes of text whose words a task puts in order at a time, about 400,000 words.
 TASK_BYTES = 2_000_000
 

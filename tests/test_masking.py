@@ -5,6 +5,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cuelake.operators import masking
 
@@ -66,3 +67,24 @@ def test_spots_take_little_memory():
     tracemalloc.stop()
     assert found.type == masking.SPOTS and found.to_pylist() == [[{"i": i, "len": 1} for i in range(0, 2000, 2)]] * 200 + [[], []]
     assert peak < 15_000_000
+
+
+def test_words_are_looked_up_in_their_lanes(monkeypatch):
+    """A word is looked up at the root of a lane only if a text of the lane has it, once for all texts."""
+    seen, after = [], masking.Trie.after
+    monkeypatch.setattr(masking.Trie, "after", lambda self, at, word: (at == 0 and seen.append(word)) or after(self, at, word))
+    tries = {lang: masking.Trie() for lang in ("en", "fr")}
+    tries["en"].add(["the"], "block")
+    tries["fr"].add(["eau.*"], "block")
+    found = masking.spots_in(tries, ["en", "fr", "en", "xx"], pa.array([["The", "cat"], ["eaux"], ["the"], ["the"]], pa.list_(pa.string())))
+    assert [[(x["i"], x["len"]) for x in f] for f in found.to_pylist()] == [[(0, 1)], [(0, 1)], [(0, 1)], []]
+    assert sorted(seen) == ["cat", "eaux", "the", "the"]  # The and the are different words of the texts
+
+
+def test_documents_are_dealt_over_tasks(spark):
+    """Costly work on a table of one row group isn't one task, and equal keys don't meet."""
+    from cuelake.plans.tables import dealt
+
+    docs = spark.range(400).selectExpr("id", "'same' AS text").coalesce(1)
+    assert dealt(docs).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert dealt(docs).count() == 400
