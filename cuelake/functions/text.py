@@ -57,8 +57,9 @@ def _replace(c: Column, pairs) -> Column:
 def clean(c: Column) -> Column:
     """Symbols to ASCII, white space to single spaces, controls and pictographs away, trimmed."""
     c = F.translate(c, "".join(s for _, s in ONE_TO_ONE), "".join(t * len(s) for t, s in ONE_TO_ONE))
-    c = F.regexp_replace(_replace(c, ONE_TO_MANY), WHITE, " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, DROPPED, ""), " {2,}", " "))
+    # runs become one space at the end; most characters are told from those of a large class by two ranges
+    c = F.regexp_replace(_replace(c, ONE_TO_MANY), f"(?![ -~])(?:{WHITE})", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, rf"(?![ -~\x{{A0}}-\x{{1FFF}}]){DROPPED}", ""), " {2,}", " "))
 
 
 def clean_bytes(c: Column) -> Column:
@@ -125,8 +126,9 @@ def entry_problem(c: Column) -> Column:
 
 def split_sentences(c: Column, abbreviations=ABBREVIATIONS) -> Column:
     """Cut after . ! ? before one white space and a capital or an opening mark, not after an abbreviation."""
-    not_after = "".join(rf"(?<!\Q{a}\E)" for a in abbreviations)
-    cut = rf"(?<=[.!?]){not_after}\p{{IsWhite_Space}}(?=[\p{{IsUppercase}}¿¡\"“])"
+    # the white space first: what stands before it is looked at there alone, not at every character
+    not_after = "".join(rf"(?<!\Q{a}\E\p{{IsWhite_Space}})" for a in abbreviations)
+    cut = rf"\p{{IsWhite_Space}}(?=[\p{{IsUppercase}}¿¡\"“])(?<=[.!?]\p{{IsWhite_Space}}){not_after}"
     return F.filter(F.transform(F.split(c, cut), F.trim), lambda s: s != "")
 
 

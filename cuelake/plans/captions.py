@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import agree, audio, cues, lag, lanes, reports, stats, wer
 from ..sources import named, readers, sinks
-from .tables import WORDS_SQL, languages, shared_path, table, word_tasks, words
+from .tables import WORDS_SQL, dealt, languages, shared_path, table, word_tasks, words
 
 # ---- cues: one for each turn, two-second segments
 
@@ -537,7 +537,7 @@ SELECT word, count(*) AS n FROM (
 
 def cleaned_texts(spark, sf_dir):
     """T1, T6, T7, T10, T12, T20."""
-    d = table(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("t"))  # used five times
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.clean(F.col("text")).alias("t"))  # used five times
     t = F.col("t")
     return d.select("doc_id", F.length(t).cast("long").alias("n_clean"), F.size(T.split_sentences(t)).cast("long").alias("sentences"), F.size(T.content_words(t)).cast("long").alias("content_words"), F.size(T.wrap_lines(t, 32)).cast("long").alias("lines"), T.sentence_end(t).alias("ends"))
 

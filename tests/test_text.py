@@ -79,3 +79,14 @@ def test_joined_words_are_glued_ones(spark):
     df = spark.createDataFrame(rows, "w array<string>").select(T.join_words(F.col("w")).alias("one"), F.aggregate("w", F.lit(""), T.glue).alias("two"))
     assert all(x.one == x.two for x in df.collect())
     assert "aggregate(" not in df.select("one")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clean_by_one_character(spark):
+    """Each character alone and between others is kept, dropped or made a space as its class says; a space costs no match."""
+    codes = [*range(0x3100), *range(0xD7F0, 0xD800), *range(0xE000, 0xE010), *range(0xF8F0, 0xFB10), *range(0xFDF0, 0x10010), *range(0x1EFF0, 0x1FB10), *range(0xDFFF0, 0xE0090)]
+    df = spark.createDataFrame([(f"a {chr(c)} b{chr(c)}{chr(c)}c {chr(c)}",) for c in codes], "t string")
+    plain = F.translate("t", "".join(x for _, x in T.ONE_TO_ONE), "".join(y * len(x) for y, x in T.ONE_TO_ONE))
+    plain = F.regexp_replace(T._replace(plain, T.ONE_TO_MANY), T.WHITE, " ")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, T.DROPPED, ""), " {2,}", " "))
+    assert df.filter(~T.clean(F.col("t")).eqNullSafe(plain)).count() == 0
+    assert "(?![ -~])" in df.select(T.clean(F.col("t")))._jdf.queryExecution().toString()
