@@ -748,6 +748,77 @@ def test_probabilities_sum_to_one():
     assert (state.tables <= state.count).all() and (state.kind_tables <= state.kind_customers()).all() and (state.tables >= 1).all()
 
 
+def test_a_buckets_seating_is_small():
+    """A whole bucket of the largest size, a cell for every 45 bytes of text, takes a fraction of an executor's memory of each task."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    names, each = [b"w%06d" % k for k in range(40_000)], 5
+    contexts = SimpleNamespace(value=list(range(300)))
+    kinds = np.array(pitman_yor.kind_of(contexts.value))
+    ctx = np.sort(np.argsort(r.random((len(names), len(kinds))), axis=1)[:, :each], axis=1).astype("<u2")
+    n_cells, chunks = ctx.size, 8
+    own = [(range(k, len(names), chunks), ctx[k::chunks].copy()) for k in range(chunks)]
+    schema = pa.schema([("bucket", pa.int32()), ("words", pa.list_(pa.binary())), ("cells", pa.list_(pa.int32())), ("ctx", pa.binary()), ("count", pa.binary())])
+    given = [pa.RecordBatch.from_pylist([{"bucket": 3, "words": [names[i] for i in ks], "cells": [each] * len(ks), "ctx": c.tobytes(), "count": (1 + np.arange(c.size) % 7).astype("<i4").tobytes()}], schema=schema) for ks, c in own]
+    peaks = []
+
+    def watched(run, batches):
+        tracemalloc.start()
+        out = list(run(iter(batches)))
+        peaks.append(tracemalloc.get_traced_memory()[1] / n_cells)
+        tracemalloc.stop()
+        return out
+
+    model = watched(pitman_yor._combine(contexts), given)
+    row = model[0].to_pylist()[0]
+    assert row["sums"][:2] == [sum(int((1 + np.arange(c.size) % 7).sum()) for _, c in own), len(names)]
+    n = pitman_yor.FIRST_CONTEXT + len(kinds)
+    now = lambda x: {"customers": np.array(x[:n], float), "tables": np.array(x[n:], float), "discount": [0.5, 0.5, 0.5], "base": 1 / (len(names) + 1)}
+    models = []
+    for k in range(3):
+        model = watched(pitman_yor._sweeper(SimpleNamespace(value=now(model[0].to_pylist()[0]["totals"])), contexts, k, k > 0), model)
+        models.append(now(model[0].to_pylist()[0]["totals"]))
+    row = model[0].to_pylist()[0]
+    assert len(row["seats"]) == 3
+    seated = {"group": 3, "part": 0, "is_model": True, "together": False, "chunk": None, "sizes": None, "doc": None, "tokens": None, **{c: row[c] for c in ("bucket", "words", "ctx", "cells", "count", "seats")}}
+    told = dict.fromkeys(seated) | {"group": 3, "part": 0, "bucket": 3, "is_model": False, "together": False, "chunk": 1, "words": [names[5], b"new"], "sizes": [2, 1], "ctx": ctx[5][:2].tobytes() + b"\x07\x00", "doc": np.array([0, 1, 1], "<u2").tobytes(), "tokens": [2]}
+    schema = pa.schema([*model[0].schema, ("group", pa.int32()), ("part", pa.int32()), ("together", pa.bool_()), ("is_model", pa.bool_()), ("chunk", pa.int64()), ("sizes", pa.list_(pa.int32())), ("doc", pa.binary()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([schema.field(c) for c in seated])
+    (scored,) = watched(pitman_yor._scorer(SimpleNamespace(value=models), contexts, sum(row["sums"][:1]), len(names)), [pa.RecordBatch.from_pylist([x], schema=schema) for x in (seated, told)])
+    sums = np.frombuffer(scored.column("part")[0].as_py(), pitman_yor.PART)
+    assert sums["known"].tolist() == [1, 1]
+    p = []
+    for m, seats in zip(models, row["seats"]):  # the probability of names[5] in its first context, by hand
+        state = pitman_yor.Seating(np.array(row["cells"]), np.frombuffer(row["ctx"], "<u2"), np.frombuffer(row["count"], "<i8"), kinds, seats)
+        at = 5 * each
+        _, kind = state.probabilities(m)
+        c, t = m["customers"], m["tables"]
+        place = pitman_yor.FIRST_CONTEXT + int(state.ctx[at])
+        p.append((state.count[at] - 0.5 * state.tables[at] + (1 + 0.5 * t[place]) * kind[state.pair[at]]) / (1 + c[place]))
+    assert sums["score"][0] == pytest.approx(np.log10(np.mean(p)))
+    assert max(peaks) * pitman_yor.BUCKET / 45 < 300e6, peaks
+
+
+def test_buckets_of_a_group_are_added_up(make_docs, monkeypatch):
+    """Many buckets to a group, in several tasks: the same numbers as with a row of sums for each bucket."""
+    docs = make_docs([*ODD, *[prose(200, 900 + k) for k in range(20)]])
+    monkeypatch.setattr(pitman_yor, "BUCKETS", 3)
+    monkeypatch.setattr(pitman_yor, "BUCKET", 12_000)
+    monkeypatch.setattr(pitman_yor, "TASK_WORDS", 2_000)
+    found = []
+    for most, n in ((0, 4), (1000, 7)):
+        monkeypatch.setattr(pitman_yor, "TASK_DOCS", most)
+        found.append(sorted(tuple(r) for r in pitman_yor.score_texts(docs.repartition(n)).collect()))
+    assert len(found[0]) == docs.count()
+    for a, b in zip(*found, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-12)
+
+
 def test_tables_follow_the_process():
     """The mean number of tables is that of seating customers one by one."""
     import numpy as np
